@@ -21,7 +21,8 @@ def frequent_digests(digests: DataFrame, tracked: int = TRACKED) -> DataFrame:
     """
     partial = digests.groupBy((F.spark_partition_id() % COMBINERS).alias("part")).agg(
         F.expr(f"approx_top_k_accumulate(text_sha256, {tracked})").alias("summary"))
-    top = partial.agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {tracked})").alias("top"))
+    # One group rather than a global aggregate: the combining function fails on an empty partition.
+    top = partial.groupBy(F.col("part") < 0).agg(F.expr(f"approx_top_k_estimate(approx_top_k_combine(summary, {tracked}), {tracked})").alias("top"))
     return top.select(F.explode("top").alias("t")).select(F.col("t.item").alias("text_sha256"))
 
 
