@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, sharding, simhash
+from . import decontaminate, exact_dedup, langid, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op4_language_id": langid.op4_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
+    "op9_decontamination": decontaminate.op9_decontamination,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
