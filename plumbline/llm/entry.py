@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, langid, sharding, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,5 +10,6 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
+    "op10_html_extraction": html_extract.op10_html_extraction,
 }
 ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE}
