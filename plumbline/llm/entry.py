@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, sharding, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, pii, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
