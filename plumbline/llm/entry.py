@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, pii, sharding, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, pii, rans, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
     "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
+    "op5_token_files": rans.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
