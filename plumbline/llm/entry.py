@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, pii, rans, sharding, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, pieces, pii, rans, sharding, simhash
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_language_id": langid.op4_language_id,
     "op5_token_files": rans.op5_token_files,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_html_extraction": html_extract.op10_html_extraction,

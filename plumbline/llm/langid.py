@@ -68,9 +68,12 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sample_by_hash(rows: DataFrame, group: str, bound: int) -> DataFrame:
-    """About ``bound`` rows per value of ``group`` (all of a smaller group), chosen by a hash of ``doc_id``."""
+    """About ``bound`` rows per value of ``group`` (all of a smaller group), chosen by a hash of ``doc_id``.
+
+    The shares per group are broadcast, so rows are chosen where they are read.
+    """
     scale = 1 << 30
-    share = rows.groupBy(group).agg(F.least(F.lit(scale), (F.lit(float(scale)) * bound / F.count(F.lit(1))).cast("long")).alias("below"))
+    share = rows.select(group).groupBy(group).agg(F.least(F.lit(scale), (F.lit(float(scale)) * bound / F.count(F.lit(1))).cast("long")).alias("below"))
     return (rows.join(F.broadcast(share), group).filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(scale)) < F.col("below")).drop("below"))
 
 
@@ -79,10 +82,8 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
 
     Spark draws the bounded sample, counts n-grams in ``COUNT_TASKS`` tasks and adds the counts per language.
     """
-    rows = labelled.select("doc_id", "text", "lang").dropna(subset=["text", "lang"])
-    ids = sample_by_hash(rows.select("doc_id", "lang"), "lang", max_docs).select("doc_id", "lang").distinct()
-    sample = rows.join(ids, ["doc_id", "lang"])
-    sample = sample.repartition(COUNT_TASKS, "doc_id")
+    rows = labelled.select("doc_id", "text", "lang").dropna(subset=["lang"])
+    sample = sample_by_hash(rows, "lang", max_docs).dropna(subset=["text"]).repartition(COUNT_TASKS, "doc_id")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
