@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, html_extract, langid, pieces, pii, rans, sharding, simhash
+from . import decontaminate, exact_dedup, html_extract, langid, pieces, pii, rans, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
+    "op2_toxicity": toxicity.op2_toxicity,
     "op3_pii": pii.op3_pii,
     "op4_language_id": langid.op4_language_id,
     "op5_token_files": rans.op5_token_files,
