@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
-from .ragged import ChunkCache
+from .ragged import ChunkCache, from_lists
 from .rans import _groups
 
 MARK = "▁"
@@ -128,7 +128,7 @@ class Encoder:
         self.cuts = not any(MARK in w.lstrip(MARK) for w in words)
         lines = not any("\n" in w for w in words)
         self.chunk = re.compile(f"\n|{MARK}*[^{MARK}\n]+|{MARK}+" if lines else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.cache = ChunkCache(self._solve)
+        self.cache = ChunkCache(lambda chunks: from_lists(self._solve(chunks)))
         self.scores = np.append(vocabulary.scores, 0.0)
 
     def chunks(self, text: str) -> list[str]:

@@ -3,9 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 
+#: What an encoder returns for a list of chunks: all ids end to end, and the number of ids of each chunk.
+Encoded = tuple[np.ndarray, np.ndarray]
+
+
+def from_lists(ids: list[list[int]]) -> Encoded:
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int32, int(counts.sum())), counts
+
 
 class ChunkCache:
     """Maps chunks of text to id arrays; ``encode`` fills in the chunks not seen before, many at a time.
@@ -13,7 +22,7 @@ class ChunkCache:
     The cache starts anew beyond ``limit`` chunks, so memory stays bounded whatever the vocabulary.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int = 400_000) -> None:
+    def __init__(self, encode: Callable[[list[str]], Encoded], limit: int = 1_000_000) -> None:
         self.encode, self.limit = encode, limit
         self._clear()
 
@@ -23,17 +32,15 @@ class ChunkCache:
         self.start, self.count = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
 
     def _add(self, chunks: list[str]) -> None:
-        ids = self.encode(chunks)
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        new = np.fromiter((x for one in ids for x in one), np.int32, int(counts.sum()))
+        new, counts = self.encode(chunks)
         n = len(self.index)
         while self.used + len(new) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + len(ids) > len(self.start):
+        while n + len(counts) > len(self.start):
             self.start, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.count))
         self.flat[self.used:self.used + len(new)] = new
-        self.start[n:n + len(ids)] = self.used + np.cumsum(counts) - counts
-        self.count[n:n + len(ids)] = counts
+        self.start[n:n + len(counts)] = self.used + np.cumsum(counts) - counts
+        self.count[n:n + len(counts)] = counts
         self.index.update(zip(chunks, range(n, n + len(chunks))))
         self.used += len(new)
 
@@ -41,12 +48,13 @@ class ChunkCache:
         """Ids of all texts, given as lists of chunks, end to end, and the number of ids of each text."""
         if len(self.index) > self.limit:
             self._clear()
-        index = self.index
-        missing = list(dict.fromkeys(c for chunks in texts for c in chunks if c not in index))
-        if missing:
-            self._add(missing)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        rows = np.fromiter((index[c] for chunks in texts for c in chunks), np.int64, int(sizes.sum()))
+        every = list(chain.from_iterable(texts))
+        rows = np.fromiter(map(self.index.get, every, repeat(-1)), np.int64, len(every))
+        unknown = np.flatnonzero(rows < 0).tolist()
+        if unknown:
+            self._add(list(dict.fromkeys(every[k] for k in unknown)))
+            rows[unknown] = [self.index[every[k]] for k in unknown]
         counts = self.count[rows]
         ends = np.cumsum(counts)
         at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.start[rows] - (ends - counts), counts)
