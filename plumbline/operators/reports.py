@@ -10,11 +10,10 @@ from plumbline.functions.geo import haversine_km, region_by_box, region_by_circl
 from plumbline.functions.rules import (DAY, HOUR, OVERLAY, between, clean_sessions, half_up, has_position, has_station, nonzero_position, not_noise, online,
                                        positive, share_of)
 
-ONE = F.lit(1)
 
 
 def n(alias: str) -> Column:
-    return F.count(ONE).alias(alias)
+    return F.count("*").alias(alias)
 
 
 def mean(col: str | Column, digits: int = 1) -> Column:
@@ -197,7 +196,7 @@ def hour_align(sessions: DataFrame, env: DataFrame, as_of: int, days: int = 7) -
 def kp_fix_correlation(aligned: DataFrame) -> DataFrame:
     """Pearson correlation of Kp and fix rate over hours that have both; 0 under five hours or without variance."""
     pair = aligned.filter(F.col("kp").isNotNull() & (F.col("fix_rate") > 0))
-    r = F.when((F.count(ONE) >= 5) & (F.var_pop("kp") > 1e-12) & (F.var_pop("fix_rate") > 1e-12), half_up(F.corr("kp", "fix_rate"), 3)).otherwise(F.lit(0.0))
+    r = F.when((F.count("*") >= 5) & (F.var_pop("kp") > 1e-12) & (F.var_pop("fix_rate") > 1e-12), half_up(F.corr("kp", "fix_rate"), 3)).otherwise(F.lit(0.0))
     return pair.agg(r.alias("correlation_kp_fix"), n("data_points"))
 
 
@@ -283,7 +282,7 @@ def caster_performance(log: DataFrame) -> DataFrame:
     """Per backend station: duration, upper median, volume, failovers, stability, rate and overall mark."""
     rank = W.partitionBy("backend_source").orderBy("duration_s")
     rows = log.filter(F.coalesce("backend_source", F.lit("")) != "").withColumns(
-        {"k": F.row_number().over(rank), "of": F.count(ONE).over(W.partitionBy("backend_source"))})
+        {"k": F.row_number().over(rank), "of": F.count("*").over(W.partitionBy("backend_source"))})
     out = rows.groupBy(F.col("backend_source").alias("station")).agg(
         n("sessions"), F.avg("duration_s").alias("mean"), F.max(F.when(F.col("k") == F.floor(F.col("of") / 2) + 1, F.col("duration_s"))).alias("median_duration_s"),
         F.sum("bytes_transferred").alias("bytes"), F.sum("failover_count").alias("failovers"), F.sum("duration_s").alias("seconds"))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fixtures import Tables
+from .detector_queries import DETECTORS
 from .report_queries import REPORTS
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +17,6 @@ def bound(job: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(Tables(spark, sf_dir))
 
 
-_ALL = REPORTS
+_ALL = REPORTS | DETECTORS
 QUERIES: dict[str, Query] = {name: bound(job) for name, (job, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
