@@ -7,6 +7,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ BLOCK, LANES = 4096, 8
 LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 #: A segment holds whole documents of about so many tokens and is one record of the file.
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 21
 #: Counts of the frequency table travel in so many ranges of ids.
 COUNT_RANGES = 256
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -75,6 +76,12 @@ class Tokenizer:
         return self.cache.ids([CHUNK.findall(t) for t in texts])
 
 
+@lru_cache(maxsize=1)
+def tokenizer_of(path: str) -> Tokenizer:
+    """One tokenizer per worker process, so that its cache serves all tasks of the worker."""
+    return Tokenizer(path)
+
+
 def frequencies(counts: np.ndarray) -> np.ndarray:
     """Counts scaled to add up to ``2**SCALE_BITS``, each at least 1 (largest ids absorb the rounding)."""
     total, room = 1 << SCALE_BITS, (1 << SCALE_BITS) - len(counts)
@@ -178,7 +185,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, cuts: np.ndarray) -> DataFra
     width = -(-VOCABULARY // COUNT_RANGES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, pack = Tokenizer(tokenizer_path), zstandard.ZstdCompressor(level=1)
+        tokenizer, pack = tokenizer_of(tokenizer_path), zstandard.ZstdCompressor(level=1)
         total = np.zeros(COUNT_RANGES * width, np.int64)
         for pdf in batches:
             texts = pdf["text"].tolist()
