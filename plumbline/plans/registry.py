@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .fixtures import Tables
 from .detector_queries import DETECTORS
 from .report_queries import REPORTS
+from .signal_queries import SIGNALS
 from .spatial_queries import SPATIAL
 from .zone_queries import ZONE_TABLE
 
@@ -19,6 +20,6 @@ def bound(job: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(Tables(spark, sf_dir))
 
 
-_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL
+_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS
 QUERIES: dict[str, Query] = {name: bound(job) for name, (job, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
