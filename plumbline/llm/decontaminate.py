@@ -194,17 +194,16 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
 MATCHES = "array<struct<item_id: long, start: int, end: int, edits: int>>"
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """All columns of ``docs`` and ``leaks``, an array of ``(item_id, start, end, edits)``, per row.
+def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks") -> DataFrame:
+    """All columns of ``docs`` and ``column``, an array of ``(item_id, start, end, edits)``, per row.
 
     A leak is a window of 80 characters of an item (the whole item if shorter) that occurs in the text with
     at most 5 % edits, compared without case and with white space normalised. Every benchmark item is used,
     in blocks of bounded size. Null and empty texts, and an empty benchmark, give empty arrays; of several
-    occurrences of one item the one with the fewest edits is reported. A column already named ``leaks``
-    is replaced.
+    occurrences of one item the one with the fewest edits is reported. A column already of that name is replaced.
     """
-    docs = docs.drop("leaks")
-    out = docs.withColumn("leaks", F.expr(f"cast(array() as {MATCHES})"))
+    docs = docs.drop(column)
+    out = docs.withColumn(column, F.expr(f"cast(array() as {MATCHES})"))
     for block in item_blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(build_index(block))
 
@@ -212,8 +211,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             for pdf in batches:
                 texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
                 found = [x for a, b in chunks(texts) for x in search(shared.value, texts[a:b])]
-                rows = [list(old) + [dict(zip(("item_id", "start", "end", "edits"), x)) for x in new] for old, new in zip(pdf["leaks"], found)]
-                yield pdf.assign(leaks=pd.Series(rows, index=pdf.index, dtype=object))
+                rows = [list(old) + [dict(zip(("item_id", "start", "end", "edits"), x)) for x in new] for old, new in zip(pdf[column], found)]
+                yield pdf.assign(**{column: pd.Series(rows, index=pdf.index, dtype=object)})
 
         out = out.mapInPandas(run, out.schema)
     return out
@@ -221,7 +220,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the rows that hold a passage of the benchmark."""
-    return find_leaks(docs, benchmark).filter(F.size("leaks") == 0).select(*docs.columns)
+    return find_leaks(docs, benchmark, "_found_leaks").filter(F.size("_found_leaks") == 0).select(*docs.columns)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -60,15 +60,15 @@ def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     found = checkpointed(exact_dedup(docs))
     stays, goes = found.filter("kept").select("doc_id"), found.filter("not kept").select("doc_id")
     mixed = checkpointed(goes.join(stays, "doc_id", "left_semi").distinct())
-    gone = goes.join(F.broadcast(mixed) if mixed.isEmpty() else mixed, "doc_id", "left_anti").distinct()
+    gone = goes.join(mixed, "doc_id", "left_anti").distinct()
     once = docs.join(gone, "doc_id", "left_anti")
     if mixed.isEmpty():
         return once
     digest = F.sha2(ascii_lower(whole_text()), 256)
     keep = found.filter("kept").select("doc_id", "text_sha256").distinct()
-    repeated = (once.join(mixed, "doc_id", "left_semi").withColumn("text_sha256", digest)
-                .join(keep, ["doc_id", "text_sha256"], "left_semi")
-                .dropDuplicates(["doc_id", "text_sha256"]).select(*docs.columns))
+    repeated = (once.join(mixed, "doc_id", "left_semi").withColumn("_digest", digest)
+                .join(keep.withColumnRenamed("text_sha256", "_digest"), ["doc_id", "_digest"], "left_semi")
+                .dropDuplicates(["doc_id", "_digest"]).select(*docs.columns))
     return once.join(mixed, "doc_id", "left_anti").unionByName(repeated)
 
 

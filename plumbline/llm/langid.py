@@ -95,7 +95,8 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
                 docs[lang] = docs.get(lang, 0) + len(texts)
                 for a, b in chunks(texts):
                     into += np.bincount(ngram_buckets(texts[a:b])[0], minlength=len(into))
-        yield pd.DataFrame({"lang": list(totals), "docs": [docs[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
+        if totals:
+            yield pd.DataFrame({"lang": list(totals), "docs": [docs[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
 
     def add(key: tuple[str], pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
