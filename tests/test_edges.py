@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.geo import distance_join, nearest_join
 from plumbline.functions.graph import connected_components
+from plumbline.functions.greedy import keep_best
 from plumbline.functions.rules import DAY, HOUR, half_up
-from plumbline.operators import detectors, spatial, trust, zones
+from plumbline.operators import actions, detectors, spatial, trust, zones
 from plumbline.plans.fixtures import AS_OF
 from plumbline.sources import tables
 from plumbline.streaming import jobs
@@ -77,6 +78,29 @@ def test_cells_are_hexagons(spark):
     assert pts.limit(1).select(F.size(F.array_distinct(spatial.cell_disk(cell, 2)))).first()[0] == 19
 
 
+def test_keep_best_equals_the_sequential_pass(spark):
+    rng = random.Random(12)
+    for n, m in ((12, 10), (40, 90)):
+        ranks = list(range(n))
+        rng.shuffle(ranks)
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)]
+        near = {k: {b for a, b in edges if a == k} | {a for a, b in edges if b == k} for k in range(n)}
+        kept = set()
+        for k in sorted(range(n), key=lambda k: ranks[k]):
+            if not near[k] - {k} & kept:
+                kept.add(k)
+        got = keep_best(spark.createDataFrame(list(enumerate(ranks)), "node long, rank long"), spark.createDataFrame(edges, "src long, dst long"))
+        assert {r.node for r in got.collect()} == kept
+
+
+def test_overlay_zones_thin_and_merge(spark):
+    near = spark.createDataFrame([("A", 50.0, 5.0, "LEICA", 60.0), ("B", 50.01, 5.0, "SURVEY_GRADE_INFERRED", 60.0), ("C", 50.5, 5.0, "TRIMBLE", 60.0), ("D", 60.0, 5.0, "LEICA", None), ("E", 40.0, 5.0, "U-BLOX", 100.0)],
+                                 "name string, latitude double, longitude double, receiver_type string, distance_km double")
+    validation = spark.createDataFrame([("E", "confirmed", 80.0)], "station string, status string, fix_rate double")
+    rows = {r.name: r for r in actions.overlay_zones(near, validation).collect()}
+    assert set(rows) == {"A", "C", "D", "E"} and rows["C"].area == "ono_A" and rows["D"].area == "ono_D" and rows["E"].radius_m == 25000
+
+
 def sessions(spark, rows):
     return spark.createDataFrame([(str(i), "u%d" % (i % 7), *r) for i, r in enumerate(rows)], "id string, username string, station string, login_time long, fix_rate double, avg_age double, duration long, latitude double, longitude double")
 
