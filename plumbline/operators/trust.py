@@ -12,13 +12,13 @@ DECAY, CYCLE_H = 0.995, 4
 STATE = "station string, alpha double, beta double, last_decay long, excluded_at long"
 
 
-def evidence(sessions: DataFrame) -> DataFrame:
+def evidence(sessions: DataFrame, failure: float = 1.5) -> DataFrame:
     """``station, d_alpha, d_beta, n, mean_fix``: successes and failures of each station; the sums combine map-side."""
     fix = F.coalesce("fix_rate", F.lit(0.0))
     part = (fix - 20) / 50
     return sessions.groupBy("station").agg(
         F.sum(F.when(fix >= 70, 1.0).when(fix <= 20, 0.0).otherwise(part * 0.5)).alias("d_alpha"),
-        F.sum(F.when(fix >= 70, 0.0).when(fix <= 20, 1.5).otherwise((1 - part) * 0.5)).alias("d_beta"), F.count("*").alias("n"), F.avg(fix).alias("mean_fix"))
+        F.sum(F.when(fix >= 70, 0.0).when(fix <= 20, failure).otherwise((1 - part) * 0.5)).alias("d_beta"), F.count("*").alias("n"), F.avg(fix).alias("mean_fix"))
 
 
 def neighbour_consistency(per_station: DataFrame, stations: DataFrame, km: float = 80.0, least: int = 3) -> DataFrame:
@@ -71,6 +71,20 @@ def trust_scores(sessions: DataFrame, state: DataFrame, stations: DataFrame, sco
                        half_up("confidence", 3).alias("confidence"), half_up("samples").alias("total_sessions"), flag.alias("flag"), since.alias("excluded_at"))
 
 
+def trust_scores_v1(sessions: DataFrame, state: DataFrame, stations: DataFrame, as_of: int, hours: int = CYCLE_H) -> DataFrame:
+    """The earlier model: failures weigh 1, the score is 0.7 trust + 0.3 consistency (five sessions), there is no exclusion."""
+    new = evidence(clean_sessions(sessions).filter(between(as_of - hours * HOUR)), 1.0)
+    c = F.col
+    rows = state.join(new, "station", "full_outer").join(neighbour_consistency(new, stations, least=5), "station", "left")
+    decay = F.pow(F.lit(DECAY), F.greatest(F.lit(1.0), half_up((as_of - F.coalesce("last_decay", F.lit(as_of))) / float(hours * HOUR))))
+    grow = lambda k: F.when(c("n").isNull(), c(k)).otherwise(1 + (F.coalesce(k, F.lit(1.0)) - 1) * decay + c(f"d_{k}"))
+    rows = rows.withColumns({"a": grow("alpha"), "b": grow("beta"), "consistency": F.coalesce("consistency", F.lit(0.75))})
+    rows = rows.withColumns({"trust": c("a") / (c("a") + c("b")), "samples": c("a") + c("b") - 2}).withColumn("combined", c("trust") * 0.7 + c("consistency") * 0.3)
+    flag = F.when(c("samples") < 10, "new").when(c("combined") >= 0.7, "trusted").when(c("combined") >= 0.4, "probation").otherwise("untrusted")
+    return rows.select("station", half_up("a", 2).alias("alpha"), half_up("b", 2).alias("beta"), half_up("trust", 3).alias("trust_score"), half_up("consistency", 3).alias("consistency"),
+                       half_up("combined", 3).alias("combined_score"), flag.alias("flag"))
+
+
 def trust_order(trust: DataFrame, limit: int | None = None) -> DataFrame:
     """Worst flags first, then lowest score."""
     rank = F.when(F.col("flag") == "excluded", 0).when(F.col("flag") == "untrusted", 1).when(F.col("flag") == "probation", 2).when(F.col("flag") == "new", 3).otherwise(4)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.rules import HOUR, half_up
-from plumbline.operators import actions, detectors, scores, zones
+from plumbline.functions.rules import DAY, HOUR, half_up
+from plumbline.operators import actions, detectors, forecast, scores, trust, zones
 
 from .fixtures import AS_OF, Tables, oracle
 from .report_queries import ANOMALIES, anomalies
-from .sql import D7, H6, H24, NOISE, STATION, rnd
-from .zone_queries import NEAREST, VALIDATION, _like, validation
+from .sql import D7, H6, H24, NOISE, STATION, km, rnd
+from .zone_queries import EVIDENCE, NEAREST, STATE, VALIDATION, _like, state, validation
 
 
 def zone_rows(t: Tables) -> DataFrame:
@@ -91,7 +91,48 @@ def cme(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 HOURLY = f"SELECT station, CAST(floor(login_time / 36e5) * 36e5 AS bigint) AS h, {rnd('avg(fix_rate)', 1)} AS f, count(*) AS n FROM fx_sessions WHERE login_time >= {H24} AND {STATION} GROUP BY 1, 2"
 
+def health(t: Tables) -> DataFrame:
+    kinds = F.array(*[F.lit(k) for k in ("gps", "glonass", "galileo", "beidou", "qzss")])
+    return t.fx_stations.groupBy(F.get(kinds, (F.substring("name", 3, 6).cast("int") % 5)).alias("constellation")).agg((F.sum(F.when(F.col("height") < 450, 2).otherwise(1)) % 40).cast("int").alias("healthy"), F.lit(32).alias("total"))
+
+
+HEALTH = """SELECT ['gps', 'glonass', 'galileo', 'beidou', 'qzss'][CAST(substr(name, 3) AS int) % 5 + 1] AS constellation, CAST(sum(CASE WHEN height < 450 THEN 2 ELSE 1 END) % 40 AS int) AS healthy, 32 AS total FROM fx_stations GROUP BY 1"""
+IMPACT = """SELECT *, least(3e1, loss * CASE constellation WHEN 'gps' THEN 15e-1 WHEN 'galileo' THEN 1e0 WHEN 'glonass' THEN 8e-1 WHEN 'beidou' THEN 7e-1 ELSE 1e0 END * 3e-1) AS impact FROM (SELECT *, greatest(0, nominal - healthy) * 5 AS loss FROM
+ (SELECT *, CASE constellation WHEN 'gps' THEN 31 WHEN 'glonass' THEN 24 WHEN 'galileo' THEN 28 WHEN 'beidou' THEN 45 ELSE total END AS nominal FROM he))"""
+
+
+def forecast_rows(t: Tables) -> DataFrame:
+    points = t.fx_cells.select(F.col("cell_id").alias("point_id"), (F.col("latitude") * 2 - 25).alias("lat"), (F.col("longitude") * 9).alias("lon"))
+    surface = t.fx_stations.join(t.fx_station_scores, F.col("name") == F.col("station_name")).select((F.col("latitude") * 2 - 25).alias("lat"), (F.col("longitude") * 9).alias("lon"), F.col("avg_fix_rate").alias("predicted"))
+    arrivals = t.fx_env_history.filter("kp >= 2 and day(hour_ts) = 30").select((F.unix_millis(F.col("hour_ts").cast("timestamp")) + DAY).alias("arrival_ts"), (F.col("kp") + 3).alias("kp"))
+    return forecast.forecast(forecast.current_quality(points, surface, t.fx_station_scores), (1, 3, 12), AS_OF, arrivals, 2.0, 5.0, "high", 1)
+
+
+_IMP = lambda k: f"CASE WHEN {k} <= 3 THEN 0e0 WHEN {k} <= 4 THEN -5e0 WHEN {k} <= 5 THEN -12e0 WHEN {k} <= 6 THEN -25e0 ELSE -40e0 END"
+FORECAST = f"""SELECT point_id, h, {rnd("p", 1)} AS predicted, greatest(0e0, {rnd("p - sqrt(h) * 3 - 10", 1)}) AS low, least(1e2, {rnd("p + sqrt(h) * 3 + 5", 1)}) AS high, ke AS kp_expected,
+ CASE WHEN ke <= 3 THEN 'nominal' WHEN ke <= 5 THEN 'elevated' WHEN ke <= 7 THEN 'degraded' ELSE 'storm' END AS iono_risk FROM (SELECT *, greatest(0e0, least(1e2, cur + ci + CASE WHEN h <= 3 THEN -12 ELSE 0 END +
+ CASE WHEN abs(lat) < 20 AND (lo >= 20 OR lo <= 2) THEN -5 WHEN abs(lat) > 60 AND ke >= 4 THEN -8 ELSE 0 END - 3 - 2)) AS p FROM (SELECT *, greatest(2e0, coalesce(ck, 0e0), CASE WHEN h <= 3 THEN 5e0 ELSE 0e0 END) AS ke, (h % 24 + floor(lon / 15 + 5e-1)) % 24 AS lo FROM
+ (SELECT q.*, coalesce((SELECT arg_min(s.pr, struct_pack(d := {km("q.lat", "q.lon", "s.lat", "s.lon")}, a := s.lat, b := s.lon)) FROM su s WHERE {km("q.lat", "q.lon", "s.lat", "s.lon")} < 200), (SELECT avg(avg_fix_rate) FROM fx_station_scores)) AS cur, hz.* FROM
+  (SELECT cell_id AS point_id, latitude * 2 - 25 AS lat, longitude * 9 AS lon FROM fx_cells) q, (SELECT h, max(a.kp) AS ck, coalesce(sum({_IMP("a.kp")}), 0e0) AS ci FROM (VALUES (1), (3), (12)) v(h) LEFT JOIN
+   (SELECT epoch_ms(hour_ts) + 86400000 AS t, kp + 3 AS kp FROM fx_env_history WHERE kp >= 2 AND day(hour_ts) = 30) a ON abs(a.t - ({AS_OF} + h * 3600000)) <= 21600000 GROUP BY 1) hz)))"""
+SURFACE = "SELECT latitude * 2 - 25 AS lat, longitude * 9 AS lon, avg_fix_rate AS pr FROM fx_stations JOIN fx_station_scores ON station_name = name"
+EV1 = EVIDENCE.replace("THEN 15e-1 ELSE", "THEN 1e0 ELSE")
+TRUST1 = f"""SELECT station, {rnd("a", 2)} AS alpha, {rnd("b", 2)} AS beta, {rnd("a / (a + b)", 3)} AS trust_score, {rnd("c", 3)} AS consistency, {rnd("a / (a + b) * 7e-1 + c * 3e-1", 3)} AS combined_score,
+ CASE WHEN a + b - 2 < 10 THEN 'new' WHEN a / (a + b) * 7e-1 + c * 3e-1 >= 7e-1 THEN 'trusted' WHEN a / (a + b) * 7e-1 + c * 3e-1 >= 4e-1 THEN 'probation' ELSE 'untrusted' END AS flag FROM (SELECT station, coalesce(cons, 75e-2) AS c,
+ CASE WHEN n IS NULL THEN alpha ELSE 1 + (coalesce(alpha, 1e0) - 1) * pow(995e-3, CASE WHEN last_decay IS NULL THEN 1 ELSE 3 END) + da END AS a, CASE WHEN n IS NULL THEN beta ELSE 1 + (coalesce(beta, 1e0) - 1) * pow(995e-3, CASE WHEN last_decay IS NULL THEN 1 ELSE 3 END) + db END AS b
+ FROM stt FULL JOIN ev USING (station) LEFT JOIN (SELECT x.station, greatest(0e0, 1 - avg(abs(x.mf - y.mf)) / 5e1) AS cons FROM ev x JOIN fx_stations p ON p.name = x.station, ev y JOIN fx_stations q ON q.name = y.station WHERE x.station <> y.station AND x.n >= 5 AND y.n >= 5
+  AND {km("p.latitude", "p.longitude", "q.latitude", "q.longitude")} <= 80 GROUP BY 1) USING (station))"""
+
 ACTIONS = {
+    "trust_scores_v1": (lambda t: trust.trust_scores_v1(t.fx_sessions, state(t), t.fx_stations, AS_OF), oracle(TRUST1, stt=STATE, ev=EV1)),
+    "constellation_quality": (
+        lambda t: forecast.constellation_quality(health(t))[0],
+        oracle(f"""SELECT constellation, nominal, healthy, {rnd("healthy / nominal * 1e2", 1)} AS availability_pct, {rnd("loss * 1e0", 1)} AS pdop_degradation_pct, {rnd("impact", 1)} AS fix_rate_impact_pct,
+         CASE WHEN healthy / nominal < 7e-1 THEN 'degraded' WHEN healthy / nominal < 9e-1 THEN 'reduced' WHEN total > healthy THEN 'minor' ELSE 'nominal' END AS state FROM im""", he=HEALTH, im=IMPACT)),
+    "constellation_total": (
+        lambda t: forecast.constellation_quality(health(t))[1],
+        oracle(f"""SELECT {rnd("least(5e1, sum(impact))", 1)} AS total_impact_pct, {rnd("product(1 + loss / 1e2)", 3)} AS pdop_multiplier, {rnd("greatest(0e0, (product(1 + loss / 1e2) - 1) * 2e-2)", 4)} AS sigma_contribution FROM im""", he=HEALTH, im=IMPACT)),
+    "forecast": (forecast_rows, oracle(FORECAST, su=SURFACE)),
     "zone_actions": (
         lambda t: action_rows(t).fillna(-1, ["priority_before", "priority_after"]),
         oracle("SELECT * REPLACE (coalesce(priority_before, -1) AS priority_before, coalesce(priority_after, -1) AS priority_after) FROM ka", za=ZONE_AT, ano=ANOMALIES, aa=ALL_ACTIONS, ka=KEPT)),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions.rules import clean_sessions
 
@@ -54,3 +58,35 @@ def recent_history(anomalies: DataFrame, as_of: int, keep: int = 50, days: int =
     """Per key the number of anomalies of the last days, out of the newest ``keep``."""
     newest = F.slice(F.sort_array(F.collect_list("ts_ms"), asc=False), 1, keep)
     return anomalies.groupBy("key").agg(newest.alias("ts")).select("key", F.size(F.filter("ts", lambda t: t > as_of - days * 86_400_000)).alias("recent"), F.size("ts").alias("held"))
+
+
+CUSUM_OUT = "station string, start_ms long, current double, baseline double, s_minus double, ewma double, cusum_alarm boolean, ewma_alarm boolean"
+CUSUM_STATE = "base double, low double, ewma double, count int, warm int"
+
+
+def cusum_stream(buckets: DataFrame, warm: int = 5, h: float = 5.0, k: float = 0.5, drop: float = 15.0) -> DataFrame:
+    """Keyed-state form of the sequential detector for streams of bucket means (``station, start_ms, mean_fix``).
+
+    The first ``warm`` buckets of a station set its baseline, which then stays frozen; every later bucket updates the lower
+    sum and the smoothed rate and gives one row. State is five numbers a station, whatever its history.
+    """
+
+    def update(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        base, low, ewma, count, seen = state.get if state.exists else (0.0, 0.0, 0.0, 0, 0)
+        rows = []
+        for start, x in pd.concat(batches).sort_values("start_ms")[["start_ms", "mean_fix"]].itertuples(index=False):
+            if seen < warm:
+                seen += 1
+                base += (x - base) / seen
+                ewma = base
+                continue
+            count += 1
+            low = max(0.0, low - (x - base) / max(5.0, base * 0.15) - k)
+            ewma = 0.2 * x + 0.8 * ewma
+            alarm = low > h and count >= 3
+            rows.append((key[0], start, x, base, low, ewma, alarm, count >= 5 and base > 50 and base - ewma > drop))
+            low = 0.0 if alarm else low
+        state.update((float(base), float(low), float(ewma), int(count), int(seen)))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in CUSUM_OUT.split(", ")])
+
+    return buckets.groupBy("station").applyInPandasWithState(update, CUSUM_OUT, CUSUM_STATE, "append", GroupStateTimeout.NoTimeout)

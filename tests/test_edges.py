@@ -207,6 +207,25 @@ def test_streams_equal_batch(spark, tmp_path):
     assert key(spark.table("windows")) == key(batch)
 
 
+def test_stream_detector_keeps_state_between_batches(spark, tmp_path):
+    values = [80.0] * 5 + [80.0, 20.0, 20.0, 20.0, 20.0, 85.0]
+    for k, x in enumerate(values):
+        spark.createDataFrame([("S", k * 300_000, x), ("T", k * 300_000, 80.0)], "station string, start_ms long, mean_fix double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("station string, start_ms long, mean_fix double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = jobs.cusum_stream(stream).writeStream.format("memory").queryName("cusum").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(180)
+    rows = spark.table("cusum").collect()
+    want, low, ewma = [], 0.0, 80.0
+    for k, x in enumerate(values[5:], 1):
+        low = max(0, low - (x - 80) / 12 - 0.5)
+        ewma = 0.2 * x + 0.8 * ewma
+        alarm = low > 5 and k >= 3
+        want.append((alarm, k >= 5 and 80 - ewma > 15))
+        low = 0.0 if alarm else low
+    assert [(r.cusum_alarm, r.ewma_alarm) for r in sorted((r for r in rows if r.station == "S"), key=lambda r: r.start_ms)] == want and any(a for a, _ in want)
+    assert not any(r.cusum_alarm or r.ewma_alarm for r in rows if r.station == "T")
+
+
 def test_kriging_reproduces_points():
     rng = np.random.default_rng(1)
     lat, lon, value = rng.uniform(40, 42, 12), rng.uniform(0, 2, 12), rng.uniform(0, 100, 12)
