@@ -127,6 +127,41 @@ def cusum_ewma(sessions: DataFrame, as_of: int, kp: float = 0.0, bucket_min: int
         F.col("end.cusum_alarms").alias("cusum_alarms"), F.col("end.ewma_alarms").alias("ewma_alarms"))
 
 
+def cusum_ewma_v1(sessions: DataFrame, as_of: int, bucket_min: int = 30, hours: int = 6, baseline_h: int = 24, least: int = 20) -> DataFrame:
+    """The earlier detector: fix rate as in :func:`cusum_ewma` with fixed limits, and an upper sum on the correction age.
+
+    Buckets without a positive age leave the age sums as they are. Age sigma is ``max(0.5, 20 %)``; the smoothed age alarms
+    from the fifth bucket on above three times its baseline.
+    """
+    start, width = as_of - hours * HOUR, bucket_min * MINUTE
+    rows = clean_sessions(sessions)
+    base = (rows.filter(between(start - baseline_h * HOUR, start)).groupBy("station").agg(
+        F.avg(fix()).alias("base"), F.coalesce(F.avg(positive("avg_age")), F.lit(0.0)).alias("age_base"), F.count("*").alias("b_n")).filter(F.col("b_n") >= least))
+    buckets = (rows.filter(between(start, as_of)).groupBy("station", F.floor((F.col("login_time") - start) / width).cast("int").alias("k"))
+               .agg(F.avg(fix()).alias("fix"), F.coalesce(F.avg(positive("avg_age")), F.lit(0.0)).alias("age")).groupBy("station")
+               .agg(F.array_sort(F.collect_list(F.struct("k", "fix", "age"))).alias("series")))
+    j = buckets.join(base, "station").withColumns({"sigma": F.greatest(F.lit(5.0), F.col("base") * 0.15), "age_sigma": F.greatest(F.lit(0.5), F.col("age_base") * 0.2)})
+    names = ("low", "high", "ewma", "ewma_age", "count", "age_count", "fix_alarms", "age_alarms", "ewma_fix_alarms", "ewma_age_alarms")
+    zero = F.struct(*[v.alias(n) for n, v in zip(names, (F.lit(0.0), F.lit(0.0), F.col("base"), F.col("age_base"), *[F.lit(0)] * 6))])
+
+    def step(acc: Column, x: Column) -> Column:
+        count, seen = acc["count"] + 1, (x["age"] > 0) & (F.col("age_base") > 0)
+        ages = acc["age_count"] + seen.cast("int")
+        low = F.greatest(F.lit(0.0), acc["low"] - (x["fix"] - F.col("base")) / F.col("sigma") - 0.5)
+        high = F.when(seen, F.greatest(F.lit(0.0), acc["high"] + (x["age"] - F.col("age_base")) / F.col("age_sigma") - 0.5)).otherwise(acc["high"])
+        alarm, age_alarm = (low > 5) & (count >= 3), seen & (high > 5) & (ages >= 3)
+        ewma, ewma_age = x["fix"] * 0.2 + acc["ewma"] * 0.8, F.when(x["age"] > 0, x["age"] * 0.2 + acc["ewma_age"] * 0.8).otherwise(acc["ewma_age"])
+        drop = (count >= 5) & (F.col("base") > 50) & (F.col("base") - ewma > 15)
+        spike = (count >= 5) & (F.col("age_base") > 0) & (ewma_age > F.col("age_base") * 3)
+        more = lambda n, b: acc[n] + b.cast("int")
+        values = (F.when(alarm, 0.0).otherwise(low), F.when(age_alarm, 0.0).otherwise(high), ewma, ewma_age, count, ages, more("fix_alarms", alarm), more("age_alarms", age_alarm),
+                  more("ewma_fix_alarms", drop), more("ewma_age_alarms", spike))
+        return F.struct(*[v.alias(n) for n, v in zip(names, values)])
+
+    end = j.withColumn("end", F.aggregate("series", zero, step))
+    return end.select("station", *[half_up(F.col("end")[n], 3).alias(n) for n in names[:4]], *[F.col("end")[n].alias(n) for n in names[4:]])
+
+
 def interference_clusters(sessions: DataFrame, as_of: int, window_min: int = 360, km: float = 30.0, minutes: int = 10, neighbours: int = 3,
                           under: float = 25.0, least_users: int = 3) -> DataFrame:
     """Space-time clusters of degraded sessions.

@@ -90,7 +90,19 @@ CUSUM = f"""SELECT station, {rnd("base", 3)} AS baseline, i AS buckets, {rnd("lo
   FROM f JOIN ser s ON s.station = f.station AND s.i = f.i + 1, LATERAL (SELECT greatest(0e0, f.low - (s.fix - f.base) / s.sigma - 5e-1) AS low, s.fix * 2e-1 + f.ewma * 8e-1 AS ew) x)
  SELECT *, max(i) OVER (PARTITION BY station) AS last FROM f) WHERE i = last"""
 
+V1_SERIES = f"""SELECT station, row_number() OVER (PARTITION BY station ORDER BY k) AS i, fix, age, base, ab, greatest(5e0, base * 15e-2) AS sg, greatest(5e-1, ab * 2e-1) AS sa FROM
+ (SELECT station, CAST(floor((login_time - {CUSUM_START}) / 18e5) AS int) AS k, avg(fix_rate) AS fix, coalesce(avg(CASE WHEN avg_age > 0 THEN avg_age END), 0e0) AS age FROM fx_sessions WHERE {SEEN} AND login_time >= {CUSUM_START} AND login_time < {AS_OF} GROUP BY 1, 2)
+ JOIN (SELECT station, avg(fix_rate) AS base, coalesce(avg(CASE WHEN avg_age > 0 THEN avg_age END), 0e0) AS ab FROM fx_sessions WHERE {SEEN} AND login_time >= {CUSUM_START - 86_400_000} AND login_time < {CUSUM_START} GROUP BY 1 HAVING count(*) >= 20) USING (station)"""
+V1 = f"""SELECT station, {rnd("low", 3)} AS low, {rnd("high", 3)} AS high, {rnd("ewma", 3)} AS ewma, {rnd("ea", 3)} AS ewma_age, i AS count, ac AS age_count, f1 AS fix_alarms, f2 AS age_alarms, f3 AS ewma_fix_alarms, f4 AS ewma_age_alarms FROM (
+ WITH RECURSIVE f(station, i, low, high, ewma, ea, ac, f1, f2, f3, f4) AS (SELECT DISTINCT station, CAST(0 AS bigint), 0e0, 0e0, base, ab, 0, 0, 0, 0, 0 FROM ser
+  UNION ALL SELECT f.station, s.i, CASE WHEN x.lo > 5 AND s.i >= 3 THEN 0e0 ELSE x.lo END, CASE WHEN x.seen AND x.hi > 5 AND f.ac + 1 >= 3 THEN 0e0 ELSE x.hi END, x.ew, x.en, f.ac + CASE WHEN x.seen THEN 1 ELSE 0 END, f.f1 + CASE WHEN x.lo > 5 AND s.i >= 3 THEN 1 ELSE 0 END,
+   f.f2 + CASE WHEN x.seen AND x.hi > 5 AND f.ac + 1 >= 3 THEN 1 ELSE 0 END, f.f3 + CASE WHEN s.i >= 5 AND s.base > 50 AND s.base - x.ew > 15 THEN 1 ELSE 0 END, f.f4 + CASE WHEN s.i >= 5 AND s.ab > 0 AND x.en > s.ab * 3 THEN 1 ELSE 0 END
+  FROM f JOIN ser s ON s.station = f.station AND s.i = f.i + 1, LATERAL (SELECT s.age > 0 AND s.ab > 0 AS seen, greatest(0e0, f.low - (s.fix - s.base) / s.sg - 5e-1) AS lo,
+   CASE WHEN s.age > 0 AND s.ab > 0 THEN greatest(0e0, f.high + (s.age - s.ab) / s.sa - 5e-1) ELSE f.high END AS hi, s.fix * 2e-1 + f.ewma * 8e-1 AS ew, CASE WHEN s.age > 0 THEN s.age * 2e-1 + f.ea * 8e-1 ELSE f.ea END AS en) x)
+ SELECT *, max(i) OVER (PARTITION BY station) AS last FROM f) WHERE i = last"""
+
 DETECTORS = {
+    "cusum_ewma_v1": (lambda t: d.cusum_ewma_v1(t.fx_sessions, AS_OF), oracle(V1, ser=V1_SERIES)),
     "fix_rate_drop": (
         lambda t: d.fix_rate_drop(t.fx_sessions, AS_OF),
         oracle(f"""SELECT 'fix_rate_drop' AS type, CASE WHEN fix < 30 THEN 'critical' WHEN fix < 50 THEN 'warning' ELSE 'info' END AS severity, station, affected_users, {rnd("fix", 1)} AS current_value,
