@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators import areas
 from plumbline.operators import spatial as s
 
 from .fixtures import AS_OF, Tables, oracle
@@ -72,6 +73,7 @@ def surface(t: Tables) -> DataFrame:
 
 
 SPATIAL = {
+    "coverage_zones": (lambda t: areas.coverage_zones(cell_rows(t), t.fx_stations, t.fx_trust).drop("points", "stations"), None),
     "coverage_cells": (cell_rows, oracle(COVERAGE, bas=BASE, sen=SEEN_CELLS, cel=CELLS, nea=NEAR, aro=AROUND)),
     "empirical_variogram": (
         lambda t: s.empirical_variogram(points(t)).select("bin", s.half_up("distance", 3).alias("distance"), s.half_up("semivariance", 3).alias("semivariance"), "count"),

@@ -10,7 +10,7 @@ from plumbline.functions.geo import distance_join, nearest_join
 from plumbline.functions.graph import connected_components
 from plumbline.functions.greedy import keep_best
 from plumbline.functions.rules import DAY, HOUR, half_up
-from plumbline.operators import actions, detectors, spatial, trust, zones
+from plumbline.operators import actions, areas, detectors, spatial, trust, zones
 from plumbline.plans.fixtures import AS_OF
 from plumbline.sources import tables
 from plumbline.streaming import jobs
@@ -226,6 +226,35 @@ def test_stream_detector_keeps_state_between_batches(spark, tmp_path):
     assert not any(r.cusum_alarm or r.ewma_alarm for r in rows if r.station == "T")
 
 
+def test_coverage_zones(spark):
+    rng = random.Random(4)
+    ids = {(q, r) for q in range(12) for r in range(500, 512) if rng.random() < 0.45} | {(40, 500), (41, 500), (42, 500)}
+    seen, groups = set(), []
+    for start in sorted(ids):
+        if start in seen:
+            continue
+        group, stack = set(), [start]
+        while stack:
+            q, r = stack.pop()
+            if (q, r) in ids and (q, r) not in group:
+                group.add((q, r))
+                stack += [(q + 1, r), (q - 1, r), (q, r + 1), (q, r - 1), (q + 1, r - 1), (q - 1, r + 1)]
+        seen |= group
+        groups.append(group)
+    cells = spark.createDataFrame([(q, r) for q, r in ids] + [(90, 500)], "q int, r int").withColumn("m", spatial.cell_centre(F.struct("q", "r"))).select(
+        F.concat_ws(":", "q", "r").alias("cell_id"), F.col("m.lat").alias("latitude"), F.col("m.lon").alias("longitude"), F.lit(0.8).alias("quality_score"), F.when(F.col("q") == 90, "no_coverage").otherwise("full_rtk").alias("zone_tier"))
+    stations = spark.createDataFrame([], "name string, network string, latitude double, longitude double")
+    rows = areas.coverage_zones(cells, stations, spark.createDataFrame([], "station string, composite_score double")).collect()
+    assert sorted(r.cells for r in rows) == sorted(len(g) for g in groups if len(g) >= 3)
+    where = {r.cell_id: (r.latitude, r.longitude) for r in cells.collect()}
+    for r in rows:
+        group = next(g for g in groups if r.zone_id in {f"{q}:{x}" for q, x in g})
+        assert (r.fence_type == "circle") == (len(group) < 7)
+        if r.points:
+            inside = spark.createDataFrame([where[f"{q}:{x}"] for q, x in group], "lat double, lon double").select(zones.in_polygon(F.col("lat"), F.col("lon"), F.array(*[F.array(*map(F.lit, p)) for p in r.points])).alias("y"))
+            assert len(r.points) <= 40 and all(x.y for x in inside.collect())
+
+
 def test_kriging_reproduces_points():
     rng = np.random.default_rng(1)
     lat, lon, value = rng.uniform(40, 42, 12), rng.uniform(0, 2, 12), rng.uniform(0, 100, 12)
