@@ -96,7 +96,9 @@ def coverage_cells(stations: DataFrame, scores: DataFrame, sessions: DataFrame,
         F.sum("n").alias("n"), F.sum("users").alias("users"), F.sum("fix").alias("fix"), F.sum("seconds").alias("seconds"),
         (F.sum(c("mean_age") * c("n")) / F.sum(F.when(c("mean_age") > 0, c("n")))).alias("seen_age"))
     rings = base.select(cell_of(c("r_latitude"), c("r_longitude")).alias("own")).select(F.explode(cell_disk(c("own"), 2)).alias("cell"))
-    cells = rings.unionByName(seen.select("cell")).distinct().withColumn("centre", cell_centre(c("cell"))).select("cell", c("centre.lat").alias("latitude"), c("centre.lon").alias("longitude"))
+    seen = checkpointed(seen)
+    # Checkpointed, so that the join by distance works on plain columns rather than on copies of the centre's formula.
+    cells = checkpointed(rings.unionByName(seen.select("cell")).distinct().withColumn("centre", cell_centre(c("cell"))).select("cell", c("centre.lat").alias("latitude"), c("centre.lon").alias("longitude")))
     near = distance_join(cells, base, km).withColumn("w", F.exp(-F.pow(c("distance_km") / 20, F.lit(2.0))))
     rank = F.row_number().over(W.partitionBy("cell").orderBy("distance_km", "name"))
     close = c("distance_km") <= 35
