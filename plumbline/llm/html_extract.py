@@ -37,6 +37,9 @@ TOKEN = re.compile(
     r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>(?:[^>"']|"[^"]*"|'[^']*')*+)>"""
     r"""|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*+)(?P<rest2>[^>]*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
+#: Where a raw element ends, whatever stands in it. Other markup may end the last three, so that one without an end tag hides nothing.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
+OPEN_ENDED = frozenset("object svg math".split())
 DIGITS, PARTS = re.compile(r"\d+"), re.compile(r"[^a-z]+")
 
 
@@ -69,14 +72,10 @@ def _attributes(rest: str) -> tuple[str, bool]:
 
 def parse(source: str) -> Page:
     """A forgiving single pass: unclosed paragraphs and list items end where HTML lets them end."""
-    page, stack, at, skip = Page(), [], 0, ""
+    page, stack, at, endless = Page(), [], 0, set()
     tags, runs = page.tags, page.runs
-    for m in TOKEN.finditer(source):
-        if skip:
-            if (m["tag"] or m["tag2"] or "").lower() != skip or not (m["end"] or m["end2"]):
-                continue
-            at, skip = m.end(), ""
-            continue
+    tokens = TOKEN.finditer(source)
+    while m := next(tokens, None):
         if m.start() > at:
             runs.append((stack[-1] if stack else -2, source[at:m.start()]))
         at = m.end()
@@ -97,8 +96,16 @@ def parse(source: str) -> Page:
             continue
         rest = m["rest"] or m["rest2"] or ""
         if tag in RAW and tag != "head":
-            if not rest.endswith("/") or tag in ("script", "style"):
-                skip = tag
+            if tag not in endless and (not rest.endswith("/") or tag in ("script", "style")):
+                end = RAW_END[tag].search(source, at)
+                if end:
+                    at = end.start()
+                elif tag in OPEN_ENDED:
+                    endless.add(tag)
+                    continue
+                else:
+                    at = len(source)
+                tokens = TOKEN.finditer(source, at)
             continue
         if tag in CLOSES_P:
             for k in range(len(stack) - 1, -1, -1):
@@ -123,7 +130,7 @@ def parse(source: str) -> Page:
         page.paths.append((page.paths[parent] + ">" if parent >= 0 else "") + tag + classes)
         page.furniture.append(own or parent >= 0 and page.furniture[parent])
         stack.append(len(tags) - 1)
-    if not skip and at < len(source):
+    if at < len(source):
         runs.append((stack[-1] if stack else -2, source[at:]))
     return page
 

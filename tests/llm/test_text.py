@@ -174,6 +174,12 @@ def test_broken_pages_do_not_fail(source):
     assert isinstance(html_extract.extract(source), str)
 
 
+@pytest.mark.parametrize("raw", ["<script>for(i=0;i<n;i++)f(i)</script>", "<script>if(a<b)s=\"it's</script>", "<SCRIPT>x='<a title=\"'</Script >", "<style>a<b\"{}</style>",
+                                 "<script>a<b</scripts></script\n>", "<iframe><p class='</iframe>", "<svg><path d='M0'/></svg>", "<svg><path d=1>"])
+def test_raw_elements_end_at_their_end_tag(raw):
+    assert html_extract.extract(f"<body>{raw}<article><p>Main {raw}text</p></article><script>i<n</script></body>") == "Main text"
+
+
 def test_host_consensus(spark):
     layout = '<body><div class="main-{i}"><p>{a}</p></div><div class="box"><p>{b}</p></div></body>'
     rows = [(i, "http://h.example/x", layout.format(i=i, a="long body text " * 20, b="short")) for i in range(6)]
