@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
@@ -15,8 +16,10 @@ from .common import checkpointed, small_enough, table
 
 #: Winning paths of up to so many hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
-#: A page keeps its own best container if the host's path holds less than this share of that one's score.
+#: A page keeps its own best container if the host's path holds less than this share of that one's text.
 LEAST_SHARE = 0.34
+#: Share of a page's text that may lie in other containers beside the best one, or be lost to the host's path.
+SLACK = 0.02
 
 # Element names of HTML by role, and name parts that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -155,44 +158,105 @@ def container_scores(page: Page) -> dict[int, float]:
     return scores
 
 
+def texts_of(page: Page) -> list[tuple[int, int, int]]:
+    """``element, its nearest container (-1: none), size`` of each run of text outside links and furniture; separators are no text."""
+    nearest: list[int] = []  # -2 within a link
+    for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
+        above = nearest[parent] if parent >= 0 else -1
+        nearest.append(-2 if tag == "a" or above == -2 else k if tag in CONTAINERS else above)
+    out = []
+    for node, text in page.runs:
+        if node != -1 and not (node >= 0 and page.furniture[node]) and any(map(str.isalnum, text)):
+            held = nearest[node] if node >= 0 else -1
+            if held != -2:
+                out.append((node, held, len(text.strip())))
+    return out
+
+
 def best_container(page: Page) -> tuple[int, float]:
+    """The main container and the size of its text. An article or main element wins by its score. On other pages it is
+    the lowest container with nearly all text, and further up while the next one holds text of its own beside it."""
     scores = container_scores(page)
     if not scores:
         return -1, 0.0
     best = max(scores, key=lambda k: (scores[k], -k))
-    return best, scores[best]
+    if page.tags[best] in SEMANTIC:
+        return best, scores[best]
+    mass: dict[int, int] = {}
+    own: set[int] = set()
+    total = 0
+    for _, k, size in texts_of(page):
+        own.add(k)
+        total += size
+        while k >= 0:
+            if page.tags[k] in CONTAINERS:
+                mass[k] = mass.get(k, 0) + size
+            k = page.parents[k]
+    whole = [k for k in mass if mass[k] >= (1 - SLACK) * total]
+    if not whole:  # text of its own outside all containers, or none at all
+        return (-1, 0.0) if total else (best, scores[best])
+    best = up = max(whole)  # all of them lie on one line of descent, the lowest comes last in the page
+    while (up := page.parents[up]) >= 0:
+        if page.tags[up] in CONTAINERS:
+            if up not in own:
+                break
+            best = up
+    return best, float(mass[best])
 
 
-def text_of(page: Page, chosen: set[int]) -> str:
-    """The text under the chosen elements (-1: of everything), without furniture, as blocks joined by one space."""
-    inside: dict[int, bool] = {-1: False, -2: False}
+def chosen_of(page: Page, best: int) -> set[int]:
+    """The best container, and unless it is an article or main element all others with its path."""
+    return {best} if best < 0 or page.tags[best] in SEMANTIC else {k for k, p in enumerate(page.paths) if p == page.paths[best]}
+
 
-    def within(k: int) -> bool:
-        if k not in inside:
-            inside[k] = k in chosen or within(page.parents[k])
-        return inside[k]
+def within(page: Page, chosen: set[int]) -> list[bool]:
+    """For each element whether it is, or lies in, a chosen one."""
+    inside: list[bool] = []
+    for k, parent in enumerate(page.parents):
+        inside.append(k in chosen or parent >= 0 and inside[parent])
+    return inside
 
-    everything = -1 in chosen
+
+def path_key(path: str) -> int:
+    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def left_out(page: Page, best: int) -> set[int]:
+    """Keys of the paths of containers beside the best one whose text is left out; containers around it are not beside it."""
+    inside, around = within(page, chosen_of(page, best)), page.paths[best]
+    paths = {page.paths[k] for node, k, _ in texts_of(page) if k >= 0 and not inside[node]}
+    return {path_key(p) for p in paths if not around.startswith(p + ">")}
+
+
+def text_of(page: Page, chosen: set[int]) -> str:
+    """The text under the chosen elements (-1: of everything), without furniture, as blocks joined by one space."""
+    inside, everything = within(page, chosen), -1 in chosen
     parts = [" " if k == -1 else html.unescape(t) for k, t in page.runs
-             if k == -1 or (everything or within(k)) and not (k >= 0 and page.furniture[k])]
+             if k == -1 or (everything or k >= 0 and inside[k]) and not (k >= 0 and page.furniture[k])]
     return " ".join("".join(parts).split())
 
 
-def extract(source: str | None, path: str | None = None) -> str:
-    """Main text of one page, from the elements on ``path`` if they hold enough of it."""
+def extract(source: str | None, path: str | None = None, left: frozenset[int] = frozenset()) -> str:
+    """Main text of one page, from the elements on ``path`` if they hold enough of it and, but for the containers that
+    the host's pages leave out (``left``), nearly all of it."""
     if not source:
         return ""
     page = parse(source)
-    best, score = best_container(page)
+    best, _ = best_container(page)
+    chosen = chosen_of(page, best)
     if path is not None and best >= 0 and page.paths[best] != path:
-        scores = container_scores(page)
-        on_path = {k for k, p in enumerate(page.paths) if p == path and k in scores}
-        if sum(scores[k] for k in on_path) >= LEAST_SHARE * score:
-            return text_of(page, on_path)
-    if best < 0:
-        return text_of(page, {-1})
-    alike = {k for k, p in enumerate(page.paths) if p == page.paths[best]}
-    return text_of(page, {best} if page.tags[best] in SEMANTIC else alike)
+        on_path = {k for k, p in enumerate(page.paths) if p == path and not page.furniture[k]}
+        if on_path:
+            mine, theirs = within(page, chosen), within(page, on_path)
+            held = kept = lost = 0
+            for node, k, size in texts_of(page):
+                kept += size * (node >= 0 and theirs[node])
+                if node >= 0 and mine[node]:
+                    held += size
+                    lost += size * (not theirs[node] and path_key(page.paths[k]) not in left)
+            if kept and kept >= LEAST_SHARE * held and lost <= SLACK * held:
+                return text_of(page, on_path)
+    return text_of(page, chosen)
 
 
 def host_of(url: str = "url"):
@@ -200,9 +264,10 @@ def host_of(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path``: the container path with the most votes of each host (ties: first path in order).
+    """``host, path, left``: the container path with the most votes of each host (ties: first path in order), and the
+    keys of the paths that more than half of its votes leave out.
 
-    Every page votes for the path of its best container with the square root of the score, so a few very
+    Every page votes for the path of its best container with the square root of its size, so a few very
     long pages do not outvote the rest. Votes are combined map-side; a hot host is no group of rows.
     """
 
@@ -213,12 +278,17 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 page = parse(source) if source else Page()
                 best, score = best_container(page)
                 if best >= 0:
-                    rows.append((host, page.paths[best], int(score ** 0.5) + 1))
-            yield pd.DataFrame(rows, columns=["host", "path", "vote"]).groupby(["host", "path"], as_index=False).sum()
+                    weight = int(score ** 0.5) + 1
+                    rows.append((host, page.paths[best], False, 0, weight))
+                    rows.extend((host, page.paths[best], True, key, weight) for key in left_out(page, best))
+            yield pd.DataFrame(rows, columns=["host", "path", "beside", "key", "vote"]).groupby(["host", "path", "beside", "key"], as_index=False).sum()
 
-    votes = pages.select(host_of().alias("host"), "html").mapInPandas(vote, "host string, path string, vote long")
-    counted = votes.groupBy("host", "path").agg(F.sum("vote").alias("votes"))
-    return counted.groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("least"), "path")).alias("top")).select("host", "top.path")
+    votes = pages.select(host_of().alias("host"), "html").mapInPandas(vote, "host string, path string, beside boolean, key long, vote long")
+    counted = checkpointed(votes.groupBy("host", "path", "beside", "key").agg(F.sum("vote").alias("votes")))
+    top = (counted.filter("not beside").groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("least"), "path")).alias("top"))
+           .select("host", "top.path", (-F.col("top.least")).alias("of")))
+    left = counted.filter("beside").select("host", "path", "key", "votes").join(top, ["host", "path"]).filter("2 * votes > of").groupBy("host").agg(F.collect_list("key").alias("left"))
+    return top.join(left, "host", "left").select("host", "path", "left")
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -226,16 +296,16 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     Containers of each page are scored, their generalised tag-class paths are put to the vote per host, and
     every page is extracted again from the elements on its host's path (its own best container where that path
-    holds too little). Null and empty pages give empty texts; pages without a valid url share one vote;
-    repeated rows are extracted alike. Other columns are ignored.
+    holds too little, or misses text that the host's other pages do not leave out). Null and empty pages give
+    empty texts; pages without a valid url share one vote; repeated rows are extracted alike. Other columns are ignored.
     """
     winners = checkpointed(host_paths(pages))
     side = F.broadcast(winners) if small_enough(winners, BROADCAST_HOSTS) else winners
-    placed = pages.select("page_id", "url", "html", host_of().alias("host")).join(side, "host", "left").select("page_id", "url", "html", "path")
+    placed = pages.select("page_id", "url", "html", host_of().alias("host")).join(side, "host", "left").select("page_id", "url", "html", "path", "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            text = [extract(h, p if isinstance(p, str) else None) for h, p in zip(pdf["html"], pdf["path"])]
+            text = [extract(h, p if isinstance(p, str) else None, frozenset(() if x is None else x)) for h, p, x in zip(pdf["html"], pdf["path"], pdf["left"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
 
     return placed.mapInPandas(run, "page_id long, url string, text string")

@@ -190,6 +190,21 @@ def test_host_consensus(spark):
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
 
+LEAD, BODY = "lead words here " * 20, "body words there " * 30
+
+
+def test_split_articles_stay_whole(spark):
+    """Without article or main; also where the host's other pages have another layout that holds only a part."""
+    split = f'<body><div id=menu><a href=x>Home</a> | <a href=y>All</a></div><div class=content><h1>Title</h1><div class=lead><p>{LEAD}</p></div><div class=body><p>{BODY}</p></div></div></body>'
+    loose = f"<body><div class=page><h1>Title</h1><p>One line.</p><div class=text><p>{BODY * 9}</p></div></div></body>"
+    want = " ".join(f"Title {LEAD} {BODY}".split())
+    assert html_extract.extract(split) == want and html_extract.extract(loose) == " ".join(f"Title One line. {BODY * 9}".split())
+    part = f"<body><div class=content><div class=body><p>{BODY}</p></div></div></body>"
+    rows = [(i, "http://a.example/x", split) for i in range(5)] + [(i, "http://b.example/x", part) for i in range(10, 15)] + [(20, "http://b.example/y", split)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(5)} == {want} and {got[i] for i in range(10, 15)} == {BODY.strip()} and got[20] == want
+
+
 def test_pages_against_article_text(spark, sf):
     import html
 
