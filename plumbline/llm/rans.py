@@ -48,7 +48,8 @@ class Tokenizer:
         from tokenizers import Tokenizer as Library
 
         self.library = Library.from_file(path)
-        self.library.encode_special_tokens = True
+        #: Added tokens are found before all else and keep their ids; texts are cut around them.
+        self.added = re.compile("|".join(re.escape(t.content) for _, t in sorted(self.library.get_added_tokens_decoder().items())) or r"(?!)")
         self.bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.bytes[i] = len(token)  # one character per byte in this kind of vocabulary
@@ -73,7 +74,14 @@ class Tokenizer:
         return flat, counts
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self.cache.ids([CHUNK.findall(t) for t in texts])
+        return self.cache.ids([self._chunks(t) for t in texts])
+
+    def _chunks(self, text: str) -> list[str]:
+        chunks, at = [], 0
+        for m in self.added.finditer(text):
+            chunks += [*CHUNK.findall(text[at:m.start()]), m[0]]
+            at = m.end()
+        return chunks + CHUNK.findall(text[at:]) if at else CHUNK.findall(text)
 
 
 @lru_cache(maxsize=1)

@@ -20,6 +20,18 @@ def test_chunks_give_the_library_ids():
         assert tokenizer.library.encode(text, add_special_tokens=False).ids == ids.tolist(), text
 
 
+def test_added_tokens_keep_their_ids():
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(BPE), random.Random(3)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|><|endoftext|>\n", "<|endoftext|", *TEXTS]
+    texts += ["".join(rng.choice(["<|endoftext|>", " ", "  ", "\n", "ab", "'s", "é", "1", "<|", "|>"]) for _ in range(rng.randint(0, 12))) for _ in range(2000)]
+    flat, sizes = rans.Tokenizer(BPE).encode(texts)
+    for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+        assert plain.encode(text, add_special_tokens=False).ids == ids.tolist(), text
+    assert flat[:4].tolist() == [64, 220, 50256, 275]
+
+
 @pytest.mark.parametrize("n", [1, 7, 8, 4095, 4096, 4097, 20_000])
 def test_rans_round_trip(n):
     ids = np.random.default_rng(n).zipf(1.3, n) % rans.VOCABULARY
