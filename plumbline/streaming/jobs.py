@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from plumbline.functions.graph import checkpointed
 from plumbline.functions.rules import clean_sessions
 
 LATE = "6 hours"
 THROTTLE_MS = 15 * 60_000
+#: Alerts are throttled in slices of so long, each a task's group of its own.
+SLICE_MS = 6 * 3_600_000
 
 
 def with_event_time(sessions: DataFrame) -> DataFrame:
@@ -39,25 +43,68 @@ def wanted(kind: Column, severity: Column) -> Column:
     return (kind == "interference") | (kind.isin("anomaly", "environment", "trust_change") & (severity == "critical"))
 
 
-def throttled_alerts(events: DataFrame) -> DataFrame:
-    """Events (``event_id, type, severity, ts_ms``) that get through: no info events, at most one per type and severity
-    in 15 minutes, and then only the wanted types. The slot is taken before the type filter. One fold per key over
-    the times only."""
-    keyed = events.filter("severity <> 'info'").groupBy("type", "severity").agg(F.array_sort(F.collect_list(F.struct("ts_ms", "event_id"))).alias("xs"))
-    start = F.struct(F.lit(-(2**62)).cast("long").alias("last"), F.expr("cast(array() as array<struct<ts_ms: bigint, event_id: bigint>>)").alias("out"))
+def slice_exits(ts: np.ndarray, start: int) -> tuple[list[int], list[int]]:
+    """``upto, exit``: a slice whose first sent time is the first of ``ts`` (ascending) not under x sends last at the exit of
+    the first ``upto`` not under x. Only times of the first 15 minutes, and the next one, can be sent first."""
+    after = np.searchsorted(ts, ts + THROTTLE_MS).tolist()
+    last = list(range(len(ts)))
+    for i in range(len(ts) - 1, -1, -1):
+        if after[i] < len(ts):
+            last[i] = last[after[i]]
+    first = np.array(last[: int(np.searchsorted(ts, start + THROTTLE_MS)) + 1], np.int64)
+    ends = np.append(np.flatnonzero(np.diff(first)), len(first) - 1)
+    return ts[ends].tolist(), ts[first[ends]].tolist()
 
-    def step(acc: Column, x: Column) -> Column:
-        free = x["ts_ms"] - acc["last"] >= THROTTLE_MS
-        return F.when(free, F.struct(x["ts_ms"].alias("last"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
 
-    sent = keyed.withColumn("sent", F.aggregate("xs", start, step)["out"]).filter(wanted(F.col("type"), F.col("severity")))
-    return sent.select("type", "severity", F.explode("sent").alias("e")).select("type", "severity", "e.event_id", "e.ts_ms")
+def throttled_alerts(events: DataFrame) -> DataFrame:
+    """Events (``event_id, type, severity, ts_ms``) that get through: no info events, at most one per type and severity
+    in 15 minutes, and then only the wanted types.
+
+    A key's events are dealt to slices of time. Each slice tells for the times at which it may be entered when it sends
+    last, a fold over these short lists finds the entry of every slice, and each slice sends from there. No task holds
+    all events of a key."""
+    key = ["type", "severity"]
+    times = checkpointed(
+        events.filter((F.col("severity") != "info") & wanted(F.col("type"), F.col("severity")) & F.col("ts_ms").isNotNull()).withColumn("ts_ms", F.col("ts_ms").cast("long"))
+        .groupBy(*key, "ts_ms").agg(F.min(F.struct("event_id")).alias("id")).withColumn("slice", F.floor(F.col("ts_ms") / SLICE_MS).cast("long")))
+
+    def exits(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        upto, end = slice_exits(np.sort(pdf["ts_ms"].to_numpy()), int(k[2]) * SLICE_MS)
+        return pd.DataFrame([(*k, upto, end)], columns=[*key, "slice", "upto", "exit"])
+
+    def entries(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, free = [], -(2**62)
+        for number, upto, end in pdf.sort_values("slice")[["slice", "upto", "exit"]].itertuples(index=False):
+            rows.append((*k, number, free))
+            i = int(np.searchsorted(upto, free))
+            free = int(end[i]) + THROTTLE_MS if i < len(upto) else free
+        return pd.DataFrame(rows, columns=[*key, "slice", "free"])
+
+    def send(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts_ms")
+        ts, taken = pdf["ts_ms"].to_numpy(), []
+        i = int(np.searchsorted(ts, pdf["free"].iloc[0]))
+        while i < len(ts):
+            taken.append(i)
+            i = int(np.searchsorted(ts, ts[i] + THROTTLE_MS))
+        return pdf.iloc[taken][[*key, "event_id", "ts_ms"]]
+
+    named, kind = "type string, severity string", events.schema["event_id"].dataType.simpleString()
+    begun = (times.groupBy(*key, "slice").applyInPandas(exits, f"{named}, slice long, upto array<long>, exit array<long>")
+             .groupBy(*key).applyInPandas(entries, f"{named}, slice long, free long"))
+    rows = times.join(begun, [*key, "slice"]).select(*key, "slice", "ts_ms", "free", "id.event_id")
+    return rows.groupBy(*key, "slice").applyInPandas(send, f"{named}, event_id {kind}, ts_ms long")
 
 
 def recent_history(anomalies: DataFrame, as_of: int, keep: int = 50, days: int = 7) -> DataFrame:
-    """Per key the number of anomalies of the last days, out of the newest ``keep``."""
-    newest = F.slice(F.sort_array(F.collect_list("ts_ms"), asc=False), 1, keep)
-    return anomalies.groupBy("key").agg(newest.alias("ts")).select("key", F.size(F.filter("ts", lambda t: t > as_of - days * 86_400_000)).alias("recent"), F.size("ts").alias("held"))
+    """Per key the number of anomalies of the last days, out of the newest ``keep``. Rows are cut to ``keep`` a key in two
+    steps, so a hot key is no group of rows."""
+    salted = anomalies.select("key", "ts_ms", F.spark_partition_id().alias("salt"))
+    for by in (["key", "salt"], ["key"]):
+        newest = Window.partitionBy(*by).orderBy(F.desc_nulls_last("ts_ms"))
+        salted = salted.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= keep).drop("rank")
+    late = F.count_if(F.col("ts_ms") > as_of - days * 86_400_000)
+    return salted.groupBy("key").agg(late.cast("int").alias("recent"), F.count("ts_ms").cast("int").alias("held"))
 
 
 CUSUM_OUT = "station string, start_ms long, current double, baseline double, s_minus double, ewma double, cusum_alarm boolean, ewma_alarm boolean"

@@ -262,3 +262,29 @@ def test_kriging_reproduces_points():
         d = np.array([km(lat[k], lon[k], a, b) for a, b in zip(lat, lon)])
         p, v, sure = spatial.solve_kriging(lat, lon, value, d, "exponential", 0.0, 100.0, 200.0)
         assert abs(p - value[k]) < 0.1 and v < 0.1 and sure == "high"
+
+
+def test_alert_jobs_gather_no_key_in_one_task(spark):
+    rng, rows, minute = random.Random(4), [], 60_000
+    for kind in ("interference", "anomaly"):
+        at = -50 * 60 * minute
+        for i in range(1500):
+            at += rng.choice([0, 1, 20_000, minute, 4 * minute, 15 * minute - 1, 15 * minute, 9 * 60 * minute if rng.random() < 0.05 else 3 * minute])
+            rows.append((rng.randrange(10**6), kind, "critical", at))
+    rows += [(1, "sync", "critical", 0), (2, "anomaly", "warning", 0), (3, "anomaly", "critical", None), (4, "interference", "info", 0), (5, None, "critical", 0)]
+    want = []
+    for kind in ("interference", "anomaly"):
+        last = -(2**62)
+        for ts, i in sorted((r[3], r[0]) for r in rows if r[1] == kind and r[2] == "critical" and r[3] is not None):
+            if ts - last >= 15 * minute:
+                last = ts
+                want.append((kind, "critical", i, ts))
+    events = spark.createDataFrame(rows, "event_id long, type string, severity string, ts_ms long").repartition(7)
+    sent = jobs.throttled_alerts(events)
+    assert sorted(map(tuple, sent.collect())) == sorted(want)
+    history = jobs.recent_history(events.select(F.col("type").alias("key"), "ts_ms"), rows[1499][3], keep=50, days=1)
+    for r in history.collect():
+        newest = sorted((x[3] for x in rows if x[1] == r.key and x[3] is not None), reverse=True)[:50]
+        assert r.held == len(newest) and r.recent == sum(t > rows[1499][3] - 86_400_000 for t in newest)
+    for df in (sent, history):
+        assert "collect_list" not in df._jdf.queryExecution().toString()
