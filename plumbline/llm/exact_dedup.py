@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, checkpointed, documents, whole_text
+from .common import ascii_lower, checkpointed, documents, drop_marked, whole_text
 
 #: Counters of the frequent-items summary. Any digest with more than about 1/TRACKED of the rows is found.
 TRACKED = 4096
@@ -52,24 +52,13 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept.
+    """``docs``, all columns kept, with one row of each group of equal texts: the one with the largest id.
 
-    Only ids travel: rows whose id was dropped are removed by an anti join. Ids that repeat within one group
-    (repeated rows) are rare and are reduced to one row on their own.
+    Null ids rank lowest, so a row without an id stays only where its whole group has none; of rows repeating
+    the kept id with an equal text one stays.
     """
-    found = checkpointed(exact_dedup(docs))
-    stays, goes = found.filter("kept").select("doc_id"), found.filter("not kept").select("doc_id")
-    mixed = checkpointed(goes.join(stays, "doc_id", "left_semi").distinct())
-    gone = goes.join(mixed, "doc_id", "left_anti").distinct()
-    once = docs.join(gone, "doc_id", "left_anti")
-    if mixed.isEmpty():
-        return once
-    digest = F.sha2(ascii_lower(whole_text()), 256)
-    keep = found.filter("kept").select("doc_id", "text_sha256").distinct()
-    repeated = (once.join(mixed, "doc_id", "left_semi").withColumn("_digest", digest)
-                .join(keep.withColumnRenamed("text_sha256", "_digest"), ["doc_id", "_digest"], "left_semi")
-                .dropDuplicates(["doc_id", "_digest"]).select(*docs.columns))
-    return once.join(mixed, "doc_id", "left_anti").unionByName(repeated)
+    found = checkpointed(exact_dedup(docs)).select("doc_id", F.col("text_sha256").alias("key"), "kept")
+    return drop_marked(docs, found, lambda rows: rows.withColumn("key", F.sha2(ascii_lower(whole_text()), 256)))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,14 +5,15 @@ from __future__ import annotations
 import hashlib
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_enough, table
+from .common import add_columns, checkpointed, small_enough, table
 
 #: Winning paths of up to so many hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
@@ -236,27 +237,30 @@ def text_of(page: Page, chosen: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract(source: str | None, path: str | None = None, left: frozenset[int] = frozenset()) -> str:
-    """Main text of one page, from the elements on ``path`` if they hold enough of it and, but for the containers that
-    the host's pages leave out (``left``), nearly all of it."""
+def extract(source: str | None, path: str | None = None, left: frozenset[int] = frozenset()) -> tuple[str, bool]:
+    """Main text of one page, and whether the host's path gave it.
+
+    The elements on ``path`` are tried first. They stand if they hold enough of what the page's own best container
+    holds and, but for the containers that the host's pages leave out (``left``), nearly all of it; else the best
+    container's text is returned.
+    """
     if not source:
-        return ""
+        return "", False
     page = parse(source)
     best, _ = best_container(page)
     chosen = chosen_of(page, best)
-    if path is not None and best >= 0 and page.paths[best] != path:
-        on_path = {k for k, p in enumerate(page.paths) if p == path and not page.furniture[k]}
-        if on_path:
-            mine, theirs = within(page, chosen), within(page, on_path)
-            held = kept = lost = 0
-            for node, k, size in texts_of(page):
-                kept += size * (node >= 0 and theirs[node])
-                if node >= 0 and mine[node]:
-                    held += size
-                    lost += size * (not theirs[node] and path_key(page.paths[k]) not in left)
-            if kept and kept >= LEAST_SHARE * held and lost <= SLACK * held:
-                return text_of(page, on_path)
-    return text_of(page, chosen)
+    on_path = {k for k, p in enumerate(page.paths) if p == path and not page.furniture[k]} if path is not None and best >= 0 else set()
+    if not on_path or on_path == chosen:
+        return text_of(page, chosen), bool(on_path)
+    mine, theirs = within(page, chosen), within(page, on_path)
+    held = kept = lost = 0
+    for node, k, size in texts_of(page):
+        kept += size * (node >= 0 and theirs[node])
+        if node >= 0 and mine[node]:
+            held += size
+            lost += size * (not theirs[node] and path_key(page.paths[k]) not in left)
+    stands = kept > 0 and kept >= LEAST_SHARE * held and lost <= SLACK * held
+    return text_of(page, on_path if stands else chosen), stands
 
 
 def host_of(url: str = "url"):
@@ -264,51 +268,62 @@ def host_of(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path, left``: the container path with the most votes of each host (ties: first path in order), and the
-    keys of the paths that more than half of its votes leave out.
+    """``host, path, left, of``: the container path with the most votes of each host (ties: first path in order), the
+    keys of the paths that more than half of its votes leave out, and the number of its votes.
 
     Every page votes for the path of its best container with the square root of its size, so a few very
     long pages do not outvote the rest. Votes are combined map-side; a hot host is no group of rows.
     """
 
-    def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for host, source in zip(pdf["host"], pdf["html"]):
+    names = ["host", "path", "beside", "key", "vote"]
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            votes: Counter[tuple] = Counter()
+            for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 page = parse(source) if source else Page()
                 best, score = best_container(page)
                 if best >= 0:
                     weight = int(score ** 0.5) + 1
-                    rows.append((host, page.paths[best], False, 0, weight))
-                    rows.extend((host, page.paths[best], True, key, weight) for key in left_out(page, best))
-            yield pd.DataFrame(rows, columns=["host", "path", "beside", "key", "vote"]).groupby(["host", "path", "beside", "key"], as_index=False).sum()
-
-    votes = pages.select(host_of().alias("host"), "html").mapInPandas(vote, "host string, path string, beside boolean, key long, vote long")
+                    votes[host, page.paths[best], False, 0] += weight
+                    for key in left_out(page, best):
+                        votes[host, page.paths[best], True, key] += weight
+            columns = list(zip(*((*k, n) for k, n in votes.items()))) or [()] * 5
+            types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, beside boolean, key long, vote long")
     counted = checkpointed(votes.groupBy("host", "path", "beside", "key").agg(F.sum("vote").alias("votes")))
     top = (counted.filter("not beside").groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("least"), "path")).alias("top"))
            .select("host", "top.path", (-F.col("top.least")).alias("of")))
     left = counted.filter("beside").select("host", "path", "key", "votes").join(top, ["host", "path"]).filter("2 * votes > of").groupBy("host").agg(F.collect_list("key").alias("left"))
-    return top.join(left, "host", "left").select("host", "path", "left")
+    return top.join(left, "host", "left").select("host", "path", "left", "of")
 
 
-def extract_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text`` per row of ``pages``.
+def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
+    """``page_id, url, text, by_host`` per row of ``pages``.
 
     Containers of each page are scored, their generalised tag-class paths are put to the vote per host, and
-    every page is extracted again from the elements on its host's path (its own best container where that path
-    holds too little, or misses text that the host's other pages do not leave out). Null and empty pages give
-    empty texts; pages without a valid url share one vote; repeated rows are extracted alike. Other columns are ignored.
+    every page is extracted again from the elements on its host's path (``by_host``), or from its own best container
+    where that path holds too little, or misses text that the host's other pages do not leave out. Null and empty
+    pages give empty texts; pages without a valid url share one vote; repeated rows are extracted alike, ids may be
+    null. Other columns are ignored, an empty table gives no rows. The paths of the ``broadcast_hosts`` hosts with the
+    most votes are broadcast, so pages of a hot host stay where they are; only those of lesser hosts are shuffled.
     """
     winners = checkpointed(host_paths(pages))
-    side = F.broadcast(winners) if small_enough(winners, BROADCAST_HOSTS) else winners
-    placed = pages.select("page_id", "url", "html", host_of().alias("host")).join(side, "host", "left").select("page_id", "url", "html", "path", "left")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            text = [extract(h, p if isinstance(p, str) else None, frozenset(() if x is None else x)) for h, p, x in zip(pdf["html"], pdf["path"], pdf["left"])]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": text})
-
-    return placed.mapInPandas(run, "page_id long, url string, text string")
+    rows = pages.select("page_id", "url", "html", host_of().alias("host"))
+    if small_enough(winners, broadcast_hosts):
+        placed = rows.join(F.broadcast(winners), "host", "left")
+    else:
+        top = checkpointed(winners.orderBy(F.desc("of"), "host").limit(broadcast_hosts))
+        hosts = F.broadcast(top.select("host"))
+        placed = rows.join(F.broadcast(top), "host").unionByName(rows.join(hosts, "host", "left_anti").join(winners.join(hosts, "host", "left_anti"), "host", "left"))
+
+    def run(sources: list[str | None], paths: list[str | None], left: list[list[int] | None]) -> tuple[list, list]:
+        found = [extract(h, p, frozenset(x or ())) for h, p, x in zip(sources, paths, left)]
+        return [t for t, _ in found], [by for _, by in found]
+
+    return add_columns(placed, ["html", "path", "left"], run, "text string, by_host boolean", keep=["page_id", "url"])
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

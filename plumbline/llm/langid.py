@@ -8,10 +8,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, held_out
+from .common import add_columns, documents, held_out
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -70,11 +71,14 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def sample_by_hash(rows: DataFrame, group: str, bound: int) -> DataFrame:
     """About ``bound`` rows per value of ``group`` (all of a smaller group), chosen by a hash of ``doc_id``.
 
-    The shares per group are broadcast, so rows are chosen where they are read.
+    Rows without an id are drawn by their place instead, so they are not all in or all out. The shares per group
+    are broadcast, so rows are chosen where they are read.
     """
     scale = 1 << 30
     share = rows.select(group).groupBy(group).agg(F.least(F.lit(scale), (F.lit(float(scale)) * bound / F.count(F.lit(1))).cast("long")).alias("below"))
-    return (rows.join(F.broadcast(share), group).filter(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(scale)) < F.col("below")).drop("below"))
+    drawn = F.when(F.col("doc_id").isNull(), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.xxhash64("doc_id", F.lit(7)))
+    return (rows.withColumn("drawn", F.pmod(drawn, F.lit(scale))).join(F.broadcast(share), group)
+            .filter(F.col("drawn") < F.col("below")).drop("below", "drawn"))
 
 
 def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float = 0.5) -> Model:
@@ -83,7 +87,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
     Spark draws the bounded sample, counts n-grams in ``COUNT_TASKS`` tasks and adds the counts per language.
     """
     rows = labelled.select("doc_id", "text", "lang").dropna(subset=["lang"])
-    sample = sample_by_hash(rows, "lang", max_docs).dropna(subset=["text"]).repartition(COUNT_TASKS, "doc_id")
+    sample = sample_by_hash(rows, "lang", max_docs).dropna(subset=["text"]).repartition(COUNT_TASKS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -102,10 +106,11 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
         total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
         return pd.DataFrame({"lang": [key[0]], "docs": [int(pdf["docs"].sum())], "counts": [total.tobytes()]})
 
+    names = sample.select("lang").distinct().limit((MAX_CELLS >> BUCKET_BITS) + 1).count()
+    if names << BUCKET_BITS > MAX_CELLS:  # before any count reaches the driver
+        raise ValueError("there are more languages than the broadcast model holds")
     schema = "lang string, docs long, counts binary"
     summed = sample.mapInPandas(count, schema).groupBy("lang").applyInPandas(add, schema).orderBy("lang").collect()
-    if len(summed) << BUCKET_BITS > MAX_CELLS:
-        raise ValueError(f"{len(summed)} languages do not fit the broadcast model")
     if not summed:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
     counts = np.stack([np.frombuffer(r.counts, np.int64) for r in summed], axis=1) + smoothing
@@ -138,13 +143,11 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = np.array([*shared.value.languages, UNDETERMINED], dtype=object)
-        for pdf in batches:
-            best, score = classify(shared.value, pdf["text"].tolist())
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": names[best], "score": score})
+    def run(texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        best, score = classify(shared.value, texts)
+        return pa.array([*shared.value.languages, UNDETERMINED]).take(pa.array(best % (len(shared.value.languages) + 1))), score
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return add_columns(docs, ["text"], run, "lang_pred string, score double", keep=["doc_id"])
 
 
 #: The evaluation fold of the registered query: crc32 of the id modulo 4 is 2.
@@ -156,15 +159,19 @@ def train_outside_fold(docs: DataFrame) -> Model:
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
-    """``docs`` without the rows whose language stays undetermined or whose posterior is under ``min_score``."""
+    """``docs``, all columns kept, without the rows whose language stays undetermined or has a posterior under ``min_score``.
+
+    The language of a text decides alone: repeated rows and rows without an id stay or go like any other. Null
+    texts and texts without letters go. An empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train_outside_fold(docs))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            best, score = classify(shared.value, pdf["text"].tolist())
-            yield pdf[(best >= 0) & (score >= min_score)]
+    def run(texts: list[str | None]) -> tuple[np.ndarray]:
+        best, score = classify(shared.value, texts)
+        return ((best >= 0) & (score >= min_score),)
 
-    return docs.mapInPandas(run, docs.schema)
+    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
+    return add_columns(rows, ["text"], run, "clear boolean", keep=["row"]).filter("clear").select("row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

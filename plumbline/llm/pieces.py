@@ -5,15 +5,13 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from .common import documents
+from .common import add_columns, documents
 from .ragged import ChunkCache, from_lists
 from .rans import _groups
 
@@ -258,46 +256,51 @@ class Decoder:
         return text[1:] if self.dummy_prefix and text.startswith(" ") else text
 
 
-def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, n_pieces, piece_ids, ids_crc32, round_trip`` per row, for whole texts (null: empty).
 
     ``round_trip`` tells whether decoding gives the text back, which it does for every text without the mark
     U+2581 itself (that one decodes to a space) and without unpaired surrogates. Empty texts have no pieces.
-    The trie is built once and broadcast; its size is that of the vocabulary. ``with_ids=False`` leaves out
-    the ids themselves. Repeated rows and null ids are encoded like any other.
+    The trie is built once and broadcast; its size is that of the vocabulary. Repeated rows and null ids are
+    encoded like any other; an empty table gives no rows, other columns are ignored.
     """
     vocabulary = load_vocabulary(model_path)
     shared = docs.sparkSession.sparkContext.broadcast((vocabulary, build_trie(vocabulary.pieces)))
-    columns = ["doc_id", "n_pieces", "piece_ids", "ids_crc32", "round_trip"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, decoder = Encoder(*shared.value), Decoder(shared.value[0])
-        for pdf in batches:
-            texts = [t if isinstance(t, str) else "" for t in pdf["text"]]
-            for a, b in _groups(texts):
-                flat, sizes = encoder.encode(texts[a:b])
-                rows = []
-                for text, ids in zip(texts[a:b], np.split(flat, np.cumsum(sizes)[:-1])):
-                    rows.append((len(ids), ids.tolist() if with_ids else None, zlib.crc32(ids.astype("<u4").tobytes()), decoder.decode(ids) == text))
-                out = pd.DataFrame(rows, columns=columns[1:])
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[a:b].to_numpy())
-                yield out
+    def run(texts: list[str | None]) -> tuple:
+        encoder, decoder = _coders(shared)
+        texts = [t or "" for t in texts]
+        parts = []
+        for a, b in _groups(texts):
+            flat, sizes = encoder.encode(texts[a:b])
+            each = np.split(flat, np.cumsum(sizes)[:-1])
+            parts.append((flat, sizes, [zlib.crc32(ids.astype("<u4")) for ids in each], [decoder.decode(ids) == t for t, ids in zip(texts[a:b], each)]))
+        flat, sizes = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int32) for k in (0, 1))
+        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(flat.astype(np.int32)))
+        return sizes, ids, [x for p in parts for x in p[2]], [x for p in parts for x in p[3]]
 
-    out = docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_pieces long, piece_ids array<int>, ids_crc32 long, round_trip boolean")
-    return out if with_ids else out.drop("piece_ids")
+    return add_columns(docs, ["text"], run, "n_pieces long, piece_ids array<int>, ids_crc32 long, round_trip boolean", keep=["doc_id"])
+
+
+_KEPT: dict = {}
+
+
+def _coders(shared) -> tuple[Encoder, Decoder]:
+    """One encoder and decoder per broadcast and worker process, so that the cache serves all batches of the worker."""
+    if shared.value is not _KEPT.get("value"):
+        _KEPT.update(value=shared.value, coders=(Encoder(*shared.value), Decoder(shared.value[0])))
+    return _KEPT["coders"]
 
 
 def decode_pieces(encoded: DataFrame, model_path: str) -> DataFrame:
     """``doc_id, text`` from rows with ``doc_id, piece_ids``; a null array gives an empty text."""
     shared = encoded.sparkSession.sparkContext.broadcast(load_vocabulary(model_path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(ids: list[list[int] | None]) -> tuple[list[str]]:
         decoder = Decoder(shared.value)
-        for pdf in batches:
-            text = [decoder.decode(np.asarray([] if x is None else x, np.int64)) for x in pdf["piece_ids"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "text": text})
+        return ([decoder.decode(np.asarray(x or [], np.int64)) for x in ids],)
 
-    return encoded.select("doc_id", "piece_ids").mapInPandas(run, "doc_id long, text string")
+    return add_columns(encoded, ["piece_ids"], run, "text string", keep=["doc_id"])
 
 
 def default_model() -> str:
@@ -307,4 +310,4 @@ def default_model() -> str:
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_pieces(documents(spark, sf_dir), default_model(), with_ids=False)
+    return encode_pieces(documents(spark, sf_dir), default_model())

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-import hashlib
-import math
 import re
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import checkpointed, documents, whole_text
+from .common import add_columns, checkpointed, documents, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns.
@@ -50,15 +52,19 @@ def _valid(kind: str, found: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in found.split("."))
+        return all(len(p) <= 3 and int(p or "0") <= 255 for p in (part.lstrip("0") for part in found.split(".")))
     digits = "".join(DIGIT.findall(found))
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
+#: The pattern of addresses without its retries: a match begins with a whole run of digits, so no start within one is tried.
+WHOLE_RUNS = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
+
+
 def _matches(kind: str, text: str) -> Iterator[re.Match]:
-    """Leftmost non-overlapping matches; e-mail search starts only at runs that reach an at sign."""
+    """Leftmost non-overlapping matches in linear time; e-mail search starts only at runs that reach an at sign."""
     if kind != "email":
-        yield from PATTERNS[kind].finditer(text)
+        yield from (WHOLE_RUNS if kind == "ip" else PATTERNS[kind]).finditer(text)
         return
     at = 0
     while (sign := text.find("@", at)) >= 0:
@@ -118,7 +124,7 @@ def _outside(text: str, covered: list[tuple[int, int]]) -> list[tuple[int, str]]
 
 
 def revealing_terms(docs: DataFrame) -> DataFrame:
-    """``term, disclosure, action``: terms that reveal a protected entity of the corpus.
+    """``term, disclosure, action, reveals``: terms that reveal a protected entity of the corpus, and of which kind.
 
     A term's disclosure of an entity is their pointwise mutual information over all documents as a share of
     the entity's information content, ``log(c N / (n_t n_e)) / log(N / n_e)``: 1 when the term never occurs
@@ -127,21 +133,22 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     removed. Documents without entities carry only their word counts; no text is shuffled.
     """
 
-    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for text, digest in zip(pdf["text"], pdf["digest"]):
+            for text, digest in zip(batch.column("text").to_pylist(), batch.column("digest").to_pylist()):
                 spans = base_spans(text)
                 if spans:
                     pairs = sorted(contexts(text, spans))
                     names = sorted({entity(k, text[a:b]) for a, b, k in spans})
-                    rows.append((digest, names, [{"entity": e, "term": w} for e, w in pairs]))
-            yield pd.DataFrame(rows, columns=["digest", "entities", "pairs"])
+                    rows.append({"digest": digest, "entities": names, "pairs": [{"entity": e, "term": w} for e, w in pairs]})
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    schema = "digest long, entities array<string>, pairs array<struct<entity: string, term: string>>"
+    schema = StructType.fromDDL("digest long, entities array<string>, pairs array<struct<entity: string, term: string>>")
+    arrow = to_arrow_schema(schema)
     text = docs.select(whole_text().alias("text")).withColumn("digest", F.xxhash64("text"))
-    held = checkpointed(text.mapInPandas(near, schema))
-    n_docs = docs.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    held = checkpointed(text.mapInArrow(near, schema))
+    n = float(docs.count())
     per_entity = held.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     per_pair = (held.select("digest", F.explode("pairs").alias("p")).select("digest", "p.entity", "p.term")
                 .groupBy("entity", "term", "digest").agg(F.count(F.lit(1)).alias("k"))
@@ -150,15 +157,16 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
                  .groupBy("term").agg(F.count(F.lit(1)).alias("n_near")))
 
     def disclosure(n_t: str):
-        share = F.log(F.col("c") * F.col("n") / (F.col(n_t) * F.col("n_e"))) / F.log(F.col("n") / F.col("n_e"))
-        return F.when(F.col("n") > F.col("n_e"), share).otherwise(F.lit(0.0))
+        share = F.log(F.col("c") * n / (F.col(n_t) * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
+        return F.when(F.col("n_e") < n, share).otherwise(F.lit(0.0))
 
     possible = checkpointed(per_pair.filter(F.col("support") >= LEAST_SUPPORT).join(per_entity, "entity").join(near_docs, "term")
-                            .crossJoin(F.broadcast(n_docs)).filter(disclosure("n_near") >= GENERALISE_AT))
+                            .filter(disclosure("n_near") >= GENERALISE_AT))
     counts = term_counts(docs, possible.select("term").distinct())
-    scored = possible.join(counts, "term").withColumn("d", disclosure("n_t")).groupBy("term").agg(F.max("d").alias("disclosure"))
+    most = F.max(F.struct(F.col("d").alias("disclosure"), F.substring_index("entity", ":", 1).alias("reveals"))).alias("most")
+    scored = possible.join(counts, "term").withColumn("d", disclosure("n_t")).groupBy("term").agg(most).select("term", "most.*")
     return scored.filter(F.col("disclosure") >= GENERALISE_AT).select(
-        "term", "disclosure", F.when(F.col("disclosure") >= REMOVE_AT, "remove").otherwise("generalise").alias("action"))
+        "term", "disclosure", F.when(F.col("disclosure") >= REMOVE_AT, "remove").otherwise("generalise").alias("action"), "reveals")
 
 
 def blocks(terms: DataFrame, size: int = BLOCK_TERMS) -> Iterator[list]:
@@ -173,85 +181,103 @@ def blocks(terms: DataFrame, size: int = BLOCK_TERMS) -> Iterator[list]:
         yield block
 
 
-def term_counts(docs: DataFrame, terms: DataFrame) -> DataFrame:
-    """``term, n_t``: the number of documents that hold each term, over all whole texts."""
-    spark, out = docs.sparkSession, None
-    for block in blocks(terms):
+def term_counts(docs: DataFrame, terms: DataFrame, size: int = BLOCK_TERMS) -> DataFrame:
+    """``term, n_t``: the number of documents that hold each term, over all whole texts.
+
+    Each block of terms is one job whose counts are written before the next block is broadcast, so executors
+    hold one block at a time.
+    """
+    spark, parts = docs.sparkSession, []
+    for block in blocks(checkpointed(terms), size):
         wanted = spark.sparkContext.broadcast(frozenset(r.term for r in block))
 
-        def count(batches: Iterator[pd.DataFrame], wanted=wanted) -> Iterator[pd.DataFrame]:
+        def count(batches: Iterator[pa.RecordBatch], wanted=wanted) -> Iterator[pa.RecordBatch]:
             total: Counter[str] = Counter()
-            for pdf in batches:
-                for text in pdf["text"]:
+            for batch in batches:
+                for text in batch.column("text").to_pylist():
                     total.update(wanted.value.intersection(TERM.findall(text.lower())))
-            yield pd.DataFrame({"term": list(total), "n": list(total.values())})
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["term", "n"])
+
+        found = docs.select(whole_text().alias("text")).mapInArrow(count, "term string, n long")
+        parts.append(checkpointed(found.groupBy("term").agg(F.sum("n").alias("n_t"))))
+        wanted.destroy()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], "term string, n_t long")
+
 
-        part = docs.select(whole_text().alias("text")).mapInPandas(count, "term string, n long")
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        return spark.createDataFrame([], "term string, n_t long")
-    return out.groupBy("term").agg(F.sum("n").alias("n_t"))
+SPANS = "array<struct<start: int, end: int, kind: string, action: string, label: string>>"
 
 
-def find_personal_data(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """All columns of ``docs`` and ``pii``, an array of ``(start, end, kind, action)`` in code points, per row.
+def _marked(text: str, spans: list[dict], actions: dict[str, tuple[str, str]]) -> list[dict]:
+    """``spans`` and the terms of ``actions`` that touch no base span, in order."""
+    if not actions:
+        return spans
+    taken = [(x["start"], x["end"], x["kind"]) for x in spans if x["kind"] != "term"]
+    words = _outside(text, [(a, b) for a, b, _ in taken]) if taken else [(m.start(), m[0].lower()) for m in TERM.finditer(text)]
+    new = []
+    for at, word in words:
+        if word in actions:
+            action, reveals = actions[word]
+            new.append({"start": at, "end": at + len(TERM.match(text, at)[0]), "kind": "term", "action": action, "label": f"{reveals}-related".upper()})
+    return sorted([*spans, *new], key=lambda x: (x["start"], KINDS.index(x["kind"]))) if new else spans
+
+
+def find_personal_data(docs: DataFrame, terms: DataFrame | None = None, column: str = "pii", block_terms: int = BLOCK_TERMS) -> DataFrame:
+    """All columns of ``docs`` and ``column``, an array of ``(start, end, kind, action, label)`` in code points, per row.
 
     Base spans have the action ``mask``; ``terms`` (as from :func:`revealing_terms`, computed from ``docs`` if not
     given) add spans of kind ``term`` outside the base spans wherever such a term occurs. Null texts count as
-    empty; empty texts have no spans. A column already named ``pii`` is replaced. Terms are broadcast in blocks.
+    empty; empty texts have no spans. Ids may be null or repeated, equal texts get equal spans; an empty table stays
+    empty. A column already of that name is replaced, as by ``withColumn``. Up to ``block_terms`` terms are applied
+    in the pass that finds the base spans; each further block is one more job over the written result of the last,
+    so that executors hold one block at a time.
     """
-    spark, docs = docs.sparkSession, docs.drop("pii")
+    spark, docs = docs.sparkSession, docs.drop(column)
     terms = checkpointed(revealing_terms(docs) if terms is None else terms)
-    kind = "array<struct<start: int, end: int, kind: string, action: string>>"
-    out = docs.withColumn("pii", F.expr(f"cast(array() as {kind})"))
-    for block in blocks(terms):
-        actions = spark.sparkContext.broadcast({r.term: r.action for r in block})
-
-        def mark(batches: Iterator[pd.DataFrame], actions=actions) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows = []
-                for text, old in zip(pdf["text"], pdf["pii"]):
-                    text = text if isinstance(text, str) else ""
-                    new = [{"start": m.start(), "end": m.end(), "kind": "term", "action": a} for m in TERM.finditer(text)
-                           if (a := actions.value.get(m[0].lower()))]
-                    rows.append([*old, *new])
-                yield pdf.assign(pii=pd.Series(rows, index=pdf.index, dtype=object))
-
-        out = out.mapInPandas(mark, out.schema)
-
-    def base(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for text, old in zip(pdf["text"], pdf["pii"]):
-                spans = base_spans(text) if isinstance(text, str) else []
-                kept = [x for x in old if not any(a < x["end"] and x["start"] < b for a, b, _ in spans)] if len(old) else []
-                new = [{"start": a, "end": b, "kind": k, "action": "mask"} for a, b, k in spans]
-                rows.append(sorted([*new, *kept], key=lambda x: (x["start"], KINDS.index(x["kind"]))))
-            yield pdf.assign(pii=pd.Series(rows, index=pdf.index, dtype=object))
-
-    return out.mapInPandas(base, out.schema)
+    out, shared, done = docs, None, False
+    for block in chain(blocks(terms, block_terms), [[]]):
+        if done and not block:
+            break
+        if shared is not None:
+            out = checkpointed(out)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast({r.term: (r.action, r.reveals) for r in block})
+
+        def first(texts: list[str | None], shared=shared) -> tuple[list]:
+            found = []
+            for text in texts:
+                spans = [{"start": a, "end": b, "kind": k, "action": "mask", "label": k.upper()} for a, b, k in base_spans(text or "")]
+                found.append(_marked(text or "", spans, shared.value))
+            return (found,)
+
+        def more(texts: list[str | None], spans: list[list[dict]], shared=shared) -> tuple[list]:
+            return ([_marked(t or "", x, shared.value) for t, x in zip(texts, spans)],)
+
+        if done:
+            before = max(docs.columns, key=len) + "_"  # a name that no column has
+            out = add_columns(out.withColumnRenamed(column, before), ["text", before], more, f"`{column}` {SPANS}", keep=docs.columns)
+        else:
+            out, done = add_columns(docs, ["text"], first, f"`{column}` {SPANS}"), True
+    return out
 
 
 def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """``docs`` with personal data masked by its kind, revealing terms generalised to ``[TERM]`` or removed."""
-    found = find_personal_data(docs, terms)
-
-    def rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for text, spans in zip(pdf["text"], pdf["pii"]):
-                if not isinstance(text, str):
-                    texts.append(text)
-                    continue
-                parts, at = [], 0
-                for x in spans:
-                    if x["end"] > at:
-                        parts += [text[at:max(at, x["start"])], "" if x["action"] == "remove" else f"[{x['kind'].upper()}]" if x["start"] >= at else ""]
-                        at = x["end"]
-                texts.append("".join([*parts, text[at:]]))
-            yield pdf.assign(text=pd.Series(texts, index=pdf.index, dtype=object)).drop(columns="pii")
-
-    return found.mapInPandas(rewrite, docs.drop("pii").schema)
+    """``docs`` with personal data masked by its kind and revealing terms generalised to what they relate to
+    (``[EMAIL-RELATED]``) or removed. All columns are kept, whatever their names; null texts stay null."""
+
+    def rewrite(texts: list[str | None], found: list[list[dict]]) -> tuple[list]:
+        out = []
+        for text, spans in zip(texts, found):
+            parts, at = [], 0
+            for x in spans if text is not None else ():
+                if x["end"] > at:
+                    parts += [text[at:max(at, x["start"])], "" if x["action"] == "remove" or x["start"] < at else f"[{x['label']}]"]
+                    at = x["end"]
+            out.append(None if text is None else "".join([*parts, text[at:]]))
+        return (out,)
+
+    rows = find_personal_data(docs.select("text", F.struct(*docs.columns).alias("row")), terms)
+    clean = add_columns(rows, ["text", "pii"], rewrite, "clean string", keep=["row"])
+    return clean.select(*(F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,11 +11,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from .common import checkpointed, documents, whole_text
+from .common import checkpointed, documents, shared_folder, whole_text
 from .ragged import ChunkCache, Encoded, from_lists
 
 VOCABULARY = 50_257
@@ -28,6 +31,8 @@ LOW = np.uint64(1 << 31)
 WORD = np.uint64(32)
 #: A segment holds whole documents of about so many tokens and is one record of the file.
 SEGMENT_TOKENS = 1 << 21
+#: Text bytes that one file is made for.
+FILE_BYTES = 1 << 28
 #: Counts of the frequency table travel in so many ranges of ids.
 COUNT_RANGES = 256
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -189,14 +194,17 @@ def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int
 def tokenised(docs: DataFrame, tokenizer_path: str, cuts: np.ndarray) -> DataFrame:
     """``doc_id, file_no, n, ids`` per row (16-bit ids, end id included, compressed), and rows with ``counts`` instead:
     the id counts of one task in one range of ids. ``file_no`` is the number of ``cuts`` below the id (null id:
-    0). Null texts count as empty."""
+    0). Null texts count as empty. Ids of documents stay Arrow integers throughout."""
     width = -(-VOCABULARY // COUNT_RANGES)
+    names = ["doc_id", "file_no", "n", "ids", "part", "counts"]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, pack = tokenizer_of(tokenizer_path), zstandard.ZstdCompressor(level=1)
         total = np.zeros(COUNT_RANGES * width, np.int64)
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
+            file_no = np.where(doc_ids.is_null(), 0, np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy()))
             for a, b in _groups(texts):
                 flat, sizes = tokenizer.encode(texts[a:b])
                 total += np.bincount(flat, minlength=len(total))
@@ -204,13 +212,15 @@ def tokenised(docs: DataFrame, tokenizer_path: str, cuts: np.ndarray) -> DataFra
                 ends = np.cumsum(sizes)
                 flat = flat.astype("<u2")
                 packed = [pack.compress(flat[e - n:e].tobytes() + END_ID.to_bytes(2, "little")) for e, n in zip(ends.tolist(), sizes.tolist())]
-                doc_id = pdf["doc_id"].iloc[a:b]
-                file_no = np.where(doc_id.isna(), 0, np.searchsorted(cuts, doc_id.fillna(0)))
-                yield pd.DataFrame({"doc_id": doc_id, "file_no": file_no, "n": sizes + 1, "ids": packed, "part": None, "counts": None})
-        yield pd.DataFrame({"doc_id": None, "file_no": None, "n": 0, "ids": None, "part": range(COUNT_RANGES),
-                            "counts": [x.tobytes() for x in total.reshape(COUNT_RANGES, width)]})
+                arrays = [doc_ids[a:b], pa.array(file_no[a:b], types[1]), pa.array(sizes + 1, types[2]), pa.array(packed, types[3]),
+                          pa.nulls(b - a, types[4]), pa.nulls(b - a, types[5])]
+                yield pa.RecordBatch.from_arrays(arrays, names)
+        counts = [x.tobytes() for x in total.reshape(COUNT_RANGES, width)]
+        arrays = [*(pa.nulls(COUNT_RANGES, t) for t in types[:4]), pa.array(range(COUNT_RANGES), types[4]), pa.array(counts, types[5])]
+        yield pa.RecordBatch.from_arrays(arrays, names)
 
-    return docs.select("doc_id", whole_text().alias("text")).mapInPandas(run, "doc_id long, file_no int, n int, ids binary, part int, counts binary")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), whole_text().alias("text"))
+    return source.mapInArrow(run, "doc_id long, file_no int, n int, ids binary, part int, counts binary")
 
 
 def shared_table(tokens: DataFrame) -> np.ndarray:
@@ -230,17 +240,24 @@ SEGMENT = ("file_no int, segment int, start long, doc_ids array<long>, lengths a
            "first_words binary, checksums binary")
 
 
+def file_count(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
+    """Files for the whole texts of ``docs``: one for each ``file_bytes`` of them, but no fewer than the cluster has cores."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, files: int | None = None) -> np.ndarray:
     """Tokenise ``docs`` and write the ids to ``path`` in ascending ``doc_id`` order (nulls first).
 
     Every record of the files is a segment of whole documents: their ids and lengths, the position of the
     first token in the corpus, the compressed words and, per block, checkpoint and checksum. The frequency
     table, returned too, is written beside them. Rows are dealt to files by ranges of ``doc_id``, so no sort is
-    global; repeated ids stay in one file, in the order of their tokens. An empty table gives files without records.
+    global, and there are as many files as the bytes of the texts ask for; repeated ids stay in one file, in the
+    order of their tokens. An empty table gives files without records; other columns are ignored.
     """
     spark = docs.sparkSession
-    files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = np.unique(docs.select("doc_id").approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files))
+    files = files or file_count(docs)
+    cuts = np.unique(docs.select("doc_id").approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files)).astype(np.int64)
     tokens = checkpointed(tokenised(docs, tokenizer_path, cuts))
     table = shared_table(tokens)
     shared = spark.sparkContext.broadcast(table)
@@ -249,39 +266,38 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, files: in
     starts, at = {}, 0
     for k in sorted(sizes):
         starts[k], at = at, at + sizes[k]
+    schema = to_arrow_schema(StructType.fromDDL(SEGMENT))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, unpack = Coder(shared.value), zstandard.ZstdDecompressor()
-        file, number, start = -1, 0, 0
+        file, number, start, waiting = -1, 0, 0, 0
         held: list[tuple] = []
 
-        def flush() -> pd.DataFrame:
-            nonlocal number, start
+        def flush() -> pa.RecordBatch:
+            nonlocal number, start, waiting
             ids = np.concatenate([np.frombuffer(unpack.decompress(x[2]), "<u2") for x in held])
             words, states, first, crc = coder.encode(ids)
             row = (file, number, start, [x[0] for x in held], [x[1] for x in held], len(ids), words, states.tobytes(),
                    first.astype("<i8").tobytes(), crc.tobytes())
-            number, start = number + 1, start + len(ids)
+            number, start, waiting = number + 1, start + len(ids), 0
             held.clear()
-            return pd.DataFrame([row], columns=[c.split()[0] for c in SEGMENT.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema.names)
 
-        waiting = 0
-        for pdf in batches:
-            for doc_id, n, ids, f in zip(pdf["doc_id"].astype(object).where(pdf["doc_id"].notna(), None), pdf["n"].tolist(), pdf["ids"], pdf["file_no"].tolist()):
+        for batch in batches:
+            for doc_id, n, ids, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "file_no"))):
                 if f != file:
                     if held:
                         yield flush()
-                    file, number, start, waiting = f, 0, starts[f], 0
-                held.append((None if doc_id is None else int(doc_id), n, ids))
+                    file, number, start = f, 0, starts[f]
+                held.append((doc_id, n, ids))
                 waiting += n
                 if waiting >= SEGMENT_TOKENS:
                     yield flush()
-                    waiting = 0
         if held:
             yield flush()
 
     ordered = rows.repartitionById(len(cuts) + 1, "file_no").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInPandas(encode, SEGMENT).write.option("compression", "uncompressed").parquet(f"{path}/segments")
+    ordered.mapInArrow(encode, SEGMENT).write.option("compression", "uncompressed").parquet(f"{path}/segments")
     spark.createDataFrame([(table.astype("<i4").tobytes(),)], "frequencies binary").coalesce(1).write.parquet(f"{path}/table")
     return table
 
@@ -290,24 +306,25 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` per document, decoded from the files, every block on its own."""
     table = np.frombuffer(spark.read.parquet(f"{path}/table").first().frequencies, "<i4").astype(np.int64)
     shared = spark.sparkContext.broadcast(table)
+    columns = ("n_tokens", "words", "states", "first_words", "checksums", "lengths", "start")
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
-        for pdf in batches:
-            for r in pdf.itertuples():
-                ids = coder.decode(r.words, np.frombuffer(r.states, np.uint64), np.frombuffer(r.first_words, "<i8"), np.frombuffer(r.checksums, np.uint32), r.n_tokens)
-                raw, lengths = memoryview(ids.astype("<u4").tobytes()), np.asarray(r.lengths, np.int64)
-                ends = np.cumsum(lengths)
-                crc = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths.tolist())]
-                yield pd.DataFrame({"doc_id": r.doc_ids, "start": r.start + ends - lengths, "n_tokens": lengths, "ids_crc32": crc})
+        for batch in batches:
+            for k, (n, words, states, first, crc, lengths, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
+                ids = coder.decode(words, np.frombuffer(states, np.uint64), np.frombuffer(first, "<i8"), np.frombuffer(crc, np.uint32), n)
+                raw, sizes = memoryview(ids.astype("<u4").tobytes()), np.asarray(lengths, np.int64)
+                ends = np.cumsum(sizes)
+                sums = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths)]
+                yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(start + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())],
+                                                 ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return spark.read.parquet(f"{path}/segments").mapInPandas(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spark.read.parquet(f"{path}/segments").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    checkpointed(spark.range(0))  # makes sure that a shared folder is set
-    path = f"{spark.sparkContext.getCheckpointDir()}/token-files-{uuid.uuid4().hex}"
+    path = shared_folder(spark, f"token-files-{uuid.uuid4().hex}")
     write_token_files(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), path)
     return read_token_files(spark, path)

@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions.graph import connected_components
 
-from .common import ascii_lower, checkpointed, documents, whole_text
+from .common import add_columns, ascii_lower, checkpointed, documents, drop_marked, whole_text
 
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 SEED = 42
+#: Parts of a half of the embedding; one is compared by its counts, the others by their bits.
+PARTS = 4
+#: A fingerprint with more than such a share of the rows has its class broadcast; fewer than so many can.
+HEAVY = 1024
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -45,34 +47,38 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """``doc_id, fp``: the fingerprint of every row as a signed 64-bit number; null texts count as empty."""
+def _hashed(texts: list[str]) -> list[np.ndarray]:
+    return [np.fromiter(map(fingerprint, texts), np.uint64, len(texts)).view(np.int64)]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            fp = np.fromiter((fingerprint(t) for t in pdf["t"]), np.uint64, len(pdf)).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fp})
 
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """``doc_id, fp``: the fingerprint of every row as a signed 64-bit number; null texts count as empty."""
     source = docs.select("doc_id", ascii_lower(whole_text()).alias("t"))
-    return source.mapInPandas(run, "doc_id long, fp long")
+    return add_columns(source, ["t"], _hashed, "fp long", keep=["doc_id"])
 
 
-def grid_cells(fp: str = "fp"):
-    """Grid cells of the segment-popcount embedding, as an array of ``(half, cell, moved)``.
+def grid_cells(fp: str = "fp") -> Column:
+    """Grid cells of the segment-popcount embedding, as an array of ``(half, cell, part, moved)``.
 
-    A fingerprint is cut into 32 segments of two bits; its embedding holds the number of set bits (0, 1, 2)
-    of each. Embeddings of fingerprints that differ in at most 3 bits are at most 3 apart in Manhattan
-    distance, so in one of the two halves of 16 coordinates they are at most 1 apart. A row is put in its own
-    cell of each half and, marked ``moved``, in the cells one step up in one coordinate: of two rows one step
-    apart exactly one reaches the other's cell. All 32 counts come from one subtraction on the packed bits.
+    A fingerprint is cut into 32 segments of two bits; its embedding holds the number of set bits (0, 1, 2) of
+    each. Fingerprints that differ in at most 3 bits differ in at most one bit of one of the two halves of 16
+    segments, so there their embeddings are at most 1 apart in Manhattan distance, in one segment, and all other
+    segments hold the same bits. A cell is therefore a half with one of its ``PARTS`` parts given by popcounts and
+    the others by their bits: a row is put in its own cell for every part and, marked ``moved``, in the cells one
+    step up in one segment of the part that holds it. Of two rows one step apart exactly one reaches the other's
+    cell. All counts come from one subtraction on the packed bits.
     """
     low, high = f"({fp} & 4294967295L)", f"shiftrightunsigned({fp}, 32)"
-    halves = {h: f"({x} - (shiftright({x}, 1) & 1431655765L))" for h, x in enumerate((low, high))}
+    per = 16 // PARTS  # segments of a part
     cells = []
-    for half, key in halves.items():
-        cells.append(f"array(struct({half} AS half, {key} AS cell, false AS moved))")
-        cells.append(f"transform(filter(sequence(0, 15), i -> (shiftrightunsigned({key}, 2 * i) & 3L) < 2L), "
-                     f"i -> struct({half} AS half, {key} + shiftleft(1L, 2 * i) AS cell, true AS moved))")
+    for half, bits in enumerate((low, high)):
+        counts = f"({bits} - (shiftright({bits}, 1) & 1431655765L))"
+        for part in range(PARTS):
+            mask = ((1 << 2 * per) - 1) << (2 * per * part)
+            cell = f"(({bits} & {0xFFFFFFFF ^ mask}L) | ({counts} & {mask}L))"
+            cells.append(f"array(struct({half} AS half, {part} AS part, {cell} AS cell, false AS moved))")
+            cells.append(f"transform(filter(sequence({per * part}, {per * part + per - 1}), i -> (shiftrightunsigned({counts}, 2 * i) & 3L) < 2L), "
+                         f"i -> struct({half} AS half, {part} AS part, {cell} + shiftleft(1L, 2 * i) AS cell, true AS moved))")
     return F.expr(f"concat({', '.join(cells)})")
 
 
@@ -85,41 +91,63 @@ def fingerprint_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) ->
     if max_distance > 3:
         raise ValueError("the grid reaches distances up to 3")
     spread = distinct.select("fp", F.explode(grid_cells()).alias("g")).select("fp", "g.*")
-    left = spread.select("half", "cell", "moved", F.col("fp").alias("src"))
-    right = spread.filter(~F.col("moved")).select("half", "cell", F.col("fp").alias("dst"))
+    # Rows that share a whole half meet in the own cells of every part; those of part 0 are enough for them.
+    left = spread.filter("moved or part = 0").select("half", "part", "cell", "moved", F.col("fp").alias("src"))
+    right = spread.filter("not moved").select("half", "part", "cell", F.col("fp").alias("dst"))
     near = (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance) & (F.col("moved") | (F.col("src") < F.col("dst")))
-    same_cell = (left["half"] == right["half"]) & (left["cell"] == right["cell"])
+    same_cell = (left["half"] == right["half"]) & (left["part"] == right["part"]) & (left["cell"] == right["cell"])
     found = left.join(right, same_cell & near)
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 
+def classified(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
+    """``doc_id, fp, component_id, n_links, keep_id, keep_fp`` per row; the last two name the row that stays of a group.
+
+    Fingerprints that hold over a ``HEAVY``-th of all rows, so fewer than ``HEAVY``, have their classes broadcast
+    and their rows settled where they are; only the rows of the others are shuffled to their classes.
+    """
+    rows = checkpointed(fingerprints(docs))
+    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    links = checkpointed(fingerprint_links(distinct.select("fp"), max_distance))
+    degree = links.select(F.explode(F.array("src", "dst")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
+    linked = connected_components(links).withColumnRenamed("node", "fp").join(degree, "fp")
+    first = F.min(F.struct(F.col("low").isNull().alias("unnamed"), "low", "fp"))
+    members = checkpointed(distinct.join(linked, "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    groups = members.filter("n_links is not null").groupBy("component").agg(first.alias("first"))
+    alone = members.filter("n_links is null").withColumn("first", F.struct(F.col("low").isNull().alias("unnamed"), "low", "fp"))
+    classes = checkpointed(members.filter("n_links is not null").join(groups, "component").unionByName(alone, allowMissingColumns=True).select(
+        "fp", "n", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("first.low").alias("component_id"), F.col("first.fp").alias("keep_fp")))
+    total = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    heavy = F.col("n") > total / HEAVY
+    known = F.broadcast(classes.filter(heavy).drop("n"))
+    rest = rows.join(F.broadcast(classes.filter(heavy).select("fp")), "fp", "left_anti").join(classes.filter(~heavy).drop("n"), "fp")
+    return rows.join(known, "fp").unionByName(rest).withColumn("keep_id", F.col("component_id"))
+
+
 def near_duplicates(docs: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``doc_id, fingerprint, component_id, n_links`` per row.
 
     ``component_id`` is the smallest id reachable over links between fingerprints that differ in at most
     ``max_distance`` bits; equal fingerprints (so copies, and all texts without words) share one class, and
     links are sought between classes only. ``n_links`` counts the other classes linked to the row's class.
-    Rows with a null id are linked like any other, but the smallest id ignores nulls. An empty table gives
-    an empty result; other columns are ignored.
+    Rows with a null id are linked like any other, but the smallest id ignores nulls (null if a group has no
+    other). Repeated rows are returned as often as they stand. An empty table gives an empty result; other
+    columns, whatever their names, are ignored.
     """
-    rows = checkpointed(fingerprints(docs))
-    distinct = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    links = checkpointed(fingerprint_links(distinct.select("fp"), max_distance))
-    degree = links.select(F.explode(F.array("src", "dst")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
-    members = (connected_components(links).withColumnRenamed("node", "fp").join(degree, "fp")
-               .join(distinct, "fp"))
-    lowest = members.groupBy("component").agg(F.min("low").alias("component_id"))
-    linked = members.join(lowest, "component").select("fp", "component_id", "n_links")
-    classes = distinct.join(linked, "fp", "left").select(
-        "fp", F.coalesce("component_id", "low").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return rows.join(classes, "fp").select(
+    return classified(docs, max_distance).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the one with the smallest id."""
-    goes = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(goes, "doc_id", "left_anti")
+    """``docs``, all columns kept, with one row of each group of near duplicates: the one with the smallest id.
+
+    Null ids come after all others; of rows with the same id in one group the one with the smaller fingerprint stays,
+    of equal ones any. Ids repeated over different texts are settled text by text.
+    """
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))
+    found = checkpointed(classified(docs).select("doc_id", F.col("fp").alias("key"), kept.alias("kept")))
+    return drop_marked(docs, found, lambda rows: add_columns(
+        rows.withColumn("t", ascii_lower(whole_text())), ["t"], _hashed, "key long", keep=["doc_id", "row"]))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
