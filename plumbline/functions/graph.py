@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,14 +11,15 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` with a reliable checkpoint in the cluster's ``spark.checkpoint.dir``.
 
-    A directory set by the cluster is used as it is; one is chosen only where none is set.
+    A directory set by the cluster is used as it is. Where none is set, a local session gets one of its own; on
+    a cluster, whose nodes share no temporary folder, that is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if where is None:
-            import tempfile
-
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             where = tempfile.mkdtemp(prefix="plumbline-checkpoint-")
         context.setCheckpointDir(where)
     return df.checkpoint(eager=True)
