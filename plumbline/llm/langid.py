@@ -37,16 +37,21 @@ class Model:
     prior: np.ndarray
 
 
+def ranges(sizes: list[int], bound: int) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges whose sizes add up to about ``bound``."""
+    start = total = 0
+    for i, n in enumerate(sizes):
+        total += n
+        if total >= bound:
+            yield start, i + 1
+            start, total = i + 1, 0
+    if start < len(sizes):
+        yield start, len(sizes)
+
+
 def chunks(texts: list[str], chars: int = CHUNK_CHARS) -> Iterator[tuple[int, int]]:
     """Consecutive ranges of whole texts of about ``chars`` characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 2
-        if size >= chars:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    return ranges([len(t) + 2 for t in texts], chars)
 
 
 def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

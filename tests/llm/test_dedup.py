@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
@@ -105,19 +106,34 @@ def test_sharding_law_bytes(docs):
     assert sharding.shard_documents(docs()).count() == 0
 
 
-def test_slot_map_versions_and_rebalancing(spark, tmp_path):
+def test_slot_map_versions_and_rebalancing(spark, docs, tmp_path):
     weights = {v: 100 + v % 7 for v in range(sharding.VIRTUAL_SLOTS)}
     first = sharding.balanced_map(weights)
     grown = sharding.rebalanced_map(first, weights, 9)
     loads = [sum(weights[v] for v, s in enumerate(grown) if s == k) for k in range(9)]
     assert max(loads) <= 1.02 * min(loads) and sum(a != b for a, b in zip(first, grown)) < 1.1 * len(first) / 9
-    path = str(tmp_path / "maps")
-    sharding.save_map(spark, first, path, 1)
-    sharding.save_map(spark, grown, path, 2)
-    assert sharding.load_map(spark, path) == (2, grown) and sharding.load_map(spark, path, 1) == (1, first)
+    path, table = str(tmp_path / "maps"), docs(*["x" * (i % 50) for i in range(3000)])
+    one = {r.doc_id: r for r in sharding.shard_documents(table, path).collect()}
+    two = {r.doc_id: r for r in sharding.shard_documents(table, path, shards=9, held=1).collect()}
+    assert {r.map_version for r in one.values()} == {1} and {r.map_version for r in two.values()} == {2}
+    moved = {i for i in one if one[i].shard != two[i].shard}
+    assert len(moved) < 0.15 * len(one) and {two[i].shard for i in moved} == {8}  # only into the shard that is new
+    slots = {}
+    for r in two.values():
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert {r.map_version for r in sharding.shard_documents(table, path, shards=9, held=2).collect()} == {2}  # nothing to move
+    stored = [sharding.load_map(spark, path, v)[1].orderBy("virtual_slot").collect() for v in (1, 2)]
+    assert [r.shard for r in stored[0]] != [r.shard for r in stored[1]] and all(len(s) == sharding.VIRTUAL_SLOTS for s in stored)
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        sharding.save_map(spark, first, path, 2)
 
 
-def test_registered_native_plan_has_no_python(spark, sf):
+def test_registered_native_plan_has_no_python(spark, sf, monkeypatch):
+    stages = []
+    keep = exact_dedup.checkpointed
+    monkeypatch.setattr(exact_dedup, "checkpointed", lambda df: (stages.append(df), keep(df))[1])
     plan = exact_dedup.op6_exact_dedup(spark, sf)._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    plans = [plan, *(df._jdf.queryExecution().executedPlan().toString() for df in stages)]
+    assert len(plans) == 3 and not any("Python" in p or "Arrow" in p for p in plans)
     assert exact_dedup.op6_exact_dedup(spark, sf).agg(F.count_if("kept") == F.count_distinct("text_sha256")).first()[0]
