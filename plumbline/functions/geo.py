@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 EARTH_KM = 6371.0
 #: Kilometres of one degree of latitude, a little under the true value so that buckets never miss a pair.
 DEGREE_KM = 111.0
@@ -85,23 +89,63 @@ def distance_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lati
     return pairs.filter(F.col("distance_km") <= km).drop("_row", "_column")
 
 
+#: Cells in which the right side is sought for rows far from all of it: degrees of a coarse and of a fine cell.
+COARSE_DEGREES, FINE_DEGREES = 10, 1
+
+
+def _cells(df: DataFrame, lat: str, lon: str, degrees: int, names: tuple[str, str]) -> DataFrame:
+    east = F.pmod(F.col(lon) + 180.0, F.lit(360.0)) - 180.0
+    return df.withColumns({names[0]: F.floor(F.col(lat) / degrees).cast("int"), names[1]: F.floor(east / degrees).cast("int")})
+
+
+def _to_centre(lat: Column, lon: Column, row: Column, column: Column, degrees: int) -> Column:
+    return haversine_km(lat, lon, (row + 0.5) * degrees, (column + 0.5) * degrees)
+
+
+def _nearest_far(left: DataFrame, right: DataFrame, key: str, right_key: str, lat: str, lon: str, right_lat: str, right_lon: str) -> DataFrame:
+    """``key, best`` like one round of :func:`nearest_join`, without a radius and without comparing all with all.
+
+    A cell's points lie within half its diagonal of its centre, so only cells whose centre is at most a whole
+    diagonal further than the nearest centre can hold the nearest point. At most 648 occupied coarse cells are
+    literals of the plan, the fine cells of the chosen ones and then the points of the chosen fine cells are met by
+    equi joins.
+    """
+    diagonal = lambda degrees: degrees * 2**0.5 * 111.2
+    spots = _cells(right, right_lat, right_lon, FINE_DEGREES, ("_fi", "_fj"))
+    fine = spots.select("_fi", "_fj").distinct().withColumns({"_ci": F.floor(F.col("_fi") * FINE_DEGREES / COARSE_DEGREES).cast("int"),
+                                                             "_cj": F.floor(F.col("_fj") * FINE_DEGREES / COARSE_DEGREES).cast("int")})
+    occupied = sorted(map(tuple, fine.select("_ci", "_cj").distinct().collect()))  # at most 648 rows
+    if not occupied:
+        return left.select(key, F.lit(None).cast(f"struct<distance_km: double, {right_key}: {right.schema[right_key].dataType.simpleString()}>").alias("best")).limit(0)
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in occupied])
+    at = lambda x: F.struct(_to_centre(F.col(lat), F.col(lon), x["i"], x["j"], COARSE_DEGREES).alias("km"), x["i"].alias("i"), x["j"].alias("j"))
+    placed = left.withColumn("_at", F.transform(cells, at))
+    near = F.filter("_at", lambda x: x["km"] <= F.array_min(F.transform("_at", lambda y: y["km"])) + diagonal(COARSE_DEGREES))
+    coarse = placed.withColumn("_at", F.explode(near)).select(key, lat, lon, F.col("_at.i").alias("_ci"), F.col("_at.j").alias("_cj"))
+    seen = coarse.join(fine, ["_ci", "_cj"]).withColumn("_km", _to_centre(F.col(lat), F.col(lon), F.col("_fi"), F.col("_fj"), FINE_DEGREES))
+    least = F.min("_km").over(Window.partitionBy(key))
+    chosen = seen.withColumn("_least", least).filter(F.col("_km") <= F.col("_least") + diagonal(FINE_DEGREES)).select(key, lat, lon, "_fi", "_fj")
+    d = haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))
+    return chosen.join(spots, ["_fi", "_fj"]).withColumn("distance_km", d).groupBy(key).agg(F.min(F.struct("distance_km", right_key)).alias("best"))
+
+
 def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, lat: str = "latitude", lon: str = "longitude",
                  right_lat: str = "r_latitude", right_lon: str = "r_longitude") -> DataFrame:
     """Every left row with its nearest right row (ties: smallest ``right_key``) and ``distance_km``.
 
-    The radius grows from about 1 to 4 to 16 degrees, and each time only rows without a partner are joined again.
-    What is then left is far from everything; it is compared with the right side as a whole. Null where there
-    is no right row or no position. ``key`` must be unique on the left.
+    Rows are first joined within about one degree, those without a partner within four, and what is then left is
+    narrowed down over coarse and fine cells of the globe, so no round compares all with all. Null where there is no
+    right row or no position. ``key`` must be unique on the left.
     """
     best = F.min(F.struct("distance_km", right_key)).alias("best")
-    waiting, found = left, None
-    for km in (DEGREE_KM, 4 * DEGREE_KM, 16 * DEGREE_KM):
-        near = distance_join(waiting.select(key, lat, lon), right.select(right_key, right_lat, right_lon), km,
-                             lat, lon, right_lat, right_lon).groupBy(key).agg(best)
-        found = near if found is None else found.unionByName(near)
-        waiting = waiting.join(near, key, "left_anti")
-    d = haversine_km(F.col(lat), F.col(lon), F.col(right_lat), F.col(right_lon))
-    far = (waiting.select(key, lat, lon).join(right.select(right_key, right_lat, right_lon), d.isNotNull(), "inner")
-           .withColumn("distance_km", d).groupBy(key).agg(best))
-    found = found.unionByName(far)
-    return left.join(found, key, "left").withColumns({right_key: F.col("best")[right_key], "distance_km": F.col("best.distance_km")}).drop("best")
+    place = lambda df, k, a, b: checkpointed(df.select(k, a, b).filter(F.col(a).isNotNull() & F.col(b).isNotNull()))
+    waiting, spots, found = place(left, key, lat, lon), place(right, right_key, right_lat, right_lon), []
+    for km in (DEGREE_KM, 4 * DEGREE_KM):
+        found.append(checkpointed(distance_join(waiting, spots, km, lat, lon, right_lat, right_lon).groupBy(key).agg(best)))
+        waiting = checkpointed(waiting.join(found[-1], key, "left_anti"))
+        if waiting.isEmpty():
+            break
+    else:
+        found.append(_nearest_far(waiting, spots, key, right_key, lat, lon, right_lat, right_lon))
+    every = reduce(DataFrame.unionByName, found)
+    return left.join(every, key, "left").withColumns({right_key: F.col("best")[right_key], "distance_km": F.col("best.distance_km")}).drop("best")
