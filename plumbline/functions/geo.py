@@ -147,5 +147,8 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, right_key: str, la
             break
     else:
         found.append(_nearest_far(waiting, spots, key, right_key, lat, lon, right_lat, right_lon))
-    every = reduce(DataFrame.unionByName, found)
+    # A key has one round; naming it keeps a projection between the union and the checkpoints, whose constraints may
+    # name columns of before that a union does not know.
+    rounds = [near.select(key, "best", F.lit(k).alias("round")) for k, near in enumerate(found)]
+    every = reduce(DataFrame.unionByName, rounds).groupBy(key).agg(F.min_by("best", "round").alias("best"))
     return left.join(every, key, "left").withColumns({right_key: F.col("best")[right_key], "distance_km": F.col("best.distance_km")}).drop("best")

@@ -89,7 +89,7 @@ def overlay_candidates(near: DataFrame, validation: DataFrame) -> DataFrame:
         F.when(kind == "survey_grade", F.when(c("km") > 40, "primary_absent").otherwise("overlay_better")).otherwise("primary_absent").alias("reason"),
         F.when(kind == "survey_grade", 5).when((kind == "professional") & confirmed, 5).otherwise(30).alias("priority"),
         F.when(kind == "survey_grade", clip(600, 45000)).when(kind == "professional", clip(400, 45000)).otherwise(clip(300, 25000)).alias("radius_m"),
-        half_up(F.when(kind == "consumer", 0.6).when((kind == "survey_grade") & confirmed, F.greatest("sure", F.lit(0.9))).otherwise(c("sure")), 2).alias("confidence"))
+        half_up(F.when(kind == "consumer", 0.6).when((kind == "survey_grade") & confirmed, F.greatest("sure", F.lit(0.9))).otherwise(c("sure")), 2).alias("confidence"), c("st").alias("validation_status"))
 
 
 def overlay_zones(near: DataFrame, validation: DataFrame, dedupe_km: float = 5.0) -> DataFrame:

@@ -4,15 +4,16 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions.geo import distance_join, haversine_km
+from plumbline.functions.geo import distance_join, haversine_km, nearest_join
 from plumbline.functions.graph import checkpointed, connected_components
 from plumbline.functions.rules import OVERLAY, PRIMARY, half_up
 
 from .spatial import cell_disk
+from .zones import stations_outside_regions
 
 BUFFER_KM, MAX_POINTS, CELL_KM2 = 5.0, 40, 73
 
@@ -45,6 +46,33 @@ def buffered(hull: np.ndarray, km: float = BUFFER_KM, most: int = MAX_POINTS) ->
     return hull + away / length[:, None] * (km / 111.0) / scale
 
 
+def hulls(points: DataFrame, key: str, lat: str = "latitude", lon: str = "longitude", salts: int = 64) -> DataFrame:
+    """``key, corners``: the convex hull of the points of every key. Points are dealt to ``salts`` partial hulls first, so no
+    task holds all points of a key; the hull of the partial hulls' corners is the hull of all."""
+    kind = points.schema[key].dataType.simpleString()
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        hull = convex_hull(pdf[[lat, lon]].to_numpy(float))
+        return pd.DataFrame({key: pdf[key].iloc[0], lat: hull[:, 0], lon: hull[:, 1]})
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "corners": [convex_hull(pdf[[lat, lon]].to_numpy(float)).tolist()]})
+
+    salted = points.select(key, F.col(lat).cast("double").alias(lat), F.col(lon).cast("double").alias(lon), F.pmod(F.xxhash64(lat, lon), F.lit(salts)).alias("salt"))
+    partial = salted.groupBy(key, "salt").applyInPandas(part, f"{key} {kind}, {lat} double, {lon} double")
+    return partial.groupBy(key).applyInPandas(whole, f"{key} {kind}, corners array<array<double>>")
+
+
+def moved_out(corners: Column, lat: Column, lon: Column, km: float, digits: int, most: int | None = None) -> Column:
+    """Every corner moved ``km`` away from a centre; with ``most``, every so-many-th corner only."""
+    if most is not None:
+        step = F.greatest(F.lit(1), F.ceil(F.size(corners) / most)).cast("int")
+        corners = F.filter(corners, lambda _, i: i % step == 0)
+    away = lambda p: haversine_km(lat, lon, p[0], p[1])
+    scale = lambda p: F.when(away(p) > 0, (away(p) + km) / away(p)).otherwise(1.0)
+    return F.transform(corners, lambda p: F.array(half_up(lat + (p[0] - lat) * scale(p), digits), half_up(lon + (p[1] - lon) * scale(p), digits)))
+
+
 def cell_groups(cells: DataFrame) -> DataFrame:
     """``cell_id, zone``: cells (``cell_id`` as ``q:r``) joined to their direct neighbours; ``zone`` is the smallest id of the
     connected group. Each cell meets its six neighbours by an equi join on ids."""
@@ -96,3 +124,118 @@ def coverage_zones(cells: DataFrame, stations: DataFrame, trust: DataFrame, leas
                    half_up("lat", 6).alias("lat"), half_up("lon", 6).alias("lon"), half_up((c("km") + BUFFER_KM) * 1000).alias("radius_m"), "points", "cells",
                    F.coalesce("stations", F.array().cast("array<string>")).alias("stations"), half_up("avg_quality", 2).alias("avg_quality"), "min_quality", (c("cells") * CELL_KM2).alias("area_km2"))
     return out if limit is None else out.orderBy(F.desc("avg_quality"), "zone_id").limit(limit)
+
+
+# ---- integrity zones ------------------------------------------------------------------------------------------------
+
+# Names of parts of the world (south, north, west, east), first match wins; north is inclusive, the other
+# bounds exclusive, but for the west of Eastern Europe.
+WORLD_PARTS = (
+    ("Northern Europe", 55, 91, -10, 35), ("Central Europe", 35, 55, -10, 25), ("Eastern Europe", 35, 55, 25, 45), ("North America", 35, 91, -130, -60),
+    ("South America", -60, 15, -85, -30), ("Oceania", -50, -10, 110, 180), ("Asia", 0, 60, 60, 150), ("Africa", -40, 35, -20, 55), ("Canada", 55, 91, -180, -60),
+)
+GAP_KM, RING_KM, OVERLAP_KM, CLUSTER_KM, BETTER_BY = 40.0, 50.0, 3.0, 200.0, 0.15
+
+
+def world_part(lat: Column, lon: Column) -> Column:
+    out = F.lit("Global")
+    for name, south, north, west, east in reversed(WORLD_PARTS):
+        after = lon >= west if name == "Eastern Europe" else lon > west
+        out = F.when((lat > south) & (lat <= north) & after & (lon < east), F.lit(name)).otherwise(out)
+    return out
+
+
+def storm_share(kp: float) -> float:
+    """What is left of a range during geomagnetic storms."""
+    return 0.5 if kp >= 7 else 0.7 if kp >= 5 else 0.85 if kp >= 4 else 1.0
+
+
+def integrity_zones(stations: DataFrame, kp: float = 0.0, circles: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Zones, and ``zone_id, station`` of their members.
+
+    ``stations`` has ``name, latitude, longitude, network, trust, uq, uptime, avg_fix_rate, tier``; those inside one of the
+    interference ``circles`` (``c_id, c_lat, c_lon, radius_km``) are left out. All primary stations form one global zone.
+    Overlay stations further from the nearest primary one than the gap distance, or trusted better than it by over 0.15,
+    form zones of those connected within the cluster distance; storms shrink gap, ring and cluster distance. A zone
+    of one station is a circle, as is one whose stations lie on one line; others are the hull moved out by the ring and the
+    overlap. ``zone_id`` of a cluster carries its smallest station name.
+    """
+    c, share = F.col, storm_share(kp)
+    clear = checkpointed(stations if circles is None else stations_outside_regions(stations, circles))
+    primary, overlay = clear.filter(c("network") == PRIMARY), clear.filter(c("network") == OVERLAY)
+    known = lambda test: F.coalesce(test, F.lit(False))
+    whole = primary.agg(F.count("*").alias("stations"), F.avg("trust").alias("trust"), F.avg(F.when(c("avg_fix_rate") > 0, c("avg_fix_rate"))).alias("fix"),
+                        F.count_if(known(c("tier") == "platinum")).alias("best")).filter("stations > 0")
+    none = lambda kind: F.lit(None).cast(kind)
+    one = whole.select(
+        F.lit("integrity_primary_global").alias("zone_id"), F.lit("primary").alias("zone_type"), F.lit("Global").alias("region"), F.when(c("best") > c("stations") * 0.3, 1).otherwise(10).alias("priority"),
+        F.lit("circle").alias("fence_type"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit(2e7).alias("radius_m"), none("array<array<double>>").alias("points"), "stations",
+        half_up(c("trust") * 100).alias("integrity_score"), half_up(F.coalesce("fix", F.lit(80.0)), 1).alias("expected_fix_rate"), none("string").alias("failover"))
+    right = primary.select(c("name").alias("primary"), c("latitude").alias("r_latitude"), c("longitude").alias("r_longitude"), c("trust").alias("p_trust"))
+    near = nearest_join(overlay, right, "name", "primary").join(right.select("primary", "p_trust"), "primary", "left")
+    far = c("distance_km").isNull() | (c("distance_km") > GAP_KM * share)
+    kind = F.when(far, "gap").when(c("trust") > c("p_trust") + BETTER_BY, "upgrade")
+    chosen = checkpointed(near.withColumn("kind", kind).filter("kind is not null").select("name", "latitude", "longitude", "trust", "uq", "uptime", "tier", "kind"))
+    other = chosen.select(c("name").alias("r_name"), c("latitude").alias("r_latitude"), c("longitude").alias("r_longitude"))
+    close = distance_join(chosen.select("name", "latitude", "longitude"), other, CLUSTER_KM * share).filter(c("name") < c("r_name"))
+    groups = connected_components(close.select(c("name").alias("src"), c("r_name").alias("dst"))).withColumnRenamed("node", "name")
+    rows = checkpointed(chosen.join(groups, "name", "left").withColumn("cluster", F.coalesce("component", "name")))
+    stats = rows.groupBy("cluster").agg(
+        F.count("*").alias("stations"), F.count_if(c("kind") == "gap").alias("gaps"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"), F.avg("trust").alias("trust"),
+        F.coalesce(F.max(c("tier") == "platinum"), F.lit(False)).alias("best"), F.avg(c("trust") * c("uq") * c("uptime")).alias("quality"))
+    reach = rows.join(stats.select("cluster", "lat", "lon"), "cluster").groupBy("cluster").agg(F.max(haversine_km(c("lat"), c("lon"), c("latitude"), c("longitude"))).alias("km"))
+    gap = c("gaps") > c("stations") / 2
+    priority = F.when(gap, F.when(c("best"), 20).otherwise(35)).otherwise(F.when(c("best"), 35).otherwise(50))
+    wide = F.coalesce(F.size("corners") >= 3, F.lit(False))
+    rest = stats.join(reach, "cluster").join(hulls(rows, "cluster"), "cluster", "left").select(
+        F.concat(F.lit("integrity_overlay_"), "cluster").alias("zone_id"), F.when(gap, "overlay_gap").otherwise("overlay_upgrade").alias("zone_type"), world_part(c("lat"), c("lon")).alias("region"),
+        priority.alias("priority"), F.when(wide, "polygon").otherwise("circle").alias("fence_type"), half_up("lat", 6).alias("lat"), half_up("lon", 6).alias("lon"),
+        F.when(~wide, half_up((c("km") + RING_KM * share) * 1000)).alias("radius_m"),
+        F.when(wide, moved_out(c("corners"), c("lat"), c("lon"), RING_KM * share + OVERLAP_KM, 6, MAX_POINTS)).alias("points"), "stations", half_up(c("trust") * 100).alias("integrity_score"),
+        half_up(c("quality") * 100, 1).alias("expected_fix_rate"), F.lit("integrity_primary_global").alias("failover"))
+    members = primary.select(F.lit("integrity_primary_global").alias("zone_id"), c("name").alias("station")).unionByName(
+        rows.select(F.concat(F.lit("integrity_overlay_"), "cluster").alias("zone_id"), c("name").alias("station")))
+    return one.unionByName(rest), members
+
+
+# ---- merged overlay circles -----------------------------------------------------------------------------------------
+
+MERGE_KM, OUTWARD_KM, WIDEST_M = 200.0, 45.0, 45000.0
+
+
+def merged_overlays(circles: DataFrame, limit: int | None = 500) -> DataFrame:
+    """Zones from thinned overlay circles with their ``area`` (see ``actions.overlay_zones``).
+
+    Overlapping circles that span at most 200 km become one zone: the hull of their centres moved out by 45 km, or a circle
+    where they lie on one line. Wider areas and single circles stay as they are. With a ``limit`` so many zones are
+    taken in turn from squares of ten degrees.
+    """
+    from .zones import diversity_cap
+
+    c = F.col
+    corner = haversine_km(c("south"), c("west"), c("north"), c("east"))
+    first = F.min(F.struct("zone_id", "reason", "hardware_class"))
+    stats = checkpointed(circles.groupBy("area").agg(
+        F.count("*").alias("members"), F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"), F.avg("lat").alias("m_lat"), F.avg("lon").alias("m_lon"),
+        F.min("priority").alias("m_priority"), F.max("confidence").alias("m_confidence"), F.max(c("hardware_class") == "survey_grade").alias("survey"), F.max(c("validation_status") == "confirmed").alias("confirmed"),
+        first.alias("first")).withColumn("merge", (c("members") > 1) & (corner <= MERGE_KM)))
+    joined = circles.join(stats.filter("merge").select("area", "m_lat", "m_lon"), "area")
+    reach = joined.groupBy("area").agg(F.max(haversine_km(c("m_lat"), c("m_lon"), c("lat"), c("lon"))).alias("km"))
+    role = lambda p: F.when(p <= 10, "primary").otherwise("failover").alias("type")
+    wide = F.coalesce(F.size("corners") >= 3, F.lit(False))
+    merged = stats.filter("merge").join(reach, "area").join(hulls(joined, "area", "lat", "lon"), "area", "left").select(
+        F.concat(F.lit("merged_"), "area").alias("zone_id"), role(c("m_priority")), c("first.reason").alias("reason"), c("m_priority").alias("priority"), F.when(wide, "polygon").otherwise("circle").alias("fence_type"),
+        half_up("m_lat", 6).alias("lat"), half_up("m_lon", 6).alias("lon"), F.when(wide, 0.0).otherwise(half_up(F.least(F.lit(WIDEST_M), (c("km") + OUTWARD_KM) * 1000))).alias("radius_m"),
+        F.when(wide, moved_out(c("corners"), c("m_lat"), c("m_lon"), OUTWARD_KM, 5)).alias("points"), "members", F.when(c("survey"), "survey_grade").otherwise(c("first.hardware_class")).alias("hardware_class"),
+        half_up("m_confidence", 2).alias("confidence"), F.when(c("confirmed"), "confirmed").otherwise("untested").alias("validation_status"))
+    single = circles.join(stats.filter("not merge").select("area"), "area", "left_semi").select(
+        "zone_id", role(c("priority")), "reason", "priority", F.lit("circle").alias("fence_type"), "lat", "lon", "radius_m", F.lit(None).cast("array<array<double>>").alias("points"), F.lit(1).cast("bigint").alias("members"),
+        "hardware_class", "confidence", "validation_status")
+    zones = merged.unionByName(single)
+    return zones if limit is None else diversity_cap(zones, limit).drop("turn")
+
+
+def overlay_stats(zones: DataFrame) -> DataFrame:
+    """One row about zones of :func:`merged_overlays`."""
+    return zones.agg(F.count("*").alias("zones"), F.count_if(F.col("type") == "primary").alias("primary_zones"), F.count_if(F.col("type") == "failover").alias("failover_zones"), F.count_if(F.col("fence_type") == "polygon").alias("polygons"),
+                     F.coalesce(F.sum("members"), F.lit(0)).alias("stations"), F.count_if(F.col("hardware_class") == "survey_grade").alias("survey_grade"), F.count_if(F.col("validation_status") == "confirmed").alias("confirmed"))

@@ -293,5 +293,10 @@ def caster_performance(log: DataFrame) -> DataFrame:
                       half_up(stability * 0.7 + F.least(F.lit(1.0), rate / 500) * 0.3, 2).alias("overall_score"))
 
 
+def latest(rows: DataFrame, by: str, ties: str, limit: int) -> DataFrame:
+    """The ``limit`` newest rows by ``by``, equal ones in the order of ``ties``."""
+    return rows.orderBy(F.desc(by), ties).limit(limit)
+
+
 def latest_sessions(sessions: DataFrame, limit: int = 2000) -> DataFrame:
-    return sessions.select("id", "station", "login_time", "fix_rate").orderBy(F.desc("login_time"), "id").limit(limit)
+    return latest(sessions.select("id", "station", "login_time", "fix_rate"), "login_time", "id", limit)

@@ -17,8 +17,10 @@ from plumbline.functions.rules import DAY, between, half_up, has_position, onlin
 #: Edge of a hexagon in kilometres; ids of these cells are not those of any other cell system.
 EDGE_KM = 8.5
 # Square boxes (name, latitude, longitude, half side in degrees) for summaries of a surface.
-SURFACE_BOXES = (("Europe", 50, 10, 20), ("North America", 40, -95, 25), ("South America", -15, -55, 25), ("East Asia", 35, 120, 20), ("Australia", -25, 135, 20),
-                 ("Africa", 0, 20, 25), ("Middle East", 28, 48, 12), ("South Asia", 20, 78, 15))
+SURFACE_BOXES = (
+    ("EU Central", 50, 10, 15), ("EU West", 48, -2, 12), ("EU North", 60, 15, 12), ("US East", 38, -78, 15), ("US West", 38, -118, 15),
+    ("US Central", 40, -95, 12), ("Australia", -28, 135, 20), ("South America", -15, -50, 20),
+)
 
 
 # ---- hexagonal cells ------------------------------------------------------------------------------------------------
@@ -161,7 +163,8 @@ def fit_variogram(bins: DataFrame, model: str = "exponential") -> DataFrame:
 
 
 def normal_cdf(x: Column) -> Column:
-    """Polynomial approximation of the standard normal distribution for x >= 0."""
+    """Standard normal distribution for x >= 0, by Abramowitz and Stegun's approximation 26.2.17."""
+    # The coefficients of that formula.
     t = 1 / (1 + 0.2316419 * x)
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     return 1 - 0.3989422804014327 * F.exp(-x * x / 2) * poly
@@ -229,18 +232,30 @@ def solve_kriging(lat: np.ndarray, lon: np.ndarray, value: np.ndarray, dist: np.
     return float(w[:n] @ value), variance, "high" if share < 0.3 else "medium" if share < 0.7 else "low"
 
 
-def kriging_surface(points: DataFrame, model: DataFrame, step: float = 2.0, neighbours: int = 30, least: int = 3, max_km: float = 1000.0) -> DataFrame:
+SURFACE = "lat double, lon double, predicted double, variance double, confidence string, n_stations int"
+
+
+def kriging_surface(points: DataFrame, model: DataFrame, step: float = 2.0, neighbours: int = 30, least: int = 3, max_km: float | None = None) -> DataFrame:
     """Ordinary kriging on a grid: each node uses its nearest points within twice the range of the fitted model.
 
-    Nodes come from the points themselves (all grid nodes in reach of a point), so empty regions cost nothing.
-    The range must not pass ``max_km / 2``; each group holds one node's neighbours, at most ``neighbours`` rows.
+    Nodes come from the points themselves (all grid nodes in reach of a point, whatever its latitude), so empty regions
+    cost nothing. Twice the fitted range is the radius of the join, at most ``max_km`` if given. Each group holds one
+    node's neighbours, at most ``neighbours`` rows.
     """
+    fit = model.select("model", "nugget", "sill", "range").first()  # one row
+    if fit is None:
+        return points.sparkSession.createDataFrame([], SURFACE)
+    max_km = fit["range"] * 2 if max_km is None else min(max_km, fit["range"] * 2)
     one = F.broadcast(model.select("model", "nugget", "sill", "range"))
     reach = int(max_km / DEGREE_KM / step) + 1
     snap = lambda v: (F.floor(F.col(v) / step)).cast("int")
-    # Longitude degrees shrink towards the poles; nodes further out than a grid square of reach at 60 degrees are left out.
-    nodes = (points.select(F.explode(F.sequence(snap("lat") - reach, snap("lat") + reach)).alias("i"), snap("lon").alias("j0")).distinct()
-             .select("i", F.explode(F.sequence(F.col("j0") - 2 * reach, F.col("j0") + 2 * reach)).alias("j")).distinct()
+    cells = points.select(snap("lat").alias("i0"), snap("lon").alias("j0")).distinct().select(F.explode(F.sequence(F.col("i0") - reach, F.col("i0") + reach)).alias("i"), "i0", "j0")
+    # Degrees of longitude shrink towards the poles: the row of nodes nearest to one tells how many the radius spans.
+    edge = F.least(F.lit(90.0), (F.greatest(F.abs("i"), F.abs("i0")) + 1) * step)
+    half = F.when(edge >= 89, F.lit(int(180 / step))).otherwise(F.least(F.lit(int(180 / step)), F.ceil(max_km / DEGREE_KM / F.cos(F.radians(edge)) * 1.6 / step) + 1)).cast("int")
+    around = F.lit(int(360 / step))
+    nodes = (cells.groupBy("i", "j0").agg(F.max(half).alias("half")).select("i", F.explode(F.sequence(F.col("j0") - F.col("half"), F.col("j0") + F.col("half"))).alias("j"))
+             .select("i", (F.pmod(F.col("j") + around / 2, around) - around / 2).cast("int").alias("j")).distinct()
              .select((F.col("i") * step).alias("g_lat"), (F.col("j") * step).alias("g_lon")).filter("abs(g_lat) <= 90 and abs(g_lon) <= 180"))
     near = distance_join(nodes, points.select(F.col("id").alias("p_id"), "lat", "lon", "value"), max_km, "g_lat", "g_lon", "lat", "lon").crossJoin(one).filter(F.col("distance_km") <= F.col("range") * 2)
     node = W.partitionBy("g_lat", "g_lon")
@@ -253,12 +268,18 @@ def kriging_surface(points: DataFrame, model: DataFrame, step: float = 2.0, neig
         half = lambda x, d: np.floor(x * 10**d + 0.5) / 10**d
         return pd.DataFrame([(r.g_lat, r.g_lon, half(p, 2), half(v, 3), sure, len(pdf))], columns=["lat", "lon", "predicted", "variance", "confidence", "n_stations"])
 
-    return top.groupBy("g_lat", "g_lon").applyInPandas(solve, "lat double, lon double, predicted double, variance double, confidence string, n_stations int")
-
-
-def surface_regions(surface: DataFrame, boxes=SURFACE_BOXES) -> DataFrame:
-    """Mean prediction and variance and the most common confidence of the surface in each named box; literal columns only."""
-    hits = F.array_compact(F.array(*[F.when((F.abs(F.col("lat") - la) <= h) & (F.abs(F.col("lon") - lo) <= h), F.lit(name)) for name, la, lo, h in boxes]))
-    rows = surface.withColumn("region", F.explode(hits))
-    by = rows.groupBy("region", "confidence").agg(F.count("*").alias("k")).groupBy("region").agg(F.min(F.struct((-F.col("k")).alias("k"), "confidence"))["confidence"].alias("confidence"))
-    return rows.groupBy("region").agg(F.count("*").alias("nodes"), half_up(F.avg("predicted"), 2).alias("mean_predicted"), half_up(F.avg("variance"), 3).alias("mean_variance")).join(by, "region")
+    return top.groupBy("g_lat", "g_lon").applyInPandas(solve, SURFACE)
+
+
+def surface_regions(surface: DataFrame, local: DataFrame, boxes=SURFACE_BOXES) -> DataFrame:
+    """Nodes, mean prediction and variance of the ``surface`` strictly inside each named box, and the most common type of
+    ``local`` clusters (``lat, lon, cluster_type``) there: ties go to the first name, none is ``not-significant``. Boxes
+    may overlap; they are literal columns, so both sides are read once."""
+    inside = F.array_compact(F.array(*[
+        F.when((F.abs(F.col("lat") - la) < h) & (F.abs(F.col("lon") - lo) < h), F.struct(F.lit(name).alias("region"), F.lit(float(la)).alias("lat_center"), F.lit(float(lo)).alias("lon_center")))
+        for name, la, lo, h in boxes]))
+    nodes = surface.select(F.explode(inside).alias("r"), "predicted", "variance").groupBy("r.region", "r.lat_center", "r.lon_center").agg(
+        F.count("*").alias("n_points"), half_up(F.avg("predicted"), 1).alias("mean_predicted"), half_up(F.avg("variance"), 3).alias("mean_variance"))
+    kinds = local.select(F.explode(inside).alias("r"), "cluster_type").groupBy("r.region", "cluster_type").agg(F.count("*").alias("k"))
+    most = kinds.groupBy("region").agg(F.min(F.struct((-F.col("k")).alias("k"), "cluster_type"))["cluster_type"].alias("moran_type"))
+    return nodes.join(most, "region", "left").withColumn("moran_type", F.coalesce("moran_type", F.lit("not-significant")))

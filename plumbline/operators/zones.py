@@ -158,6 +158,26 @@ def gap_candidates(stations: DataFrame, scores: DataFrame, trust: DataFrame, val
         half_up(F.least(F.lit(35000.0), km * 500)).alias("radius_m"), ((score >= 0.6) | (kind == "survey_grade")).alias("enabled"), c("status_v").alias("validation_status"))
 
 
+def gap_regions(candidates: DataFrame, km: float = 30.0) -> DataFrame:
+    """Regions of gap candidates, as a pass in the order of names would form them: a candidate under ``km`` from an earlier
+    region's centre joins the first such region, others are the centre of a new one. ``region`` is the centre's name."""
+    from plumbline.functions.greedy import keep_best
+
+    c = F.col
+    rows = checkpointed(candidates)
+    right = rows.select(c("name").alias("r_name"), c("latitude").alias("r_latitude"), c("longitude").alias("r_longitude"))
+    close = checkpointed(distance_join(rows.select("name", "latitude", "longitude"), right, km).filter((c("distance_km") < km) & (c("name") != c("r_name"))).select("name", "r_name"))
+    centres = checkpointed(keep_best(rows.select(c("name").alias("node"), c("name").alias("rank")), close.filter("name < r_name").select(c("name").alias("src"), c("r_name").alias("dst"))))
+    joined = close.join(centres.select(c("node").alias("r_name")), "r_name").groupBy("name").agg(F.min("r_name").alias("region"))
+    placed = rows.join(centres.select(c("node").alias("name"), F.lit(True).alias("centre")), "name", "left").join(joined, "name", "left").withColumn(
+        "region", F.when(c("centre"), c("name")).otherwise(c("region")))
+    own = placed.filter("centre").select("region", "latitude", "longitude", "reason", "primary_km", half_up(F.least(F.lit(40.0), c("primary_km") * 0.6), 1).alias("radius_km"))
+    best = F.max(F.struct("gap_fill_score", (-c("priority")).alias("p"), "name"))
+    stats = placed.groupBy("region").agg(F.count("*").alias("candidates"), F.max("gap_fill_score").alias("best_score"), F.count_if(F.col("hardware_class") == "survey_grade").alias("survey_grade"),
+                                         F.count_if("enabled").alias("enabled_zones"), best["name"].alias("best_candidate"))
+    return own.join(stats, "region").withColumn("fillable", c("best_score") >= 0.5)
+
+
 def probe_targets(stations: DataFrame, scores: DataFrame, trust: DataFrame, kp: float = 0.0, limit: int | None = 50) -> DataFrame:
     """Overlay stations worth a probe: gaps first, farthest first. Storms shorten the distance that counts as a gap."""
     gap = 20.0 if kp >= 7 else 28.0 if kp >= 5 else 34.0 if kp >= 4 else 40.0

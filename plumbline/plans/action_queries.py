@@ -42,7 +42,7 @@ KEPT = f"""SELECT * FROM aa WHERE action = 'restore' OR {DEGRADING} <= 20 UNION
  UNION ALL SELECT 'cascade_exhaustion', NULL, NULL, NULL, NULL, 9 WHERE {DEGRADING} > 20"""
 OVERLAYS = f"""SELECT concat('ono_', name) AS zone_id, name, latitude AS lat, longitude AS lon, hc AS hardware_class, CASE WHEN hc = 'survey_grade' AND dk <= 40 THEN 'overlay_better' ELSE 'primary_absent' END AS reason,
  CASE WHEN hc = 'survey_grade' OR (hc = 'professional' AND st = 'confirmed') THEN 5 ELSE 30 END AS priority, CASE hc WHEN 'survey_grade' THEN {rnd("least(45e3, greatest(15e3, dk * 600))")} WHEN 'professional' THEN {rnd("least(45e3, greatest(15e3, dk * 400))")} ELSE {rnd("least(25e3, greatest(15e3, dk * 300))")} END AS radius_m,
- {rnd("CASE WHEN hc = 'consumer' THEN 6e-1 WHEN hc = 'survey_grade' AND st = 'confirmed' THEN greatest(hcf, 9e-1) ELSE hcf END", 2)} AS confidence
+ {rnd("CASE WHEN hc = 'consumer' THEN 6e-1 WHEN hc = 'survey_grade' AND st = 'confirmed' THEN greatest(hcf, 9e-1) ELSE hcf END", 2)} AS confidence, st AS validation_status
 FROM (SELECT *, split_part(hw, '|', 1) AS hc, CAST(split_part(hw, '|', 2) AS double) AS hcf FROM (SELECT n.*, coalesce(distance_km, 999e0) AS dk, coalesce(v.status, 'untested') AS st, v.fix_rate AS vf,
   CASE WHEN {_like("h", actions.SURVEY)} THEN 'survey_grade|95e-2' WHEN contains(h, 'SURVEY_GRADE_INFERRED') THEN 'survey_grade|75e-2' WHEN contains(h, 'PROFESSIONAL_INFERRED') THEN 'professional|65e-2'
    WHEN {_like("h", ("CONSUMER_GOOD_INFERRED", "U-BLOX", "UBLOX", "F9P"))} THEN 'consumer|5e-1' WHEN contains(h, 'CONSUMER_BASIC_INFERRED') THEN 'consumer|3e-1' ELSE 'unknown|2e-1' END AS hw
@@ -143,7 +143,6 @@ ACTIONS = {
          LEFT JOIN (SELECT zone_id, arg_max(coalesce(priority_after, 10), struct_pack(a := source, b := station, c := action)) AS v FROM ka WHERE action IN ('downgrade', 'restore') GROUP BY 1) p USING (zone_id)""",
                za=ZONE_AT, ano=ANOMALIES, aa=ALL_ACTIONS, ka=KEPT)),
     "overlay_candidates": (lambda t: actions.overlay_candidates(zones.nearest_primary(t.fx_stations, t.fx_station_scores, t.fx_trust), validation(t)), oracle(OVERLAYS, nea=NEAREST, val=VALIDATION)),
-    "overlay_zones": (lambda t: actions.overlay_zones(zones.nearest_primary(t.fx_stations, t.fx_station_scores, t.fx_trust), validation(t)).select("zone_id", "confidence", "radius_m", "area"), None),
     "classify_hardware_zone": (
         lambda t: t.fx_stations.select("name", actions.zone_hardware(F.col("receiver_type"), F.col("name")).alias("h")).select("name", "h.*"),
         oracle(f"""SELECT name, CASE WHEN {_like("h", actions.SURVEY)} OR contains(h, 'SURVEY_GRADE_INFERRED') THEN 'survey_grade' WHEN contains(h, 'PROFESSIONAL_INFERRED') THEN 'professional' WHEN {_like("h", ("CONSUMER_GOOD_INFERRED", "U-BLOX", "UBLOX", "F9P", "CONSUMER_BASIC_INFERRED"))} THEN 'consumer' ELSE 'unknown' END AS hardware_class,

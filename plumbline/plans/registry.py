@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .fixtures import Tables
 from .action_queries import ACTIONS
+from .area_queries import AREA_TABLE
 from .detector_queries import DETECTORS
 from .report_queries import REPORTS
 from .signal_queries import SIGNALS
@@ -21,6 +22,6 @@ def bound(job: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(Tables(spark, sf_dir))
 
 
-_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS | ACTIONS
+_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS | ACTIONS | AREA_TABLE
 QUERIES: dict[str, Query] = {name: bound(job) for name, (job, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}

@@ -223,4 +223,10 @@ REPORTS = {
     "latest_sessions": (
         lambda t: reports.latest_sessions(t.fx_sessions),
         oracle("SELECT id, station, login_time, fix_rate FROM fx_sessions ORDER BY login_time DESC, id LIMIT 2000")),
+    "latest_events": (
+        lambda t: reports.latest(t.events.select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms")), "ts_ms", "event_id", 500),
+        "SELECT event_id, event_type, ts_ms FROM (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ts_ms FROM events) ORDER BY ts_ms DESC, event_id LIMIT 500"),
+    "latest_alerts": (
+        lambda t: reports.latest(anomalies(t), "station", "type", 100),
+        oracle("SELECT type, severity, station FROM ano ORDER BY station DESC, type LIMIT 100", ano=ANOMALIES)),
 }

@@ -88,5 +88,4 @@ SPATIAL = {
         oracle(f"""SELECT id, {rnd("li", 3)} AS local_i, {rnd("z", 2)} AS z_score, CASE WHEN d > 0 AND lag > 0 THEN 'high-high' WHEN d < 0 AND lag < 0 THEN 'low-low' WHEN d > 0 AND lag < 0 THEN 'high-low' ELSE 'low-high' END AS cluster_type
          FROM (SELECT r.id, r.lag, r.value - r.mean AS d, (r.value - r.mean) / r.s2 * r.lag AS li, (r.value - r.mean) / r.s2 * r.lag / sqrt(greatest(g.v, 1e-10)) AS z FROM rws r, glo g) WHERE abs(z) > 196e-2""", pts=POINTS, prs=PAIRS, rws=ROWS, glo=GLOBAL)),
     "kriging_surface": (surface, None),
-    "surface_regions": (lambda t: s.surface_regions(surface(t)), None),
 }
