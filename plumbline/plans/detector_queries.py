@@ -102,7 +102,7 @@ V1 = f"""SELECT station, {rnd("low", 3)} AS low, {rnd("high", 3)} AS high, {rnd(
  SELECT *, max(i) OVER (PARTITION BY station) AS last FROM f) WHERE i = last"""
 
 DETECTORS = {
-    "cusum_ewma_v1": (lambda t: d.cusum_ewma_v1(t.fx_sessions, AS_OF), oracle(V1, ser=V1_SERIES)),
+    "cusum_counters_v1": (lambda t: d.cusum_ewma_v1(t.fx_sessions, AS_OF), oracle(V1, ser=V1_SERIES)),
     "fix_rate_drop": (
         lambda t: d.fix_rate_drop(t.fx_sessions, AS_OF),
         oracle(f"""SELECT 'fix_rate_drop' AS type, CASE WHEN fix < 30 THEN 'critical' WHEN fix < 50 THEN 'warning' ELSE 'info' END AS severity, station, affected_users, {rnd("fix", 1)} AS current_value,
@@ -124,7 +124,7 @@ DETECTORS = {
          {rnd("(fix - b_fix) / b_fix * 1e2", 1)} AS deviation_pct FROM (SELECT {circle("latitude", "longitude")} AS region, count(*) AS n, avg(fix_rate) AS fix, count(DISTINCT username) AS affected_users
           FROM fx_sessions WHERE {SEEN} AND login_time >= {H6} AND {NONZERO} GROUP BY 1) JOIN (SELECT {circle("latitude", "longitude")} AS region, count(*) AS b_n, avg(fix_rate) AS b_fix
           FROM fx_sessions WHERE login_time >= {H24} AND login_time < {H6} AND {POSITION} AND {STATION} GROUP BY 1) USING (region) WHERE n >= 10 AND b_n >= 20 AND b_fix > 60 AND fix < b_fix * 7e-1""")),
-    "cusum_ewma_v2": (lambda t: d.cusum_ewma(t.fx_sessions, AS_OF), oracle(CUSUM, ser=CUSUM_SERIES)),
+    "cusum_counters_v2": (lambda t: d.cusum_ewma(t.fx_sessions, AS_OF), oracle(CUSUM, ser=CUSUM_SERIES)),
     "interference_clusters": (lambda t: d.interference_clusters(t.fx_sessions, AS_OF, minutes=60), oracle(CLUSTERS, pts=CLUSTER_POINTS, edg=CLUSTER_EDGES, comp=COMP)),
     "sessions_with_network": (
         lambda t: d.with_network(t.fx_sessions, t.fx_stations).groupBy("network").agg(F.count(F.lit(1)).alias("sessions")),

@@ -11,6 +11,7 @@ from .action_queries import ACTIONS
 from .area_queries import AREA_TABLE
 from .detector_queries import DETECTORS
 from .report_queries import REPORTS
+from .sequential_queries import SEQUENTIAL
 from .signal_queries import SIGNALS
 from .spatial_queries import SPATIAL
 from .zone_queries import ZONE_TABLE
@@ -22,6 +23,6 @@ def bound(job: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(Tables(spark, sf_dir))
 
 
-_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS | ACTIONS | AREA_TABLE
+_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS | ACTIONS | AREA_TABLE | SEQUENTIAL
 QUERIES: dict[str, Query] = {name: bound(job) for name, (job, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
