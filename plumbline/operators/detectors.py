@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions.geo import distance_join, half_degree_cell, haversine_km, region_by_circle
+from plumbline.functions.geo import DEGREE_KM, distance_join, half_degree_cell, haversine_km, region_by_circle
 from plumbline.functions.graph import checkpointed, connected_components
 from plumbline.functions.rules import (HOUR, OVERLAY, anomaly_id, between, clean_sessions, half_up, has_position, has_station, nonzero_position,
                                        not_noise, positive)
@@ -162,33 +162,66 @@ def cusum_ewma_v1(sessions: DataFrame, as_of: int, bucket_min: int = 30, hours:
     return end.select("station", *[half_up(F.col("end")[n], 3).alias(n) for n in names[:4]], *[F.col("end")[n].alias(n) for n in names[4:]])
 
 
+def _close_blocks(blocks: DataFrame, km: float, diagonal: float, width: int) -> DataFrame:
+    """Pairs ``node, r_node, later, sure`` of blocks that may hold linked points: in the same slice of time, or ``later`` by
+    one slice with the nearest times at most ``width`` apart. ``sure`` pairs are so near that all their places are in reach."""
+    left = blocks.select("node", "latitude", "longitude", "t1", F.explode(F.array(F.lit(0), F.lit(1))).alias("later"), "slice").withColumn("slice", F.col("slice") + F.col("later"))
+    right = blocks.select(F.col("node").alias("r_node"), F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"), F.col("t0").alias("r_t0"), "slice")
+    near = distance_join(left, right, km + diagonal, on=("slice",))
+    in_time = F.when(F.col("later") == 0, F.col("node") < F.col("r_node")).otherwise(F.col("r_t0") - F.col("t1") <= width)
+    return near.filter(in_time).select("node", "r_node", "later", (F.col("distance_km") <= km - diagonal).alias("sure"))
+
+
 def interference_clusters(sessions: DataFrame, as_of: int, window_min: int = 360, km: float = 30.0, minutes: int = 10, neighbours: int = 3,
                           under: float = 25.0, least_users: int = 3) -> DataFrame:
     """Space-time clusters of degraded sessions.
 
     A cluster is a connected component of the graph of points at most ``km`` and ``minutes`` apart that has a
     point with at least ``neighbours`` neighbours; single points are noise. ``cluster`` is the smallest session id.
+
+    Points are gathered in blocks, squares far smaller than the radius within one slice of time, all of whose points are
+    linked; blocks are linked to blocks near enough for certain. Points themselves meet only across pairs of blocks at
+    the edge of the radius that are not connected otherwise, and in components whose blocks hold too few points to tell
+    the number of neighbours. So a jammed city costs as many pairs as it has blocks, however many points they hold.
     """
-    points = checkpointed(clean_sessions(sessions).filter(between(as_of - window_min * MINUTE) & (fix() < under) & has_position())
-                          .select("id", "username", "login_time", "latitude", "longitude", fix().alias("fix")))
-    # Points are met in slices of time as well as in cells: a neighbour lies in the same or the next slice.
-    width = minutes * MINUTE
-    slice_ = F.floor(F.col("login_time") / width)
-    left = points.select("id", "latitude", "longitude", F.col("login_time").alias("t"), F.explode(F.array(slice_, slice_ + 1)).alias("slice"))
-    right = points.select(F.col("id").alias("r_id"), F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"),
-                          F.col("login_time").alias("r_t"), slice_.alias("slice"))
-    near = distance_join(left, right, km, on=("slice",)).filter((F.abs(F.col("t") - F.col("r_t")) <= width) & (F.col("id") != F.col("r_id")))
-    edges = checkpointed(near.select(F.least("id", "r_id").alias("src"), F.greatest("id", "r_id").alias("dst")).distinct())
-    degree = edges.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
-    parts = connected_components(edges).join(degree, "node")
-    members = (parts.groupBy("component").agg(F.max("degree").alias("most")).filter(F.col("most") >= neighbours)
-               .join(parts.select("node", "component"), "component").join(points, F.col("node") == points["id"]))
-    centre = members.groupBy("component").agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
-    return (members.join(centre, "component").withColumn("km", haversine_km(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
-            .groupBy(F.col("component").alias("cluster")).agg(
-                F.count("*").alias("points"), users(), half_up(F.avg("fix"), 1).alias("mean_fix"), half_up(F.first("lat"), 4).alias("lat"),
+    c, width = F.col, minutes * MINUTE
+    side = km / DEGREE_KM / 16
+    diagonal = side * 2**0.5 * 111.2
+    block = {"slice": F.floor(c("login_time") / width), "si": F.floor(c("latitude") / side), "sj": F.floor(c("longitude") / side)}
+    points = checkpointed(clean_sessions(sessions).filter(between(as_of - window_min * MINUTE) & (fix() < under) & has_position() & c("longitude").isNotNull())
+                          .select("id", "username", "login_time", "latitude", "longitude", fix().alias("fix")).withColumns(block)
+                          .withColumn("node", F.concat_ws(":", "slice", "si", "sj")))
+    blocks = checkpointed(points.groupBy("node", "slice", "si", "sj").agg(F.count("*").alias("n"), F.min("login_time").alias("t0"), F.max("login_time").alias("t1")).select(
+        "node", "slice", "n", "t0", "t1", ((c("si") + 0.5) * side).alias("latitude"), ((c("sj") + 0.5) * side).alias("longitude")))
+    pairs = checkpointed(_close_blocks(blocks, km, diagonal, width))
+    groups = connected_components(pairs.filter("sure").select(c("node").alias("src"), c("r_node").alias("dst")))
+    labels = checkpointed(blocks.select("node", "n").join(groups, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component"))
+    label = lambda name, part: labels.select(c("node").alias(name), c("part").alias(part))
+    own = points.select("node", "id", "login_time", "latitude", "longitude")
+    other = own.select(*(c(x).alias(f"r_{x}") for x in own.columns))
+    linked = (haversine_km(c("latitude"), c("longitude"), c("r_latitude"), c("r_longitude")) <= km) & (F.abs(c("login_time") - c("r_login_time")) <= width)
+    apart = pairs.filter("not sure").join(label("node", "part"), "node").join(label("r_node", "r_part"), "r_node").filter("part <> r_part")
+    bridges = apart.join(own, "node").join(other, "r_node").filter(linked).select(F.least("part", "r_part").alias("src"), F.greatest("part", "r_part").alias("dst")).distinct()
+    joined = connected_components(bridges).withColumnRenamed("node", "part")
+    parts = checkpointed(labels.join(joined, "part", "left").select("node", "n", F.coalesce("component", "part").alias("cluster")))
+    # Neighbours that a block's points have for certain: those in it, and in sure blocks of the same slice.
+    sizes = parts.select(c("node").alias("r_node"), c("n").alias("r_n"))
+    both = pairs.filter("sure and later = 0").select("node", "r_node")
+    beside = both.unionByName(both.select(c("r_node").alias("node"), c("node").alias("r_node"))).join(sizes, "r_node").groupBy("node").agg(F.sum("r_n").alias("beside"))
+    counted = parts.join(beside, "node", "left").groupBy("cluster").agg((F.max(c("n") + F.coalesce("beside", F.lit(0))) - 1).alias("certain"))
+    counted = checkpointed(counted)
+    few = parts.join(counted.filter(c("certain") < neighbours).select("cluster"), "cluster", "left_semi").select("node")
+    within = few.select("node", c("node").alias("r_node")).unionByName(pairs.join(few, "node", "left_semi").select("node", "r_node"))
+    met = within.join(own, "node").join(other, "r_node").filter(linked & (c("id") != c("r_id")))
+    ends = met.select("node", "id").unionByName(met.filter("node <> r_node").select(c("r_node").alias("node"), c("r_id").alias("id")))
+    full = ends.groupBy("node", "id").agg(F.count("*").alias("degree")).filter(c("degree") >= neighbours).join(parts, "node").select("cluster")
+    core = counted.filter(c("certain") >= neighbours).select("cluster").unionByName(full).distinct()
+    members = checkpointed(points.join(parts.select("node", "cluster").join(core, "cluster"), "node"))
+    centre = members.groupBy("cluster").agg(F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"))
+    return (members.join(centre, "cluster").withColumn("km", haversine_km(c("latitude"), c("longitude"), c("lat"), c("lon"))).groupBy(c("cluster").alias("part")).agg(
+                F.min("id").alias("cluster"), F.count("*").alias("points"), users(), half_up(F.avg("fix"), 1).alias("mean_fix"), half_up(F.first("lat"), 4).alias("lat"),
                 half_up(F.first("lon"), 4).alias("lon"), half_up(F.greatest(F.lit(5.0), F.max("km")), 2).alias("radius_km"))
-            .filter(F.col("affected_users") >= least_users))
+            .filter(c("affected_users") >= least_users).drop("part"))
 
 
 def with_network(sessions: DataFrame, stations: DataFrame) -> DataFrame:

@@ -27,8 +27,11 @@ def disconnect_sql(under: int, least: int, critical: int) -> str:
 
 
 CLUSTER_POINTS = f"SELECT id, username, login_time, latitude, longitude, fix_rate AS fix FROM fx_sessions WHERE {SEEN} AND login_time >= {H6} AND fix_rate < 25 AND {POSITION}"
-CLUSTER_EDGES = f"""SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.login_time - b.login_time) <= 3600000
+def cluster_edges(minutes: int) -> str:
+    return f"""SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id <> b.id AND abs(a.login_time - b.login_time) <= {minutes * 60_000}
  AND {km("a.latitude", "a.longitude", "b.latitude", "b.longitude")} <= 30"""
+
+
 CLUSTERS = f"""SELECT m.comp AS cluster, count(*) AS points, count(DISTINCT username) AS affected_users, {rnd("avg(fix)", 1)} AS mean_fix, {rnd("any_value(c.lat)", 4)} AS lat,
  {rnd("any_value(c.lon)", 4)} AS lon, {rnd(f"greatest(5e0, max({km('p.latitude', 'p.longitude', 'c.lat', 'c.lon')}))", 2)} AS radius_km
 FROM comp m JOIN pts p ON p.id = m.id JOIN (SELECT comp, avg(latitude) AS lat, avg(longitude) AS lon FROM comp JOIN pts USING (id) GROUP BY 1) c ON c.comp = m.comp
@@ -125,7 +128,10 @@ DETECTORS = {
           FROM fx_sessions WHERE {SEEN} AND login_time >= {H6} AND {NONZERO} GROUP BY 1) JOIN (SELECT {circle("latitude", "longitude")} AS region, count(*) AS b_n, avg(fix_rate) AS b_fix
           FROM fx_sessions WHERE login_time >= {H24} AND login_time < {H6} AND {POSITION} AND {STATION} GROUP BY 1) USING (region) WHERE n >= 10 AND b_n >= 20 AND b_fix > 60 AND fix < b_fix * 7e-1""")),
     "cusum_counters_v2": (lambda t: d.cusum_ewma(t.fx_sessions, AS_OF), oracle(CUSUM, ser=CUSUM_SERIES)),
-    "interference_clusters": (lambda t: d.interference_clusters(t.fx_sessions, AS_OF, minutes=60), oracle(CLUSTERS, pts=CLUSTER_POINTS, edg=CLUSTER_EDGES, comp=COMP)),
+    "interference_clusters": (lambda t: d.interference_clusters(t.fx_sessions, AS_OF), oracle(CLUSTERS, pts=CLUSTER_POINTS, edg=cluster_edges(10), comp=COMP)),
+    # The smallest tables hold no cluster of ten minutes; an hour finds some.
+    "interference_clusters_1h": (
+        lambda t: d.interference_clusters(t.fx_sessions, AS_OF, minutes=60), oracle(CLUSTERS, pts=CLUSTER_POINTS, edg=cluster_edges(60), comp=COMP)),
     "sessions_with_network": (
         lambda t: d.with_network(t.fx_sessions, t.fx_stations).groupBy("network").agg(F.count(F.lit(1)).alias("sessions")),
         oracle("SELECT coalesce(p.network, 'unknown') AS network, count(*) AS sessions FROM fx_sessions s LEFT JOIN fx_stations p ON p.name = s.station GROUP BY 1")),
