@@ -128,6 +128,19 @@ def tec_interpolate(points: DataFrame, tec: DataFrame, lat0: float, dlat: float,
     return g.select("point_id", "lat", "lon", half_up(value, 1).alias("vtec"), half_up("ns", 2).alias("gradient_ns"), half_up("ew", 2).alias("gradient_ew"), half_up(total, 2).alias("gradient_total"), quality.alias("quality"))
 
 
+def tec_grid(maps: DataFrame, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int, step: int = 5) -> DataFrame:
+    """``lat, lon, vtec, gradient, quality`` on a regular grid (85 south to 85 north) from the newest of the parsed ``maps``
+    (``epoch, lat, lon, vtec``); nodes without content are left out. The arguments describe the maps' own grid."""
+    c = F.col
+    newest = maps.agg(F.max("epoch").alias("epoch"))  # one row
+    nearest = lambda v: F.floor(v + 0.5).cast("int")
+    tec = maps.join(F.broadcast(newest), "epoch").select(nearest((c("lat") - lat0) / dlat).alias("lat_idx"), nearest((c("lon") - lon0) / dlon).alias("lon_idx"), "vtec")
+    nodes = newest.select(F.explode(F.sequence(F.lit(-85), F.lit(85), F.lit(step))).alias("lat")).select("lat", F.explode(F.sequence(F.lit(-180), F.lit(180), F.lit(step))).alias("lon"))
+    points = nodes.select(F.concat_ws(":", "lat", "lon").alias("point_id"), c("lat").cast("double").alias("lat"), c("lon").cast("double").alias("lon"))
+    out = tec_interpolate(points, tec, lat0, dlat, n_lat, lon0, dlon, n_lon)
+    return out.filter("vtec > 0").select("lat", "lon", "vtec", c("gradient_total").alias("gradient"), "quality")
+
+
 def scintillation(previous: DataFrame, current: DataFrame, minutes: float, kp: float) -> DataFrame:
     """Rate of content change and signal-fading risk at points of two interpolations; points without risk are dropped."""
     c = F.col

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.geo import haversine_km, region_by_box, region_by_circle
+from plumbline.functions.graph import checkpointed
 from plumbline.functions.rules import (DAY, HOUR, OVERLAY, between, clean_sessions, half_up, has_position, has_station, nonzero_position, not_noise, online,
                                        positive, share_of)
 
@@ -26,18 +27,21 @@ def spatial_coherence(sessions: DataFrame, first: int = 200) -> DataFrame:
     0 to 100, over the first sessions of that order; 75 if there are no such neighbours. ``sessions`` has ``region``."""
     order = W.partitionBy("region").orderBy("latitude", "id")
     fix = F.coalesce("fix_rate", F.lit(0.0))
-    rows = sessions.withColumns({"rank": F.row_number().over(order), "p_lat": F.lag("latitude").over(order),
-                                 "p_lon": F.lag("longitude").over(order), "p_fix": F.lag(fix).over(order)}).filter(F.col("rank") <= first)
+    # The rank alone comes first: Spark then cuts each task's rows to the limit before the shuffle.
+    few = sessions.select("region", "id", "latitude", "longitude", fix.alias("fix")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= first)
+    rows = few.withColumns({"p_lat": F.lag("latitude").over(order), "p_lon": F.lag("longitude").over(order), "p_fix": F.lag("fix").over(order)})
     close = haversine_km(F.col("p_lat"), F.col("p_lon"), F.col("latitude"), F.col("longitude")) < 100
-    agree = F.when(close, F.greatest(F.lit(0.0), 1 - F.abs(fix - F.col("p_fix")) / 50))
+    agree = F.when(close, F.greatest(F.lit(0.0), 1 - F.abs(F.col("fix") - F.col("p_fix")) / 50))
     return rows.groupBy("region").agg(F.coalesce(F.avg(agree) * 100, F.lit(75.0)).alias("coherence"))
 
 
 def region_integrity_scores(sessions: DataFrame, scores: DataFrame, as_of: int) -> DataFrame:
     """Per named region over six hours: 0.40 stability + 0.25 freshness + 0.20 availability + 0.15 coherence,
     the trend against the 18 hours before, and the session-weighted mean of all regions as ``global_score``."""
-    recent = (clean_sessions(sessions).filter(between(as_of - 6 * HOUR) & nonzero_position())
-              .withColumn("region", region_by_circle(F.col("latitude"), F.col("longitude"))).filter("region <> 'Other'"))
+    # Written once: three aggregates read it, and finding a region takes ten distances a row.
+    recent = checkpointed(clean_sessions(sessions).filter(between(as_of - 6 * HOUR) & nonzero_position())
+                          .select("id", "station", "latitude", "longitude", "fix_rate", "avg_age", region_by_circle(F.col("latitude"), F.col("longitude")).alias("region"))
+                          .filter("region <> 'Other'"))
     before = (sessions.filter(between(as_of - 24 * HOUR, as_of - 6 * HOUR) & has_position() & has_station())
               .groupBy(region_by_circle(F.col("latitude"), F.col("longitude")).alias("region"))
               .agg(F.avg(F.coalesce("fix_rate", F.lit(0.0))).alias("before"), n("n_before")))

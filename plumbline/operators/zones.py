@@ -11,8 +11,8 @@ from plumbline.functions.geo import DEGREE_KM, distance_join, haversine_km, near
 from plumbline.functions.graph import checkpointed
 from plumbline.functions.rules import DAY, HOUR, OVERLAY, PRIMARY, between, clean_sessions, half_up, has_position, online
 
-#: Geofences wider than this many degrees are compared with every point, without buckets.
-WIDE_DEGREES = 30
+#: Geofences are met in buckets of one degree, those wider than so many degrees in buckets of the coarse size.
+WIDE_DEGREES, COARSE_DEGREES = 30, 15
 
 
 def in_polygon(lat: Column, lon: Column, points: Column) -> Column:
@@ -32,27 +32,40 @@ def point_in_geofence(points: DataFrame, zones: DataFrame, lat: str = "latitude"
     """Every point with every enabled zone that holds it.
 
     ``zones`` has ``zone_id, enabled, fence_type ('circle' or 'polygon'), lat, lon, radius_m, points``. Zones are cut
-    into one-degree buckets of their bounding box and met by an equi join; only zones too wide for that, few by
-    nature, are compared with all points.
+    into buckets of their bounding box, of one degree or, for wide zones, of fifteen, and met by an equi join on them;
+    longitudes wrap at the antimeridian. A zone has at most some 900 fine or 288 coarse buckets.
     """
     ring = F.col("points")
     reach = F.col("radius_m") / 1000 / DEGREE_KM
     wide_lon = reach / F.greatest(F.lit(0.05), F.cos(F.radians(F.least(F.lit(89.0), F.abs("lat") + reach))))
     pick = lambda k, f: f(F.transform(ring, lambda p: p[k]))
     circle = F.col("fence_type") == "circle"
+    polar = circle & (F.abs("lat") + reach >= 88)  # holds every longitude near a pole
     box = {"_s": F.when(circle, F.col("lat") - reach).otherwise(pick(0, F.array_min)), "_n": F.when(circle, F.col("lat") + reach).otherwise(pick(0, F.array_max)),
-           "_w": F.when(circle, F.col("lon") - wide_lon).otherwise(pick(1, F.array_min)), "_e": F.when(circle, F.col("lon") + wide_lon).otherwise(pick(1, F.array_max))}
-    boxed = zones.filter("enabled").withColumns(box)
-    wide = (F.col("_n") - F.col("_s") > WIDE_DEGREES) | (F.col("_e") - F.col("_w") > WIDE_DEGREES) | (F.col("_w") < -180) | (F.col("_e") > 180)
+           "_w": F.when(polar, -180.0).when(circle, F.col("lon") - wide_lon).otherwise(pick(1, F.array_min)),
+           "_e": F.when(polar, 180.0).when(circle, F.col("lon") + wide_lon).otherwise(pick(1, F.array_max))}
+    boxed = zones.filter("enabled").withColumns(box).withColumns({"_s": F.greatest(F.lit(-90.0), "_s"), "_n": F.least(F.lit(90.0), "_n")})
+    wide = (F.col("_n") - F.col("_s") > WIDE_DEGREES) | (F.col("_e") - F.col("_w") > WIDE_DEGREES)
     fence = [c for c in zones.columns if c != "enabled"]
     inside = F.when(F.col("fence_type") == "circle", haversine_km(F.col(lat), F.col(lon), F.col("lat"), F.col("lon")) * 1000 <= F.col("radius_m")).otherwise(
         F.when(F.size("points") >= 3, in_polygon(F.col(lat), F.col(lon), F.col("points"))).otherwise(False))
-    cells = (boxed.filter(~wide).withColumn("_row", F.explode(F.sequence(F.floor("_s").cast("int"), F.floor("_n").cast("int"))))
-             .withColumn("_column", F.explode(F.sequence(F.floor("_w").cast("int"), F.floor("_e").cast("int")))).select(*fence, "_row", "_column"))
+    at = lambda x, degrees: F.floor(x / degrees).cast("int")
+
+    def cells(df: DataFrame, degrees: int) -> DataFrame:
+        around = 360 // degrees
+        west, east = at(F.col("_w"), degrees), at(F.col("_e"), degrees)
+        columns = F.array_distinct(F.transform(F.sequence(west, F.least(east, west + around)), lambda c: F.pmod(c + around // 2, F.lit(around))))
+        return (df.withColumn("_row", F.explode(F.sequence(at(F.col("_s"), degrees), at(F.col("_n"), degrees)))).withColumn("_column", F.explode(columns))
+                .select(*fence, F.lit(degrees).alias("_size"), "_row", "_column"))
+
+    level = lambda degrees: F.struct(F.lit(degrees).alias("size"), at(F.col(lat), degrees).alias("row"),
+                                     F.pmod(at(F.col(lon), degrees) + 180 // degrees, F.lit(360 // degrees)).alias("column"))
+    usable = boxed.filter("_s <= _n and _w <= _e")
+    buckets = cells(usable.filter(~wide), 1).unionByName(cells(usable.filter(wide), COARSE_DEGREES))
     here = points.filter(F.col(lat).isNotNull() & F.col(lon).isNotNull())
-    near = here.withColumns({"_row": F.floor(lat).cast("int"), "_column": F.floor(lon).cast("int")}).join(cells, ["_row", "_column"]).drop("_row", "_column")
-    far = here.join(boxed.filter(wide).select(*fence), inside)
-    return near.filter(inside).unionByName(far)
+    placed = here.select("*", F.explode(F.array(level(1), level(COARSE_DEGREES))).alias("_at")).select(
+        *here.columns, F.col("_at.size").alias("_size"), F.col("_at.row").alias("_row"), F.col("_at.column").alias("_column"))
+    return placed.join(buckets, ["_size", "_row", "_column"]).drop("_size", "_row", "_column").filter(inside)
 
 
 def zone_integrity(zones: DataFrame, sessions: DataFrame, trust: DataFrame, as_of: int) -> DataFrame:
@@ -82,10 +95,13 @@ def session_feedback(zone_stations: DataFrame, sessions: DataFrame, as_of: int,
     """Grade, issues and advice for each zone with enough sessions; the p10 is the value at index floor(n / 10)."""
     fix = F.coalesce("fix_rate", F.lit(0.0))
     rows = stations_in_zones(zone_stations, clean_sessions(sessions).filter(between(as_of - hours * HOUR))).withColumn("fix", fix)
-    order = W.partitionBy("zone_id").orderBy("fix")
-    ranked = rows.withColumns({"k": F.row_number().over(order), "of": F.count("*").over(W.partitionBy("zone_id"))})
-    stats = ranked.groupBy("zone_id").agg(F.count("*").alias("session_count"), F.count_distinct("username").alias("unique_users"), F.avg("fix").alias("mean"),
-                                          F.max(F.when(F.col("k") == F.floor(F.col("of") * 0.1) + 1, F.col("fix"))).alias("p10")).filter(F.col("session_count") >= least)
+    # The p10 counts values: a zone has as many rows in the window as different fix rates.
+    values = rows.groupBy("zone_id", "fix").agg(F.count("*").alias("k"))
+    zone = W.partitionBy("zone_id")
+    upto = values.withColumns({"upto": F.sum("k").over(zone.orderBy("fix")), "of": F.sum("k").over(zone)})
+    low = upto.filter(F.col("upto") > F.floor(F.col("of") * 0.1)).groupBy("zone_id").agg(F.min("fix").alias("p10"))
+    stats = (rows.groupBy("zone_id").agg(F.count("*").alias("session_count"), F.count_distinct("username").alias("unique_users"), F.avg("fix").alias("mean"))
+             .filter(F.col("session_count") >= least).join(low, "zone_id"))
     per = rows.groupBy("zone_id", "station").agg(F.avg("fix").alias("avg"), F.count("*").alias("n"))
     size = W.partitionBy("zone_id")
     halves = (per.withColumns({"k": F.row_number().over(size.orderBy(F.desc("n"), "station")), "of": F.count("*").over(size)})

@@ -68,7 +68,8 @@ FROM events GROUP BY date_trunc('hour', ts)
 SELECT concat('ST', lpad(cast(s_suppkey AS string), 6, '0')) AS station_name,
        (s_suppkey * 29 % 101) / 1e2 AS uq_score, (s_suppkey * 31 % 101) / 1e2 AS uptime_7d,
        (s_suppkey * 23 % 1001) / 1e1 AS avg_fix_rate, (s_suppkey * 19 % 101) / 1e2 AS zero_fix_ratio,
-       s_suppkey * 7 % 60 AS session_count, (s_suppkey * 3 % 80) / 1e1 AS median_correction_age
+       s_suppkey * 7 % 60 AS session_count, (s_suppkey * 3 % 80) / 1e1 AS median_correction_age,
+       (s_suppkey * 43 % 101) / 1e2 AS reliability_score
 FROM supplier WHERE s_suppkey % 13 <> 4
 """,
     "fx_trust": """

@@ -27,7 +27,7 @@ MULTIPATH = f"""SELECT file_id, {rnd("mp1", 3)} AS mp1_rms, {rnd("coalesce(mp2,
  rms_bin0, rms_bin1, rms_bin2, rms_bin3, n_bin0, n_bin1, n_bin2, n_bin3, satellites, epochs, (rms_bin3 > 5e-1 AND (rms_bin0 = 0 OR rms_bin3 / greatest(rms_bin0, 1e-2) > 5e-1)) AS high_elevation_multipath
 FROM (SELECT file_id, count(DISTINCT epoch_s) AS epochs, count(DISTINCT prn) AS satellites FROM fx_obs GROUP BY 1 HAVING count(DISTINCT epoch_s) >= 10) JOIN mp USING (file_id)
 LEFT JOIN (SELECT file_id, sqrt(avg(r * r)) AS mp2 FROM (SELECT file_id, c2 - {A2} - avg(c2 - {A2}) OVER w AS r, count(*) OVER w AS k FROM fx_obs WHERE c2 <> 0 AND l2 <> 0 WINDOW w AS (PARTITION BY file_id, prn)) WHERE k >= 5 GROUP BY 1) USING (file_id)"""
-TRAIN = f"""SELECT s.*, coalesce(uq_score, 5e-1) AS uq_score, coalesce(uptime_7d, 5e-1) AS uptime_7d, coalesce(avg_fix_rate, 5e1) AS station_avg_fix, coalesce(zero_fix_ratio, 1e-1) AS zero_fix_ratio, coalesce(session_count, 10) AS session_count,
+TRAIN = f"""SELECT s.*, coalesce(uq_score, 5e-1) AS uq_score, coalesce(uptime_7d, 5e-1) AS uptime_7d, coalesce(avg_fix_rate, 5e1) AS station_avg_fix, coalesce(zero_fix_ratio, 1e-1) AS zero_fix_ratio, coalesce(session_count, 10) AS session_count, coalesce(reliability_score, 0e0) AS reliability_score,
  coalesce(p.latitude, 0e0) AS s_lat, coalesce(p.longitude, 0e0) AS s_lon, coalesce(p.network, 'unknown') AS network FROM fx_sessions s LEFT JOIN fx_station_scores c ON c.station_name = s.station LEFT JOIN fx_stations p ON p.name = s.station
  WHERE s.station IS NOT NULL AND s.station <> '' AND {NOISE} AND s.latitude IS NOT NULL AND abs(s.latitude) > 0.1 AND fix_rate IS NOT NULL"""
 F15 = f"""SELECT id, fix_rate AS label, uq_score, uptime_7d AS uptime, station_avg_fix, zero_fix_ratio, {rnd("log10(greatest(1, session_count))", 6)} AS session_count_log,
@@ -35,8 +35,8 @@ F15 = f"""SELECT id, fix_rate AS label, uq_score, uptime_7d AS uptime, station_a
  {rnd("sin(h * pi() / 12)", 6)} AS hour_sin, {rnd("cos(h * pi() / 12)", 6)} AS hour_cos, 0e0 AS kp, 0e0 AS dst, 0e0 AS bz, {rnd("abs(latitude)", 6)} AS latitude_abs, CASE WHEN network = 'onocoy' THEN 1e0 ELSE 0e0 END AS is_overlay
 FROM (SELECT *, CAST(CAST(floor(login_time / 36e5) AS bigint) % 24 AS double) AS h FROM tr) LEFT JOIN fx_trust USING (station)"""
 F18 = f"""SELECT id, fix_rate AS label, uq_score, uptime_7d, station_avg_fix, zero_fix_ratio, {rnd("ln(1 + session_count)", 6)} AS session_count_log, {rnd(f"least(2e2, {km('latitude', 'longitude', 's_lat', 's_lon')})", 4)} AS baseline_km, h AS "hour",
- {rnd("sin(h * pi() / 12)", 6)} AS hour_sin, {rnd("cos(h * pi() / 12)", 6)} AS hour_cos, {rnd("abs(latitude)", 6)} AS latitude_abs, CASE WHEN network = 'onocoy' THEN 1e0 ELSE 0e0 END AS is_overlay, coalesce(avg_age, 0e0) AS correction_age,
- CAST(least(3600, CASE WHEN duration = 0 THEN 300 ELSE duration END) AS double) AS duration, CAST(dayofweek(d) AS double) AS day_of_week, m AS "month", {rnd("sin(m * pi() / 6)", 6)} AS month_sin, {rnd("cos(m * pi() / 6)", 6)} AS month_cos
+ {rnd("sin(h * pi() / 12)", 6)} AS hour_sin, {rnd("cos(h * pi() / 12)", 6)} AS hour_cos, {rnd("abs(latitude)", 6)} AS latitude_abs, CASE WHEN network = 'onocoy' THEN 1e0 ELSE 0e0 END AS is_overlay, reliability_score, coalesce(avg_age, 0e0) AS correction_age,
+ CAST(least(3600, CASE WHEN duration > 0 THEN duration ELSE 300 END) AS double) AS duration, CAST(isodow(d) - 1 AS double) AS day_of_week, m AS "month", {rnd("sin(m * pi() / 6)", 6)} AS month_sin, {rnd("cos(m * pi() / 6)", 6)} AS month_cos
 FROM (SELECT *, make_timestamp_ms(login_time) AS d, CAST(hour(make_timestamp_ms(login_time)) AS double) AS h, CAST(month(make_timestamp_ms(login_time)) AS double) AS m FROM tr)"""
 
 
@@ -52,10 +52,21 @@ def f15(t: Tables) -> DataFrame:
     return ml.features_15(trained_rows(t), t.fx_trust)
 
 
-def predictions(t: Tables, kind: str) -> DataFrame:
+def forest(t: Tables) -> DataFrame:
+    """Importances and the errors on the training rows."""
+    rows = f15(t)
+    return ml.model_report(ml.train_forest(rows), rows)
+
+
+def boosted(t: Tables) -> DataFrame:
+    """Importances and the errors on the held-out fifth."""
+    train, test = ml.split(ml.features_18(trained_rows(t)))
+    return ml.model_report(ml.train_boosted(train, test), test)
+
+
+def predictions(t: Tables) -> DataFrame:
     train, test = ml.split(f15(t))
-    model = ml.train_forest(train, trees=10, depth=6) if kind == "forest" else ml.train_boosted(train, rounds=10, depth=4)
-    return ml.score_fix_rate(model, test)
+    return ml.score_fix_rate(ml.train_forest(train), test)
 
 
 def query_points(t: Tables) -> DataFrame:
@@ -136,8 +147,9 @@ SIGNALS = {
          atan2(z, sqrt(x * x + y * y) * (1 - 669437999014e-14)) AS la FROM (SELECT name, latitude * 1e5 AS x, longitude * 2e4 AS y, height + 4e6 AS z FROM fx_stations))""")),
     "features_15": (lambda t: rounded(f15(t), session_count_log=6, baseline_km=4, hour_sin=6, hour_cos=6, latitude_abs=6), oracle(F15, tr=TRAIN)),
     "features_18": (lambda t: rounded(ml.features_18(trained_rows(t)), session_count_log=6, baseline_km=4, hour_sin=6, hour_cos=6, latitude_abs=6, month_sin=6, month_cos=6), oracle(F18, tr=TRAIN)),
-    "train_forest": (lambda t: predictions(t, "forest"), None),
-    "train_boosted": (lambda t: predictions(t, "boosted"), None),
+    "train_forest": (forest, None),
+    "train_boosted": (boosted, None),
+    "score_fix_rate": (predictions, None),
     "sample_priorities": (lambda t: ml.sample_priorities(t.fx_trust), None),
     "protection_levels": (lambda t: ml.protection_levels(query_points(t), t.fx_stations, t.fx_station_scores, t.fx_trust, t.fx_sessions, AS_OF), oracle(PL, ner=PL_NEAR)),
     "nearest_k": (
@@ -194,7 +206,7 @@ SIGNALS = {
         oracle(f"SELECT count(*) FILTER (epoch_ms(recorded_ts) >= {AS_OF - 14 * 86_400_000}) AS kept, count(*) FILTER (epoch_ms(recorded_ts) < {AS_OF - 14 * 86_400_000}) AS deleted, 'status_log' AS table_name FROM fx_status_log")),
     "pseudonymize": (
         lambda t: tables.pseudonymize(t.fx_sessions.select("id", "station")),
-        oracle("""SELECT id, n.code AS station FROM fx_sessions s LEFT JOIN (SELECT station, concat('STN-', lpad(CAST(row_number() OVER (ORDER BY min(id), station) AS varchar), 4, '0')) AS code FROM fx_sessions WHERE station IS NOT NULL GROUP BY 1) n ON n.station = s.station""")),
+        oracle("""SELECT id, n.code AS station FROM fx_sessions s LEFT JOIN (SELECT station, printf('STN-%04d', row_number() OVER (ORDER BY min(id), station)) AS code FROM fx_sessions WHERE station IS NOT NULL GROUP BY 1) n ON n.station = s.station""")),
     "anomaly_id": (
         lambda t: t.fx_station_scores.select("station_name", anomaly_id(F.lit("age_spike"), F.col("station_name"), AS_OF).alias("id")),
         oracle(f"SELECT station_name, concat('anom_', md5(concat('age_spike_', station_name, '_{AS_OF // 300_000}'))) AS id FROM fx_station_scores")),

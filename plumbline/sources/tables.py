@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.functions.graph import checkpointed
 from plumbline.functions.rules import DAY
 
 SESSION = ("id string, username string, mountpoint string, station string, status string, total_gga int, rtk_fixed int, rtk_float int, duration long, login_time long, synced_at long, "
@@ -244,8 +245,16 @@ def apply_retention(table: DataFrame, kind: str, as_of: int, column: str) -> tup
 
 
 def pseudonymize(df: DataFrame, column: str = "station", order: str = "id") -> DataFrame:
-    """Stations as STN-0001 and so on, in the order of their first row; distinct names only are numbered in one task."""
+    """Stations as STN-0001 and so on, in the order of their first row.
+
+    Names are numbered within ranges of that order, and a range's numbers start after those of the ranges before it, so
+    no task sorts all names.
+    """
     first = df.filter(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    names = first.withColumn("_n", F.row_number().over(W.orderBy("_first", column)))
-    code = F.concat(F.lit("STN-"), F.lpad(F.col("_n").cast("string"), 4, "0"))
-    return df.join(names.select(column, code.alias("_code")), column, "left").withColumn(column, F.col("_code")).drop("_code")
+    ranged = checkpointed(first.repartitionByRange("_first", column).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))  # one row per range
+    before = sizes.select("_part", (F.sum("_size").over(W.orderBy("_part")) - F.col("_size")).alias("_before"))
+    rank = F.row_number().over(W.partitionBy("_part").orderBy("_first", column))
+    code = F.format_string("STN-%04d", F.col("_rank") + F.col("_before"))
+    names = ranged.withColumn("_rank", rank).join(F.broadcast(before), "_part").select(column, code.alias("_code"))
+    return df.join(names, column, "left").withColumn(column, F.col("_code")).drop("_code")
