@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.operators import areas
 from plumbline.operators import spatial as s
 
+from .detector_queries import COMP
 from .fixtures import AS_OF, Tables, oracle
 from .sql import POSITION, km, rnd
 
@@ -60,6 +61,30 @@ FROM (SELECT *, {rnd("bl * 35e-2 + ge * 2e-1 + up * 2e-1 + fr * 15e-2 + fp * 1e-
  FROM cel c LEFT JOIN aro USING (cell) LEFT JOIN sen USING (cell))))"""
 
 
+GOOD = "SELECT cell_id, CAST(split_part(cell_id, ':', 1) AS int) AS q, CAST(split_part(cell_id, ':', 2) AS int) AS r, latitude, longitude, quality_score, zone_tier FROM cv WHERE zone_tier IN ('full_rtk', 'degraded_rtk')"
+ADJOINING = """
+SELECT a.cell_id AS a, b.cell_id AS b FROM gd a JOIN gd b
+ON (b.q - a.q, b.r - a.r) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))"""
+ZONES = f"""
+SELECT *, (SELECT max({km("z.lat", "z.lon", "g.latitude", "g.longitude")}) FROM zc g WHERE g.zone = z.zone) AS reach FROM (
+  SELECT zone, count(*) AS cells, count(*) FILTER (zone_tier = 'full_rtk') AS f, avg(latitude) AS lat, avg(longitude) AS lon, avg(quality_score) AS aq, min(quality_score) AS mq
+  FROM zc GROUP BY 1 HAVING count(*) >= 3) z"""
+ZONE_CELLS = "SELECT g.*, coalesce(c.comp, g.cell_id) AS zone FROM gd g LEFT JOIN comp c ON c.id = g.cell_id"
+HELD = f"""
+SELECT zone, count(*) FILTER (network = 'geodnet') AS p, count(*) FILTER (network = 'onocoy') AS o FROM (
+  SELECT z.zone, s.network, {km("z.lat", "z.lon", "s.latitude", "s.longitude")} AS dk, coalesce(t.composite_score, 5e-1) AS tr
+  FROM zn z, fx_stations s LEFT JOIN fx_trust t ON t.station = s.name
+  WHERE tr >= 4e-1 AND dk <= 50 QUALIFY row_number() OVER (PARTITION BY z.zone ORDER BY floor(-tr * 10), dk, s.name) <= 20) GROUP BY 1"""
+COVERAGE_ZONES = f"""
+SELECT zone AS zone_id, tier AS zone_tier, network,
+       CASE WHEN tier = 'full_rtk' THEN CASE WHEN network <> 'onocoy' THEN 1 ELSE 20 END WHEN network <> 'onocoy' THEN 10 ELSE 30 END AS priority,
+       CASE WHEN cells >= 7 THEN 'polygon' ELSE 'circle' END AS fence_type, {rnd("lat", 6)} AS lat, {rnd("lon", 6)} AS lon, {rnd("(reach + 5) * 1000")} AS radius_m, cells,
+       {rnd("aq", 2)} AS avg_quality, mq AS min_quality, cells * 73 AS area_km2
+FROM (SELECT *, CASE WHEN p > 0 AND o > 0 THEN 'multi' WHEN o > 0 THEN 'onocoy' ELSE 'geodnet' END AS network, CASE WHEN f >= cells - f THEN 'full_rtk' ELSE 'degraded_rtk' END AS tier
+      FROM zn LEFT JOIN hd USING (zone))
+ORDER BY avg_quality DESC, zone_id LIMIT 450"""
+
+
 def fitted(t: Tables) -> DataFrame:
     return s.fit_variogram(s.empirical_variogram(points(t)))
 
@@ -73,7 +98,9 @@ def surface(t: Tables) -> DataFrame:
 
 
 SPATIAL = {
-    "coverage_zones": (lambda t: areas.coverage_zones(cell_rows(t), t.fx_stations, t.fx_trust).drop("points", "stations"), None),
+    "coverage_zones": (
+        lambda t: areas.coverage_zones(cell_rows(t), t.fx_stations, t.fx_trust).drop("points", "stations"),
+        oracle(COVERAGE_ZONES, bas=BASE, sen=SEEN_CELLS, cel=CELLS, nea=NEAR, aro=AROUND, cv=COVERAGE, gd=GOOD, edg=ADJOINING, comp=COMP, zc=ZONE_CELLS, zn=ZONES, hd=HELD)),
     "coverage_cells": (cell_rows, oracle(COVERAGE, bas=BASE, sen=SEEN_CELLS, cel=CELLS, nea=NEAR, aro=AROUND)),
     "empirical_variogram": (
         lambda t: s.empirical_variogram(points(t)).select("bin", s.half_up("distance", 3).alias("distance"), s.half_up("semivariance", 3).alias("semivariance"), "count"),

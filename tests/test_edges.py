@@ -10,7 +10,8 @@ from plumbline.functions.geo import distance_join, nearest_join
 from plumbline.functions.graph import connected_components
 from plumbline.functions.greedy import keep_best
 from plumbline.functions.rules import DAY, HOUR, half_up
-from plumbline.operators import actions, areas, detectors, spatial, trust, zones
+from plumbline.operators import actions, areas, detectors, ml, spatial, trust, zones
+from plumbline.plans import registry
 from plumbline.plans.fixtures import AS_OF
 from plumbline.sources import tables
 from plumbline.streaming import jobs
@@ -288,3 +289,118 @@ def test_alert_jobs_gather_no_key_in_one_task(spark):
         assert r.held == len(newest) and r.recent == sum(t > rows[1499][3] - 86_400_000 for t in newest)
     for df in (sent, history):
         assert "collect_list" not in df._jdf.queryExecution().toString()
+
+
+def test_nearest_join_far_from_everything(spark):
+    """Rows in every part of the globe and at its edges, with a right side in a few places only; nothing is compared with all."""
+    rng = random.Random(11)
+    left = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(120)] + [(900, None, 3.0), (901, 90.0, 0.0), (902, 0.0, 180.0), (903, 0.0, -180.0)]
+    right = [(f"r{i}", rng.uniform(-60, -40) if i % 2 else rng.uniform(40, 50), rng.uniform(150, 180) if i % 3 else rng.uniform(-180, -170)) for i in range(60)]
+    schemas = "id int, latitude double, longitude double", "r string, r_latitude double, r_longitude double"
+    out = nearest_join(spark.createDataFrame(left, schemas[0]), spark.createDataFrame(right, schemas[1]), "id", "r")
+    for row in out.collect():
+        if row.latitude is None:
+            assert row.r is None
+        else:
+            assert abs(row.distance_km - min(km(row.latitude, row.longitude, a, b) for _, a, b in right)) < 1e-6
+    assert nearest_join(spark.createDataFrame(left, schemas[0]), spark.createDataFrame([], schemas[1]), "id", "r").filter("r is null").count() == len(left)
+
+
+@pytest.mark.parametrize("name", ["nearest_join", "gap_fill", "probe_targets", "overlay_candidates", "point_in_geofence"])
+def test_plans_hold_no_cross_product(spark, sf, name):
+    plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_geofences_of_every_width(spark):
+    rng = random.Random(12)
+    fences = [(f"c{i}", True, "circle", rng.uniform(-88, 88), rng.uniform(-180, 180), 10 ** rng.uniform(3, 7.2), None) for i in range(25)]
+    fences += [("w", True, "circle", 10.0, 179.5, 300_000.0, None), ("pole", True, "circle", 89.5, 0.0, 400_000.0, None), ("all", True, "circle", 0.0, 0.0, 2.1e7, None), ("off", False, "circle", 0.0, 0.0, 2.1e7, None),
+               ("square", True, "polygon", None, None, None, [[-40.0, -100.0], [50.0, -100.0], [50.0, 120.0], [-40.0, 120.0]]), ("line", True, "polygon", None, None, None, [[0.0, 0.0], [1.0, 1.0]])]
+    spots = [(i, rng.uniform(-90, 90), rng.uniform(-180, 180)) for i in range(300)] + [(500, 10.0, -179.6), (501, 90.0, 5.0), (502, -90.0, 0.0), (503, 0.0, 180.0), (504, 0.0, -180.0), (505, None, 1.0)]
+    table = spark.createDataFrame(fences, "zone_id string, enabled boolean, fence_type string, lat double, lon double, radius_m double, points array<array<double>>")
+    got = {(r.id, r.zone_id) for r in zones.point_in_geofence(spark.createDataFrame(spots, "id int, latitude double, longitude double"), table).collect()}
+    want = {(i, f[0]) for i, a, b in spots if a is not None for f in fences if f[1] and f[2] == "circle" and km(a, b, f[3], f[4]) * 1000 <= f[5]}
+    want |= {(i, "square") for i, a, b in spots if a is not None and -40 < a < 50 and -100 < b < 120}
+    assert got == want
+
+
+def test_clusters_of_a_jammed_city(spark):
+    """Very many points of one place cost few pairs, and the clusters equal brute force."""
+    rng = random.Random(13)
+    rows = [("S", AS_OF - rng.randrange(60) * 60_000, 10.0, 1.0, 100, 50.0 + rng.gauss(0, 0.02), 10.0 + rng.gauss(0, 0.02)) for _ in range(400)]
+    rows += [("S", AS_OF - rng.randrange(300) * 60_000, 10.0, 1.0, 100, 50.0 + rng.uniform(-2, 2), 10.0 + rng.uniform(-2, 2)) for _ in range(250)]
+    table = sessions(spark, rows)
+    points = [(str(i), r[1], r[5], r[6]) for i, r in enumerate(rows)]
+    edges = {i: set() for i, *_ in points}
+    for i, t, a, b in points:
+        for j, u, c, d in points:
+            if i < j and abs(t - u) <= 600_000 and km(a, b, c, d) <= 30:
+                edges[i].add(j)
+                edges[j].add(i)
+    seen, want = set(), {}
+    for i in edges:
+        if i in seen:
+            continue
+        group, stack = set(), [i]
+        while stack:
+            k = stack.pop()
+            if k not in group:
+                group.add(k)
+                stack += edges[k]
+        seen |= group
+        if max(len(edges[k]) for k in group) >= 3 and len({int(k) % 7 for k in group}) >= 3:
+            want[min(group)] = len(group)
+    got = {r.cluster: r.points for r in detectors.interference_clusters(table, AS_OF).collect()}
+    assert got == want and max(want.values()) > 300 and len(want) > 1
+
+
+def test_kriging_surface_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    lat, lon, value = np.r_[rng.uniform(50, 54, 30), rng.uniform(84, 88, 6)], np.r_[rng.uniform(-3, 3, 30), rng.uniform(170, 190, 6) % 360 - 180 * 0], rng.uniform(0, 100, 36)
+    lon = np.where(lon > 180, lon - 360, lon)
+    points = spark.createDataFrame([(f"p{k:02d}", float(a), float(b), float(v)) for k, (a, b, v) in enumerate(zip(lat, lon, value))], "id string, lat double, lon double, value double")
+    model = spark.createDataFrame([("exponential", 5.0, 900.0, 120.0)], "model string, nugget double, sill double, range double")
+    got = {(r.lat, r.lon): r for r in spatial.kriging_surface(points, model, 2.0, neighbours=8).collect()}
+    want = {}
+    for g_lat in np.arange(-90, 91, 2.0):
+        for g_lon in np.arange(-180, 180, 2.0):
+            d = np.array([km(g_lat, g_lon, a, b) for a, b in zip(lat, lon)])
+            near = np.lexsort((np.arange(36), d))[:8]
+            near = near[d[near] <= 240]
+            if (d <= 240).sum() >= 3:
+                want[g_lat, g_lon] = spatial.solve_kriging(lat[near], lon[near], value[near], d[near], "exponential", 5.0, 900.0, 120.0)
+    assert set(want) <= set(got) and all(abs(x) == 180 for _, x in set(got) - set(want))
+    assert all(abs(got[k].predicted - p) < 0.011 and abs(got[k].variance - v) < 0.0011 and got[k].confidence == sure for k, (p, v, sure) in want.items())
+
+
+def test_sample_priorities_follow_the_distribution(spark):
+    state = spark.createDataFrame([(f"S{k}", 8.0, 4.0, None) for k in range(4000)] + [("X", 8.0, 4.0, "excluded")], "station string, alpha double, beta double, flag string")
+    rows = ml.sample_priorities(state).collect()
+    mean, drawn = 8 / 12, np.array([r.sampled for r in rows])
+    assert len(rows) == 4000 and max(drawn) <= mean + 0.15 + 1e-12 and len(set(drawn)) > 3000
+    reference = np.minimum(np.random.default_rng(0).beta(8, 4, 200_000), mean + 0.15)
+    assert abs(drawn.mean() - reference.mean()) < 0.01 and abs(drawn.std() - reference.std()) < 0.01
+    assert all(abs(r.blended - (0.7 * r.sampled + 0.3 * mean)) < 1e-9 for r in rows)
+    again = {r.station: r.sampled for r in ml.sample_priorities(state.orderBy(F.desc("station")).repartition(5)).collect()}
+    assert again == {r.station: r.sampled for r in rows}
+
+
+def test_models_learn_and_stop(spark):
+    rng = np.random.default_rng(3)
+    rows = [(str(k), float(10 * a + b), float(a), float(b), float(c)) for k, (a, b, c) in enumerate(rng.uniform(0, 1, (1500, 3)))]
+    features = spark.createDataFrame(rows, "id string, label double, strong double, weak double, noise double")
+    assert ml.train_forest(features.limit(99)) is None and ml.model_report(None, features).count() == 0
+    report = {r.feature: r for r in ml.model_report(ml.train_forest(features), features).collect()}
+    assert report["strong"].importance > 0.9 and report["noise"].importance < 0.05 and report["strong"].r2 > 0.95 and report["strong"].trees == 50
+    train, test = ml.split(features)
+    boosted = {r.feature: r for r in ml.model_report(ml.train_boosted(train, test, rounds=25), test).collect()}
+    assert boosted["strong"].importance > 0.5 and boosted["strong"].r2 > 0.6 and boosted["strong"].trees <= 25
+    stopped = ml.train_boosted(train, test, rounds=25, tolerance=0.5)
+    assert stopped.getNumTrees < 25
+
+
+def test_pseudonyms_count_on_beyond_four_digits(spark):
+    rows = spark.range(12_000).select(F.col("id"), F.concat(F.lit("name"), F.col("id") % 11_000).alias("station"))
+    got = {r.station for r in tables.pseudonymize(rows).select("station").distinct().collect()}
+    assert got == {f"STN-{k:04d}" for k in range(1, 11_001)}
