@@ -16,4 +16,4 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_html_extraction": html_extract.op10_html_extraction,
 }
-ORACLE_SQL = {"op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE}
+ORACLE_SQL = {"op3_pii": pii.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE}

@@ -286,3 +286,46 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("pii", lambda x: x["kind"] != "term")
     counts = [F.expr(f"cast(size(filter(pii, x -> x.kind = '{k}')) AS long)").alias(f"n_{k}") for k in KINDS[:4]]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("pii")).alias("spans"))
+
+
+def _matches_sql(kind: str, pattern: str, keep: str) -> str:
+    """``rid, kind, s, e, m``: matches of one kind with their places, which add up from the texts between them."""
+    return f"""
+SELECT rid, '{kind}' AS kind, s, s + length(m) AS e, m FROM (
+  SELECT rid, m, (sum(length(b) + length(m)) OVER (PARTITION BY rid ORDER BY i) - length(m))::BIGINT AS s FROM (
+    SELECT rid, unnest(found) AS m, unnest(between[1:len(found)]) AS b, unnest(range(len(found))) AS i
+    FROM (SELECT rid, regexp_extract_all(t, '{pattern}') AS found, string_split_regex(t, '{pattern}') AS between FROM docs))) WHERE {keep}"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = (f"list_sum(list_transform(range(0, length({_DIGITS})), lambda i: CASE WHEN i % 2 = 0 THEN substr(reverse({_DIGITS}), i + 1, 1)::INT "
+         f"ELSE 2 * substr(reverse({_DIGITS}), i + 1, 1)::INT - CASE WHEN substr(reverse({_DIGITS}), i + 1, 1) > '4' THEN 9 ELSE 0 END END)) % 10 = 0")
+_IP = "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR coalesce(try_cast(nullif(ltrim(x, '0'), '') AS INT), 0) > 255)) = 0"
+_WORD = "[\\p{L}\\p{Nl}\\p{No}]{3,}"
+_LISTED = "list_position(['email', 'ip', 'card', 'phone', 'term'], kind)"
+#: The whole query in SQL: base spans, disclosure by co-occurrence, and the spans of terms that pass.
+ORACLE = f"""
+WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
+base AS ({_matches_sql("email", PATTERNS["email"].pattern, "true")} UNION ALL {_matches_sql("ip", PATTERNS["ip"].pattern, _IP)}
+  UNION ALL {_matches_sql("card", PATTERNS["card"].pattern.replace(chr(92) + "x20", " "), f"length({_DIGITS}) BETWEEN 14 AND 19 AND {_LUHN}")}
+  UNION ALL {_matches_sql("phone", PATTERNS["phone"].pattern.replace(chr(92) + "x20", " "), f"length({_DIGITS}) BETWEEN 10 AND 15")}),
+words AS ({_matches_sql("term", _WORD, "true")}),
+free AS (SELECT w.rid, w.s, w.e, lower(w.m) AS term FROM words w WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.rid = w.rid AND b.s < w.e AND w.s < b.e)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY s) - 1 AS at FROM free WHERE rid IN (SELECT rid FROM base)),
+entities AS (
+  SELECT rid, CASE WHEN kind IN ('email', 'ip') THEN kind || ':' || lower(m) ELSE kind || ':' || {_DIGITS} END AS entity,
+         (SELECT count(*) FROM numbered n WHERE n.rid = base.rid AND n.s <= base.s) AS k FROM base),
+pairs AS (SELECT DISTINCT e.rid, e.entity, n.term FROM entities e JOIN numbered n ON n.rid = e.rid AND n.at >= e.k - {CONTEXT_WORDS} AND n.at < e.k + {CONTEXT_WORDS}),
+counted AS (SELECT entity, term, count(*) AS c FROM pairs JOIN docs USING (rid) GROUP BY 1, 2 HAVING count(DISTINCT t) >= {LEAST_SUPPORT}),
+held AS (SELECT rid, lower(m) AS term FROM words WHERE lower(m) IN (SELECT term FROM counted) GROUP BY 1, 2),
+scored AS (
+  SELECT term, max(ln(c * n / (n_t * n_e)) / ln(n / n_e)) AS d FROM counted
+  JOIN (SELECT entity, count(DISTINCT rid) AS n_e FROM entities GROUP BY 1) USING (entity)
+  JOIN (SELECT term, count(*) AS n_t FROM held GROUP BY 1) USING (term), (SELECT count(*)::DOUBLE AS n FROM docs) WHERE n_e < n GROUP BY 1),
+spans AS (SELECT rid, kind, s, e FROM base UNION ALL SELECT rid, 'term', s, e FROM free WHERE term IN (SELECT term FROM scored WHERE d >= {GENERALISE_AT}))
+SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card,
+       count(*) FILTER (kind = 'phone') AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, {_LISTED}) FILTER (kind <> 'term'), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, {_LISTED}) FILTER (kind IS NOT NULL), '') AS spans
+FROM docs LEFT JOIN spans USING (rid) GROUP BY rid, doc_id
+"""

@@ -154,6 +154,21 @@ def test_revealing_terms_and_sanitising(docs):
     assert pii.find_personal_data(docs()).count() == 0
 
 
+def test_planted_terms_equal_the_sql_form(docs, spark, tmp_path):
+    """A corpus whose words reveal addresses, so that the method adds spans; its SQL twin finds the same ones."""
+    import duckdb
+
+    rng = random.Random(6)
+    common = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [f"{' '.join(rng.sample(common, 4))} Zanzibar office of carl@corp.com or +49 30 1234567890 {k} {' '.join(rng.sample(common, 3))}" for k in "abcdef"]
+    rows += [f"{' '.join(rng.sample(common, 6))} {k}" for k in range(40)] + [rows[0], rows[0], "the zanzibar OFFICE", "", None, "10.0.0.1 héllo zanzibar"]
+    docs(*rows).write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(map(tuple, pii.op3_pii(spark, str(tmp_path)).collect()), key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.sql(pii.ORACLE).fetchall(), key=str) and sum("term" in r[6] for r in got) >= 9
+
+
 def test_op3_digest(spark, sf):
     for r in pii.op3_pii(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").limit(60).collect():
         spans = naive_spans(r.text)
@@ -185,7 +200,10 @@ def test_host_consensus(spark):
     rows = [(i, "http://h.example/x", layout.format(i=i, a="long body text " * 20, b="short")) for i in range(6)]
     rows += [(6, "http://h.example/y", layout.format(i=9, a="brief body text words " * 2, b="promo words in the other box " * 2)), (7, None, "<p>free text</p>"), (8, "http://e.example", None), (8, "http://e.example", None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("path", F.lit("clash")).withColumn("host", F.lit("clash"))
-    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    rows = html_extract.extract_pages(pages).collect()
+    got = {r.page_id: r.text for r in rows}
+    # The last page alone would take the other box; its host's path decides.
+    assert {r.page_id: r.by_host for r in rows}[6] and html_extract.extract(layout.format(i=9, a="brief body text words " * 2, b="promo words in the other box " * 2))[0] != got[6]
     assert got[0] == ("long body text " * 20).strip() and got[6] == ("brief body text words " * 2).strip() and got[7] == "free text" and got[8] == ""
     assert html_extract.extract_pages(pages.limit(0)).count() == 0
 
@@ -278,6 +296,14 @@ def test_features_depend_on_the_word_alone():
     assert (together[3][1:] == together[5][1:]).all() and together[3][0] != together[5][0] and (together[3][1:] != together[6][1:]).any()
 
 
+def test_one_long_text_is_a_batch_of_its_own():
+    rows = toxic_rows()[:60]
+    none = langid.Model([], np.zeros((1 << langid.BUCKET_BITS, 0), np.float32), np.zeros(0))
+    texts = [t for t, _ in rows] + ["w1 w2 " * 500_000, ""]
+    model = toxicity.fit(texts, np.array([y for _, y in rows] + [0, 0]), none)
+    assert np.isfinite(model.scores([texts[0], texts[60], ""])).all()
+
+
 def test_parts_of_a_batch():
     texts = ["a b c", "", "b b d", "e"]
     every = toxicity.Batch(texts)
