@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 HOUR, DAY = 3_600_000, 86_400_000
 PRIMARY, OVERLAY = "geodnet", "onocoy"
-#: Station and region tables of up to so many rows may be broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
 
 
 def half_up(x: Column | str, digits: int = 0) -> Column:
