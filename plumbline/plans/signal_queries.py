@@ -214,10 +214,18 @@ SIGNALS = {
         lambda t: rounded(jobs.window_stats(t.fx_sessions.filter(F.col("login_time") >= D7), "30 minutes"), mean_fix=3, mean_age=3).fillna(-1.0, ["mean_age"]),
         oracle(f"""SELECT CAST(floor(login_time / 18e5) AS bigint) * 1800000 AS start_ms, station, count(*) AS sessions, {rnd("avg(fix_rate)", 3)} AS mean_fix, coalesce({rnd("avg(CASE WHEN avg_age > 0 THEN avg_age END)", 3)}, -1e0) AS mean_age
          FROM fx_sessions WHERE {STATION} AND {NOISE} AND login_time >= {D7} GROUP BY 1, 2""")),
+    "micro_window_stats": (
+        lambda t: rounded(jobs.window_stats(t.fx_sessions.filter(F.col("login_time") >= D7)), mean_fix=3, mean_age=3).fillna(-1.0, ["mean_age"]),
+        oracle(f"""
+SELECT CAST(floor(login_time / 3e5) AS bigint) * 300000 AS start_ms, station, count(*) AS sessions, {rnd("avg(fix_rate)", 3)} AS mean_fix,
+       coalesce({rnd("avg(CASE WHEN avg_age > 0 THEN avg_age END)", 3)}, -1e0) AS mean_age
+FROM fx_sessions WHERE {STATION} AND {NOISE} AND login_time >= {D7} GROUP BY 1, 2""")),
     "sliding_window_stats": (
-        lambda t: rounded(jobs.window_stats(t.fx_sessions.filter(F.col("login_time") >= H24), "6 hours", "2 hours"), mean_fix=3, mean_age=3).fillna(-1.0, ["mean_age"]),
-        oracle(f"""SELECT (CAST(floor(login_time / 72e5) AS bigint) - k) * 7200000 AS start_ms, station, count(*) AS sessions, {rnd("avg(fix_rate)", 3)} AS mean_fix, coalesce({rnd("avg(CASE WHEN avg_age > 0 THEN avg_age END)", 3)}, -1e0) AS mean_age
-         FROM fx_sessions, (VALUES (0), (1), (2)) v(k) WHERE {STATION} AND {NOISE} AND login_time >= {H24} GROUP BY 1, 2""")),
+        lambda t: rounded(jobs.window_stats(t.fx_sessions.filter(F.col("login_time") >= H24), "6 hours", "5 minutes"), mean_fix=3, mean_age=3).fillna(-1.0, ["mean_age"]),
+        oracle(f"""
+SELECT (CAST(floor(login_time / 3e5) AS bigint) - k) * 300000 AS start_ms, station, count(*) AS sessions, {rnd("avg(fix_rate)", 3)} AS mean_fix,
+       coalesce({rnd("avg(CASE WHEN avg_age > 0 THEN avg_age END)", 3)}, -1e0) AS mean_age
+FROM fx_sessions, range(72) v(k) WHERE {STATION} AND {NOISE} AND login_time >= {H24} GROUP BY 1, 2""")),
     "throttled_alerts": (lambda t: jobs.throttled_alerts(alert_events(t)), oracle(THROTTLED, al=ALERTS, sq=ALERT_SEQ)),
     "recent_history": (
         lambda t: jobs.recent_history(alert_events(t).select(F.concat_ws(":", "type", "severity").alias("key"), "ts_ms"), AS_OF),
