@@ -32,7 +32,7 @@ WORD = np.uint64(32)
 #: A segment holds whole documents of about so many tokens and is one record of the file.
 SEGMENT_TOKENS = 1 << 21
 #: Text bytes that one file is made for.
-FILE_BYTES = 1 << 28
+FILE_BYTES = 1 << 27
 #: Counts of the frequency table travel in so many ranges of ids.
 COUNT_RANGES = 256
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -54,7 +54,8 @@ class Tokenizer:
 
         self.library = Library.from_file(path)
         #: Added tokens are found before all else and keep their ids; texts are cut around them.
-        self.added = re.compile("|".join(re.escape(t.content) for _, t in sorted(self.library.get_added_tokens_decoder().items())) or r"(?!)")
+        self.literals = [t.content for _, t in sorted(self.library.get_added_tokens_decoder().items())]
+        self.added = re.compile("|".join(map(re.escape, self.literals)))
         self.bytes = np.zeros(self.library.get_vocab_size(), np.int64)
         for token, i in self.library.get_vocab().items():
             self.bytes[i] = len(token)  # one character per byte in this kind of vocabulary
@@ -82,11 +83,13 @@ class Tokenizer:
         return self.cache.ids([self._chunks(t) for t in texts])
 
     def _chunks(self, text: str) -> list[str]:
+        if not any(token in text for token in self.literals):
+            return CHUNK.findall(text)
         chunks, at = [], 0
         for m in self.added.finditer(text):
             chunks += [*CHUNK.findall(text[at:m.start()]), m[0]]
             at = m.end()
-        return chunks + CHUNK.findall(text[at:]) if at else CHUNK.findall(text)
+        return chunks + CHUNK.findall(text[at:])
 
 
 @lru_cache(maxsize=1)
@@ -153,7 +156,7 @@ class Coder:
         crc = np.array([zlib.crc32(raw[4 * BLOCK * b:4 * BLOCK * (b + 1)]) for b in range(blocks)], np.uint32)
         return words[written].astype("<u4").tobytes(), state, np.cumsum(per_block) - per_block, crc
 
-    def decode(self, words: bytes, states: np.ndarray, first: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
+    def decode(self, words: bytes | np.ndarray, states: np.ndarray, first: np.ndarray, crc: np.ndarray, n: int) -> np.ndarray:
         """The ids; raises ``ValueError`` naming the first block whose checksum does not match."""
         blocks, steps = self._shape(n)
         stream = np.concatenate([np.frombuffer(words, "<u4"), np.zeros(LANES, np.uint32)]).astype(np.uint64)
@@ -241,9 +244,9 @@ SEGMENT = ("file_no int, segment int, start long, doc_ids array<long>, lengths a
 
 
 def file_count(docs: DataFrame, file_bytes: int = FILE_BYTES) -> int:
-    """Files for the whole texts of ``docs``: one for each ``file_bytes`` of them, but no fewer than the cluster has cores."""
+    """Files for the whole texts of ``docs``: one for each ``file_bytes`` of them, but no fewer than a shuffle has partitions."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("n")).first().n
-    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // file_bytes))
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // file_bytes))
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, files: int | None = None) -> np.ndarray:
@@ -283,7 +286,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, files: in
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(row, schema)], schema.names)
 
-        for batch in batches:
+        small = (batch.slice(k, 256) for batch in batches for k in range(0, batch.num_rows, 256))  # few rows as Python values at once
+        for batch in small:
             for doc_id, n, ids, f in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "file_no"))):
                 if f != file:
                     if held:
@@ -306,16 +310,17 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` per document, decoded from the files, every block on its own."""
     table = np.frombuffer(spark.read.parquet(f"{path}/table").first().frequencies, "<i4").astype(np.int64)
     shared = spark.sparkContext.broadcast(table)
-    columns = ("n_tokens", "words", "states", "first_words", "checksums", "lengths", "start")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = Coder(shared.value)
         for batch in batches:
-            for k, (n, words, states, first, crc, lengths, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in columns))):
-                ids = coder.decode(words, np.frombuffer(states, np.uint64), np.frombuffer(first, "<i8"), np.frombuffer(crc, np.uint32), n)
-                raw, sizes = memoryview(ids.astype("<u4").tobytes()), np.asarray(lengths, np.int64)
-                ends = np.cumsum(sizes)
-                sums = [zlib.crc32(raw[4 * (e - n):4 * e]) for e, n in zip(ends.tolist(), lengths)]
+            for k in range(batch.num_rows):
+                raw = lambda name, kind: np.frombuffer(batch.column(name)[k].as_buffer(), kind)  # noqa: B023, E731
+                start, n = batch.column("start")[k].as_py(), batch.column("n_tokens")[k].as_py()
+                sizes = batch.column("lengths")[k].values.to_numpy().astype(np.int64)
+                ids = coder.decode(raw("words", "<u4"), raw("states", np.uint64), raw("first_words", "<i8"), raw("checksums", np.uint32), n)
+                tokens, ends = memoryview(ids.astype("<u4").tobytes()), np.cumsum(sizes)
+                sums = [zlib.crc32(tokens[4 * (e - m):4 * e]) for e, m in zip(ends.tolist(), sizes.tolist())]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_ids")[k].values, pa.array(start + ends - sizes), pa.array(sizes), pa.array(sums, pa.int64())],
                                                  ["doc_id", "start", "n_tokens", "ids_crc32"])
 

@@ -20,6 +20,20 @@ def test_chunks_give_the_library_ids():
         assert tokenizer.library.encode(text, add_special_tokens=False).ids == ids.tolist(), text
 
 
+def test_cache_thins_out_and_still_gives_the_library_ids():
+    from tokenizers import Tokenizer
+
+    plain, rng = Tokenizer.from_file(BPE), random.Random(4)
+    tokenizer = rans.Tokenizer(BPE)
+    tokenizer.cache.limit = 60
+    for _ in range(60):
+        texts = [" ".join(rng.choice(["the", "of", "and", f"w{rng.randrange(3000)}"]) for _ in range(40)) for _ in range(3)]
+        flat, sizes = tokenizer.encode(texts)
+        for text, ids in zip(texts, np.split(flat, np.cumsum(sizes)[:-1])):
+            assert plain.encode(text, add_special_tokens=False).ids == ids.tolist()
+        assert len(tokenizer.cache.index) <= 60 + 3 * 41 and " the" in tokenizer.cache.index
+
+
 def test_added_tokens_keep_their_ids():
     from tokenizers import Tokenizer
 
