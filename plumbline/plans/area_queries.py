@@ -41,7 +41,8 @@ GAP_REGIONS = f"""
 SELECT r.region, c.latitude, c.longitude, c.reason, c.primary_km, {rnd("least(4e1, c.primary_km * 6e-1)", 1)} AS radius_km, candidates, best_score,
        survey_grade, enabled_zones, best_candidate, best_score >= 5e-1 AS fillable
 FROM (
-  SELECT leader AS region, count(*) AS candidates, max(gap_fill_score) AS best_score, count(*) FILTER (hardware_class = 'survey_grade') AS survey_grade,
+  SELECT leader AS region, count(*) AS candidates, max(gap_fill_score) AS best_score, count(*) FILTER (hardware_class = 'survey_grade') AS
+     survey_grade,
          count(*) FILTER (enabled) AS enabled_zones, arg_max(name, struct_pack(a := gap_fill_score, b := -priority, c := name)) AS best_candidate
   FROM ps JOIN gr USING (id) GROUP BY 1) r
 JOIN gr c ON c.id = r.region"""
@@ -74,13 +75,15 @@ UNION ALL
 SELECT p.zone_id, CASE WHEN p.priority <= 10 THEN 'primary' ELSE 'failover' END, p.reason, p.priority, 'circle', p.lat, p.lon, p.radius_m, 1,
        p.hardware_class, p.confidence, p.validation_status
 FROM pl p JOIN ar ON ar.area = p.area WHERE NOT ar.merged"""
-OVERLAY_PARTS = {"nea": NEAREST, "val": VALIDATION, "ov": OVERLAYS, "ca": CANDIDATES, "ps": pass_over("ca", "confidence DESC, id", 5), "kp": KEPT, "edg": TOUCH,
+OVERLAY_PARTS = {"nea": NEAREST, "val": VALIDATION, "ov": OVERLAYS, "ca": CANDIDATES, "ps": pass_over("ca", """confidence DESC,
+   id""", 5), "kp": KEPT, "edg": TOUCH,
                  "comp": COMP, "pl": PLACED}
 
 
 def qualified(t: Tables) -> DataFrame:
     """Stations that pass all gates, as :func:`areas.integrity_zones` takes them."""
-    g = gates(t).filter("not disqualified").select(F.col("station").alias("name"), "network", F.col("composite_score").alias("trust"), F.col("uq_score").alias("uq"), "uptime",
+    g = gates(t).filter("""not
+       disqualified""").select(F.col("station").alias("name"), "network", F.col("composite_score").alias("trust"), F.col("uq_score").alias("uq"), "uptime",
                                                   F.col("quality_tier").alias("tier"))
     fix = t.fx_station_scores.select(F.col("station_name").alias("name"), "avg_fix_rate")
     return t.fx_stations.select("name", "latitude", "longitude").join(g, "name").join(fix, "name", "left").fillna({"avg_fix_rate": 0.0})
@@ -88,7 +91,8 @@ def qualified(t: Tables) -> DataFrame:
 
 def storms(t: Tables) -> DataFrame:
     """A few circles of interference."""
-    return t.fx_zones.filter("priority % 5 = 0").select(F.col("zone_id").alias("c_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), (F.col("radius_m") / 4000).alias("radius_km"))
+    return t.fx_zones.filter("""priority % 5 =
+       0""").select(F.col("zone_id").alias("c_id"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), (F.col("radius_m") / 4000).alias("radius_km"))
 
 
 QUALIFIED = f"""
@@ -112,23 +116,28 @@ CLUSTERED = "SELECT h.*, coalesce(c.comp, h.name) AS cluster, h.latitude AS lat,
 
 
 def part_sql(lat: str, lon: str) -> str:
-    rules = " ".join(f"WHEN {lat} > {s} AND {lat} <= {n} AND {lon} {'>=' if name == 'Eastern Europe' else '>'} {w} AND {lon} < {e} THEN '{name}'" for name, s, n, w, e in areas.WORLD_PARTS)
+    rules = " ".join(f"""WHEN {lat} > {s} AND {lat} <= {n} AND {lon} {'>=' if name == 'Eastern Europe' else '>'} {w}
+       AND {lon} < {e} THEN '{name}'""" for name, s, n, w, e in areas.WORLD_PARTS)
     return f"CASE {rules} ELSE 'Global' END"
 
 
 INTEGRITY = f"""
-SELECT 'integrity_primary_global' AS zone_id, 'primary' AS zone_type, 'Global' AS region, CASE WHEN count(*) FILTER (tier = 'platinum') > count(*) * 3e-1 THEN 1 ELSE 10 END AS priority,
+SELECT 'integrity_primary_global' AS zone_id, 'primary' AS zone_type, 'Global' AS region, CASE
+   WHEN count(*) FILTER (tier = 'platinum') > count(*) * 3e-1 THEN 1 ELSE 10 END AS priority,
        'circle' AS fence_type, 0e0 AS lat, 0e0 AS lon, 2e7 AS radius_m, count(*) AS stations, {rnd("avg(trust) * 100")} AS integrity_score,
        {rnd("coalesce(avg(fix) FILTER (fix > 0), 80e0)", 1)} AS expected_fix_rate, NULL AS failover
 FROM qs WHERE network = 'geodnet' HAVING count(*) > 0
 UNION ALL
 SELECT concat('integrity_overlay_', cluster), CASE WHEN gap THEN 'overlay_gap' ELSE 'overlay_upgrade' END, {part_sql("mlat", "mlon")},
        CASE WHEN gap THEN CASE WHEN best THEN 20 ELSE 35 END WHEN best THEN 35 ELSE 50 END, CASE WHEN bent THEN 'polygon' ELSE 'circle' END,
-       {rnd("mlat", 6)}, {rnd("mlon", 6)}, CASE WHEN NOT bent THEN {rnd("(reach + 5e1 * 7e-1) * 1000")} END, stations, {rnd("trust * 100")}, {rnd("quality * 100", 1)}, 'integrity_primary_global'
+       {rnd("mlat", 6)}, {rnd("mlon", 6)}, CASE WHEN NOT bent THEN {rnd("(reach + 5e1 * 7e-1) * 1000")} END, stations, {rnd("trust * 100")},
+          {rnd("quality * 100", 1)}, 'integrity_primary_global'
 FROM (
-  SELECT *, EXISTS (SELECT 1 FROM cl a, cl b, cl c WHERE a.cluster = x.cluster AND b.cluster = x.cluster AND c.cluster = x.cluster AND {BENT} > 1e-12) AS bent,
+  SELECT *, EXISTS (SELECT 1 FROM cl a, cl b, cl c WHERE a.cluster = x.cluster AND b.cluster = x.cluster AND c.cluster = x.cluster
+     AND {BENT} > 1e-12) AS bent,
          (SELECT max({km("x.mlat", "x.mlon", "p.lat", "p.lon")}) FROM cl p WHERE p.cluster = x.cluster) AS reach
-  FROM (SELECT cluster, count(*) AS stations, count(*) FILTER (kind = 'gap') > count(*) / 2 AS gap, avg(lat) AS mlat, avg(lon) AS mlon, avg(trust) AS trust,
+  FROM (SELECT cluster, count(*) AS stations, count(*) FILTER (kind = 'gap') > count(*) / 2 AS gap, avg(lat) AS mlat, avg(lon) AS mlon, avg(trust) AS
+     trust,
                coalesce(bool_or(tier = 'platinum'), false) AS best, avg(trust * uq * uptime) AS quality FROM cl GROUP BY 1) x)"""
 INTEGRITY_PARTS = {"st": ALERT_STATS, "al": ALERT_ROWS, "gt": GATES, "qs": QUALIFIED, "ch": CHOSEN, "edg": RANGE, "comp": COMP, "cl": CLUSTERED}
 
@@ -149,7 +158,8 @@ def cell_clusters(t: Tables) -> DataFrame:
 _BOXES = ", ".join(f"('{n}', {la}e0, {lo}e0, {h}e0)" for n, la, lo, h in spatial.SURFACE_BOXES)
 SURFACE = f"""
 SELECT r.name AS region, r.la AS lat_center, r.lo AS lon_center, n AS n_points, {rnd("p", 1)} AS mean_predicted, {rnd("v", 3)} AS mean_variance,
-       coalesce((SELECT arg_min(kind, struct_pack(a := -k, b := kind)) FROM (SELECT cluster_type AS kind, count(*) AS k FROM lc WHERE abs(lat - r.la) < r.h AND abs(lon - r.lo) < r.h GROUP BY 1)),
+       coalesce((SELECT arg_min(kind, struct_pack(a := -k, b := kind)) FROM (SELECT cluster_type AS kind, count(*) AS k FROM lc
+          WHERE abs(lat - r.la) < r.h AND abs(lon - r.lo) < r.h GROUP BY 1)),
                 'not-significant') AS moran_type
 FROM (VALUES {_BOXES}) r(name, la, lo, h),
      LATERAL (SELECT count(*) AS n, avg(predicted) AS p, avg(variance) AS v FROM sf WHERE abs(lat - r.la) < r.h AND abs(lon - r.lo) < r.h) x
@@ -181,8 +191,10 @@ AREA_TABLE = {
     "merged_overlays": (lambda t: areas.merged_overlays(actions.overlay_zones(near(t), validation(t))).drop("points"), oracle(MERGED, **OVERLAY_PARTS, ar=AREAS)),
     "overlay_stats": (
         lambda t: areas.overlay_stats(areas.merged_overlays(actions.overlay_zones(near(t), validation(t)))),
-        oracle("""SELECT count(*) AS zones, count(*) FILTER (type = 'primary') AS primary_zones, count(*) FILTER (type = 'failover') AS failover_zones, count(*) FILTER (fence_type = 'polygon') AS polygons,
-         CAST(sum(members) AS bigint) AS stations, count(*) FILTER (hardware_class = 'survey_grade') AS survey_grade, count(*) FILTER (validation_status = 'confirmed') AS confirmed FROM mg""",
+        oracle("""SELECT count(*) AS zones, count(*) FILTER (type = 'primary') AS primary_zones, count(*) FILTER (type = 'failover') AS
+           failover_zones, count(*) FILTER (fence_type = 'polygon') AS polygons,
+         CAST(sum(members) AS bigint) AS stations, count(*) FILTER (hardware_class = 'survey_grade') AS survey_grade, count(*) FILTER
+            (validation_status = 'confirmed') AS confirmed FROM mg""",
                **OVERLAY_PARTS, ar=AREAS, mg=MERGED)),
     "integrity_zones": (lambda t: areas.integrity_zones(qualified(t), 5.0, storms(t))[0].drop("points"), oracle(INTEGRITY, **INTEGRITY_PARTS)),
     "integrity_zone_members": (

@@ -61,7 +61,8 @@ def parse_observations(t: Tables) -> DataFrame:
 
 
 OBSERVATIONS = """
-SELECT CAST(file_id AS int) AS file_id, CAST(epoch_s AS double) AS epoch_s, prn, left(prn, 1) AS constellation, round(c1, 3) AS c1, round(c2, 3) AS c2, round(l1, 3) AS l1,
+SELECT CAST(file_id AS int) AS file_id, CAST(epoch_s AS double) AS epoch_s, prn, left(prn, 1) AS constellation, round(c1, 3) AS c1, round(c2, 3) AS
+   c2, round(l1, 3) AS l1,
        round(l2, 3) AS l2, round(s1, 3) AS s1
 FROM fx_obs"""
 
@@ -70,7 +71,8 @@ FROM fx_obs"""
 N_LAT, N_LON = 71, 73
 GRID = {"lat0": 87.5, "dlat": -2.5, "n_lat": N_LAT, "lon0": -180.0, "dlon": 5.0, "n_lon": N_LON}
 NODES = f"""
-SELECT c_nationkey % 3 AS map, CAST(c_custkey % {N_LAT} AS int) AS i, CAST(c_custkey // 7 % {N_LON} AS int) AS j, CAST(sum(c_custkey % 90) AS int) % 1000 AS v
+SELECT c_nationkey % 3 AS map, CAST(c_custkey % {N_LAT} AS int) AS i, CAST(c_custkey // 7 % {N_LON} AS int) AS j, CAST(sum(c_custkey % 90) AS int) %
+   1000 AS v
 FROM customer GROUP BY 1, 2, 3"""
 
 
@@ -100,14 +102,18 @@ IONO = f"""
 SELECT map * 2 AS hour, 875e-1 - 25e-1 * i AS lat, -180 + 5e0 * j AS lon, {rnd("v / 1e1", 1)} AS vtec FROM no"""
 TEC_GRID = f"""
 SELECT lat, lon, {rnd("value", 1)} AS vtec, {rnd("sqrt(ns * ns + ew * ew)", 2)} AS gradient,
-       CASE WHEN sqrt(ns * ns + ew * ew) < 2 THEN 'nominal' WHEN sqrt(ns * ns + ew * ew) < 5 THEN 'elevated' WHEN sqrt(ns * ns + ew * ew) < 10 THEN 'degraded' ELSE 'storm' END AS quality
+       CASE WHEN sqrt(ns * ns + ew * ew) < 2 THEN 'nominal' WHEN sqrt(ns * ns + ew * ew) < 5 THEN 'elevated'
+          WHEN sqrt(ns * ns + ew * ew) < 10 THEN 'degraded' ELSE 'storm' END AS quality
 FROM (
-  SELECT lat, lon, v00 * (1 - u) * (1 - w) + v01 * (1 - u) * w + v10 * u * (1 - w) + v11 * u * w AS value, ((v10 + v11) / 2 - (v00 + v01) / 2) / 25e-1 AS ns,
+  SELECT lat, lon, v00 * (1 - u) * (1 - w) + v01 * (1 - u) * w + v10 * u * (1 - w) + v11 * u * w AS value, ((v10 + v11) / 2 - (v00 + v01) / 2) / 25e-1
+     AS ns,
          ((v01 + v11) / 2 - (v00 + v10) / 2) / 5e0 AS ew
   FROM (
-    SELECT p.lat, p.lon, p.fi - p.i AS u, p.fj - p.j AS w, {", ".join(f"coalesce((SELECT v / 1e1 FROM la n WHERE n.i = p.i + {a} AND n.j = p.j + {b}), 0e0) AS v{a}{b}" for a in (0, 1) for b in (0, 1))}
+    SELECT p.lat, p.lon, p.fi - p.i AS u, p.fj - p.j AS w,
+       {", ".join(f"coalesce((SELECT v / 1e1 FROM la n WHERE n.i = p.i + {a} AND n.j = p.j + {b}), 0e0) AS v{a}{b}" for a in (0, 1) for b in (0, 1))}
     FROM (SELECT *, CAST(greatest(0, least({N_LAT - 2}, floor(fi))) AS int) AS i, CAST(greatest(0, least({N_LON - 2}, floor(fj))) AS int) AS j FROM (
-            SELECT a * 5e0 - 85 AS lat, b * 5e0 - 180 AS lon, (a * 5e0 - 85 - 875e-1) / -25e-1 AS fi, (b * 5e0) / 5e0 AS fj FROM range(35) x(a), range(73) y(b))) p))
+            SELECT a * 5e0 - 85 AS lat, b * 5e0 - 180 AS lon, (a * 5e0 - 85 - 875e-1) / -25e-1 AS fi, (b * 5e0) / 5e0 AS fj
+               FROM range(35) x(a), range(73) y(b))) p))
 WHERE {rnd("value", 1)} > 0"""
 
 # ---- snapshots, audit, streams --------------------------------------------------------------------------------------
@@ -162,15 +168,19 @@ def stream_cusum(t: Tables) -> DataFrame:
 BUCKETS = f"""
 SELECT station, start_ms, fix, row_number() OVER w AS i, avg(fix) FILTER (k <= 5) OVER (PARTITION BY station) AS base FROM (
   SELECT *, row_number() OVER (PARTITION BY station ORDER BY start_ms) AS k FROM (
-    SELECT station, CAST(floor(login_time / 432e5) AS bigint) * 43200000 AS start_ms, {rnd("avg(fix_rate)", 3)} AS fix FROM fx_sessions WHERE {STATION} GROUP BY 1, 2))
+    SELECT station, CAST(floor(login_time / 432e5) AS bigint) * 43200000 AS start_ms, {rnd("avg(fix_rate)", 3)} AS fix FROM fx_sessions
+       WHERE {STATION} GROUP BY 1, 2))
 WINDOW w AS (PARTITION BY station ORDER BY start_ms)"""
 STREAM_CUSUM = f"""
-SELECT station, start_ms, hit AS cusum_alarm, i >= 10 AND base > 50 AND base - ew > 15 AS ewma_alarm, {rnd("lo", 3)} AS s_minus, {rnd("ew", 3)} AS ewma FROM (
+SELECT station, start_ms, hit AS cusum_alarm, i >= 10 AND base > 50
+   AND base - ew > 15 AS ewma_alarm, {rnd("lo", 3)} AS s_minus, {rnd("ew", 3)} AS ewma FROM (
   WITH RECURSIVE f(station, i, start_ms, base, low, lo, ew, hit) AS (
     SELECT station, i, start_ms, base, 0e0, 0e0, base, false FROM bu WHERE i = 5
     UNION ALL
-    SELECT s.station, s.i, s.start_ms, s.base, CASE WHEN x.lo > 5 AND s.i >= 8 THEN 0e0 ELSE x.lo END, x.lo, s.fix * 2e-1 + f.ew * 8e-1, x.lo > 5 AND s.i >= 8
-    FROM f JOIN bu s ON s.station = f.station AND s.i = f.i + 1, LATERAL (SELECT greatest(0e0, f.low - (s.fix - s.base) / greatest(5e0, s.base * 15e-2) - 5e-1) AS lo) x)
+    SELECT s.station, s.i, s.start_ms, s.base, CASE WHEN x.lo > 5 AND s.i >= 8 THEN 0e0 ELSE x.lo END, x.lo, s.fix * 2e-1 + f.ew * 8e-1, x.lo > 5
+       AND s.i >= 8
+    FROM f JOIN bu s ON s.station = f.station AND s.i = f.i + 1, LATERAL (SELECT greatest(0e0, f.low - (s.fix - s.base) / greatest(5e0, s.base *
+       15e-2) - 5e-1) AS lo) x)
   SELECT * FROM f WHERE i > 5)"""
 
 IO_TABLE = {
@@ -179,12 +189,15 @@ IO_TABLE = {
     "tec_grid": (lambda t: actions.tec_grid(maps(t), **GRID), oracle(TEC_GRID, no=NODES, la="SELECT * FROM no WHERE map = 2")),
     "write_snapshot": (snapshot, oracle("SELECT * FROM fx_trust")),
     "append_audit": (
-        lambda t: tables.append_audit(entries(t), "2024-01-30 12:00:00").withColumns({c: F.get_json_object(c, "$.score").cast("double") for c in ("before_state", "after_state")}),
-        oracle("""SELECT 'trust_change' AS event_type, 'system' AS actor, 'station' AS entity_type, station AS entity_id, flag AS action, alpha AS before_state, beta AS after_state,
+        lambda t: tables.append_audit(entries(t), """2024-01-30
+           12:00:00""").withColumns({c: F.get_json_object(c, "$.score").cast("double") for c in ("before_state", "after_state")}),
+        oracle("""SELECT 'trust_change' AS event_type, 'system' AS actor, 'station' AS entity_type, station AS entity_id, flag AS action, alpha AS
+           before_state, beta AS after_state,
          '2024-01-30 12:00:00' AS timestamp FROM fx_trust""")),
     "export_audit": (
         exported_audit,
-        oracle("SELECT event_type, actor, entity_id, timestamp FROM au WHERE timestamp >= '2024-01-10 00:00:00' AND timestamp < '2024-01-20 00:00:00'", au=AUDIT)),
+        oracle("""SELECT event_type, actor, entity_id, timestamp FROM au WHERE timestamp >= '2024-01-10 00:00:00'
+           AND timestamp < '2024-01-20 00:00:00'""", au=AUDIT)),
     "stream_deduplicated": (deduplicated, oracle(f"SELECT id, station, login_time FROM fx_sessions WHERE login_time >= {D7}")),
     "stream_cusum": (stream_cusum, oracle(STREAM_CUSUM, bu=BUCKETS)),
 }
