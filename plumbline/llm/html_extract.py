@@ -34,7 +34,15 @@ FURNITURE_NAMES = frozenset(("ad ads advert adverts advertisement advertising ba
                              "footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related "
                              "replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
-CLOSED_BY_SAME = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "option": {"select"}}
+#: Elements whose start ends an open one of the same group, unless one of the walls stands between them.
+CLOSING = (
+    ({"p"}, CONTAINERS | {"li", "td", "th", "dd"}), ({"li"}, {"ul", "ol", "menu"}), ({"dt", "dd"}, {"dl"}), ({"tr"}, {"table"}),
+    ({"td", "th"}, {"tr", "table"}), ({"option"}, {"select"}),
+)
+CLOSES = {tag: k for k, (members, _) in enumerate(CLOSING) if k for tag in members}
+#: By element, the groups that its start changes, and whether as a member or as a wall.
+EFFECT = {tag: [(k, tag in members) for k, (members, walls) in enumerate(CLOSING) if tag in members | walls]
+          for tag in frozenset().union(*(members | walls for members, walls in CLOSING))}
 
 TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"""
@@ -49,15 +57,58 @@ DIGITS, PARTS = re.compile(r"\d+"), re.compile(r"[^a-z]+")
 
 @dataclass
 class Page:
-    """Elements in page order and the runs of text with the element that holds each; -1 marks a block edge."""
+    """Elements in page order and the runs of text with the element that holds each; -1 marks a block edge.
+
+    ``keys`` stand for the paths of generalised tags and classes: each is a hash of the parent's key and the element's own
+    step, so paths of any depth cost the same.
+    """
 
     tags: list[str] = field(default_factory=list)
     parents: list[int] = field(default_factory=list)
-    paths: list[str] = field(default_factory=list)
+    keys: list[int] = field(default_factory=list)
     furniture: list[bool] = field(default_factory=list)
     runs: list[tuple[int, str]] = field(default_factory=list)
 
 
+class Open:
+    """The open elements while a page is read, with all look-ups in constant time, however deep it nests."""
+
+    def __init__(self, tags: list[str]) -> None:
+        self.tags, self.stack = tags, []
+        self.at: dict[str, list[int]] = {}
+        #: For every open element, by group of elements that close each other: how deep the next open one lies, or -1.
+        self.near: list[list[int]] = [[-1] * len(CLOSING)]
+
+    def top(self) -> int:
+        return self.stack[-1] if self.stack else -1
+
+    def push(self, element: int) -> None:
+        tag, depth = self.tags[element], len(self.stack)
+        self.stack.append(element)
+        self.at.setdefault(tag, []).append(depth)
+        near = self.near[-1]
+        if tag in EFFECT:
+            near = near.copy()
+            for group, member in EFFECT[tag]:
+                near[group] = depth if member else -1
+        self.near.append(near)
+
+    def cut(self, depth: int) -> None:
+        """Close the element at ``depth`` and all within it."""
+        for element in self.stack[depth:]:
+            self.at[self.tags[element]].pop()
+        del self.stack[depth:], self.near[depth + 1:]
+
+    def end(self, tag: str) -> None:
+        depths = self.at.get(tag)
+        if depths:
+            self.cut(depths[-1])
+
+    def close(self, group: int) -> None:
+        if self.near[-1][group] >= 0:
+            self.cut(self.near[-1][group])
+
+
 def _attributes(rest: str) -> tuple[str, bool]:
     """The generalised class names as a path suffix, and whether they mark furniture."""
     classes, furniture = "", False
@@ -75,26 +126,25 @@ def _attributes(rest: str) -> tuple[str, bool]:
 
 
 def parse(source: str) -> Page:
-    """A forgiving single pass: unclosed paragraphs and list items end where HTML lets them end."""
-    page, stack, at, endless = Page(), [], 0, set()
+    """A forgiving single pass: unclosed paragraphs and list items end where HTML lets them end. Linear in the page."""
+    page, at, endless, known = Page(), 0, set(), {}
     tags, runs = page.tags, page.runs
+    opened = Open(tags)
     tokens = TOKEN.finditer(source)
+    holder = lambda: opened.stack[-1] if opened.stack else -2
     while m := next(tokens, None):
         if m.start() > at:
-            runs.append((stack[-1] if stack else -2, source[at:m.start()]))
+            runs.append((holder(), source[at:m.start()]))
         at = m.end()
         if m["cdata"]:
-            runs.append((stack[-1] if stack else -2, m["cdata"].replace("&", "&amp;")))
+            runs.append((holder(), m["cdata"].replace("&", "&amp;")))
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
         if tag in BLOCKS:
             runs.append((-1, " "))
         if m["end"] or m["end2"]:
-            for k in range(len(stack) - 1, -1, -1):
-                if tags[stack[k]] == tag:
-                    del stack[k:]
-                    break
+            opened.end(tag)
             continue
         if tag in VOID:
             continue
@@ -112,50 +162,46 @@ def parse(source: str) -> Page:
                 tokens = TOKEN.finditer(source, at)
             continue
         if tag in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
-                if tags[stack[k]] == "p":
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in CONTAINERS or tags[stack[k]] in ("li", "td", "th", "dd"):
-                    break
-        if tag in CLOSED_BY_SAME:
-            for k in range(len(stack) - 1, -1, -1):
-                if tags[stack[k]] == tag or {tags[stack[k]], tag} == {"dt", "dd"} or {tags[stack[k]], tag} == {"td", "th"}:
-                    del stack[k:]
-                    break
-                if tags[stack[k]] in CLOSED_BY_SAME[tag]:
-                    break
-        parent = stack[-1] if stack else -1
+            opened.close(0)
+        if tag in CLOSES:
+            opened.close(CLOSES[tag])
+        parent = opened.top()
         classes, named = _attributes(rest) if rest else ("", False)
-        own = tag in FURNITURE_TAGS or tag == "head" or tag == "header" and not any(tags[k] in SEMANTIC for k in stack)
+        own = tag in FURNITURE_TAGS or tag == "head" or tag == "header" and not any(opened.at.get(t) for t in SEMANTIC)
         own |= named and tag not in ("html", "body", "main")
         tags.append(tag)
         page.parents.append(parent)
-        page.paths.append((page.paths[parent] + ">" if parent >= 0 else "") + tag + classes)
+        step = page.keys[parent] if parent >= 0 else 0, tag + classes
+        if step not in known:
+            known[step] = path_key(*step)
+        page.keys.append(known[step])
         page.furniture.append(own or parent >= 0 and page.furniture[parent])
-        stack.append(len(tags) - 1)
+        opened.push(len(tags) - 1)
     if at < len(source):
-        runs.append((stack[-1] if stack else -2, source[at:]))
+        runs.append((holder(), source[at:]))
     return page
 
 
 def container_scores(page: Page) -> dict[int, float]:
     """Text outside links and furniture held by each container. An outer container gets half of what an inner
-    one holds, an article or main element all of it and a tenth more."""
-    scores: dict[int, float] = {}
+    one holds, an article or main element all of it and a tenth more. Sizes rise from children to parents once."""
+    shared, whole = [0.0] * len(page.tags), [0.0] * len(page.tags)
     for node, text in page.runs:
-        if node < 0 or page.furniture[node]:
-            continue
-        size, share, seen_link, k = float(len(text.strip())), 1.0, False, node
-        if not size:
+        if node >= 0 and not page.furniture[node]:
+            size = float(len(text.strip()))
+            shared[node] += size
+            whole[node] += size
+    scores: dict[int, float] = {}
+    for k in range(len(page.tags) - 1, -1, -1):
+        tag, up = page.tags[k], page.parents[k]
+        if not whole[k] or tag == "a":
             continue
-        while k >= 0:
-            tag = page.tags[k]
-            seen_link |= tag == "a"
-            if tag in CONTAINERS and not seen_link:
-                scores[k] = scores.get(k, 0.0) + size * (1.1 if tag in SEMANTIC else share)
-                share /= 2
-            k = page.parents[k]
+        if tag in CONTAINERS:
+            scores[k] = whole[k] * 1.1 if tag in SEMANTIC else shared[k]
+            shared[k] /= 2
+        if up >= 0:
+            shared[up] += shared[k]
+            whole[up] += whole[k]
     return scores
 
 
@@ -183,16 +229,18 @@ def best_container(page: Page) -> tuple[int, float]:
     best = max(scores, key=lambda k: (scores[k], -k))
     if page.tags[best] in SEMANTIC:
         return best, scores[best]
-    mass: dict[int, int] = {}
+    held = [0] * len(page.tags)
     own: set[int] = set()
     total = 0
     for _, k, size in texts_of(page):
         own.add(k)
         total += size
-        while k >= 0:
-            if page.tags[k] in CONTAINERS:
-                mass[k] = mass.get(k, 0) + size
-            k = page.parents[k]
+        if k >= 0:
+            held[k] += size
+    for k in range(len(held) - 1, -1, -1):
+        if page.parents[k] >= 0:
+            held[page.parents[k]] += held[k]
+    mass = {k: n for k, n in enumerate(held) if n and page.tags[k] in CONTAINERS}
     whole = [k for k in mass if mass[k] >= (1 - SLACK) * total]
     if not whole:  # text of its own outside all containers, or none at all
         return (-1, 0.0) if total else (best, scores[best])
@@ -207,7 +255,7 @@ def best_container(page: Page) -> tuple[int, float]:
 
 def chosen_of(page: Page, best: int) -> set[int]:
     """The best container, and unless it is an article or main element all others with its path."""
-    return {best} if best < 0 or page.tags[best] in SEMANTIC else {k for k, p in enumerate(page.paths) if p == page.paths[best]}
+    return {best} if best < 0 or page.tags[best] in SEMANTIC else {k for k, p in enumerate(page.keys) if p == page.keys[best]}
 
 
 def within(page: Page, chosen: set[int]) -> list[bool]:
@@ -218,15 +266,18 @@ def within(page: Page, chosen: set[int]) -> list[bool]:
     return inside
 
 
-def path_key(path: str) -> int:
-    return int.from_bytes(hashlib.blake2b(path.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+def path_key(above: int, step: str) -> int:
+    """Key of a path by the key of the path above it."""
+    return int.from_bytes(hashlib.blake2b(step.encode("utf-8", "surrogatepass"), digest_size=8, key=above.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
 def left_out(page: Page, best: int) -> set[int]:
     """Keys of the paths of containers beside the best one whose text is left out; containers around it are not beside it."""
-    inside, around = within(page, chosen_of(page, best)), page.paths[best]
-    paths = {page.paths[k] for node, k, _ in texts_of(page) if k >= 0 and not inside[node]}
-    return {path_key(p) for p in paths if not around.startswith(p + ">")}
+    inside, around, k = within(page, chosen_of(page, best)), set(), page.parents[best]
+    while k >= 0:
+        around.add(page.keys[k])
+        k = page.parents[k]
+    return {page.keys[k] for node, k, _ in texts_of(page) if k >= 0 and not inside[node]} - around
 
 
 def text_of(page: Page, chosen: set[int]) -> str:
@@ -237,10 +288,10 @@ def text_of(page: Page, chosen: set[int]) -> str:
     return " ".join("".join(parts).split())
 
 
-def extract(source: str | None, path: str | None = None, left: frozenset[int] = frozenset()) -> tuple[str, bool]:
+def extract(source: str | None, path: int | None = None, left: frozenset[int] = frozenset()) -> tuple[str, bool]:
     """Main text of one page, and whether the host's path gave it.
 
-    The elements on ``path`` are tried first. They stand if they hold enough of what the page's own best container
+    The elements on ``path`` (its key) are tried first. They stand if they hold enough of what the page's own best container
     holds and, but for the containers that the host's pages leave out (``left``), nearly all of it; else the best
     container's text is returned.
     """
@@ -249,7 +300,7 @@ def extract(source: str | None, path: str | None = None, left: frozenset[int] =
     page = parse(source)
     best, _ = best_container(page)
     chosen = chosen_of(page, best)
-    on_path = {k for k, p in enumerate(page.paths) if p == path and not page.furniture[k]} if path is not None and best >= 0 else set()
+    on_path = {k for k, p in enumerate(page.keys) if p == path and not page.furniture[k]} if path is not None and best >= 0 else set()
     if not on_path or on_path == chosen:
         return text_of(page, chosen), bool(on_path)
     mine, theirs = within(page, chosen), within(page, on_path)
@@ -258,7 +309,7 @@ def extract(source: str | None, path: str | None = None, left: frozenset[int] =
         kept += size * (node >= 0 and theirs[node])
         if node >= 0 and mine[node]:
             held += size
-            lost += size * (not theirs[node] and path_key(page.paths[k]) not in left)
+            lost += size * (not theirs[node] and page.keys[k] not in left)
     stands = kept > 0 and kept >= LEAST_SHARE * held and lost <= SLACK * held
     return text_of(page, on_path if stands else chosen), stands
 
@@ -268,7 +319,7 @@ def host_of(url: str = "url"):
 
 
 def host_paths(pages: DataFrame) -> DataFrame:
-    """``host, path, left, of``: the container path with the most votes of each host (ties: first path in order), the
+    """``host, path, left, of``: the key of the container path with the most votes of each host (ties: smallest key), the
     keys of the paths that more than half of its votes leave out, and the number of its votes.
 
     Every page votes for the path of its best container with the square root of its size, so a few very
@@ -285,14 +336,14 @@ def host_paths(pages: DataFrame) -> DataFrame:
                 best, score = best_container(page)
                 if best >= 0:
                     weight = int(score ** 0.5) + 1
-                    votes[host, page.paths[best], False, 0] += weight
+                    votes[host, page.keys[best], False, 0] += weight
                     for key in left_out(page, best):
-                        votes[host, page.paths[best], True, key] += weight
+                        votes[host, page.keys[best], True, key] += weight
             columns = list(zip(*((*k, n) for k, n in votes.items()))) or [()] * 5
-            types = (pa.string(), pa.string(), pa.bool_(), pa.int64(), pa.int64())
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path string, beside boolean, key long, vote long")
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path long, beside boolean, key long, vote long")
     counted = checkpointed(votes.groupBy("host", "path", "beside", "key").agg(F.sum("vote").alias("votes")))
     top = (counted.filter("not beside").groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("least"), "path")).alias("top"))
            .select("host", "top.path", (-F.col("top.least")).alias("of")))
@@ -319,7 +370,7 @@ def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> D
         hosts = F.broadcast(top.select("host"))
         placed = rows.join(F.broadcast(top), "host").unionByName(rows.join(hosts, "host", "left_anti").join(winners.join(hosts, "host", "left_anti"), "host", "left"))
 
-    def run(sources: list[str | None], paths: list[str | None], left: list[list[int] | None]) -> tuple[list, list]:
+    def run(sources: list[str | None], paths: list[int | None], left: list[list[int] | None]) -> tuple[list, list]:
         found = [extract(h, p, frozenset(x or ())) for h, p, x in zip(sources, paths, left)]
         return [t for t, _ in found], [by for _, by in found]
 

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -195,6 +196,18 @@ def test_raw_elements_end_at_their_end_tag(raw):
     assert html_extract.extract(f"<body>{raw}<article><p>Main {raw}text</p></article><script>i<n</script></body>")[0] == "Main text"
 
 
+def test_deep_and_long_pages(spark):
+    """Nesting, unclosed elements and stray end tags of any number cost time in proportion to the page."""
+    n = 60_000
+    sources = ["<div>a" * n, "<span>" * n + "<div>x</div>" * 500, "<div>" * n + "</b>" * n + "end", "<p><div>" + "<h1>" * n + "y", "<li>" * n + "z", "<td><p>" * n + "w",
+               "<article><p>" + "many words " * 200_000 + "</p></article>", "<a b='" * n, "<svg>" * n + "v"]
+    pages = spark.createDataFrame([(i, "http://h.example/", s) for i, s in enumerate(sources)], "page_id long, url string, html string").repartition(4)
+    begun = time.time()
+    got = {r.page_id: r.text for r in html_extract.extract_pages(pages).collect()}
+    assert time.time() - begun < 60
+    assert got[0] == " ".join("a" * n) and got[2] == "end" and got[6] == ("many words " * 200_000).strip() and got[4] == "z"
+
+
 def test_host_consensus(spark):
     layout = '<body><div class="main-{i}"><p>{a}</p></div><div class="box"><p>{b}</p></div></body>'
     rows = [(i, "http://h.example/x", layout.format(i=i, a="long body text " * 20, b="short")) for i in range(6)]
@@ -262,11 +275,15 @@ def test_toxicity_learns_and_scores_edge_cases():
 
 def test_toxicity_tables(docs, spark):
     rows = toxic_rows()[:150]
-    table = docs(*[t for t, _ in rows], (9000, None), (9001, ""), extra=["toxic", "score"])
+    table = docs(*[t for t, _ in rows], (9000, None), (9001, ""), (9002, "w1 vilefoo " * 300_000), (7, rows[7][0]), (None, rows[8][0]), extra=["toxic", "score", "text_"])
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)] + [(9000, 1), (9001, None)], "doc_id long, toxic int")
     classifier = toxicity.train(table, labels)
     scored = toxicity.score(table, classifier).collect()
-    assert len(scored) == 152 and all(0 <= r.score <= 1 for r in scored)
+    assert len(scored) == 155 and all(0 <= r.score <= 1 for r in scored)
+    by = {}
+    for r in scored:
+        by.setdefault(r.doc_id, set()).add(r.score)
+    assert len(by[7]) == 1 and by[None] == by[8]  # repeated rows and rows without an id are scored by their text alone
     assert toxicity.score(docs(), classifier).count() == 0
     assert toxicity.train(docs(), labels).network is None
 
