@@ -13,7 +13,7 @@ from pyspark.sql.types import StructType
 
 from plumbline.functions.graph import checkpointed
 
-__all__ = ["add_columns", "ascii_lower", "checkpointed", "documents", "drop_marked", "held_out", "shared_folder", "small_enough", "table", "whole_text"]
+__all__ = ["add_columns", "ascii_lower", "checkpointed", "documents", "drop_marked", "held_out", "shared_folder", "small_enough", "table", "unused_name", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +51,11 @@ def small_enough(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+def unused_name(df: DataFrame) -> str:
+    """A name longer than those of all columns, so none has it."""
+    return max(df.columns, key=len) + "_"
+
+
 def add_columns(rows: DataFrame, reads: Sequence[str], compute: Callable[..., Sequence], columns: str, keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all, if not given) of ``rows``, and ``columns`` (a DDL list) from ``compute``.
 

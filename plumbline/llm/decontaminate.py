@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, checkpointed, documents, table
+from .common import add_columns, checkpointed, documents, table, unused_name
 from .langid import chunks
 
 Q = 12
@@ -297,7 +297,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", blo
     block is one more job over the written result of the last, so that executors hold one index at a time.
     """
     docs, spark = docs.drop(column), docs.sparkSession
-    before = max(docs.columns, key=len) + "_"  # a name that no column has
+    before = unused_name(docs) + column
     out, shared = docs.withColumn(column, F.expr(f"cast(array() as {MATCHES})")), None
     for block in item_blocks(benchmark, block_chars):
         if shared is not None:
@@ -316,8 +316,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", blo
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns kept whatever their names, without the rows that hold a passage of the benchmark."""
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return find_leaks(rows, benchmark).filter(F.size("leaks") == 0).select("row.*")
+    leaks = unused_name(docs)
+    return find_leaks(docs, benchmark, leaks).filter(F.size(F.col(f"`{leaks}`")) == 0).drop(leaks)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import add_columns, documents, held_out
+from .common import add_columns, documents, held_out, unused_name
 
 ORDERS = (1, 2, 3)
 BUCKET_BITS = 15
@@ -175,8 +175,8 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         best, score = classify(shared.value, texts)
         return ((best >= 0) & (score >= min_score),)
 
-    rows = docs.select("text", F.struct(*docs.columns).alias("row"))
-    return add_columns(rows, ["text"], run, "clear boolean", keep=["row"]).filter("clear").select("row.*")
+    clear = unused_name(docs)
+    return add_columns(docs, ["text"], run, f"`{clear}` boolean").filter(F.col(f"`{clear}`")).drop(clear)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import add_columns, checkpointed, documents, whole_text
+from .common import add_columns, checkpointed, documents, unused_name, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns.
@@ -253,7 +253,7 @@ def find_personal_data(docs: DataFrame, terms: DataFrame | None = None, column:
             return ([_marked(t or "", x, shared.value) for t, x in zip(texts, spans)],)
 
         if done:
-            before = max(docs.columns, key=len) + "_"  # a name that no column has
+            before = unused_name(docs) + column
             out = add_columns(out.withColumnRenamed(column, before), ["text", before], more, f"`{column}` {SPANS}", keep=docs.columns)
         else:
             out, done = add_columns(docs, ["text"], first, f"`{column}` {SPANS}"), True
@@ -275,9 +275,10 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
             out.append(None if text is None else "".join([*parts, text[at:]]))
         return (out,)
 
-    rows = find_personal_data(docs.select("text", F.struct(*docs.columns).alias("row")), terms)
-    clean = add_columns(rows, ["text", "pii"], rewrite, "clean string", keep=["row"])
-    return clean.select(*(F.col("clean").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns))
+    found = unused_name(docs)
+    marked, clean = find_personal_data(docs, terms, found), found + "_"
+    out = add_columns(marked, ["text", found], rewrite, f"`{clean}` string", keep=docs.columns)
+    return out.select(*(F.col(f"`{clean if c == 'text' else c}`").alias(c) for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
