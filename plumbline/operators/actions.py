@@ -15,13 +15,13 @@ from plumbline.functions.rules import HOUR, between, half_up, has_station
 DEGRADING = ("exclude", "downgrade")
 
 
-def zone_actions(zones: DataFrame, trust: DataFrame, anomalies: DataFrame, events: DataFrame, recent: DataFrame, cap: int = 20) -> DataFrame:
+def zone_actions(zones: DataFrame, trust: DataFrame, anomalies: DataFrame, events: DataFrame, recent: DataFrame, cap: int | None = 20) -> DataFrame:
     """Actions on zones: exclude, downgrade, restore, new fence, and alerts.
 
     ``zones`` has ``zone_id, enabled, priority, stations``; ``events`` interference with ``classification, stations``;
     ``recent`` zone ids changed in the last six hours, which block new actions but restores and overrides. With more than
     ``cap`` exclusions and downgrades only the first ``cap`` degrading actions stay (by source, then zone, then station)
-    and a cascade alert is added. Over ten excluded primary and five overlay stations give a dual-outage alert.
+    and a cascade alert is added; without a cap (None) all stay. Over ten excluded primary and five overlay stations give a dual-outage alert.
     """
     c = F.col
     at = zones.select("zone_id", "enabled", "priority", F.explode("stations").alias("station"))
@@ -41,15 +41,17 @@ def zone_actions(zones: DataFrame, trust: DataFrame, anomalies: DataFrame, event
     out = out.unionByName(row(by_trust.filter("flag = 'trusted' and composite_score >= 0.7 and (not enabled or priority > 50)"), "restore", F.lit(10), 5))
     free = (c("source") == 0) | (c("action") == "restore") | c("hit").isNull()
     out = checkpointed(out.join(recent.select("zone_id", F.lit(True).alias("hit")).distinct(), "zone_id", "left").filter(free).drop("hit"))
+    alert = lambda df, name: df.select(F.lit(name).alias("action"), F.lit(None).cast("string").alias("zone_id"), F.lit(None).cast("string").alias("station"), none.alias("priority_before"), none.alias("priority_after"), F.lit(9).alias("source"))
+    overlay = c("station").startswith("ono") | c("station").contains("ONOCOY")
+    dual = trust.filter("flag = 'excluded'").agg(F.count_if(~overlay).alias("p"), F.count_if(overlay).alias("o")).filter("p > 10 and o > 5")
+    if cap is None:
+        return out.unionByName(alert(dual, "dual_outage"))
     many = out.agg(F.count_if(c("action").isin(*DEGRADING)).alias("degrading"))
     # Degrading actions are numbered only up to the cap: a sorted limit per partition, then one small sort.
     first = (out.filter(c("action") != "restore").orderBy("source", F.col("zone_id").asc_nulls_last(), "station", "priority_after").limit(cap))
     over = c("degrading") > cap
     kept = (out.filter("action = 'restore'").unionByName(first.crossJoin(F.broadcast(many)).filter(over).drop("degrading"))
             .unionByName(out.filter("action <> 'restore'").crossJoin(F.broadcast(many)).filter(~over).drop("degrading")))
-    alert = lambda df, name: df.select(F.lit(name).alias("action"), F.lit(None).cast("string").alias("zone_id"), F.lit(None).cast("string").alias("station"), none.alias("priority_before"), none.alias("priority_after"), F.lit(9).alias("source"))
-    overlay = c("station").startswith("ono") | c("station").contains("ONOCOY")
-    dual = trust.filter("flag = 'excluded'").agg(F.count_if(~overlay).alias("p"), F.count_if(overlay).alias("o")).filter("p > 10 and o > 5")
     return kept.unionByName(alert(many.filter(over), "cascade_exhaustion")).unionByName(alert(dual, "dual_outage"))
 
 

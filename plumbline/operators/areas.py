@@ -84,12 +84,12 @@ def cell_groups(cells: DataFrame) -> DataFrame:
     return cells.select("cell_id").join(groups, "cell_id", "left").select("cell_id", F.coalesce("component", "cell_id").alias("zone"))
 
 
-def coverage_zones(cells: DataFrame, stations: DataFrame, trust: DataFrame, least_cells: int = 3, limit: int | None = 450) -> DataFrame:
+def coverage_zones(cells: DataFrame, stations: DataFrame, trust: DataFrame, least_cells: int = 3, limit: int | None = 450, most: int | None = 20) -> DataFrame:
     """Zones of at least three adjoining cells with full or degraded coverage.
 
     Small zones are circles around the mean of the cell centres, others the buffered hull of their cells. For the hull only
     the outermost two cells of each row of hexagons are gathered, which are all that can be corners. Stations within 50 km
-    of the centre and of trust 0.4 or more belong to the zone, 20 at most, by trust in steps of 0.1, then distance.
+    of the centre and of trust 0.4 or more belong to the zone, ``most`` of them (None: all) by trust in steps of 0.1, then distance.
     """
     c = F.col
     good = checkpointed(cells.filter("zone_tier in ('full_rtk', 'degraded_rtk')").select("cell_id", "latitude", "longitude", "quality_score", "zone_tier"))
@@ -113,7 +113,7 @@ def coverage_zones(cells: DataFrame, stations: DataFrame, trust: DataFrame, leas
         "name", "network", c("latitude").alias("r_latitude"), c("longitude").alias("r_longitude"), F.coalesce("composite_score", F.lit(0.5)).alias("trust")).filter("trust >= 0.4")
     near = distance_join(zones.select("zone", "lat", "lon"), base, 50.0, "lat", "lon")
     rank = F.row_number().over(W.partitionBy("zone").orderBy(F.floor(-c("trust") * 10), "distance_km", "name"))
-    held = near.withColumn("k", rank).filter("k <= 20").groupBy("zone").agg(
+    held = (near if most is None else near.withColumn("k", rank).filter(c("k") <= most)).groupBy("zone").agg(
         F.array_sort(F.collect_list("name")).alias("stations"), F.count_if(c("network") == PRIMARY).alias("p"), F.count_if(c("network") == OVERLAY).alias("o"))
     z = zones.join(reach, "zone").join(shapes, "zone", "left").join(held, "zone", "left")
     network = F.when((c("p") > 0) & (c("o") > 0), "multi").when(c("o") > 0, OVERLAY).otherwise(PRIMARY)

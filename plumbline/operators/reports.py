@@ -284,12 +284,12 @@ def caster_ingest_summary(log: DataFrame) -> DataFrame:
 
 def caster_performance(log: DataFrame) -> DataFrame:
     """Per backend station: duration, upper median, volume, failovers, stability, rate and overall mark."""
-    rank = W.partitionBy("backend_source").orderBy("duration_s")
-    rows = log.filter(F.coalesce("backend_source", F.lit("")) != "").withColumns(
-        {"k": F.row_number().over(rank), "of": F.count("*").over(W.partitionBy("backend_source"))})
-    out = rows.groupBy(F.col("backend_source").alias("station")).agg(
-        n("sessions"), F.avg("duration_s").alias("mean"), F.max(F.when(F.col("k") == F.floor(F.col("of") / 2) + 1, F.col("duration_s"))).alias("median_duration_s"),
-        F.sum("bytes_transferred").alias("bytes"), F.sum("failover_count").alias("failovers"), F.sum("duration_s").alias("seconds"))
+    rows = log.filter(F.coalesce("backend_source", F.lit("")) != "").withColumnRenamed("backend_source", "station")
+    # The median counts values: a station has as many rows in the window as different durations.
+    values, station = rows.filter("duration_s is not null").groupBy("station", "duration_s").agg(n("k")), W.partitionBy("station")
+    upto = values.withColumns({"upto": F.sum("k").over(station.orderBy("duration_s")), "of": F.sum("k").over(station)})
+    middle = upto.filter(F.col("upto") > F.floor(F.col("of") / 2)).groupBy("station").agg(F.min("duration_s").alias("median_duration_s"))
+    out = rows.groupBy("station").agg(n("sessions"), F.avg("duration_s").alias("mean"), F.sum("bytes_transferred").alias("bytes"), F.sum("failover_count").alias("failovers")).join(middle, "station", "left")
     stability = F.least(F.lit(1.0), F.col("mean") / 1800) * (1 - F.least(F.lit(1.0), F.col("failovers") / F.col("sessions")) * 0.5)
     rate = F.col("bytes") / F.col("sessions") / F.greatest(F.lit(1.0), F.col("mean"))
     return out.select("station", "sessions", half_up("mean").alias("avg_duration_s"), "median_duration_s", "bytes", "failovers",
