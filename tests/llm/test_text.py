@@ -327,3 +327,67 @@ def test_parts_of_a_batch():
     network = toxicity.Network.start()
     want = network.logits(toxicity.Batch([texts[2], texts[1]]))
     assert np.allclose(network.logits(every.part(np.array([2, 1]))), want)
+
+
+M64 = (1 << 64) - 1
+
+
+def naive_buckets(text):
+    """Hashed 1- to 3-grams of one text, letter by letter."""
+    codes, out = [ord(c) for c in f"\0{text.lower()}\0"], []
+    for n in (1, 2, 3):
+        for i in range(len(codes) - n + 1):
+            h = 0
+            for j in range(n):
+                h = (h * 0x9E3779B97F4A7C15 + codes[i + j] + j + 1) & M64
+            out.append(((h ^ (h >> 29)) * 0xD6E8FEB86659FD93 & M64) >> (64 - langid.BUCKET_BITS))
+    return out
+
+
+def test_naive_bayes_equals_brute_force(docs):
+    rng = random.Random(5)
+    words = {"en": EN.split(), "de": DE.split(), "xx": ["ёлка", "日本", "naïve", "zq", "1a"]}
+    rows = [(i, " ".join(rng.choice(words[lang] + words["en"][:3]) for _ in range(rng.randint(1, 12))), lang) for i, lang in enumerate(rng.choices(list(words), k=90))]
+    table = docs(*[(i, t) for i, t, _ in rows]).drop("lang").join(docs().sparkSession.createDataFrame([(i, k) for i, _, k in rows], "doc_id long, lang string"), "doc_id")
+    counts, seen = {}, {}
+    for _, text, lang in rows:
+        seen[lang] = seen.get(lang, 0) + 1
+        for b in naive_buckets(text):
+            counts.setdefault(lang, {})[b] = counts.setdefault(lang, {}).get(b, 0) + 1
+    tests = ["the dog", "der hund", "ёлка zq", "q", " ".join(words["de"]) + " the the", "naïve日本"]
+    got = {r.doc_id: r for r in langid.identify(docs(*tests), langid.train(table)).collect()}
+    for i, text in enumerate(tests):
+        log = {}
+        for lang, own in counts.items():
+            total = sum(own.values()) + 0.5 * (1 << langid.BUCKET_BITS)
+            log[lang] = np.log(seen[lang] / len(rows)) + sum(np.log((own.get(b, 0) + 0.5) / total) for b in naive_buckets(text))
+        best = max(sorted(log), key=log.get)
+        assert got[i].lang_pred == best and abs(got[i].score - 1 / sum(np.exp(v - log[best]) for v in log.values())) < 1e-3
+
+
+def test_network_equals_brute_force():
+    """Hashing, embedding, filters, pooling and output of the classifier, word by word."""
+    rng, network = np.random.default_rng(2), toxicity.Network.start()
+    network.bias = {w: rng.normal(0, 1, toxicity.FILTERS).astype(np.float32) for w in toxicity.WIDTHS}
+    network.offset = 0.3
+
+    def rows(word):
+        out = []
+        for n in (None, *toxicity.PREFIXES):
+            h = sum((ord(c) + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, c in enumerate(word[:n])) + (n or 0) & M64
+            out.append(((h ^ (h >> 31)) * 0xD6E8FEB86659FD93 & M64) >> (64 - toxicity.FEATURE_BITS))
+        return out
+
+    texts = ["Vile words, here", "", "a", "über 日本語 x_1 'quoted' " * 7]
+    for text, got in zip(texts, network.logits(toxicity.Batch(texts))):
+        vectors = [network.embedding[rows(w)].mean(0) for w in re.findall(r"\w+", text.lower())]
+        zero = np.zeros(toxicity.DIM, np.float32)
+        total, at = network.offset, 0
+        for w in toxicity.WIDTHS:
+            padded = vectors + [zero] * (max(toxicity.WIDTHS) + w)
+            response = [sum(padded[i + j] @ network.filters[w][j] for j in range(w)) for i in range(len(vectors) + max(toxicity.WIDTHS))]
+            hidden = np.maximum(np.max(response, axis=0) + network.bias[w], 0)
+            total += hidden @ network.output[at:at + toxicity.FILTERS]
+            at += toxicity.FILTERS
+        assert abs(total - got) < 1e-3
+        assert abs(network.logits(toxicity.Batch([text]))[0] - got) < 1e-3  # whatever stands beside it
