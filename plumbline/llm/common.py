@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from plumbline.functions.graph import checkpointed
 
-__all__ = ["add_columns", "ascii_lower", "checkpointed", "documents", "drop_marked", "held_out", "shared_folder", "small_enough", "table", "unused_name", "whole_text"]
+__all__ = ["add_columns", "ascii_lower", "checkpointed", "columns_of", "documents", "drop_marked", "held_out", "shared_folder", "small_enough", "table", "unused_name", "whole_text"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,8 +52,13 @@ def small_enough(df: DataFrame, rows: int) -> bool:
 
 
 def unused_name(df: DataFrame) -> str:
-    """A name longer than those of all columns, so none has it."""
-    return max(df.columns, key=len) + "_"
+    """A plain name longer than those of all columns, so none has it."""
+    return "x" * (max(map(len, df.columns), default=0) + 1)
+
+
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns as they are named, dots and quotes in the names included."""
+    return [F.col("`" + name.replace("`", "``") + "`") for name in df.columns]
 
 
 def add_columns(rows: DataFrame, reads: Sequence[str], compute: Callable[..., Sequence], columns: str, keep: Sequence[str] | None = None) -> DataFrame:
@@ -61,20 +66,23 @@ def add_columns(rows: DataFrame, reads: Sequence[str], compute: Callable[..., Se
 
     ``compute`` gets the values of the columns ``reads`` as lists, a batch at a time, and returns one sequence
     (or Arrow array) for each new column. Kept columns pass through as Arrow, never as pandas: an integer
-    beside a null stays the integer that it is.
+    beside a null stays the integer that it is. On the way columns are named by position, so names may hold anything.
     """
     keep = list(rows.columns if keep is None else keep)
     added = StructType.fromDDL(columns)
     types = [to_arrow_type(f.dataType) for f in added]
-    schema = StructType([rows.schema[name] for name in keep] + added.fields)
+    place = {name: f"c{k}" for k, name in enumerate(rows.columns)}
+    kept, read = [place[name] for name in keep], [place[name] for name in reads]
+    plain = rows.toDF(*place.values())
+    schema = StructType([plain.schema[name] for name in kept] + [StructField(f"n{k}", f.dataType) for k, f in enumerate(added)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            new = compute(*(batch.column(name).to_pylist() for name in reads))
+            new = compute(*(batch.column(name).to_pylist() for name in read))
             arrays = [x if isinstance(x, pa.Array) else pa.array(x, t) for x, t in zip(new, types)]
-            yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *arrays], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*map(batch.column, kept), *arrays], names=schema.names)
 
-    return rows.mapInArrow(run, schema)
+    return plain.mapInArrow(run, schema).toDF(*keep, *added.names)
 
 
 def drop_marked(docs: DataFrame, found: DataFrame, with_key: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -89,8 +97,8 @@ def drop_marked(docs: DataFrame, found: DataFrame, with_key: Callable[[DataFrame
     gone = ids.filter("not stays and doc_id is not null").select("doc_id")
     unclear = ids.filter("(stays and n > 1) or doc_id is null").select(F.col("doc_id").alias("unclear"))
     if unclear.isEmpty():
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+        return docs.join(gone, "doc_id", "left_anti").select(*columns_of(docs))
+    rows = docs.select("doc_id", "text", F.struct(*columns_of(docs)).alias("row"))
     named = rows.filter("doc_id is not null").join(gone, "doc_id", "left_anti").unionByName(rows.filter("doc_id is null"))
     is_unclear = F.col("doc_id").eqNullSafe(F.col("unclear"))
     plain = named.join(unclear, is_unclear, "left_anti").select("row.*")

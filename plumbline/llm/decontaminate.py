@@ -317,7 +317,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", blo
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns kept whatever their names, without the rows that hold a passage of the benchmark."""
     leaks = unused_name(docs)
-    return find_leaks(docs, benchmark, leaks).filter(F.size(F.col(f"`{leaks}`")) == 0).drop(leaks)
+    return find_leaks(docs, benchmark, leaks).filter(F.size(leaks) == 0).drop(leaks)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,7 +23,6 @@ COUNT_TASKS = 16
 MAX_CELLS = 1 << 26
 CHUNK_CHARS = 400_000
 UNDETERMINED = "und"
-LETTER = re.compile(r"[^\W\d_]")
 _MULTIPLIER, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -128,7 +126,7 @@ def classify(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
     best, score = np.full(len(texts), -1, np.int32), np.zeros(len(texts))
     if not model.languages:
         return best, score
-    usable = [i for i, t in enumerate(texts) if isinstance(t, str) and LETTER.search(t)]
+    usable = [i for i, t in enumerate(texts) if isinstance(t, str) and any(map(str.isalpha, t))]
     kept = [texts[i] for i in usable]
     for a, b in chunks(kept):
         buckets, owner = ngram_buckets(kept[a:b])
@@ -143,7 +141,8 @@ def classify(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, lang_pred, score`` for every row, from the text alone.
 
-    Null texts and texts without any letter are ``und`` with score 0, as is every text when nothing was learned.
+    Null texts and texts without any letter (numerals such as a half or a circled one are none) are ``und`` with
+    score 0, as is every text when nothing was learned.
     Ties go to the first language in alphabetical order; repeated rows and null ids are scored like any other.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -176,7 +175,7 @@ def keep_identified(docs: DataFrame, min_score: float = 0.5) -> DataFrame:
         return ((best >= 0) & (score >= min_score),)
 
     clear = unused_name(docs)
-    return add_columns(docs, ["text"], run, f"`{clear}` boolean").filter(F.col(f"`{clear}`")).drop(clear)
+    return add_columns(docs, ["text"], run, f"`{clear}` boolean").filter(F.col(clear)).drop(clear)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

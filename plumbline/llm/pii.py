@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import add_columns, checkpointed, documents, unused_name, whole_text
+from .common import add_columns, checkpointed, columns_of, documents, unused_name, whole_text
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns.
@@ -278,7 +278,8 @@ def sanitise(docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
     found = unused_name(docs)
     marked, clean = find_personal_data(docs, terms, found), found + "_"
     out = add_columns(marked, ["text", found], rewrite, f"`{clean}` string", keep=docs.columns)
-    return out.select(*(F.col(f"`{clean if c == 'text' else c}`").alias(c) for c in docs.columns))
+    texts = dict(zip(docs.columns, columns_of(docs))) | {"text": F.col(clean)}
+    return out.select(*(texts[c].alias(c) for c in docs.columns))
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

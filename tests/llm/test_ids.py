@@ -174,3 +174,20 @@ def test_many_postings_in_groups(monkeypatch):
     want = decontaminate.search(index, texts)
     monkeypatch.setattr(decontaminate, "MAX_PAIRS", 500)
     assert decontaminate.search(index, texts) == want and want[0]
+
+
+def test_stages_keep_columns_of_any_name(spark, docs):
+    """Dots, quotes and names that the stages use themselves."""
+    odd = docs(*zip(IDS, TEXTS), extra=["row"]).withColumns({"a.b": F.lit("dot"), "c`d": F.lit("quote"), "x": F.lit("x")})
+    bench = spark.createDataFrame([(1, EN + "four")], "item_id long, text string")
+    model = langid.train(odd)
+    stages = (langid.keep_identified, exact_dedup.drop_exact_duplicates, simhash.drop_near_duplicates, lambda d: decontaminate.drop_leaks(d, bench), pii.sanitise)
+    for stage in stages:
+        out = stage(odd)
+        assert out.columns == odd.columns and {r["a.b"] for r in out.collect()} <= {"dot"}
+    assert model.languages == ["en"]
+
+
+def test_numerals_are_no_letters(docs):
+    model = langid.train(docs(EN, EN))
+    assert langid.classify(model, ["½ ² ① Ⅷ", "123", "́", "ª", "a"])[0].tolist() == [-1, -1, -1, 0, 0]
