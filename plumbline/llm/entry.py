@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fim, html_extract, langid, pieces, pii, rans, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, fim, html_extract, importance, langid, pieces, pii, rans, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -15,7 +15,10 @@ QUERIES = {
     "op8_sharding": sharding.op8_sharding,
     "op9_decontamination": decontaminate.op9_decontamination,
     "op10_html_extraction": html_extract.op10_html_extraction,
+    "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
 }
-ORACLE_SQL = {"op3_pii": pii.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE,
-              "op12_fill_in_middle": fim.ORACLE}
+ORACLE_SQL = {
+    "op3_pii": pii.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE,
+    "op11_importance_resampling": importance.ORACLE, "op12_fill_in_middle": fim.ORACLE,
+}
