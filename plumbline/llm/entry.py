@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact_dedup, fim, html_extract, importance, langid, pieces, pii, rans, sharding, simhash, toxicity
+from . import decontaminate, exact_dedup, fim, html_extract, importance, langid, pieces, pii, quality, rans, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_simhash": simhash.op1_simhash,
@@ -17,8 +17,9 @@ QUERIES = {
     "op10_html_extraction": html_extract.op10_html_extraction,
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
+    "op13_quality_rules": quality.op13_quality_rules,
 }
 ORACLE_SQL = {
     "op3_pii": pii.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE,
-    "op11_importance_resampling": importance.ORACLE, "op12_fill_in_middle": fim.ORACLE,
+    "op11_importance_resampling": importance.ORACLE, "op12_fill_in_middle": fim.ORACLE, "op13_quality_rules": quality.ORACLE,
 }
