@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.geo import distance_join, haversine_km, nearest_join
+from plumbline.functions.geodesic import neighbours
 from plumbline.functions.graph import checkpointed, connected_components
 from plumbline.functions.rules import OVERLAY, PRIMARY, half_up
 
-from .spatial import cell_disk
 from .zones import stations_outside_regions
 
 BUFFER_KM, MAX_POINTS, CELL_KM2 = 5.0, 40, 73
@@ -74,11 +74,10 @@ def moved_out(corners: Column, lat: Column, lon: Column, km: float, digits: int,
 
 
 def cell_groups(cells: DataFrame) -> DataFrame:
-    """``cell_id, zone``: cells (``cell_id`` as ``q:r``) joined to their direct neighbours; ``zone`` is the smallest id of the
-    connected group. Each cell meets its six neighbours by an equi join on ids."""
-    part = lambda i: F.split("cell_id", ":")[i].cast("int")
-    own = cells.select("cell_id", F.struct(part(0).alias("q"), part(1).alias("r")).alias("c"))
-    beside = own.select(F.col("cell_id").alias("src"), F.explode(cell_disk(F.col("c"), 1)).alias("n")).select("src", F.concat_ws(":", "n.q", "n.r").alias("dst"))
+    """``cell_id, zone``: cells (``cell_id`` is an id of the geodesic grid as text) joined to their direct neighbours; ``zone`` is
+    the smallest id of the connected group. Each cell meets its neighbours by an equi join on ids."""
+    own = cells.select("cell_id", F.col("cell_id").cast("long").alias("cell"))
+    beside = own.select(F.col("cell_id").alias("src"), F.explode(neighbours(F.col("cell"))).alias("near")).select("src", F.col("near").cast("string").alias("dst"))
     edges = beside.filter("src < dst").join(own.select(F.col("cell_id").alias("dst")), "dst", "left_semi")
     groups = connected_components(edges).withColumnRenamed("node", "cell_id")
     return cells.select("cell_id").join(groups, "cell_id", "left").select("cell_id", F.coalesce("component", "cell_id").alias("zone"))

@@ -1,4 +1,4 @@
-"""Spatial statistics and hexagonal coverage cells."""
+"""Spatial statistics and coverage cells."""
 
 from __future__ import annotations
 
@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.geo import DEGREE_KM, EARTH_KM, distance_join
+from plumbline.functions.geodesic import cell_centre, cell_disk, cell_of
 from plumbline.functions.graph import checkpointed
 from plumbline.functions.rules import DAY, between, half_up, has_position, online, positive
 
-#: Edge of a hexagon in kilometres; ids of these cells are not those of any other cell system.
-EDGE_KM = 8.5
 # Square boxes (name, latitude, longitude, half side in degrees) for summaries of a surface.
 SURFACE_BOXES = (
     ("EU Central", 50, 10, 15), ("EU West", 48, -2, 12), ("EU North", 60, 15, 12), ("US East", 38, -78, 15), ("US West", 38, -118, 15),
@@ -23,42 +22,7 @@ SURFACE_BOXES = (
 )
 
 
-# ---- hexagonal cells ------------------------------------------------------------------------------------------------
-
-def _axial(lat: Column, lon: Column) -> tuple[Column, Column]:
-    """Axial coordinates of the hexagon around a point on the equal-area sinusoidal projection."""
-    x = F.radians(lon) * F.cos(F.radians(lat)) * EARTH_KM
-    y = F.radians(lat) * EARTH_KM
-    q = (x * (3**0.5 / 3) - y / 3) / EDGE_KM
-    r = (y * (2 / 3)) / EDGE_KM
-    s = -q - r
-    near = lambda v: F.floor(v + 0.5)
-    rq, rr, rs = near(q), near(r), near(s)
-    dq, dr, ds = F.abs(rq - q), F.abs(rr - r), F.abs(rs - s)
-    fq = F.when((dq > dr) & (dq > ds), -rr - rs).otherwise(rq)
-    fr = F.when(~((dq > dr) & (dq > ds)) & (dr > ds), -rq - rs).otherwise(rr)
-    return fq.cast("int"), fr.cast("int")
-
-
-def cell_of(lat: Column, lon: Column) -> Column:
-    """Struct ``q, r`` of the cell that holds a point."""
-    q, r = _axial(lat, lon)
-    return F.struct(q.alias("q"), r.alias("r"))
-
-
-def cell_centre(cell: Column) -> Column:
-    """Struct ``lat, lon`` of the centre of a cell."""
-    x = EDGE_KM * (3**0.5) * (cell["q"] + cell["r"] / 2)
-    y = EDGE_KM * 1.5 * cell["r"]
-    lat = y / EARTH_KM
-    return F.struct(F.degrees(lat).alias("lat"), F.degrees(x / EARTH_KM / F.cos(lat)).alias("lon"))
-
-
-def cell_disk(cell: Column, k: int) -> Column:
-    """All cells within ``k`` steps, ``3 k (k + 1) + 1`` of them."""
-    steps = [(dq, dr) for dq in range(-k, k + 1) for dr in range(max(-k, -dq - k), min(k, -dq + k) + 1)]
-    return F.array(*[F.struct((cell["q"] + dq).alias("q"), (cell["r"] + dr).alias("r")) for dq, dr in steps])
-
+# ---- coverage cells -------------------------------------------------------------------------------------------------
 
 def bearing(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     d, a, b = F.radians(lon2 - lon1), F.radians(lat1), F.radians(lat2)
@@ -85,6 +49,7 @@ def coverage_cells(stations: DataFrame, scores: DataFrame, sessions: DataFrame,
     """Quality of every cell near an online station (two rings) or with sessions.
 
     Score = 0.35 baseline exp(-(d/20)^2) + 0.20 geometry + 0.20 weighted uptime + 0.15 freshness + 0.10 fix rate.
+    Cells are those of the geodesic grid (``cell_id`` is their id as text), of about 253 square kilometres.
     Cells with 20 sessions are observed, with 3 hybrid, else modelled. Users are summed over 0.1 degree squares.
     """
     c = F.col
@@ -94,12 +59,11 @@ def coverage_cells(stations: DataFrame, scores: DataFrame, sessions: DataFrame,
     length = F.when(c("duration") > 0, c("duration")).otherwise(1)
     squares = (sessions.filter(between(as_of - days * DAY) & has_position() & (F.abs("longitude") > 0.1)).groupBy(half_up("latitude", 1).alias("lat"), half_up("longitude", 1).alias("lon")).agg(
         F.count("*").alias("n"), F.count_distinct("username").alias("users"), F.sum(c("fix_rate") * length).alias("fix"), F.sum(length).alias("seconds"), F.avg(positive("avg_age")).alias("mean_age")))
-    seen = squares.groupBy(cell_of(c("lat"), c("lon")).alias("cell")).agg(
+    seen = squares.withColumn("cell", cell_of(c("lat"), c("lon"))).groupBy("cell").agg(
         F.sum("n").alias("n"), F.sum("users").alias("users"), F.sum("fix").alias("fix"), F.sum("seconds").alias("seconds"),
         (F.sum(c("mean_age") * c("n")) / F.sum(F.when(c("mean_age") > 0, c("n")))).alias("seen_age"))
     rings = base.select(cell_of(c("r_latitude"), c("r_longitude")).alias("own")).select(F.explode(cell_disk(c("own"), 2)).alias("cell"))
     seen = checkpointed(seen)
-    # Checkpointed, so that the join by distance works on plain columns rather than on copies of the centre's formula.
     cells = checkpointed(rings.unionByName(seen.select("cell")).distinct().withColumn("centre", cell_centre(c("cell"))).select("cell", c("centre.lat").alias("latitude"), c("centre.lon").alias("longitude")))
     near = distance_join(cells, base, km).withColumn("w", F.exp(-F.pow(c("distance_km") / 20, F.lit(2.0))))
     rank = F.row_number().over(W.partitionBy("cell").orderBy("distance_km", "name"))
@@ -117,7 +81,7 @@ def coverage_cells(stations: DataFrame, scores: DataFrame, sessions: DataFrame,
     r = r.withColumn("quality_score", half_up(c("baseline") * 0.35 + c("geometry") * 0.2 + c("up") * 0.2 + c("fresh") * 0.15 + c("fix_part") * 0.1, 2))
     tier = F.when(c("quality_score") >= 0.75, "full_rtk").when(c("quality_score") >= 0.5, "degraded_rtk").when(c("quality_score") >= 0.25, "float_dgps").otherwise("no_coverage")
     source = F.when(c("n") >= 20, "observed").when(c("n") >= 3, "hybrid").otherwise("modeled")
-    return r.select(F.concat_ws(":", "cell.q", "cell.r").alias("cell_id"), half_up("latitude", 5).alias("latitude"), half_up("longitude", 5).alias("longitude"), "quality_score",
+    return r.select(c("cell").cast("string").alias("cell_id"), half_up("latitude", 5).alias("latitude"), half_up("longitude", 5).alias("longitude"), "quality_score",
                     half_up("baseline", 2).alias("baseline"), "geometry", half_up("up", 2).alias("uptime"), half_up("fresh", 2).alias("freshness"), half_up("fix_part", 2).alias("fix_rate"),
                     c("n").alias("session_count"), F.coalesce("users", zero).alias("unique_users"), half_up(F.when(c("n") >= 3, F.least(F.lit(1.0), c("n") / 50)).otherwise(0.0), 2).alias("confidence"),
                     source.alias("data_source"), tier.alias("zone_tier"), F.coalesce("redundancy", zero).alias("redundancy"), F.coalesce("nearest", F.lit("")).alias("nearest_station"),

@@ -10,6 +10,7 @@ from plumbline.operators import spatial as s
 
 from .detector_queries import COMP
 from .fixtures import AS_OF, Tables, oracle
+from .grid_sql import centred, located, neighbours
 from .sql import POSITION, km, rnd
 
 D180 = AS_OF - 180 * 86_400_000
@@ -44,28 +45,21 @@ _T = "(1 / (1 + 2316419e-7 * abs(z)))"
 PVAL = f"(2 * (3989422804014327e-16 * exp(-z * z / 2) * {_T} * (319381530e-9 + {_T} * (-356563782e-9 + {_T} * (1781477937e-9 + {_T} * (-1821255978e-9 + {_T} * 1330274429e-9))))))"
 
 
-def axial(lat: str, lon: str) -> str:
-    x, y = f"(radians({lon}) * cos(radians({lat})) * 6371)", f"(radians({lat}) * 6371)"
-    return f"""(SELECT struct_pack(q := CAST(CASE WHEN dq > dr AND dq > ds THEN -rr - rs ELSE rq END AS int), r := CAST(CASE WHEN NOT (dq > dr
-       AND dq > ds) AND dr > ds THEN -rq - rs ELSE rr END AS int)) FROM (SELECT *, abs(rq - q) AS dq, abs(rr - r) AS dr, abs(rs - s) AS ds
-       FROM (SELECT *, floor(q + 5e-1) AS rq, floor(r + 5e-1) AS rr, floor(s + 5e-1) AS rs FROM (SELECT q, r, -q - r AS s
-       FROM (SELECT ({x} * (sqrt(3e0) / 3) - {y} / 3) / 85e-1 AS q, ({y} * (2e0 / 3)) / 85e-1 AS r)))))"""
-
-
-DISK = ", ".join(f"({dq}, {dr})" for dq in range(-2, 3) for dr in range(max(-2, -dq - 2), min(2, -dq + 2) + 1))
 BASE = """SELECT name, coalesce(network, 'unknown') AS network, latitude, longitude, coalesce(uptime_7d, 5e-1) AS uptime,
    coalesce(median_correction_age, 2e0) AS age FROM fx_stations LEFT JOIN fx_station_scores ON station_name = name
    WHERE status IN ('ONLINE', 'ACTIVE')"""
 SEEN_CELLS = f"""SELECT cell, sum(n) AS n, sum(users) AS users, sum(fix) AS fix, sum(secs) AS secs, sum(ma * n) / sum(CASE
-   WHEN ma > 0 THEN n END) AS seen_age FROM (SELECT {axial("lat", "lon")} AS cell, * FROM (
- SELECT {rnd("latitude", 1)} AS lat, {rnd("longitude", 1)} AS lon, count(*) AS n, count(DISTINCT username) AS users, sum(fix_rate * CASE
+   WHEN ma > 0 THEN n END) AS seen_age FROM {located("sq", "lat", "lon")} GROUP BY 1"""
+SQUARES = f"""
+SELECT {rnd("latitude", 1)} AS lat, {rnd("longitude", 1)} AS lon, count(*) AS n, count(DISTINCT username) AS users, sum(fix_rate * CASE
     WHEN duration > 0 THEN duration ELSE 1 END) AS fix, sum(CASE WHEN duration > 0 THEN duration ELSE 1 END) AS secs,
   avg(CASE WHEN avg_age > 0 THEN avg_age END) AS ma FROM fx_sessions WHERE login_time >= {D180} AND {POSITION} AND abs(longitude) > 0.1
-     GROUP BY 1, 2)) GROUP BY 1"""
-CELLS = f"""SELECT cell, degrees(85e-1 * 15e-1 * cell.r / 6371) AS lat, degrees(85e-1 * sqrt(3e0) * (cell.q + cell.r / 2) / 6371 / cos(85e-1 * 15e-1 *
-   cell.r / 6371)) AS lon FROM (
- SELECT DISTINCT cell FROM (SELECT struct_pack(q := CAST(c.q + dq AS int), r := CAST(c.r + dr AS int)) AS cell
-    FROM (SELECT {axial("latitude", "longitude")} AS c FROM bas), (VALUES {DISK}) d(dq, dr) UNION ALL SELECT cell FROM sen))"""
+     GROUP BY 1, 2"""
+#: Cells of stations, the first ring around them, the second, and the cells of sessions.
+OWN_CELLS = f"SELECT cell FROM {located('(SELECT latitude, longitude FROM bas)', 'latitude', 'longitude')}"
+FIRST_RING = f"SELECT near AS cell FROM {neighbours('own')} UNION SELECT cell FROM own"
+SECOND_RING = f"SELECT near AS cell FROM {neighbours('rg1')} UNION SELECT cell FROM rg1"
+CELLS = f"SELECT * FROM {centred('(SELECT cell FROM rg2 UNION SELECT cell FROM sen)')}"
 NEAR = f"""SELECT c.cell, b.*, {km("c.lat", "c.lon", "b.latitude", "b.longitude")} AS dk, degrees(atan2(sin(radians(b.longitude - c.lon)) *
    cos(radians(b.latitude)), cos(radians(c.lat)) * sin(radians(b.latitude)) - sin(radians(c.lat)) * cos(radians(b.latitude)) * cos(radians(b.longitude
    - c.lon)))) AS br
@@ -76,7 +70,7 @@ AROUND = """SELECT cell, count(*) AS in_range, count(*) FILTER (dk <= 35) AS clo
  count(DISTINCT CASE WHEN network <> 'unknown' THEN network END) AS redundancy, max(gap) AS gap, min(br) FILTER (dk <= 35) AS b0, max(br) FILTER (dk
     <= 35) AS b1 FROM (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY dk, name) AS k,
   CASE WHEN dk <= 35 THEN br - lag(br) OVER (PARTITION BY cell, dk <= 35 ORDER BY br) END AS gap FROM nea) GROUP BY 1"""
-COVERAGE = f"""SELECT concat(cell.q, ':', cell.r) AS cell_id, {rnd("lat", 5)} AS latitude, {rnd("lon", 5)} AS longitude, qs AS quality_score,
+COVERAGE = f"""SELECT CAST(cell AS VARCHAR) AS cell_id, {rnd("lat", 5)} AS latitude, {rnd("lon", 5)} AS longitude, qs AS quality_score,
    {rnd("bl", 2)} AS baseline, ge AS geometry, {rnd("up", 2)} AS uptime, {rnd("fr", 2)} AS freshness, {rnd("fp", 2)} AS fix_rate,
  n AS session_count, coalesce(users, 0) AS unique_users, {rnd("CASE WHEN n >= 3 THEN least(1e0, n / 5e1) ELSE 0e0 END", 2)} AS confidence, CASE
     WHEN n >= 20 THEN 'observed' WHEN n >= 3 THEN 'hybrid' ELSE 'modeled' END AS data_source,
@@ -95,11 +89,8 @@ FROM (SELECT *, {rnd("bl * 35e-2 + ge * 2e-1 + up * 2e-1 + fr * 15e-2 + fp * 1e-
  FROM cel c LEFT JOIN aro USING (cell) LEFT JOIN sen USING (cell))))"""
 
 
-GOOD = """SELECT cell_id, CAST(split_part(cell_id, ':', 1) AS int) AS q, CAST(split_part(cell_id, ':', 2) AS int) AS r, latitude, longitude,
-   quality_score, zone_tier FROM cv WHERE zone_tier IN ('full_rtk', 'degraded_rtk')"""
-ADJOINING = """
-SELECT a.cell_id AS a, b.cell_id AS b FROM gd a JOIN gd b
-ON (b.q - a.q, b.r - a.r) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, -1), (-1, 1))"""
+GOOD = """SELECT cell_id, CAST(cell_id AS bigint) AS cell, latitude, longitude, quality_score, zone_tier FROM cv WHERE zone_tier IN ('full_rtk', 'degraded_rtk')"""
+ADJOINING = f"SELECT a.cell_id AS a, b.cell_id AS b FROM {neighbours('gd')} n JOIN gd a ON a.cell = n.cell JOIN gd b ON b.cell = n.near"
 ZONES = f"""
 SELECT *, (SELECT max({km("z.lat", "z.lon", "g.latitude", "g.longitude")}) FROM zc g WHERE g.zone = z.zone) AS reach FROM (
   SELECT zone, count(*) AS cells, count(*) FILTER (zone_tier = 'full_rtk') AS f, avg(latitude) AS lat, avg(longitude) AS lon, avg(quality_score) AS
@@ -123,6 +114,9 @@ FROM (SELECT *, CASE WHEN p > 0 AND o > 0 THEN 'multi' WHEN o > 0 THEN 'onocoy'
 ORDER BY avg_quality DESC, zone_id LIMIT 450"""
 
 
+CELL_PARTS = {"bas": BASE, "sq": SQUARES, "sen": SEEN_CELLS, "own": OWN_CELLS, "rg1": FIRST_RING, "rg2": SECOND_RING, "cel": CELLS, "nea": NEAR, "aro": AROUND}
+
+
 def fitted(t: Tables) -> DataFrame:
     return s.fit_variogram(s.empirical_variogram(points(t)))
 
@@ -138,8 +132,8 @@ def surface(t: Tables) -> DataFrame:
 SPATIAL = {
     "coverage_zones": (
         lambda t: areas.coverage_zones(cell_rows(t), t.fx_stations, t.fx_trust).drop("points", "stations"),
-        oracle(COVERAGE_ZONES, bas=BASE, sen=SEEN_CELLS, cel=CELLS, nea=NEAR, aro=AROUND, cv=COVERAGE, gd=GOOD, edg=ADJOINING, comp=COMP, zc=ZONE_CELLS, zn=ZONES, hd=HELD)),
-    "coverage_cells": (cell_rows, oracle(COVERAGE, bas=BASE, sen=SEEN_CELLS, cel=CELLS, nea=NEAR, aro=AROUND)),
+        oracle(COVERAGE_ZONES, **CELL_PARTS, cv=COVERAGE, gd=GOOD, edg=ADJOINING, comp=COMP, zc=ZONE_CELLS, zn=ZONES, hd=HELD)),
+    "coverage_cells": (cell_rows, oracle(COVERAGE, **CELL_PARTS)),
     "empirical_variogram": (
         lambda t: s.empirical_variogram(points(t)).select("bin", s.half_up("distance", 3).alias("distance"), s.half_up("semivariance", 3).alias("semivariance"), "count"),
         oracle(f"""SELECT bin, {rnd('distance', 3)} AS distance, {rnd('semivariance', 3)} AS semivariance, count
