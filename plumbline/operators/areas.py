@@ -1,8 +1,7 @@
-"""Coverage zones from adjoining hexagonal cells."""
+"""Coverage zones from adjoining cells, integrity zones and merged overlays."""
 
 from __future__ import annotations
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import Window as W
 from plumbline.functions.geo import distance_join, haversine_km, nearest_join
 from plumbline.functions.geodesic import neighbours
 from plumbline.functions.graph import checkpointed, connected_components
+from plumbline.functions.outlines import concave_outlines, convex_hull, group_outlines, outline_points, simplified
 from plumbline.functions.rules import OVERLAY, PRIMARY, half_up
 
 from .zones import stations_outside_regions
@@ -18,34 +18,6 @@ from .zones import stations_outside_regions
 BUFFER_KM, MAX_POINTS, CELL_KM2 = 5.0, 40, 73
 
 
-def convex_hull(points: np.ndarray) -> np.ndarray:
-    """Corners of the hull of ``(lat, lon)`` rows, counter-clockwise, collinear points left out."""
-    pts = sorted(set(map(tuple, points.tolist())))
-    if len(pts) < 3:
-        return np.array(pts)
-
-    def half(seq):
-        out = []
-        for p in seq:
-            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) - (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]) <= 0:
-                out.pop()
-            out.append(p)
-        return out[:-1]
-
-    return np.array(half(pts) + half(reversed(pts)))
-
-
-def buffered(hull: np.ndarray, km: float = BUFFER_KM, most: int = MAX_POINTS) -> np.ndarray:
-    """The hull with every corner moved ``km`` away from the centre, thinned evenly to ``most`` corners."""
-    if len(hull) > most:
-        hull = hull[np.linspace(0, len(hull), most, endpoint=False).astype(int)]
-    centre = hull.mean(0)
-    scale = np.array([1.0, max(0.05, np.cos(np.radians(centre[0])))])
-    away = (hull - centre) * scale
-    length = np.maximum(1e-9, np.hypot(away[:, 0], away[:, 1]))
-    return hull + away / length[:, None] * (km / 111.0) / scale
-
-
 def hulls(points: DataFrame, key: str, lat: str = "latitude", lon: str = "longitude", salts: int = 64) -> DataFrame:
     """``key, corners``: the convex hull of the points of every key. Points are dealt to ``salts`` partial hulls first, so no
     task holds all points of a key; the hull of the partial hulls' corners is the hull of all."""
@@ -83,11 +55,35 @@ def cell_groups(cells: DataFrame) -> DataFrame:
     return cells.select("cell_id").join(groups, "cell_id", "left").select("cell_id", F.coalesce("component", "cell_id").alias("zone"))
 
 
+def zone_rings(cells: DataFrame, least_cells: int = 3) -> DataFrame:
+    """The outlines (see :func:`group_outlines`, key ``zone``) of groups of at least three adjoining cells with full or degraded
+    coverage, bays and holes included."""
+    good = checkpointed(cells.filter("zone_tier in ('full_rtk', 'degraded_rtk')").select("cell_id"))
+    groups = checkpointed(cell_groups(good))
+    large = groups.groupBy("zone").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least_cells)
+    return group_outlines(groups.join(large, "zone", "left_semi").select("zone", F.col("cell_id").cast("long").alias("cell")), "zone")
+
+
+def zone_fences(cells: DataFrame) -> DataFrame:
+    """``zone, points``: the hull of the outline of each group of cells (``zone, cell_id, lat, lon``, the last two the group's
+    centre), simplified to at most ``MAX_POINTS`` corners and moved out by ``BUFFER_KM``.
+
+    The line that is simplified starts at the southernmost corner (of several the westernmost) and goes east first.
+    """
+    c = F.col
+    outline = outline_points(group_outlines(cells.select("zone", c("cell_id").cast("long").alias("cell")), "zone"), "zone")
+    corners = hulls(outline, "zone", "lat", "lon").select("zone", F.posexplode("corners").alias("i", "p"), F.size("corners").alias("n"))
+    line = corners.select("zone", F.when(c("i") == 0, 0).otherwise(c("n") - c("i")).cast("long").alias("place"), c("p")[1].alias("x"), c("p")[0].alias("y"))
+    kept = simplified(checkpointed(line), "zone", "place", "x", "y", MAX_POINTS)
+    few = kept.groupBy("zone").agg(F.array_sort(F.collect_list(F.struct("place", "y", "x"))).alias("line"))  # at most MAX_POINTS a zone
+    centre = cells.groupBy("zone").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    return few.join(centre, "zone").select("zone", moved_out(F.transform("line", lambda p: F.array(p["y"], p["x"])), c("lat"), c("lon"), BUFFER_KM, 6).alias("points"))
+
+
 def coverage_zones(cells: DataFrame, stations: DataFrame, trust: DataFrame, least_cells: int = 3, limit: int | None = 450, most: int | None = 20) -> DataFrame:
     """Zones of at least three adjoining cells with full or degraded coverage.
 
-    Small zones are circles around the mean of the cell centres, others the buffered hull of their cells. For the hull only
-    the outermost two cells of each row of hexagons are gathered, which are all that can be corners. Stations within 50 km
+    Small zones are circles around the mean of the cell centres, others polygons (:func:`zone_fences`). Stations within 50 km
     of the centre and of trust 0.4 or more belong to the zone, ``most`` of them (None: all) by trust in steps of 0.1, then distance.
     """
     c = F.col
@@ -97,17 +93,7 @@ def coverage_zones(cells: DataFrame, stations: DataFrame, trust: DataFrame, leas
         F.count("*").alias("cells"), F.count_if(c("zone_tier") == "full_rtk").alias("full"), F.avg("latitude").alias("lat"), F.avg("longitude").alias("lon"),
         F.avg("quality_score").alias("avg_quality"), F.min("quality_score").alias("min_quality")).filter(c("cells") >= least_cells)
     reach = rows.join(zones.select("zone", "lat", "lon"), "zone").groupBy("zone").agg(F.max(haversine_km(c("lat"), c("lon"), c("latitude"), c("longitude"))).alias("km"))
-    row = F.split("cell_id", ":")[1]
-    ends = rows.join(zones.filter("cells >= 7").select("zone"), "zone", "left_semi").groupBy("zone", row.alias("row")).agg(
-        F.min(F.struct("longitude", "latitude")).alias("a"), F.max(F.struct("longitude", "latitude")).alias("b"))
-    corners = ends.select("zone", F.explode(F.array("a", "b")).alias("p")).select("zone", "p.latitude", "p.longitude")
-
-    def outline(pdf: pd.DataFrame) -> pd.DataFrame:
-        hull = convex_hull(pdf[["latitude", "longitude"]].to_numpy(float))
-        points = [[round(float(a), 6), round(float(b), 6)] for a, b in buffered(hull)] if len(hull) >= 3 else None
-        return pd.DataFrame({"zone": [pdf["zone"].iloc[0]], "points": [points]})
-
-    shapes = corners.groupBy("zone").applyInPandas(outline, "zone string, points array<array<double>>")
+    shapes = zone_fences(rows.join(zones.filter("cells >= 7").select("zone", "lat", "lon"), "zone"))
     base = stations.join(trust.select(c("station").alias("name"), "composite_score"), "name", "left").select(
         "name", "network", c("latitude").alias("r_latitude"), c("longitude").alias("r_longitude"), F.coalesce("composite_score", F.lit(0.5)).alias("trust")).filter("trust >= 0.4")
     near = distance_join(zones.select("zone", "lat", "lon"), base, 50.0, "lat", "lon")
@@ -156,8 +142,8 @@ def integrity_zones(stations: DataFrame, kp: float = 0.0, circles: DataFrame | N
     interference ``circles`` (``c_id, c_lat, c_lon, radius_km``) are left out. All primary stations form one global zone.
     Overlay stations further from the nearest primary one than the gap distance, or trusted better than it by over 0.15,
     form zones of those connected within the cluster distance; storms shrink gap, ring and cluster distance. A zone
-    of one station is a circle, as is one whose stations lie on one line; others are the hull moved out by the ring and the
-    overlap. ``zone_id`` of a cluster carries its smallest station name.
+    of one station is a circle, as is one whose stations lie on one line; others are the concave outline (the hull of four
+    stations or fewer), its sides opened down to the cluster distance, moved out by the ring and the overlap. ``zone_id`` of a cluster carries its smallest station name.
     """
     c, share = F.col, storm_share(kp)
     clear = checkpointed(stations if circles is None else stations_outside_regions(stations, circles))
@@ -186,7 +172,8 @@ def integrity_zones(stations: DataFrame, kp: float = 0.0, circles: DataFrame | N
     gap = c("gaps") > c("stations") / 2
     priority = F.when(gap, F.when(c("best"), 20).otherwise(35)).otherwise(F.when(c("best"), 35).otherwise(50))
     wide = F.coalesce(F.size("corners") >= 3, F.lit(False))
-    rest = stats.join(reach, "cluster").join(hulls(rows, "cluster"), "cluster", "left").select(
+    shapes = concave_outlines(rows, "cluster", CLUSTER_KM * share)
+    rest = stats.join(reach, "cluster").join(shapes, "cluster", "left").select(
         F.concat(F.lit("integrity_overlay_"), "cluster").alias("zone_id"), F.when(gap, "overlay_gap").otherwise("overlay_upgrade").alias("zone_type"), world_part(c("lat"), c("lon")).alias("region"),
         priority.alias("priority"), F.when(wide, "polygon").otherwise("circle").alias("fence_type"), half_up("lat", 6).alias("lat"), half_up("lon", 6).alias("lon"),
         F.when(~wide, half_up((c("km") + RING_KM * share) * 1000)).alias("radius_m"),

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.outlines import ring_areas
 from plumbline.operators import areas
 from plumbline.operators import spatial as s
+from plumbline.sources import tables
 
 from .detector_queries import COMP
 from .fixtures import AS_OF, Tables, oracle
-from .grid_sql import centred, located, neighbours
+from .grid_sql import centred, excess, located, neighbours, sides
 from .sql import POSITION, km, rnd
 
 D180 = AS_OF - 180 * 86_400_000
@@ -129,7 +131,44 @@ def surface(t: Tables) -> DataFrame:
     return s.kriging_surface(points(t), fitted(t), 1.0)
 
 
+ZONE_SIDES = f"""
+SELECT s.*, c.zone FROM {sides("gd")} s JOIN zc c USING (cell) JOIN (SELECT zone FROM zc GROUP BY 1 HAVING count(*) >= 3) USING (zone)"""
+RIM = "SELECT * FROM zs s WHERE NOT EXISTS (SELECT 1 FROM zs o WHERE o.zone = s.zone AND o.a = s.b AND o.b = s.a)"
+#: From every corner around its ring; the ring is known by its smallest corner.
+WALKED = """
+SELECT zone, begin_ AS a, min(spot) AS ring FROM (
+  WITH RECURSIVE walk(zone, begin_, spot) AS (
+    SELECT zone, a, a FROM rim UNION SELECT w.zone, w.begin_, r.b FROM walk w JOIN rim r ON r.zone = w.zone AND r.a = w.spot)
+  SELECT * FROM walk) GROUP BY 1, 2"""
+_O, _P, _B, _Q = (("o.lat", "o.lon"), ("r.lat", "r.lon"), ("r.bend_lat", "r.bend_lon"), ("n.lat", "n.lon"))
+OUTLINES = f"""
+SELECT r.zone AS zone_id, w.ring, count(*) AS sides,
+       {rnd("6371e0 * 6371 * sum(CASE WHEN r.bend_lat IS NULL THEN " + excess(_O, _P, _Q) + " ELSE " + excess(_O, _P, _B) + " + " + excess(_O, _B, _Q) + " END)", 3)} AS area_km2
+FROM rim r JOIN wk w ON w.zone = r.zone AND w.a = r.a JOIN rim o ON o.zone = r.zone AND o.a = w.ring JOIN rim n ON n.zone = r.zone AND n.a = r.b
+GROUP BY 1, 2"""
+CELL_POLYGONS = f"""
+SELECT CAST(cell AS VARCHAR) AS cell_id, 'Polygon' AS kind, count(*) + count(bend_lat) + 1 AS positions, true AS closed,
+       {rnd("min(least(lat, coalesce(bend_lat, lat)))", 5)} AS south, {rnd("max(greatest(lat, coalesce(bend_lat, lat)))", 5)} AS north,
+       {rnd("min(least(lon, coalesce(bend_lon, lon)))", 5)} AS west, {rnd("max(greatest(lon, coalesce(bend_lon, lon)))", 5)} AS east
+FROM {sides("cel")} GROUP BY 1"""
+
+
+def zone_outlines(t: Tables) -> DataFrame:
+    return ring_areas(areas.zone_rings(cell_rows(t)), "zone").select(F.col("zone").alias("zone_id"), "ring", "sides", s.half_up("area_km2", 3).alias("area_km2"))
+
+
+def cell_polygons(t: Tables) -> DataFrame:
+    """What the GeoJSON features of the cells hold, read back from their text."""
+    ring = F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<array<array<double>>>")[0]
+    rows = tables.export_cells(cell_rows(t)).select("cell_id", F.get_json_object("feature", "$.geometry.type").alias("kind"), ring.alias("ring"))
+    side = lambda f, k: s.half_up(f(F.transform("ring", lambda p: p[k])), 5)
+    return rows.select("cell_id", "kind", F.size("ring").cast("long").alias("positions"), (F.col("ring")[0] == F.element_at("ring", -1)).alias("closed"),
+                       side(F.array_min, 1).alias("south"), side(F.array_max, 1).alias("north"), side(F.array_min, 0).alias("west"), side(F.array_max, 0).alias("east"))
+
+
 SPATIAL = {
+    "zone_outlines": (zone_outlines, oracle(OUTLINES, **CELL_PARTS, cv=COVERAGE, gd=GOOD, edg=ADJOINING, comp=COMP, zc=ZONE_CELLS, zs=ZONE_SIDES, rim=RIM, wk=WALKED)),
+    "cell_polygons": (cell_polygons, oracle(CELL_POLYGONS, **CELL_PARTS)),
     "coverage_zones": (
         lambda t: areas.coverage_zones(cell_rows(t), t.fx_stations, t.fx_trust).drop("points", "stations"),
         oracle(COVERAGE_ZONES, **CELL_PARTS, cv=COVERAGE, gd=GOOD, edg=ADJOINING, comp=COMP, zc=ZONE_CELLS, zn=ZONES, hd=HELD)),

