@@ -12,11 +12,11 @@ DECAY, CYCLE_H = 0.995, 4
 STATE = "station string, alpha double, beta double, last_decay long, excluded_at long"
 
 
-def evidence(sessions: DataFrame, failure: float = 1.5) -> DataFrame:
+def evidence(sessions: DataFrame, failure: float = 1.5, by: tuple[str, ...] = ("station",)) -> DataFrame:
     """``station, d_alpha, d_beta, n, mean_fix``: successes and failures of each station; the sums combine map-side."""
     fix = F.coalesce("fix_rate", F.lit(0.0))
     part = (fix - 20) / 50
-    return sessions.groupBy("station").agg(
+    return sessions.groupBy(*by).agg(
         F.sum(F.when(fix >= 70, 1.0).when(fix <= 20, 0.0).otherwise(part * 0.5)).alias("d_alpha"),
         F.sum(F.when(fix >= 70, 0.0).when(fix <= 20, failure).otherwise((1 - part) * 0.5)).alias("d_beta"), F.count("*").alias("n"), F.avg(fix).alias("mean_fix"))
 
