@@ -17,22 +17,24 @@ from .common import add_columns, checkpointed, small_enough, table
 
 #: Winning paths of up to so many hosts are broadcast; more are joined by a shuffle.
 BROADCAST_HOSTS = 200_000
-#: A page keeps its own best container if the host's path holds less than this share of that one's text.
-LEAST_SHARE = 0.34
-#: Share of a page's text that may lie in other containers beside the best one, or be lost to the host's path.
-SLACK = 0.02
+#: A path is furniture of a host if at least so many different pages have it, and at most half as many texts stand there.
+REPEATED_PAGES = 3
 
 # Element names of HTML by role, and name parts that mark page furniture.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-RAW = frozenset("script style noscript template iframe object svg math textarea title head".split())
+RAW = frozenset("script style noscript template iframe object svg textarea title head".split())
 BLOCKS = frozenset(("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form "
                     "h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul").split())
 CONTAINERS = frozenset("article main section div td body blockquote center".split())
 SEMANTIC = frozenset("article main".split())
 FURNITURE_TAGS = frozenset("nav footer aside form button select menu dialog".split())
-FURNITURE_NAMES = frozenset(("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
-                             "footer header masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted promotion related "
-                             "replies reply respond share sharing sidebar social sponsor sponsored subscribe toolbar widget").split())
+#: Names that stand for furniture on containers outside article and main only; the others do so everywhere.
+OUTER_NAMES = frozenset("banner footer header masthead notice notices replies reply respond toolbar widget".split())
+FURNITURE_NAMES = OUTER_NAMES | frozenset(("ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comment comments cookie cookies consent disqus "
+                             "menu modal nav navbar navigation newsletter popup promo promoted promotion related "
+                             "share sharing sidebar social sponsor sponsored subscribe").split())
+#: Elements whose class may name furniture: never headings, paragraphs or inline text.
+NAMED_TAGS = frozenset("div section aside td table ul ol dl center".split())
 CLOSES_P = BLOCKS - {"br", "body", "html", "td", "th", "tr", "tbody", "thead", "tfoot", "option"}
 #: Elements whose start ends an open one of the same group, unless one of the walls stands between them.
 CLOSING = (
@@ -51,7 +53,7 @@ TOKEN = re.compile(
 NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I | re.S)
 #: Where a raw element ends, whatever stands in it. Other markup may end the last three, so that one without an end tag hides nothing.
 RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
-OPEN_ENDED = frozenset("object svg math".split())
+OPEN_ENDED = frozenset("object svg".split())
 DIGITS, PARTS = re.compile(r"\d+"), re.compile(r"[^a-z]+")
 
 
@@ -109,20 +111,23 @@ class Open:
             self.cut(self.near[-1][group])
 
 
-def _attributes(rest: str) -> tuple[str, bool]:
-    """The generalised class names as a path suffix, and whether they mark furniture."""
-    classes, furniture = "", False
+def _attributes(rest: str) -> tuple[str, frozenset[str], bool]:
+    """The generalised class names as a path suffix, the parts of classes that name nothing but furniture, and whether role
+    or visibility mark furniture. Part of a name does not count (``entry-header``), nor does an id."""
+    classes, named, marked = "", set(), False
     for name, a, b, c in NAMES.findall(rest):
         name, value = name.lower(), (a or b or c).lower()
-        if name in ("class", "id"):
-            furniture |= any(part in FURNITURE_NAMES for part in PARTS.split(value))
-            if name == "class":
-                classes = "".join(f".{x}" for x in sorted({DIGITS.sub("#", x) for x in value.split()}))
+        if name == "class":
+            classes = "".join(f".{x}" for x in sorted({DIGITS.sub("#", x) for x in value.split()}))
+            for word in value.split():
+                parts = {part for part in PARTS.split(word) if part}
+                if parts and parts <= FURNITURE_NAMES:
+                    named |= parts
         elif name == "role":
-            furniture |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
-        else:
-            furniture |= name == "hidden" or value == "true"
-    return classes, furniture
+            marked |= value in ("navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert")
+        elif name != "id":
+            marked |= name == "hidden" or value == "true"
+    return classes, frozenset(named), marked
 
 
 def parse(source: str) -> Page:
@@ -166,9 +171,10 @@ def parse(source: str) -> Page:
         if tag in CLOSES:
             opened.close(CLOSES[tag])
         parent = opened.top()
-        classes, named = _attributes(rest) if rest else ("", False)
-        own = tag in FURNITURE_TAGS or tag == "head" or tag == "header" and not any(opened.at.get(t) for t in SEMANTIC)
-        own |= named and tag not in ("html", "body", "main")
+        classes, named, marked = _attributes(rest) if rest else ("", frozenset(), False)
+        within_main = any(opened.at.get(t) for t in SEMANTIC)
+        own = tag in FURNITURE_TAGS or tag == "head" or tag == "header" and not within_main or marked and tag not in ("html", "body", "main")
+        own |= tag in NAMED_TAGS and not named <= (OUTER_NAMES if within_main else frozenset())
         tags.append(tag)
         page.parents.append(parent)
         step = page.keys[parent] if parent >= 0 else 0, tag + classes
@@ -205,52 +211,50 @@ def container_scores(page: Page) -> dict[int, float]:
     return scores
 
 
-def texts_of(page: Page) -> list[tuple[int, int, int]]:
-    """``element, its nearest container (-1: none), size`` of each run of text outside links and furniture; separators are no text."""
-    nearest: list[int] = []  # -2 within a link
+def nearest_containers(page: Page) -> list[tuple[int, bool]]:
+    """For each element its nearest container (-1: none; itself, if it is one), and whether it lies in a link."""
+    out: list[tuple[int, bool]] = []
     for k, (tag, parent) in enumerate(zip(page.tags, page.parents)):
-        above = nearest[parent] if parent >= 0 else -1
-        nearest.append(-2 if tag == "a" or above == -2 else k if tag in CONTAINERS else above)
-    out = []
+        above, link = out[parent] if parent >= 0 else (-1, False)
+        out.append((k if tag in CONTAINERS else above, link or tag == "a"))
+    return out
+
+
+def texts_of(page: Page, left: frozenset[int] = frozenset()) -> list[tuple[int, int, str]]:
+    """``element, its nearest container (-1: none), text`` of each run of text outside links and furniture; separators are no
+    text. Runs that stand directly in a container on a path of ``left`` are furniture too."""
+    nearest, out = nearest_containers(page), []
     for node, text in page.runs:
         if node != -1 and not (node >= 0 and page.furniture[node]) and any(map(str.isalnum, text)):
-            held = nearest[node] if node >= 0 else -1
-            if held != -2:
-                out.append((node, held, len(text.strip())))
+            held, link = nearest[node] if node >= 0 else (-1, False)
+            if not link and not (held >= 0 and page.keys[held] in left):
+                out.append((node, held, text))
     return out
 
 
-def best_container(page: Page) -> tuple[int, float]:
-    """The main container and the size of its text. An article or main element wins by its score. On other pages it is
-    the lowest container with nearly all text, and further up while the next one holds text of its own beside it."""
+def likeliest(page: Page) -> tuple[int, float]:
+    """The container with the highest score (ties: the first), which the page votes for; -1 without any text."""
     scores = container_scores(page)
-    if not scores:
-        return -1, 0.0
-    best = max(scores, key=lambda k: (scores[k], -k))
-    if page.tags[best] in SEMANTIC:
-        return best, scores[best]
+    best = max(scores, key=lambda k: (scores[k], -k), default=-1)
+    return best, scores.get(best, 0.0)
+
+
+def main_container(page: Page, left: frozenset[int] = frozenset()) -> int:
+    """The article or main element with the highest score. On pages without one the lowest container with all text outside
+    links, furniture and the host's furniture paths ``left`` (-1: the whole page)."""
+    best, _ = likeliest(page)
+    if best < 0 or page.tags[best] in SEMANTIC:
+        return best
+    texts = texts_of(page, left)
     held = [0] * len(page.tags)
-    own: set[int] = set()
-    total = 0
-    for _, k, size in texts_of(page):
-        own.add(k)
-        total += size
+    for _, k, _ in texts:
         if k >= 0:
-            held[k] += size
+            held[k] += 1
     for k in range(len(held) - 1, -1, -1):
         if page.parents[k] >= 0:
             held[page.parents[k]] += held[k]
-    mass = {k: n for k, n in enumerate(held) if n and page.tags[k] in CONTAINERS}
-    whole = [k for k in mass if mass[k] >= (1 - SLACK) * total]
-    if not whole:  # text of its own outside all containers, or none at all
-        return (-1, 0.0) if total else (best, scores[best])
-    best = up = max(whole)  # all of them lie on one line of descent, the lowest comes last in the page
-    while (up := page.parents[up]) >= 0:
-        if page.tags[up] in CONTAINERS:
-            if up not in own:
-                break
-            best = up
-    return best, float(mass[best])
+    # Those that hold all lie on one line of descent, and the lowest comes last in the page.
+    return max((k for k, n in enumerate(held) if n == len(texts) and page.tags[k] in CONTAINERS), default=-1) if texts else best
 
 
 def chosen_of(page: Page, best: int) -> set[int]:
@@ -271,47 +275,50 @@ def path_key(above: int, step: str) -> int:
     return int.from_bytes(hashlib.blake2b(step.encode("utf-8", "surrogatepass"), digest_size=8, key=above.to_bytes(8, "little", signed=True)).digest(), "little", signed=True)
 
 
-def left_out(page: Page, best: int) -> set[int]:
-    """Keys of the paths of containers beside the best one whose text is left out; containers around it are not beside it."""
-    inside, around, k = within(page, chosen_of(page, best)), set(), page.parents[best]
-    while k >= 0:
-        around.add(page.keys[k])
-        k = page.parents[k]
-    return {page.keys[k] for node, k, _ in texts_of(page) if k >= 0 and not inside[node]} - around
-
-
-def text_of(page: Page, chosen: set[int]) -> str:
-    """The text under the chosen elements (-1: of everything), without furniture, as blocks joined by one space."""
-    inside, everything = within(page, chosen), -1 in chosen
-    parts = [" " if k == -1 else html.unescape(t) for k, t in page.runs
-             if k == -1 or (everything or k >= 0 and inside[k]) and not (k >= 0 and page.furniture[k])]
+def beside(page: Page, best: int) -> Counter[tuple[int, int]]:
+    """``path key, hash of the text`` of containers with text of their own that are neither the best one, nor on its path, nor in or
+    around an article or main element: what may turn out to be furniture of the host."""
+    inside = within(page, chosen_of(page, best) | {k for k, tag in enumerate(page.tags) if tag in SEMANTIC})
+    texts: dict[int, list[str]] = {}
+    for node, k, text in texts_of(page):
+        if k >= 0 and not inside[node]:
+            texts.setdefault(k, []).append(" ".join(text.split()))
+    return Counter({(page.keys[k], path_key(0, " ".join(found))) for k, found in texts.items()})
+
+
+def text_of(page: Page, chosen: set[int], left: frozenset[int] = frozenset()) -> str:
+    """The text under the chosen elements (-1: of everything), without furniture and text directly on paths of ``left``, as blocks
+    joined by one space."""
+    inside, everything, nearest = within(page, chosen), -1 in chosen, nearest_containers(page)
+    parts = []
+    for k, text in page.runs:
+        if k == -1:
+            parts.append(" ")
+        elif (everything or k >= 0 and inside[k]) and not (k >= 0 and (page.furniture[k] or nearest[k][0] >= 0 and page.keys[nearest[k][0]] in left)):
+            parts.append(html.unescape(text))
     return " ".join("".join(parts).split())
 
 
 def extract(source: str | None, path: int | None = None, left: frozenset[int] = frozenset()) -> tuple[str, bool]:
     """Main text of one page, and whether the host's path gave it.
 
-    The elements on ``path`` (its key) are tried first. They stand if they hold enough of what the page's own best container
-    holds and, but for the containers that the host's pages leave out (``left``), nearly all of it; else the best
-    container's text is returned.
+    ``left`` are keys of the host's furniture paths; they do not count in an article or main element. The elements on ``path``
+    (the host's winning one) give the text if they hold all of it that the page's own choice holds; else that one is returned.
     """
     if not source:
         return "", False
     page = parse(source)
-    best, _ = best_container(page)
+    best = main_container(page, left)
     chosen = chosen_of(page, best)
-    on_path = {k for k, p in enumerate(page.keys) if p == path and not page.furniture[k]} if path is not None and best >= 0 else set()
+    if best >= 0 and page.tags[best] in SEMANTIC:
+        left = frozenset()
+    on_path = {k for k, p in enumerate(page.keys) if p == path and not page.furniture[k]} if path is not None else set()
     if not on_path or on_path == chosen:
-        return text_of(page, chosen), bool(on_path)
+        return text_of(page, chosen, left), bool(on_path)
     mine, theirs = within(page, chosen), within(page, on_path)
-    held = kept = lost = 0
-    for node, k, size in texts_of(page):
-        kept += size * (node >= 0 and theirs[node])
-        if node >= 0 and mine[node]:
-            held += size
-            lost += size * (not theirs[node] and page.keys[k] not in left)
-    stands = kept > 0 and kept >= LEAST_SHARE * held and lost <= SLACK * held
-    return text_of(page, on_path if stands else chosen), stands
+    texts = [node for node, _, _ in texts_of(page, left) if -1 in chosen or node >= 0 and mine[node]]
+    stands = bool(texts) and all(node >= 0 and theirs[node] for node in texts)
+    return text_of(page, on_path if stands else chosen, left), stands
 
 
 def host_of(url: str = "url"):
@@ -320,43 +327,48 @@ def host_of(url: str = "url"):
 
 def host_paths(pages: DataFrame) -> DataFrame:
     """``host, path, left, of``: the key of the container path with the most votes of each host (ties: smallest key), the
-    keys of the paths that more than half of its votes leave out, and the number of its votes.
+    keys of its furniture paths, and the number of its votes.
 
-    Every page votes for the path of its best container with the square root of its size, so a few very
-    long pages do not outvote the rest. Votes are combined map-side; a hot host is no group of rows.
+    Every page votes for the path of its best container with the square root of its score, so a few very long pages do not
+    outvote the rest. A path beside these is furniture if ``REPEATED_PAGES`` different pages of the host have text there,
+    and at most half as many different texts. Votes are combined map-side; a hot host is no group of rows.
     """
 
-    names = ["host", "path", "beside", "key", "vote"]
+    names = ["host", "path", "beside", "text", "page", "vote"]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             votes: Counter[tuple] = Counter()
             for host, source in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 page = parse(source) if source else Page()
-                best, score = best_container(page)
+                best, score = likeliest(page)
                 if best >= 0:
-                    weight = int(score ** 0.5) + 1
-                    votes[host, page.keys[best], False, 0] += weight
-                    for key in left_out(page, best):
-                        votes[host, page.keys[best], True, key] += weight
-            columns = list(zip(*((*k, n) for k, n in votes.items()))) or [()] * 5
-            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+                    votes[host, page.keys[best], False, 0, 0] += int(score ** 0.5) + 1
+                    number = path_key(0, source)
+                    for key, text in beside(page, best):
+                        votes[host, key, True, text, number] = 1
+            columns = list(zip(*((*k, n) for k, n in votes.items()))) or [()] * 6
+            types = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path long, beside boolean, key long, vote long")
-    counted = checkpointed(votes.groupBy("host", "path", "beside", "key").agg(F.sum("vote").alias("votes")))
-    top = (counted.filter("not beside").groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("least"), "path")).alias("top"))
+    votes = pages.select(host_of().alias("host"), "html").mapInArrow(vote, "host string, path long, beside boolean, text long, page long, vote long")
+    counted = checkpointed(votes.groupBy("host", "path", "beside", "text", "page").agg(F.sum("vote").alias("votes")))
+    top = (counted.filter("not beside").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
+           .groupBy("host").agg(F.min(F.struct((-F.col("votes")).alias("least"), "path")).alias("top"))
            .select("host", "top.path", (-F.col("top.least")).alias("of")))
-    left = counted.filter("beside").select("host", "path", "key", "votes").join(top, ["host", "path"]).filter("2 * votes > of").groupBy("host").agg(F.collect_list("key").alias("left"))
+    texts = counted.filter("beside").groupBy("host", "path", "text").agg(F.count(F.lit(1)).alias("pages"))  # equal pages are one
+    left = (texts.groupBy("host", "path").agg(F.sum("pages").alias("pages"), F.count(F.lit(1)).alias("texts"))
+            .filter((F.col("pages") >= REPEATED_PAGES) & (2 * F.col("texts") <= F.col("pages"))).groupBy("host").agg(F.collect_list("path").alias("left")))
     return top.join(left, "host", "left").select("host", "path", "left", "of")
 
 
 def extract_pages(pages: DataFrame, broadcast_hosts: int = BROADCAST_HOSTS) -> DataFrame:
     """``page_id, url, text, by_host`` per row of ``pages``.
 
-    Containers of each page are scored, their generalised tag-class paths are put to the vote per host, and
-    every page is extracted again from the elements on its host's path (``by_host``), or from its own best container
-    where that path holds too little, or misses text that the host's other pages do not leave out. Null and empty
+    Containers of each page are scored, their generalised tag-class paths are put to the vote per host, and every page is
+    extracted again: without the paths where the host's pages repeat themselves, from the elements on the winning path
+    (``by_host``), or where these do not hold all text that is left from an article or main element, or the lowest container
+    that holds all. Nothing else is dropped, however small. Null and empty
     pages give empty texts; pages without a valid url share one vote; repeated rows are extracted alike, ids may be
     null. Other columns are ignored, an empty table gives no rows. The paths of the ``broadcast_hosts`` hosts with the
     most votes are broadcast, so pages of a hot host stay where they are; only those of lesser hosts are shuffled.

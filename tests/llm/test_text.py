@@ -236,6 +236,33 @@ def test_split_articles_stay_whole(spark):
     assert {got[i] for i in range(5)} == {want} and {got[i] for i in range(10, 15)} == {BODY.strip()} and got[20] == want
 
 
+@pytest.mark.parametrize("source, want", [
+    ('<article><h1>A</h1><h2 id="related-work">Related work</h2><p>x y</p></article>', "A Related work x y"),
+    ('<article><div class="entry-header"><h1>Title</h1></div><p>x y</p></article>', "Title x y"),
+    ('<article><p>a</p><p class="share-price">The share price rose</p></article>', "a The share price rose"),
+    ("<article><p>where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p></article>", "where x=1 holds"),
+    (f"<body><div class=title><h1>Title</h1></div><div class=body><p>{'long body ' * 400}</p></div></body>", "Title " + ("long body " * 400).strip()),
+    ('<article><div class="header"><h1>Title</h1></div><div class="ad">Buy</div><div class="share-buttons">4 shares of text</div><p>x</p></article>', "Title 4 shares of text x"),
+    ('<body><div class="header">Site</div><div id="comments-policy"><p>x</p></div><div class="cookie-notice">Accept</div></body>', "x"),
+])
+def test_article_text_is_not_lost(source, want):
+    assert html_extract.extract(source)[0] == want
+
+
+def test_repeated_containers_are_furniture_of_the_host(spark):
+    """Against a plain count: on a path without a telling name most pages say the same, but what differs stays."""
+    page = '<body>skip {s}<div class="top"><p>{top}</p></div><div class="text-{i}"><p>{a}</p></div><div class="more"><p>{more}</p></div></body>'
+    rows = [(i, "http://h.example/", page.format(s="" if i % 2 else "to", i=i, top="All the news", a=f"story {i} " * 20, more=f"note {i}")) for i in range(8)]
+    rows += [(20 + i, f"http://few{i}.example/", rows[i][2]) for i in range(4)] + [(30 + i, "http://same.example/", rows[0][2]) for i in range(6)]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i, url, source in rows:
+        pages = {h for _, u, h in rows if u == url}
+        repeated = len(pages) >= html_extract.REPEATED_PAGES
+        found = re.search(r"skip (\w*)<.*?<p>(.*?)</p>.*?<p>(.*?)</p>.*?<p>(.*?)</p>", source)
+        want = [found[3], found[4]] if repeated else [f"skip {found[1]}", *found.groups()[1:]]
+        assert got[i] == " ".join(" ".join(want).split()), i
+
+
 def test_pages_against_article_text(spark, sf):
     import html
 
