@@ -13,6 +13,8 @@ from .common import add_columns, checkpointed, documents, table, unused_name
 from .langid import chunks
 
 Q = 12
+#: Length of q-grams for items whose edit budget 12-grams cannot promise: those of 20 to 23 characters.
+SHORT_Q = 8
 #: A leak is a window of this many characters of an item (or a whole shorter item) ...
 WINDOW = 80
 #: ... found in a document with at most this share of edits.
@@ -41,8 +43,8 @@ def normalise(text: str) -> tuple[np.ndarray, np.ndarray]:
     return codes[a:b], at[a:b]
 
 
-def qgram_hashes(codes: np.ndarray) -> np.ndarray:
-    """Hash of the 12 code points from each position, by doubling: 2, 4, 8, then 8 and 4."""
+def qgram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
+    """Hash of the 12 (or 8) code points from each position, by doubling: 2, 4, 8, then 8 and 4."""
     with np.errstate(over="ignore"):
         b1 = _BASE
         b2, b4 = b1 * b1, b1 * b1 * b1 * b1
@@ -50,8 +52,8 @@ def qgram_hashes(codes: np.ndarray) -> np.ndarray:
         h2 = h1[:-1] * b1 + h1[1:]
         h4 = h2[:-2] * b2 + h2[2:]
         h8 = h4[:-4] * b4 + h4[4:]
-        h12 = h8[:-4] * b4 + h4[8:]
-        return (h12 ^ (h12 >> np.uint64(31))) * _BASE
+        h = h8 if q == SHORT_Q else h8[:-4] * b4 + h4[8:]
+        return (h ^ (h >> np.uint64(31))) * _BASE
 
 
 def window_keys(codes: np.ndarray) -> np.ndarray:
@@ -88,17 +90,29 @@ class Index:
     window: np.ndarray
     budget: np.ndarray
     need: np.ndarray
+    q: int
 
 
-def build_index(rows: list[tuple[int | None, str]]) -> Index:
-    """Index of ``(item_id, text)`` rows. Items without text are left out.
+def promise(length: int, q: int) -> int:
+    """Common q-grams that the lemma promises of a window of an item of this length, with all edits it allows."""
+    w = min(length, WINDOW)
+    return w - q + 1 - int(w * EDIT_RATE) * q
 
-    With a window of ``w`` characters and ``k`` edits the q-gram lemma promises ``w - Q + 1 - k * Q`` common
-    q-grams; the budget of a short window is lowered until the promise is at least one. Items of fewer than
-    ``Q`` characters have no q-grams and are sought exactly.
+
+def build_index(rows: list[tuple[int | None, str]]) -> list[Index]:
+    """Indexes of ``(item_id, text)`` rows. Items without text are left out.
+
+    With a window of ``w`` characters and ``k`` edits the q-gram lemma promises ``w - q + 1 - k * q`` common
+    q-grams. Items of which 12-grams promise none though they allow an edit are kept in an index of 8-grams; items
+    under 20 characters allow no edit, and those under ``Q`` characters are sought as they are.
     """
     items = [(i, normalise(t)[0]) for i, t in rows if t]
     items = [(i, c) for i, c in items if len(c)]
+    small = [len(c) >= Q and promise(len(c), Q) < 1 for _, c in items]
+    return [_index([x for x, s in zip(items, small) if s == short], q) for short, q in ((False, Q), (True, SHORT_Q)) if short in small or not short]
+
+
+def _index(items: list[tuple[int | None, np.ndarray]], q: int) -> Index:
     whole: dict[bytes, list[int]] = {}  # items of at most one window, by their text
     long = []
     for n, (_, c) in enumerate(items):
@@ -109,7 +123,7 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
     short, stretches, classes, class_of, item_of = [], [], [], [], []
     for raw, ns in whole.items():
         codes = np.frombuffer(raw, np.uint32)
-        if len(codes) < Q:
+        if len(codes) < q:
             short.append((codes, ns))
             continue
         classes.append(np.array([len(stretches)]))
@@ -134,8 +148,8 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
     pairs = np.unique(np.stack([np.concatenate(class_of), np.concatenate(item_of)], axis=1), axis=0) if class_of else np.zeros((0, 2), np.int64)
     n_classes = int(pairs[-1, 0]) + 1 if len(pairs) else 0
     window = np.array([min(len(c), WINDOW) for c in stretches], np.int64)
-    budget = np.minimum((window * EDIT_RATE).astype(np.int64), np.maximum(0, (window - Q) // Q))
-    grams = [qgram_hashes(c) for c in stretches]
+    budget = (window * EDIT_RATE).astype(np.int64)
+    grams = [qgram_hashes(c, q) for c in stretches]
     every = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
     item = np.repeat(np.arange(len(stretches), dtype=np.int32), [len(g) for g in grams])
     at = np.concatenate([np.arange(len(g), dtype=np.int32) for g in grams]) if grams else np.zeros(0, np.int32)
@@ -144,7 +158,7 @@ def build_index(rows: list[tuple[int | None, str]]) -> Index:
     present = np.zeros(1 << FILTER_BITS, bool)
     present[every >> np.uint64(64 - FILTER_BITS)] = True
     return Index([i for i, _ in items], short, stretches, classes, np.searchsorted(pairs[:, 0], np.arange(n_classes + 1)), pairs[:, 1],
-                 hashes, np.append(first, len(every)), item[order], at[order], present, window, budget, window - Q + 1 - budget * Q)
+                 hashes, np.append(first, len(every)), item[order], at[order], present, window, budget, window - q + 1 - budget * q, q)
 
 
 def banded_edits(item: np.ndarray, starts: np.ndarray, w: int, doc: np.ndarray, diagonal: int, width: int) -> np.ndarray:
@@ -184,10 +198,23 @@ def _postings(index: Index, spot: np.ndarray, place: np.ndarray) -> Iterator[tup
         yield np.concatenate(backs), np.concatenate(posts)
 
 
-def search(index: Index, texts: list[str]) -> list[list[tuple[int | None, int, int, int]]]:
+Leak = tuple[int | None, int, int, int]
+
+
+def search(indexes: list[Index], texts: list[str]) -> list[list[Leak]]:
     """For each text its leaks ``(item_id, start, end, edits)``; start and end in code points of the text."""
     whole = [normalise(t) for t in texts]
-    best: list[dict[int, tuple[int, int, int]]] = [{} for _ in texts]  # by item: edits, start, end
+    found = [_search(index, whole) for index in indexes]
+    return found[0] if len(found) == 1 else [sorted((x for part in parts for x in part), key=_order) for parts in zip(*found)]
+
+
+def _order(leak: Leak) -> tuple:
+    return leak[0] is None, leak[0] or 0, leak[1:]
+
+
+def _search(index: Index, whole: list[tuple[np.ndarray, np.ndarray]]) -> list[list[Leak]]:
+    q = index.q
+    best: list[dict[int, tuple[int, int, int]]] = [{} for _ in whole]  # by item: edits, start, end
     for d, (codes, at) in enumerate(whole if index.short else ()):
         raw = codes.tobytes()
         for word, items in index.short:
@@ -197,16 +224,16 @@ def search(index: Index, texts: list[str]) -> list[list[tuple[int | None, int, i
             if hit >= 0:
                 best[d].update({n: (0, hit // 4, hit // 4 + len(word)) for n in items})
     lengths = np.array([len(c) for c, _ in whole])
-    if len(index.hashes) and lengths.sum() >= Q:
+    if len(index.hashes) and lengths.sum() >= q:
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        hashes = qgram_hashes(np.concatenate([c for c, _ in whole]))
+        hashes = qgram_hashes(np.concatenate([c for c, _ in whole]), q)
         spot = np.flatnonzero(index.present[hashes >> np.uint64(64 - FILTER_BITS)])
         place = np.searchsorted(index.hashes, hashes[spot])
         place[place == len(index.hashes)] = 0
         true = index.hashes[place] == hashes[spot]
         spot, place = spot[true], place[true]
         doc = np.searchsorted(begin + lengths, spot, side="right")
-        inside = spot + Q <= begin[doc] + lengths[doc]
+        inside = spot + q <= begin[doc] + lengths[doc]
         spot, place, doc = spot[inside], place[inside], doc[inside]
         for back, post in _postings(index, spot, place):
             for (d, n), (edits, start, end) in _regions(index, whole, doc[back], spot[back] - begin[doc[back]], post).items():
@@ -228,7 +255,7 @@ def _regions(index: Index, whole: list, doc: np.ndarray, at_doc: np.ndarray, pos
     fits = last < len(item)
     to = np.minimum(last, len(item) - 1)
     fits &= (item[to] == item) & (doc[to] == doc) & (band[to] == band)
-    fits &= at_doc[to] - at_doc <= index.window[item] - Q + index.budget[item]
+    fits &= at_doc[to] - at_doc <= index.window[item] - index.q + index.budget[item]
     fit = np.flatnonzero(fits)
     found: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
     if not len(fit):
@@ -245,7 +272,7 @@ def _regions(index: Index, whole: list, doc: np.ndarray, at_doc: np.ndarray, pos
             continue
         new = banded_edits(index.stretches[n], np.arange(low, high + 1), w, whole[d][0], int(band[i] * step[i] - shift), int(2 * step[i]))
         better = low + np.flatnonzero(new < edits[low:high + 1])
-        edits[better], start[better], end[better] = new[better - low], at_doc[i], at_doc[last[hits[-1]]] + Q
+        edits[better], start[better], end[better] = new[better - low], at_doc[i], at_doc[last[hits[-1]]] + index.q
     return found
 
 
@@ -265,7 +292,7 @@ def _note(index: Index, best: dict, classes: np.ndarray, budget: int, edits: np.
 
 def _report(index: Index, at: np.ndarray, best: dict) -> list[tuple[int | None, int, int, int]]:
     rows = [(index.ids[n], int(at[a]), int(at[b - 1]) + 1, edits) for n, (edits, a, b) in best.items()]
-    return sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1:]))
+    return sorted(rows, key=_order)
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:

@@ -32,7 +32,7 @@ def leaks(items, doc):
     doc, pieces = plain(doc), {}
     for item in items:
         w = min(len(item), 80)
-        k = min(w // 20, max(0, (w - 12) // 12))
+        k = w // 20
         size = w // (k + 1)
         if size not in pieces:
             pieces[size] = {doc[i:i + size] for i in range(len(doc) - size + 1)}
