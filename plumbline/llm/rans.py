@@ -194,20 +194,35 @@ def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[tuple[int, int
         yield start, len(texts)
 
 
-def tokenised(docs: DataFrame, tokenizer_path: str, cuts: np.ndarray) -> DataFrame:
+def file_numbers(doc_ids: pa.Array, cuts: np.ndarray, null_files: int, first_row: int) -> np.ndarray:
+    """The file of each row, the first of which is row ``first_row`` of its task.
+
+    Rows without an id take turns in the first ``null_files`` files. Of the others an id goes behind the ``cuts`` below it;
+    an id that stands in ``cuts`` several times holds a file's share of rows each time, and its rows take turns in the
+    files between.
+    """
+    rows = np.arange(first_row, first_row + len(doc_ids))
+    ids = doc_ids.fill_null(0).to_numpy()
+    low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+    shared = np.maximum(high - low, 1)  # ends of a range are one file, not two
+    found = null_files + np.where(high - low > 1, low + rows % (shared + 1), low)
+    return np.where(doc_ids.is_null(), rows % max(null_files, 1), found)
+
+
+def tokenised(docs: DataFrame, tokenizer_path: str, cuts: np.ndarray, null_files: int = 0) -> DataFrame:
     """``doc_id, file_no, n, ids`` per row (16-bit ids, end id included, compressed), and rows with ``counts`` instead:
-    the id counts of one task in one range of ids. ``file_no`` is the number of ``cuts`` below the id (null id:
-    0). Null texts count as empty. Ids of documents stay Arrow integers throughout."""
+    the id counts of one task in one range of ids. ``file_no`` is that of :func:`file_numbers`. Null texts count as empty. Ids of documents stay Arrow integers throughout."""
     width = -(-VOCABULARY // COUNT_RANGES)
     names = ["doc_id", "file_no", "n", "ids", "part", "counts"]
     types = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, pack = tokenizer_of(tokenizer_path), zstandard.ZstdCompressor(level=1)
-        total = np.zeros(COUNT_RANGES * width, np.int64)
+        total, seen = np.zeros(COUNT_RANGES * width, np.int64), 0
         for batch in batches:
             texts, doc_ids = batch.column("text").to_pylist(), batch.column("doc_id")
-            file_no = np.where(doc_ids.is_null(), 0, np.searchsorted(cuts, doc_ids.fill_null(0).to_numpy()))
+            file_no = file_numbers(doc_ids, cuts, null_files, seen)
+            seen += len(texts)
             for a, b in _groups(texts):
                 flat, sizes = tokenizer.encode(texts[a:b])
                 total += np.bincount(flat, minlength=len(total))
@@ -255,13 +270,15 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, files: in
     Every record of the files is a segment of whole documents: their ids and lengths, the position of the
     first token in the corpus, the compressed words and, per block, checkpoint and checksum. The frequency
     table, returned too, is written beside them. Rows are dealt to files by ranges of ``doc_id``, so no sort is
-    global, and there are as many files as the bytes of the texts ask for; repeated ids stay in one file, in the
-    order of their tokens. An empty table gives files without records; other columns are ignored.
+    global, and there are as many files as the bytes of the texts ask for; rows without an id, and rows of an id that
+    fills more than a file, are dealt to several files in turn, within a file in the order of their tokens. An empty table gives files without records; other columns are ignored.
     """
     spark = docs.sparkSession
     files = files or file_count(docs)
-    cuts = np.unique(docs.select("doc_id").approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files)).astype(np.int64)
-    tokens = checkpointed(tokenised(docs, tokenizer_path, cuts))
+    cuts = np.sort(docs.select("doc_id").approxQuantile("doc_id", [k / files for k in range(1, files)], 0.2 / files)).astype(np.int64)
+    without, total = docs.agg(F.count_if(F.col("doc_id").isNull()), F.count(F.lit(1))).first()
+    null_files = -(-files * without // max(total, 1))
+    tokens = checkpointed(tokenised(docs, tokenizer_path, cuts, null_files))
     table = shared_table(tokens)
     shared = spark.sparkContext.broadcast(table)
     rows = tokens.filter("part is null").select("doc_id", "n", "ids", "file_no")
@@ -300,7 +317,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, files: in
         if held:
             yield flush()
 
-    ordered = rows.repartitionById(len(cuts) + 1, "file_no").sortWithinPartitions("doc_id", "ids")
+    ordered = rows.repartitionById(len(cuts) + 1 + null_files, "file_no").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(encode, SEGMENT).write.option("compression", "uncompressed").parquet(f"{path}/segments")
     spark.createDataFrame([(table.astype("<i4").tobytes(),)], "frequencies binary").coalesce(1).write.parquet(f"{path}/table")
     return table

@@ -12,6 +12,8 @@ from .common import checkpointed, documents, shared_folder
 
 VIRTUAL_SLOTS = 4096
 SHARDS = 8
+#: A virtual slot with over so many times the mean rows (and over ``HOT_ROWS``) holds a repeated id, or one text without ids.
+HOT_TIMES, HOT_ROWS = 8, 1000
 #: A map in memory: one entry per virtual slot, so its size is fixed.
 SlotMap = list[int]
 
@@ -34,6 +36,19 @@ def slot_bytes(rows: DataFrame) -> DataFrame:
     return rows.groupBy("virtual_slot").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"))
 
 
+def spread_hot_slots(rows: DataFrame, slots: int = VIRTUAL_SLOTS) -> DataFrame:
+    """``rows`` (stored, with a number ``uid`` each) with the rows of hot virtual slots dealt anew, row by row, over all slots.
+
+    An id stands for one row as a rule, so a slot far above the mean holds rows that share their id, or have none and share
+    their text; no law needs these to stay together.
+    """
+    counts = rows.groupBy("virtual_slot").count().collect()  # at most `slots` rows
+    most = max(HOT_ROWS, HOT_TIMES * sum(r["count"] for r in counts) / slots)
+    hot = [r.virtual_slot for r in counts if r["count"] > most]
+    anew = F.pmod(F.xxhash64("doc_id", "text_crc32", "uid"), F.lit(slots)).cast("int")
+    return rows.withColumn("virtual_slot", F.when(F.col("virtual_slot").isin(hot), anew).otherwise(F.col("virtual_slot"))) if hot else rows
+
+
 def balanced_map(weights: dict[int, int], shards: int = SHARDS, slots: int = VIRTUAL_SLOTS) -> SlotMap:
     """First version of a map: heaviest slot first, each to the lightest shard (ties: lowest shard)."""
     heap = [(0, s) for s in range(shards)]
@@ -107,12 +122,12 @@ def shard_documents(docs: DataFrame, path: str | None = None, shards: int = SHAR
     The slot map is stored below ``path`` (a new folder beside the checkpoints, if not given), read back and dealt
     from; ``held`` names a version there to be edited instead of starting anew. ``slot`` numbers the rows of a shard
     from 0 without gaps: the offset of the row's virtual slot within its shard plus its rank (by id, then checksum)
-    within the virtual slot, so ranking runs on thousands of small groups rather than on a few shards. Repeated rows
-    get slots of their own, equally ranked ones in any order. An empty table gives no rows; other columns are ignored.
+    within the virtual slot, so ranking runs on thousands of small groups rather than on a few shards; slots that one id or
+    text fills are dealt anew first. Repeated rows get slots of their own, equally ranked ones in any order. An empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     path = path or shared_folder(spark, f"slot-maps-{uuid.uuid4().hex}")
-    rows = checkpointed(measured(docs, slots))
+    rows = spread_hot_slots(checkpointed(measured(docs, slots).withColumn("uid", F.monotonically_increasing_id())), slots)
     version, current = load_map(spark, path, update_map(spark, rows, path, shards, slots, held))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     filled = current.join(slot_bytes(rows), "virtual_slot", "left").withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))

@@ -191,3 +191,31 @@ def test_stages_keep_columns_of_any_name(spark, docs):
 def test_numerals_are_no_letters(docs):
     model = langid.train(docs(EN, EN))
     assert langid.classify(model, ["½ ² ① Ⅷ", "123", "́", "ª", "a"])[0].tolist() == [-1, -1, -1, 0, 0]
+
+
+HOT = [(5, f"w{k % 3}") for k in range(1400)] + [(None, "same text")] * 1400 + [(1000 + k, f"t{k}") for k in range(1400)]
+
+
+def test_hot_ids_are_dealt_to_many_slots(docs, monkeypatch):
+    """A third of the rows under one id, and a third without one."""
+    monkeypatch.setattr(sharding, "HOT_ROWS", 100)
+    rows = sharding.shard_documents(docs(*HOT).repartition(3)).collect()
+    assert max(Counter(r.virtual_slot for r in rows).values()) < 60
+    sizes = Counter()
+    for r in rows:
+        sizes[r.shard] += r.size
+    assert max(sizes.values()) - min(sizes.values()) < 0.02 * sum(sizes.values())
+    for s in range(8):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(sum(r.shard == s for r in rows)))
+    assert Counter((r.doc_id, r.size) for r in rows) == Counter((i, len(t) + 1) for i, t in HOT)
+
+
+def test_hot_ids_are_dealt_to_many_files(spark, docs, tmp_path):
+    path = str(tmp_path / "f")
+    rans.write_token_files(docs(*HOT).repartition(3), public_tokenizers.path("byte_bpe_50k.json"), path, files=12)
+    files = spark.read.parquet(f"{path}/segments").select("file_no", F.size("doc_ids").alias("n")).groupBy("file_no").agg(F.sum("n").alias("n")).collect()
+    assert len(files) >= 12 and max(r.n for r in files) < 700
+    rows = sorted(rans.read_token_files(spark, path).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in rows]
+    assert ids == sorted((i for i, _ in HOT), key=lambda i: (i is not None, i or 0)) and Counter(ids) == Counter(i for i, _ in HOT)
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(rows, rows[1:])) and rows[0].start == 0
