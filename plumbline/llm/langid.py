@@ -57,7 +57,11 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
     Each text is framed by a boundary mark, so first and last letters count as such.
     """
-    framed = [f"\0{t.lower()}\0" for t in texts]
+    return _ngrams([f"\0{t.lower()}\0" for t in texts])
+
+
+def _ngrams(framed: list[str], starts: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """N-grams of framed texts; with ``starts`` only those that begin in so many first characters."""
     codes = np.frombuffer("".join(framed).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(framed), dtype=np.int32), [len(t) for t in framed])
     found, owners, rolling = [], [], np.zeros(len(codes), np.uint64)
@@ -65,12 +69,29 @@ def ngram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         rolling = rolling[: len(codes) - n + 1] * _MULTIPLIER + codes[n - 1:] + np.uint64(n)
         if n in ORDERS:
             inside = owner[: len(codes) - n + 1] == owner[n - 1:]
+            if starts is not None:
+                inside[starts:] = False
             mixed = (rolling ^ (rolling >> np.uint64(29))) * _MIX
             found.append((mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int32)[inside])
             owners.append(owner[: len(codes) - n + 1][inside])
     return np.concatenate(found), np.concatenate(owners)
 
 
+def stretches(texts: list[str]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """``from, to, buckets, text_index`` (from 0 within the range) over consecutive ranges of about ``CHUNK_CHARS`` characters.
+
+    A longer text comes in several stretches of its own; each knows the characters after its end, so every n-gram of the
+    whole text is met once.
+    """
+    for a, b in chunks(texts):
+        if b - a > 1 or len(texts[a]) <= CHUNK_CHARS:
+            yield a, b, *ngram_buckets(texts[a:b])
+            continue
+        framed = f"\0{texts[a].lower()}\0"
+        for at in range(0, len(framed), CHUNK_CHARS):
+            yield a, b, *_ngrams([framed[at:at + CHUNK_CHARS + max(ORDERS) - 1]], CHUNK_CHARS)
+
+
 def sample_by_hash(rows: DataFrame, group: str, bound: int) -> DataFrame:
     """About ``bound`` rows per value of ``group`` (all of a smaller group), chosen by a hash of ``doc_id``.
 
@@ -100,8 +121,8 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
                 texts = part["text"].tolist()
                 into = totals.setdefault(lang, np.zeros(1 << BUCKET_BITS, np.int64))
                 docs[lang] = docs.get(lang, 0) + len(texts)
-                for a, b in chunks(texts):
-                    into += np.bincount(ngram_buckets(texts[a:b])[0], minlength=len(into))
+                for _, _, buckets, _ in stretches(texts):
+                    into += np.bincount(buckets, minlength=len(into))
         if totals:
             yield pd.DataFrame({"lang": list(totals), "docs": [docs[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
 
@@ -128,13 +149,13 @@ def classify(model: Model, texts: list[str | None]) -> tuple[np.ndarray, np.ndar
         return best, score
     usable = [i for i, t in enumerate(texts) if isinstance(t, str) and any(map(str.isalpha, t))]
     kept = [texts[i] for i in usable]
-    for a, b in chunks(kept):
-        buckets, owner = ngram_buckets(kept[a:b])
-        total = np.stack([np.bincount(owner, model.table[buckets, k], b - a) for k in range(len(model.languages))], axis=1) + model.prior
-        top = total.argmax(1)
+    total = np.tile(model.prior, (len(kept), 1))
+    for a, b, buckets, owner in stretches(kept):
+        total[a:b] += np.stack([np.bincount(owner, model.table[buckets, k], b - a) for k in range(len(model.languages))], axis=1)
+    if kept:
         with np.errstate(under="ignore"):
-            posterior = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
-        best[usable[a:b]], score[usable[a:b]] = top, posterior
+            score[usable] = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
+        best[usable] = total.argmax(1)
     return best, score
 
 

@@ -16,8 +16,8 @@ from .common import add_columns, ascii_lower, checkpointed, documents, drop_mark
 SHINGLE_WORDS = 3
 MAX_DISTANCE = 3
 SEED = 42
-#: Parts of a half of the embedding; one is compared by its counts, the others by their bits.
-PARTS = 4
+#: Segments of a fingerprint, whose bit counts are its embedding.
+SEGMENTS = 32
 #: A fingerprint with more than such a share of the rows has its class broadcast; fewer than so many can.
 HEAVY = 1024
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -57,46 +57,49 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return add_columns(source, ["t"], _hashed, "fp long", keep=["doc_id"])
 
 
-def grid_cells(fp: str = "fp") -> Column:
-    """Grid cells of the segment-popcount embedding, as an array of ``(half, cell, part, moved)``.
+def embedding(fp: str = "fp") -> Column:
+    """The bit counts of the ``SEGMENTS`` segments of two bits, each written in unary (0, 1, 2 as 00, 01, 11) in one long.
 
-    A fingerprint is cut into 32 segments of two bits; its embedding holds the number of set bits (0, 1, 2) of
-    each. Fingerprints that differ in at most 3 bits differ in at most one bit of one of the two halves of 16
-    segments, so there their embeddings are at most 1 apart in Manhattan distance, in one segment, and all other
-    segments hold the same bits. A cell is therefore a half with one of its ``PARTS`` parts given by popcounts and
-    the others by their bits: a row is put in its own cell for every part and, marked ``moved``, in the cells one
-    step up in one segment of the part that holds it. Of two rows one step apart exactly one reaches the other's
-    cell. All counts come from one subtraction on the packed bits.
+    So the Manhattan distance of two embeddings is the number of bits in which they differ. It is at most that of the
+    fingerprints: no bit changes a count by more than one.
+    """
+    pairs = 0x5555555555555555
+    either, both = f"(({fp} | shiftrightunsigned({fp}, 1)) & {pairs}L)", f"(({fp} & shiftrightunsigned({fp}, 1)) & {pairs}L)"
+    return F.expr(f"{either} | shiftleft({both}, 1)")
+
+
+def grid_cells(code: str = "code") -> Column:
+    """Grid cells of an embedding, as an array of ``(half, cell, moved)``.
+
+    Embeddings within Manhattan distance 3 are within 1 in one of the two halves of 16 segments: there they are equal, or one
+    segment holds one bit more in one of them. A row is put in the cell of each half, and, marked ``moved``, in the
+    cells one step up in one segment. Of two rows one step apart exactly one reaches the other's cell.
     """
-    low, high = f"({fp} & 4294967295L)", f"shiftrightunsigned({fp}, 32)"
-    per = 16 // PARTS  # segments of a part
     cells = []
-    for half, bits in enumerate((low, high)):
-        counts = f"({bits} - (shiftright({bits}, 1) & 1431655765L))"
-        for part in range(PARTS):
-            mask = ((1 << 2 * per) - 1) << (2 * per * part)
-            cell = f"(({bits} & {0xFFFFFFFF ^ mask}L) | ({counts} & {mask}L))"
-            cells.append(f"array(struct({half} AS half, {part} AS part, {cell} AS cell, false AS moved))")
-            cells.append(f"transform(filter(sequence({per * part}, {per * part + per - 1}), i -> (shiftrightunsigned({counts}, 2 * i) & 3L) < 2L), "
-                         f"i -> struct({half} AS half, {part} AS part, {cell} + shiftleft(1L, 2 * i) AS cell, true AS moved))")
+    for half in (0, 1):
+        own = f"(shiftrightunsigned({code}, {32 * half}) & 4294967295L)"
+        count = f"(shiftrightunsigned({own}, 2 * i) & 3L)"
+        cells.append(f"array(struct({half} AS half, {own} AS cell, false AS moved))")
+        cells.append(f"transform(filter(sequence(0, {SEGMENTS // 2 - 1}), i -> {count} < 3L), "
+                     f"i -> struct({half} AS half, {own} + shiftleft({count} + 1L, 2 * i) AS cell, true AS moved))")
     return F.expr(f"concat({', '.join(cells)})")
 
 
 def fingerprint_links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
     """``src, dst``: all pairs of different fingerprints of column ``fp`` within ``max_distance`` bits.
 
-    Exact for distances up to 3: the grid finds a superset and the join condition verifies each pair by its
-    exact bit difference, so only true links leave the join.
+    Exact for distances up to 3: the grid finds all embeddings within that Manhattan distance, which bounds the bit
+    difference from below, and pairs that pass it are verified bit by bit; only true links leave the join.
     """
     if max_distance > 3:
         raise ValueError("the grid reaches distances up to 3")
-    spread = distinct.select("fp", F.explode(grid_cells()).alias("g")).select("fp", "g.*")
-    # Rows that share a whole half meet in the own cells of every part; those of part 0 are enough for them.
-    left = spread.filter("moved or part = 0").select("half", "part", "cell", "moved", F.col("fp").alias("src"))
-    right = spread.filter("not moved").select("half", "part", "cell", F.col("fp").alias("dst"))
-    near = (F.bit_count(F.col("src").bitwiseXOR(F.col("dst"))) <= max_distance) & (F.col("moved") | (F.col("src") < F.col("dst")))
-    same_cell = (left["half"] == right["half"]) & (left["part"] == right["part"]) & (left["cell"] == right["cell"])
-    found = left.join(right, same_cell & near)
+    coded = distinct.select("fp", embedding().alias("code"))
+    spread = coded.select("fp", "code", F.explode(grid_cells()).alias("g")).select("fp", "code", "g.*")
+    left = spread.select("half", "cell", "moved", F.col("fp").alias("src"), F.col("code").alias("src_code"))
+    right = spread.filter("not moved").select("half", "cell", F.col("fp").alias("dst"), F.col("code").alias("dst_code"))
+    apart = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
+    near = (apart("src_code", "dst_code") <= max_distance) & (apart("src", "dst") <= max_distance) & (F.col("moved") | (F.col("src") < F.col("dst")))
+    found = left.join(right, (left["half"] == right["half"]) & (left["cell"] == right["cell"]) & near)
     return found.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
 
 

@@ -137,3 +137,21 @@ def test_registered_native_plan_has_no_python(spark, sf, monkeypatch):
     plans = [plan, *(df._jdf.queryExecution().executedPlan().toString() for df in stages)]
     assert len(plans) == 3 and not any("Python" in p or "Arrow" in p for p in plans)
     assert exact_dedup.op6_exact_dedup(spark, sf).agg(F.count_if("kept") == F.count_distinct("text_sha256")).first()[0]
+
+
+def test_embedding_bounds_the_bit_difference(spark):
+    """Manhattan distance of the counts, by the unary codes, against plain counting."""
+    rng = random.Random(31)
+    pairs = []
+    for _ in range(200):
+        a = rng.getrandbits(64)
+        b = a
+        for _ in range(rng.randrange(6)):
+            b ^= 1 << rng.randrange(64)
+        pairs.append((a, b))
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    counts = lambda f: [bin(f >> 2 * i & 3).count("1") for i in range(simhash.SEGMENTS)]
+    df = spark.createDataFrame([(signed(a), signed(b)) for a, b in pairs], "a long, b long")
+    got = df.select(F.bit_count(simhash.embedding("a").bitwiseXOR(simhash.embedding("b")))).collect()
+    for (a, b), (d,) in zip(pairs, got):
+        assert d == sum(abs(x - y) for x, y in zip(counts(a), counts(b))) <= bin(a ^ b).count("1")

@@ -61,6 +61,20 @@ def test_ngrams_never_cross_texts():
     assert (np.sort(buckets[owner == 2]) == alone).all()
 
 
+@pytest.mark.parametrize("chars", [1, 3, 7, 50])
+def test_long_texts_in_stretches(monkeypatch, chars):
+    """Stretches of any length meet every n-gram of a text once."""
+    texts = ["Straße und İstanbul ΑΣ " * 4, "a", "", "xyz"]
+    want = [np.sort(langid.ngram_buckets([t])[0]) for t in texts]
+    monkeypatch.setattr(langid, "CHUNK_CHARS", chars)
+    monkeypatch.setattr(langid.chunks, "__defaults__", (chars,))
+    found = [[] for _ in texts]
+    for a, _, buckets, owner in langid.stretches(texts):
+        for k, x in zip(owner.tolist(), buckets.tolist()):
+            found[a + k].append(x)
+    assert [sorted(f) for f in found] == [w.tolist() for w in want]
+
+
 def edit_distance_in(item, doc):
     """Least edits with which the item occurs anywhere in the document."""
     cost = [0] * (len(doc) + 1)
