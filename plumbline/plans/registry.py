@@ -10,6 +10,7 @@ from .fixtures import Tables
 from .action_queries import ACTIONS
 from .area_queries import AREA_TABLE
 from .detector_queries import DETECTORS
+from .feed_queries import FEEDS
 from .io_queries import IO_TABLE
 from .report_queries import REPORTS
 from .sequential_queries import SEQUENTIAL
@@ -26,6 +27,6 @@ def bound(job: Callable[[Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: job(Tables(spark, sf_dir))
 
 
-_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS | ACTIONS | AREA_TABLE | SEQUENTIAL | IO_TABLE | VERSIONS | STATEFUL
+_ALL = REPORTS | DETECTORS | ZONE_TABLE | SPATIAL | SIGNALS | ACTIONS | AREA_TABLE | SEQUENTIAL | IO_TABLE | VERSIONS | STATEFUL | FEEDS
 QUERIES: dict[str, Query] = {name: bound(job) for name, (job, _) in _ALL.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for name, (_, sql) in _ALL.items() if sql}
