@@ -95,7 +95,7 @@ def adaptive_thresholds(kp: Column) -> Column:
             .when(kp >= 4, band(5.5, 0.55, 18, 3.5, 0.55)).otherwise(band(5.0, 0.5, 15, 3.0, 0.6)))
 
 
-def cusum_ewma(sessions: DataFrame, as_of: int, kp: float = 0.0, bucket_min: int = 30, hours: int = 6, baseline_h: int = 24, least: int = 3) -> DataFrame:
+def cusum_counters(sessions: DataFrame, as_of: int, kp: float = 0.0, bucket_min: int = 30, hours: int = 6, baseline_h: int = 24, least: int = 3) -> DataFrame:
     """Sequential change detection per station over buckets of the recent hours, as one fold per station.
 
     The baseline is the mean of the hours before and stays frozen; sigma is ``max(5, 15 %)``. A bucket alarms
@@ -127,8 +127,8 @@ def cusum_ewma(sessions: DataFrame, as_of: int, kp: float = 0.0, bucket_min: int
         F.col("end.cusum_alarms").alias("cusum_alarms"), F.col("end.ewma_alarms").alias("ewma_alarms"))
 
 
-def cusum_ewma_v1(sessions: DataFrame, as_of: int, bucket_min: int = 30, hours: int = 6, baseline_h: int = 24, least: int = 20) -> DataFrame:
-    """The earlier detector: fix rate as in :func:`cusum_ewma` with fixed limits, and an upper sum on the correction age.
+def cusum_counters_v1(sessions: DataFrame, as_of: int, bucket_min: int = 30, hours: int = 6, baseline_h: int = 24, least: int = 20) -> DataFrame:
+    """The earlier detector: fix rate as in :func:`cusum_counters` with fixed limits, and an upper sum on the correction age.
 
     Buckets without a positive age leave the age sums as they are. Age sigma is ``max(0.5, 20 %)``; the smoothed age alarms
     from the fifth bucket on above three times its baseline.

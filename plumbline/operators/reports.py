@@ -273,6 +273,32 @@ def station_profile(sessions: DataFrame, stations: DataFrame, scores: DataFrame,
     return info.crossJoin(week).crossJoin(latest)
 
 
+def station_sessions(sessions: DataFrame, as_of: int, name: str, limit: int | None = 50) -> DataFrame:
+    """The latest sessions of a station within a day, newest first, users masked: the page shows 50 of them."""
+    own = sessions.filter((F.col("station") == name) & between(as_of - DAY))
+    out = own.select("id", "fix_rate", F.col("avg_age").alias("correction_age"), F.col("duration").alias("duration_s"), mask_user(F.col("username")).alias("user"), F.col("login_time").alias("time_ms"))
+    return out if limit is None else out.orderBy(F.desc("time_ms"), "id").limit(limit)
+
+
+def station_week(sessions: DataFrame, as_of: int, name: str) -> DataFrame:
+    """One row about a station's week: sessions, users, mean fix rate, mean duration in minutes, mean correction age."""
+    own = sessions.filter((F.col("station") == name) & between(as_of - 7 * DAY))
+    return own.agg(n("sessions"), F.count_distinct("username").alias("users"), mean("fix_rate").alias("avg_fix"), half_up(F.coalesce(F.avg("duration"), F.lit(0.0)) / 60).alias("avg_duration_min"),
+                   half_up(F.coalesce(F.avg("avg_age"), F.lit(0.0)), 2).alias("avg_age"))
+
+
+def station_status_history(log: DataFrame, as_of: int, name: str, days: int = 7) -> DataFrame:
+    """Status entries (``station_name, status, recorded_at``) of a station by hour and status."""
+    hour = (F.floor(F.col("recorded_at") / HOUR) * HOUR).cast("long")
+    return log.filter((F.col("station_name") == name) & (F.col("recorded_at") >= as_of - days * DAY)).groupBy(hour.alias("hour_ms"), "status").agg(n("entries"))
+
+
+def station_alerts(alerts: DataFrame, flags: DataFrame, name: str) -> DataFrame:
+    """``source, kind, confidence, action``: the predictive alerts and the suspicions that concern a station."""
+    told = alerts.filter(F.col("station") == name).select(F.lit("prediction").alias("source"), F.col("indicator").alias("kind"), "confidence", "action")
+    return told.unionByName(flags.filter(F.col("name") == name).select(F.lit("suspicion").alias("source"), F.col("rule").alias("kind"), "confidence", F.col("recommendation").alias("action")))
+
+
 def mask_user(user: Column) -> Column:
     return F.concat(F.substring(user, 1, 3), F.lit("***"))
 

@@ -14,7 +14,7 @@ from .detectors import MINUTE, adaptive_thresholds, deviation, fix
 WINDOWS = {"5m": (5, 1), "30m": (23, 6), "2h": (71, 24)}
 #: The one window of the earlier detector: the hour up to five minutes ago.
 HOUR_WINDOW = (11, 1)
-ALARM = "array<struct<type: string, severity: string, k: int, current: double, baseline: double>>"
+ALARM = "array<struct<type: string, severity: string, k: int, affected_users: bigint, current: double, baseline: double>>"
 
 
 def cycles(sessions: DataFrame, as_of: int, cycle_min: int, hours: int) -> DataFrame:
@@ -27,15 +27,21 @@ def cycles(sessions: DataFrame, as_of: int, cycle_min: int, hours: int) -> DataF
         F.count_distinct("username").alias("users")).withColumns({"fix": F.col("fix_sum") / F.col("n"), "age": F.coalesce(F.col("age_sum") / F.col("age_n"), F.lit(0.0))})
 
 
-def with_baseline(rows: DataFrame, window: tuple[int, int], least: int) -> DataFrame:
-    """Cycles with at least ``least`` sessions in the window before them, and its means. A station has as many rows as cycles."""
-    before = W.partitionBy("station").orderBy("k").rangeBetween(-window[0], -window[1])
-    total = lambda c: F.sum(c).over(before)
-    return rows.withColumns({"b_n": total("n"), "base": total("fix_sum") / total("n"), "age_base": F.coalesce(total("age_sum") / total("age_n"), F.lit(0.0))}).filter(F.col("b_n") >= least)
+def with_baselines(rows: DataFrame, windows: dict[str, tuple[int, int]], least: int) -> DataFrame:
+    """Cycles and, by window, the mean fix rate ``base_<name>`` and age ``age_<name>`` of the sessions before them; null where there
+    are fewer than ``least``. All windows come from one sort. A station has as many rows as cycles."""
+    out = {}
+    for name, (first, last) in windows.items():
+        before = W.partitionBy("station").orderBy("k").rangeBetween(-first, -last)
+        total = lambda c, before=before: F.sum(c).over(before)
+        enough = total("n") >= least
+        out[f"base_{name}"] = F.when(enough, total("fix_sum") / total("n"))
+        out[f"age_{name}"] = F.when(enough, F.coalesce(total("age_sum") / total("age_n"), F.lit(0.0)))
+    return rows.withColumns(out)
 
 
 def alarm(when: Column, kind: str, level: Column, x: Column, current: Column, baseline: Column) -> Column:
-    row = F.struct(F.lit(kind).alias("type"), level.alias("severity"), x["k"].alias("k"), current.alias("current"), baseline.alias("baseline"))
+    row = F.struct(F.lit(kind).alias("type"), level.alias("severity"), x["k"].alias("k"), x["users"].alias("affected_users"), current.alias("current"), baseline.alias("baseline"))
     return F.when(when, F.array(row)).otherwise(F.array().cast(ALARM))
 
 
@@ -43,9 +49,9 @@ def level(current: Column) -> Column:
     return F.when(current < 30, "critical").when(current < 60, "warning").otherwise("info")
 
 
-def _rows(ended: DataFrame, users: DataFrame, as_of: int, cycle_min: int, hours: int, *more: str) -> DataFrame:
+def _rows(ended: DataFrame, as_of: int, cycle_min: int, hours: int, *more: str) -> DataFrame:
     c = F.col
-    out = ended.select("station", *more, F.explode("end.alarms").alias("a")).select("station", *more, "a.*").join(users.select("station", "k", c("users").alias("affected_users")), ["station", "k"])
+    out = ended.select("station", *more, F.explode("end.alarms").alias("a")).select("station", *more, "a.*")
     at = F.lit(as_of - hours * HOUR) + (c("k").cast("long") + 1) * (cycle_min * MINUTE)
     return out.select("type", "severity", "station", *more, "affected_users", half_up("current", 1).alias("current_value"), half_up("baseline", 1).alias("baseline_value"),
                       deviation(c("current"), c("baseline")).alias("deviation_pct"), at.alias("detected_ms"))
@@ -62,8 +68,14 @@ def cusum_ewma_v2(sessions: DataFrame, as_of: int, kp: float = 0.0, cycle_min: i
     """
     c = F.col
     rows = cycles(clean_sessions(sessions), as_of, cycle_min, hours)
-    parts = [with_baseline(rows, w, 3).select("station", F.lit(name).alias("method"), "k", "fix", "base") for name, w in WINDOWS.items()]
-    series = parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("station", "method").agg(F.array_sort(F.collect_list(F.struct("k", "fix", "base"))).alias("series"))
+    bases = [f"base_{name}" for name in WINDOWS]
+    whole = with_baselines(rows, WINDOWS, 3).groupBy("station").agg(F.array_sort(F.collect_list(F.struct("k", "fix", "users", *bases))).alias("whole"))
+
+    def own(name: str) -> Column:
+        known = F.filter("whole", lambda x: x[f"base_{name}"].isNotNull())
+        return F.struct(F.lit(name).alias("method"), F.transform(known, lambda x: F.struct(x["k"].alias("k"), x["fix"].alias("fix"), x["users"].alias("users"), x[f"base_{name}"].alias("base"))).alias("series"))
+
+    series = whole.select("station", F.explode(F.array(*map(own, WINDOWS))).alias("m")).select("station", "m.*").filter(F.size("series") > 0)
     series = series.withColumns({"frozen": c("series")[0]["base"], "lim": adaptive_thresholds(F.lit(kp))})
     zero = F.struct(F.lit(0.0).alias("low"), c("frozen").alias("ewma"), F.lit(0).alias("count"), F.array().cast(ALARM).alias("alarms"))
 
@@ -77,7 +89,7 @@ def cusum_ewma_v2(sessions: DataFrame, as_of: int, kp: float = 0.0, cycle_min: i
                        alarm(drop, "ewma_fix_drop", F.when(ewma < 30, "critical").otherwise("warning"), x, ewma, x["base"]))
         return F.struct(F.when(hit, 0.0).otherwise(low).alias("low"), ewma.alias("ewma"), count.alias("count"), new.alias("alarms"))
 
-    return _rows(series.withColumn("end", F.aggregate("series", zero, step)), rows, as_of, cycle_min, hours, "method")
+    return _rows(series.withColumn("end", F.aggregate("series", zero, step)), as_of, cycle_min, hours, "method")
 
 
 def cusum_ewma_v1(sessions: DataFrame, as_of: int, cycle_min: int = 5, hours: int = 24) -> DataFrame:
@@ -88,7 +100,9 @@ def cusum_ewma_v1(sessions: DataFrame, as_of: int, cycle_min: int = 5, hours: in
     """
     c = F.col
     rows = cycles(sessions.filter(has_station()), as_of, cycle_min, hours)
-    series = with_baseline(rows, HOUR_WINDOW, 20).groupBy("station").agg(F.array_sort(F.collect_list(F.struct("k", "fix", "age", "base", "age_base"))).alias("series"))
+    known = with_baselines(rows, {"hour": HOUR_WINDOW}, 20).filter("base_hour is not null")
+    entry = F.struct("k", "fix", "age", "users", c("base_hour").alias("base"), c("age_hour").alias("age_base"))
+    series = known.groupBy("station").agg(F.array_sort(F.collect_list(entry)).alias("series"))
     start = F.lit(0.0)
     names = ("low", "high", "frozen_age", "ewma", "ewma_age", "count", "ages", "alarms")
     series = series.withColumns({"frozen": c("series")[0]["base"], "first_age": c("series")[0]["age_base"]})
@@ -111,4 +125,4 @@ def cusum_ewma_v1(sessions: DataFrame, as_of: int, cycle_min: int = 5, hours: in
         values = (F.when(hit, 0.0).otherwise(low), F.when(old, 0.0).otherwise(high), frozen_age, ewma, ewma_age, count, ages, new)
         return F.struct(*[v.alias(n) for n, v in zip(names, values)])
 
-    return _rows(series.withColumn("end", F.aggregate("series", zero, step)), rows, as_of, cycle_min, hours)
+    return _rows(series.withColumn("end", F.aggregate("series", zero, step)), as_of, cycle_min, hours)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions.geo import DEGREE_KM, EARTH_KM, distance_join
+from plumbline.functions.geo import DEGREE_KM, EARTH_KM, distance_join, haversine_km
 from plumbline.functions.geodesic import cell_centre, cell_disk, cell_of
 from plumbline.functions.graph import checkpointed
 from plumbline.functions.rules import DAY, between, half_up, has_position, online, positive
@@ -95,13 +95,68 @@ def _pairs(points: DataFrame, km: float) -> DataFrame:
     return distance_join(points, right, km, "lat", "lon", "r_lat", "r_lon")
 
 
+#: Sides of the blocks of points, in kilometres, each a fourth of the one before.
+BLOCKS_KM = (16.0, 4.0, 1.0)
+
+
+def _blocks(points: DataFrame) -> DataFrame:
+    """``points`` with the keys ``b0, b1, b2`` of their blocks, which lie within each other, and ``b3``, their own."""
+    fine = BLOCKS_KM[-1] / DEGREE_KM
+    row = F.floor(F.col("lat") / fine)
+    steps = [int(side / BLOCKS_KM[-1]) for side in BLOCKS_KM]
+    # Columns of all blocks of a large row are as wide, so that blocks stay within each other.
+    wide = fine / F.greatest(F.lit(0.05), F.cos(F.radians((F.floor(row / steps[0]) + 0.5) * steps[0] * fine)))
+    column = F.floor(F.col("lon") / wide)
+    keys = {f"b{i}": F.struct(F.floor(row / n).alias("r"), F.floor(column / n).alias("c"), F.lit("").alias("p")) for i, n in enumerate(steps)}
+    return points.withColumns(keys | {"b3": F.struct(row.alias("r"), column.alias("c"), F.col("id").cast("string").alias("p"))})
+
+
 def empirical_variogram(points: DataFrame, max_km: float = 500.0, bins: int = 15, least: int = 3) -> DataFrame:
-    """Semivariance of all pairs (``id, lat, lon, value``) under ``max_km`` in equal distance bins."""
-    width = max_km / bins
-    pairs = _pairs(points, max_km).filter((F.col("id") < F.col("r_id")) & (F.col("distance_km") < max_km))
-    bin_ = F.floor(F.col("distance_km") / width).cast("int")
-    return (pairs.groupBy(bin_.alias("bin")).agg(F.count("*").alias("count"), (F.sum(F.pow(F.col("value") - F.col("r_value"), F.lit(2.0))) / (2 * F.count("*"))).alias("semivariance"))
-            .filter(F.col("count") >= least).select("bin", ((F.col("bin") + 0.5) * width).alias("distance"), "semivariance", "count"))
+    """Semivariance of all pairs (``id, lat, lon, value``) under ``max_km`` in equal distance bins.
+
+    Exact without meeting all pairs: pairs of blocks, so far apart that all their points fall into one bin, add the product of
+    their counts and the squares from their sums. Only block pairs across the edge of a bin are taken apart, into blocks of
+    a fourth of the side and, at last, into points.
+    """
+    c, width = F.col, max_km / bins
+    placed = checkpointed(_blocks(points.filter("lat is not null and lon is not null and value is not null")))
+
+    def level(i: int) -> DataFrame:
+        """Blocks with their sums, and a middle from which no point is further than ``r``."""
+        up = [f"b{i - 1}"] if i else []
+        sums = placed.groupBy(f"b{i}", *up).agg(
+            F.count(F.lit(1)).alias("n"), F.sum("value").alias("s"), F.sum(c("value") * c("value")).alias("q"),
+            F.min("lat").alias("south"), F.max("lat").alias("north"), F.min("lon").alias("west"), F.max("lon").alias("east"))
+        mid = sums.withColumns({"lat": (c("south") + c("north")) / 2, "lon": (c("west") + c("east")) / 2})
+        corners = [haversine_km(c("lat"), c("lon"), c(a), c(b)) for a in ("south", "north") for b in ("west", "east")]
+        # A box may bulge between its corners: its middle meridian is the longest way to a side, and no further than half its height.
+        reach = F.greatest(*corners, haversine_km(c("lat"), c("lon"), c("south"), c("lon")))
+        return mid.select(c(f"b{i}").alias("b"), *([c(up[0]).alias("up")] if up else []), "n", "s", "q", "lat", "lon", F.when((c("south") == c("north")) & (c("west") == c("east")), 0.0).otherwise(reach * 1.000001 + 1e-6).alias("r"))
+
+    def other(blocks: DataFrame) -> DataFrame:
+        return blocks.select(*(c(k).alias(f"r_{k}") for k in blocks.columns))
+
+    near = c("distance_km") - c("r") - c("r_r")
+    far = c("distance_km") + c("r") + c("r_r")
+    same = c("b") == c("r_b")
+    found, blocks = [], level(0)
+    pairs = distance_join(blocks, other(blocks), max_km + 2 * BLOCKS_KM[0], "lat", "lon", "r_lat", "r_lon")
+    for i in range(len(BLOCKS_KM) + 1):
+        met = pairs.filter((c("b") <= c("r_b")) & (near < max_km))
+        low, high = F.floor(F.greatest(F.lit(0.0), near) / width), F.floor(far / width)
+        met = checkpointed(met.withColumns({"bin": low.cast("int"), "one": (low == high) & (far < max_km)}))
+        count = F.when(same, c("n") * (c("n") - 1) / 2).otherwise(c("n") * c("r_n"))
+        square = F.when(same, c("n") * c("q") - c("s") * c("s")).otherwise(c("r_n") * c("q") + c("n") * c("r_q") - 2 * c("s") * c("r_s"))
+        found.append(met.filter("one").groupBy("bin").agg(F.sum(count).alias("count"), F.sum(square).alias("square")))
+        if i == len(BLOCKS_KM):
+            break
+        rest, below = met.filter("not one").select(c("b").alias("up"), c("r_b").alias("r_up")), level(i + 1)
+        pairs = rest.join(below, "up").join(other(below), "r_up").withColumn("distance_km", haversine_km(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    return (every.groupBy("bin").agg(F.sum("count").cast("long").alias("count"), F.sum("square").alias("square")).filter(c("count") >= least)
+            .select("bin", ((c("bin") + 0.5) * width).alias("distance"), (c("square") / (2 * c("count"))).alias("semivariance"), "count"))
 
 
 def variogram_value(model: str, h: Column, nugget: Column, sill: Column, reach: Column) -> Column:

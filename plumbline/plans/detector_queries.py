@@ -153,7 +153,7 @@ V1 = f"""SELECT station, {rnd("low", 3)} AS low, {rnd("high", 3)} AS high, {rnd(
  SELECT *, max(i) OVER (PARTITION BY station) AS last FROM f) WHERE i = last"""
 
 DETECTORS = {
-    "cusum_counters_v1": (lambda t: d.cusum_ewma_v1(t.fx_sessions, AS_OF), oracle(V1, ser=V1_SERIES)),
+    "cusum_counters_v1": (lambda t: d.cusum_counters_v1(t.fx_sessions, AS_OF), oracle(V1, ser=V1_SERIES)),
     "fix_rate_drop": (
         lambda t: d.fix_rate_drop(t.fx_sessions, AS_OF),
         oracle(f"""SELECT 'fix_rate_drop' AS type, CASE WHEN fix < 30 THEN 'critical' WHEN fix < 50 THEN 'warning'
@@ -185,7 +185,7 @@ DETECTORS = {
              JOIN (SELECT {circle("latitude", "longitude")} AS region, count(*) AS b_n, avg(fix_rate) AS b_fix
           FROM fx_sessions WHERE login_time >= {H24} AND login_time < {H6} AND {POSITION} AND {STATION} GROUP BY 1) USING (region) WHERE n >= 10
              AND b_n >= 20 AND b_fix > 60 AND fix < b_fix * 7e-1""")),
-    "cusum_counters_v2": (lambda t: d.cusum_ewma(t.fx_sessions, AS_OF), oracle(CUSUM, ser=CUSUM_SERIES)),
+    "cusum_counters_v2": (lambda t: d.cusum_counters(t.fx_sessions, AS_OF), oracle(CUSUM, ser=CUSUM_SERIES)),
     "interference_clusters": (lambda t: d.interference_clusters(t.fx_sessions, AS_OF), oracle(CLUSTERS, pts=CLUSTER_POINTS, edg=cluster_edges(10), comp=COMP)),
     # The smallest tables hold no cluster of ten minutes; an hour finds some.
     "interference_clusters_1h": (

@@ -113,7 +113,7 @@ def test_cusum_twin(spark):
     for s in range(6):
         rows += [(f"S{s}", start - rng.randrange(1, 20 * HOUR), 80 + rng.random(), 1.0, 500, 1.0, 1.0) for _ in range(10)]
         rows += [(f"S{s}", start + b * 1_800_000 + 5, rng.choice([5.0, 40.0, 85.0]) if s else 5.0, 1.0, 500, 1.0, 1.0) for b in range(12)]
-    got = {r.station: r for r in detectors.cusum_ewma(sessions(spark, rows), AS_OF).collect()}
+    got = {r.station: r for r in detectors.cusum_counters(sessions(spark, rows), AS_OF).collect()}
     for s in range(6):
         own = [r for r in rows if r[0] == f"S{s}"]
         base = np.mean([r[2] for r in own if r[1] < start])
