@@ -140,9 +140,9 @@ def empirical_variogram(points: DataFrame, max_km: float = 500.0, bins: int = 15
     far = c("distance_km") + c("r") + c("r_r")
     same = c("b") == c("r_b")
     found, blocks = [], level(0)
-    pairs = distance_join(blocks, other(blocks), max_km + 2 * BLOCKS_KM[0], "lat", "lon", "r_lat", "r_lon")
+    pairs = distance_join(blocks, other(blocks), max_km + 2 * BLOCKS_KM[0], "lat", "lon", "r_lat", "r_lon").filter(c("b") <= c("r_b"))
     for i in range(len(BLOCKS_KM) + 1):
-        met = pairs.filter((c("b") <= c("r_b")) & (near < max_km))
+        met = pairs.filter(near < max_km)
         low, high = F.floor(F.greatest(F.lit(0.0), near) / width), F.floor(far / width)
         met = checkpointed(met.withColumns({"bin": low.cast("int"), "one": (low == high) & (far < max_km)}))
         count = F.when(same, c("n") * (c("n") - 1) / 2).otherwise(c("n") * c("r_n"))
@@ -151,7 +151,8 @@ def empirical_variogram(points: DataFrame, max_km: float = 500.0, bins: int = 15
         if i == len(BLOCKS_KM):
             break
         rest, below = met.filter("not one").select(c("b").alias("up"), c("r_b").alias("r_up")), level(i + 1)
-        pairs = rest.join(below, "up").join(other(below), "r_up").withColumn("distance_km", haversine_km(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
+        once = (c("up") != c("r_up")) | (c("b") <= c("r_b"))  # within one block every pair of its parts stands once
+        pairs = rest.join(below, "up").join(other(below), "r_up").filter(once).withColumn("distance_km", haversine_km(c("lat"), c("lon"), c("r_lat"), c("r_lon")))
     every = found[0]
     for part in found[1:]:
         every = every.unionByName(part)
