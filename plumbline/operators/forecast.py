@@ -48,12 +48,17 @@ def current_quality(points: DataFrame, surface: DataFrame, scores: DataFrame, km
 def forecast(points: DataFrame, horizons: tuple[int, ...], as_of: int, arrivals: DataFrame, kp: float = 0.0, kp_3h: float = 0.0, tropo_risk: str = "low", alerts: int = 0) -> DataFrame:
     """One row per point (``point_id, lat, lon, current``) and horizon in hours, with a band that grows with its square root.
 
-    ``arrivals`` has ``arrival_ts, kp``: those within six hours of a horizon count; a horizon's arrivals are one small aggregate.
+    ``arrivals`` has ``arrival_ts, kp``: those within six hours of a horizon count. They meet by slices of six hours, and a
+    horizon's arrivals are one small aggregate.
     """
     c = F.col
     spark = points.sparkSession
     h = spark.createDataFrame([(x,) for x in horizons], "h int").withColumn("at", F.lit(as_of) + c("h").cast("long") * HOUR)
-    hits = h.join(arrivals, F.abs(c("arrival_ts") - c("at")) <= 6 * HOUR, "left").groupBy("h").agg(F.max(c("kp")).alias("c_kp"), F.coalesce(F.sum(kp_impact(c("kp"))), F.lit(0.0)).alias("c_impact"))
+    width = 6 * HOUR
+    slice_ = F.floor(c("at") / width)
+    met = (h.withColumn("slice", F.explode(F.array(slice_ - 1, slice_, slice_ + 1))).join(arrivals.withColumn("slice", F.floor(c("arrival_ts") / width)), "slice")
+           .filter(F.abs(c("arrival_ts") - c("at")) <= width).select("h", "kp"))
+    hits = h.select("h").join(met, "h", "left").groupBy("h").agg(F.max(c("kp")).alias("c_kp"), F.coalesce(F.sum(kp_impact(c("kp"))), F.lit(0.0)).alias("c_impact"))
     rows = points.crossJoin(F.broadcast(hits))
     soon = (c("h") <= 3) & F.lit(kp_3h > 0)
     expected = F.greatest(F.lit(float(kp)), F.coalesce("c_kp", F.lit(0.0)), F.when(soon, float(kp_3h)).otherwise(0.0))

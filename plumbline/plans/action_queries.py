@@ -61,14 +61,14 @@ FROM (SELECT *, split_part(hw, '|', 1) AS hc, CAST(split_part(hw, '|', 2) AS dou
   FROM (SELECT *, upper(CASE WHEN receiver_type = '' THEN name ELSE receiver_type END) AS h FROM nea) n LEFT JOIN val v ON v.station = n.name))
 WHERE (hc = 'survey_grade' AND hcf >= 7e-1 AND st <> 'rejected' AND (dk > 40 OR (st = 'confirmed' AND coalesce(vf, 0) > 75))) OR (hc = 'professional'
    AND hcf >= 65e-2 AND st <> 'rejected' AND dk > 60) OR (hc = 'consumer' AND hcf >= 5e-1 AND st = 'confirmed' AND dk > 80)"""
-GRID = "SELECT a AS lat_idx, b AS lon_idx, ((a * 7 + b * 13) % 40) * 1e0 AS vtec FROM range(18) x(a), range(37) y(b)"
+#: A map of 18 by 37 nodes: events are dealt to the nodes, and the mean of its values makes a node's.
+GRID = "SELECT event_id % 666 AS node, CAST(floor(avg(value)) AS bigint) AS m FROM events GROUP BY 1"
 
 
 def tec_grid(t: Tables, shift: int = 0) -> DataFrame:
-    """An 18 by 37 grid whose values come from the nations' keys, so that it follows the tables."""
-    spark = t.spark
-    n = spark.range(18).select(F.col("id").cast("int").alias("lat_idx")).crossJoin(spark.range(37).select(F.col("id").cast("int").alias("lon_idx")))
-    return n.withColumn("vtec", ((F.col("lat_idx") * 7 + F.col("lon_idx") * 13 + shift) % 40).cast("double"))
+    """An 18 by 37 grid from the events: the whole part of a node's mean, and ``shift``, modulo 40."""
+    nodes = t.events.groupBy((F.col("event_id") % 666).alias("node")).agg(F.floor(F.avg("value")).cast("long").alias("m"))
+    return nodes.select(F.floor(F.col("node") / 37).cast("int").alias("lat_idx"), (F.col("node") % 37).cast("int").alias("lon_idx"), ((F.col("m") + shift) % 40).cast("double").alias("vtec"))
 
 
 def tec_points(t: Tables) -> DataFrame:
@@ -80,7 +80,7 @@ def tec(t: Tables, shift: int = 0) -> DataFrame:
 
 
 def tec_sql(shift: int) -> str:
-    v = lambda a, b: f"(((i + {a}) * 7 + (j + {b}) * 13 + {shift}) % 40)"
+    v = lambda a, b: f"(SELECT (m + {shift}) % 40 FROM gm WHERE node = (i + {a}) * 37 + j + {b})"
     return f"""SELECT point_id, lat, lon,
        {rnd(f"{v(0, 0)} * (1 - u) * (1 - w) + {v(0, 1)} * (1 - u) * w + {v(1, 0)} * u * (1 - w) + {v(1, 1)} * u * w", 1)} AS vtec, {rnd("ns", 2)} AS
        gradient_ns, {rnd("ew", 2)} AS gradient_ew, {rnd("sqrt(ns * ns + ew * ew)", 2)} AS gradient_total,
@@ -212,8 +212,8 @@ ACTIONS = {
          CASE WHEN kp >= 7 THEN 30e0 WHEN kp >= 5 THEN 22e0 WHEN kp >= 4 THEN 18e0 ELSE 15e0 END AS ewma_fix, CASE WHEN kp >= 7 THEN 5e0
             WHEN kp >= 5 THEN 4e0 WHEN kp >= 4 THEN 35e-1 ELSE 3e0 END AS ewma_age,
          CASE WHEN kp >= 7 THEN 4e-1 WHEN kp >= 5 THEN 5e-1 WHEN kp >= 4 THEN 55e-2 ELSE 6e-1 END AS drop_ratio FROM fx_env_history""")),
-    "tec_interpolate": (tec, oracle(tec_sql(0))),
-    "scintillation": (lambda t: actions.scintillation(tec(t), tec(t, 17), 5.0, 6.0), oracle(SCINT, pr=tec_sql(0), cu=tec_sql(17))),
+    "tec_interpolate": (tec, oracle(tec_sql(0), gm=GRID)),
+    "scintillation": (lambda t: actions.scintillation(tec(t), tec(t, 17), 5.0, 6.0), oracle(SCINT, gm=GRID, pr=tec_sql(0), cu=tec_sql(17))),
     "constellation_health": (
         lambda t: actions.constellation_health(satellites(t)),
         oracle("""SELECT coalesce(network, 'none') AS constellation, count(*) AS total, count(*) FILTER (height / 3e4 < 2e-2
