@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,15 +74,18 @@ def window_keys(codes: np.ndarray) -> np.ndarray:
 class Index:
     """A block of items. Windows with equal text form one class, and every class is searched once: its first
     occurrence stands in a stretch, a run of windows that no earlier item has. ``hashes`` are the sorted q-grams
-    of the stretches with their postings, ``present`` is a bit filter before them; ``members`` lists the items
-    of each class. A benchmark that repeats one passage in very many items is thus searched for it once."""
+    of the stretches with their postings, ``present`` is a bit filter before them. Windows of one stretch that the
+    same items hold form a passage; ``passage_of`` tells it by class, ``members`` lists the items of each. A benchmark
+    that repeats one passage in very many items is thus searched for it once, and a document with it notes it once."""
 
     ids: list
-    short: list[tuple[np.ndarray, list[int]]]
+    short: list[tuple[np.ndarray, int]]
     stretches: list[np.ndarray]
     classes: list[np.ndarray]
+    passage_of: np.ndarray
     member_first: np.ndarray
     members: np.ndarray
+    base: int
     hashes: np.ndarray
     first: np.ndarray
     post_item: np.ndarray
@@ -92,6 +96,13 @@ class Index:
     need: np.ndarray
     q: int
 
+    @property
+    def passages(self) -> int:
+        return len(self.member_first) - 1
+
+    def items_of(self, passage: int) -> np.ndarray:
+        return self.members[self.member_first[passage]:self.member_first[passage + 1]]
+
 
 def promise(length: int, q: int) -> int:
     """Common q-grams that the lemma promises of a window of an item of this length, with all edits it allows."""
@@ -99,8 +110,8 @@ def promise(length: int, q: int) -> int:
     return w - q + 1 - int(w * EDIT_RATE) * q
 
 
-def build_index(rows: list[tuple[int | None, str]]) -> list[Index]:
-    """Indexes of ``(item_id, text)`` rows. Items without text are left out.
+def build_index(rows: list[tuple[int | None, str]], base: int = 0) -> list[Index]:
+    """Indexes of ``(item_id, text)`` rows. Items without text are left out; passages are numbered from ``base``.
 
     With a window of ``w`` characters and ``k`` edits the q-gram lemma promises ``w - q + 1 - k * q`` common
     q-grams. Items of which 12-grams promise none though they allow an edit are kept in an index of 8-grams; items
@@ -109,10 +120,36 @@ def build_index(rows: list[tuple[int | None, str]]) -> list[Index]:
     items = [(i, normalise(t)[0]) for i, t in rows if t]
     items = [(i, c) for i, c in items if len(c)]
     small = [len(c) >= Q and promise(len(c), Q) < 1 for _, c in items]
-    return [_index([x for x, s in zip(items, small) if s == short], q) for short, q in ((False, Q), (True, SHORT_Q)) if short in small or not short]
+    out = []
+    for short, q in ((False, Q), (True, SHORT_Q)):
+        if short in small or not short:
+            out.append(_index([x for x, s in zip(items, small) if s == short], q, base))
+            base += out[-1].passages
+    return out
+
+
+def _passages(classes: list[np.ndarray], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passage of each class, and the items of each passage (where each begins, items) from ``pairs`` of class and item.
+
+    Two sums of 64-bit hashes stand for a set of items.
+    """
+    if not classes:
+        return np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
+    key = np.zeros((int(pairs[-1, 0]) + 1, 3), np.uint64)
+    key[np.concatenate(classes), 0] = np.repeat(np.arange(len(classes)), [len(c) for c in classes])
+    begin = np.searchsorted(pairs[:, 0], np.arange(len(key) + 1))
+    with np.errstate(over="ignore"):
+        for column, seed in ((1, _BASE), (2, np.uint64(0xC2B2AE3D27D4EB4F))):
+            h = (pairs[:, 1].astype(np.uint64) + np.uint64(1)) * seed
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            key[:, column] = np.add.reduceat(h ^ (h >> np.uint64(32)), begin[:-1])
+    _, one, passage_of = np.unique(key.view("V24").reshape(-1), return_index=True, return_inverse=True)
+    sizes = begin[one + 1] - begin[one]
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    return passage_of.reshape(-1), first, pairs[np.arange(first[-1]) + np.repeat(begin[one] - first[:-1], sizes), 1]
 
 
-def _index(items: list[tuple[int | None, np.ndarray]], q: int) -> Index:
+def _index(items: list[tuple[int | None, np.ndarray]], q: int, base: int) -> Index:
     whole: dict[bytes, list[int]] = {}  # items of at most one window, by their text
     long = []
     for n, (_, c) in enumerate(items):
@@ -146,7 +183,11 @@ def _index(items: list[tuple[int | None, np.ndarray]], q: int) -> Index:
                 stretches.append(items[n][1][run[0]:run[-1] + WINDOW])
                 classes.append(own[run])
     pairs = np.unique(np.stack([np.concatenate(class_of), np.concatenate(item_of)], axis=1), axis=0) if class_of else np.zeros((0, 2), np.int64)
-    n_classes = int(pairs[-1, 0]) + 1 if len(pairs) else 0
+    passage_of, member_first, members = _passages(classes, pairs)
+    begin = len(member_first) - 1
+    member_first = np.concatenate([member_first, member_first[-1] + np.cumsum([len(ns) for _, ns in short], dtype=np.int64)])
+    members = np.concatenate([members, *(np.array(ns, np.int64) for _, ns in short)])
+    short = [(codes, begin + k) for k, (codes, _) in enumerate(short)]
     window = np.array([min(len(c), WINDOW) for c in stretches], np.int64)
     budget = (window * EDIT_RATE).astype(np.int64)
     grams = [qgram_hashes(c, q) for c in stretches]
@@ -157,7 +198,7 @@ def _index(items: list[tuple[int | None, np.ndarray]], q: int) -> Index:
     hashes, first = np.unique(every[order], return_index=True)
     present = np.zeros(1 << FILTER_BITS, bool)
     present[every >> np.uint64(64 - FILTER_BITS)] = True
-    return Index([i for i, _ in items], short, stretches, classes, np.searchsorted(pairs[:, 0], np.arange(n_classes + 1)), pairs[:, 1],
+    return Index([i for i, _ in items], short, stretches, classes, passage_of, member_first, members, base,
                  hashes, np.append(first, len(every)), item[order], at[order], present, window, budget, window - q + 1 - budget * q, q)
 
 
@@ -199,30 +240,67 @@ def _postings(index: Index, spot: np.ndarray, place: np.ndarray) -> Iterator[tup
 
 
 Leak = tuple[int | None, int, int, int]
+Spot = tuple[int, int, int]
 
 
 def search(indexes: list[Index], texts: list[str]) -> list[list[Leak]]:
     """For each text its leaks ``(item_id, start, end, edits)``; start and end in code points of the text."""
     whole = [normalise(t) for t in texts]
-    found = [_search(index, whole) for index in indexes]
-    return found[0] if len(found) == 1 else [sorted((x for part in parts for x in part), key=_order) for parts in zip(*found)]
+    out: list[list[Leak]] = [[] for _ in texts]
+    for index in indexes:
+        for leaks, (_, at), found in zip(out, whole, _search(index, whole)):
+            by_item: dict[int, Spot] = {}
+            for passage, spot in found.items():
+                for n in index.items_of(passage).tolist():
+                    by_item[n] = min(by_item.get(n, spot), spot)
+            leaks += [(index.ids[n], *_place(at, spot)) for n, spot in by_item.items()]
+    return [sorted(leaks, key=_order) for leaks in out]
+
+
+def search_passages(indexes: list[Index], texts: list[str]) -> list[tuple[list[tuple[int, int | None, int, int, int]], int]]:
+    """For each text its passages ``(passage, item_id, start, end, edits)``, where the item is the first that holds the
+    passage, and how many items hold one of them.
+
+    The ends of a passage, with a few letters of one item beyond it, are passages too: one whose items all hold
+    others that are told with no more edits is left out, so that a passage of many items is one entry.
+    """
+    whole = [normalise(t) for t in texts]
+    passages: list[list] = [[] for _ in texts]
+    items = [0] * len(texts)
+    for index in indexes:
+        for d, found in enumerate(_search(index, whole)):
+            linked = np.zeros(len(index.ids) if found else 0, bool)
+            for p in sorted(found, key=lambda p: (found[p][0], -len(index.items_of(p)), p)):
+                own = index.items_of(p)
+                if not linked[own].all():
+                    linked[own] = True
+                    passages[d].append((index.base + p, index.ids[own[0]], *_place(whole[d][1], found[p])))
+            items[d] += int(linked.sum())
+    return [(sorted(x, key=lambda p: p[0]), n) for x, n in zip(passages, items)]
 
 
 def _order(leak: Leak) -> tuple:
     return leak[0] is None, leak[0] or 0, leak[1:]
 
 
-def _search(index: Index, whole: list[tuple[np.ndarray, np.ndarray]]) -> list[list[Leak]]:
+def _place(at: np.ndarray, spot: Spot) -> Spot:
+    """Start and end in code points of the text, and edits."""
+    edits, a, b = spot
+    return int(at[a]), int(at[b - 1]) + 1, edits
+
+
+def _search(index: Index, whole: list[tuple[np.ndarray, np.ndarray]]) -> list[dict[int, Spot]]:
+    """For each text the best ``(edits, start, end)`` by passage, in normalised code points."""
     q = index.q
-    best: list[dict[int, tuple[int, int, int]]] = [{} for _ in whole]  # by item: edits, start, end
+    best: list[dict[int, Spot]] = [{} for _ in whole]
     for d, (codes, at) in enumerate(whole if index.short else ()):
         raw = codes.tobytes()
-        for word, items in index.short:
+        for word, passage in index.short:
             hit = raw.find(word.tobytes())
             while hit >= 0 and hit % 4:
                 hit = raw.find(word.tobytes(), hit + 1)
             if hit >= 0:
-                best[d].update({n: (0, hit // 4, hit // 4 + len(word)) for n in items})
+                best[d][passage] = (0, hit // 4, hit // 4 + len(word))
     lengths = np.array([len(c) for c, _ in whole])
     if len(index.hashes) and lengths.sum() >= q:
         begin = np.concatenate([[0], np.cumsum(lengths)[:-1]])
@@ -238,7 +316,7 @@ def _search(index: Index, whole: list[tuple[np.ndarray, np.ndarray]]) -> list[li
         for back, post in _postings(index, spot, place):
             for (d, n), (edits, start, end) in _regions(index, whole, doc[back], spot[back] - begin[doc[back]], post).items():
                 _note(index, best[d], index.classes[n], index.budget[n], edits, start, end)
-    return [_report(index, at, found) for (_, at), found in zip(whole, best)]
+    return best
 
 
 def _regions(index: Index, whole: list, doc: np.ndarray, at_doc: np.ndarray, post: np.ndarray) -> dict:
@@ -276,29 +354,23 @@ def _regions(index: Index, whole: list, doc: np.ndarray, at_doc: np.ndarray, pos
     return found
 
 
-def _note(index: Index, best: dict, classes: np.ndarray, budget: int, edits: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
-    """Enter the windows within the budget into ``best``, for every item that holds them."""
-    leaks = np.flatnonzero(edits <= budget)
-    first, stop = index.member_first[classes[leaks]], index.member_first[classes[leaks] + 1]
-    window = np.repeat(leaks, stop - first)
-    items = index.members[np.arange(len(window)) - np.repeat(np.cumsum(stop - first) - (stop - first), stop - first) + np.repeat(first, stop - first)]
-    order = np.lexsort((start[window], edits[window], items))
-    items, window = items[order], window[order]
-    for k in np.flatnonzero(np.diff(items, prepend=-1)).tolist():
-        n, w = int(items[k]), window[k]
-        leak = (int(edits[w]), int(start[w]), int(end[w]))
-        best[n] = min(best.get(n, leak), leak)
-
-
-def _report(index: Index, at: np.ndarray, best: dict) -> list[tuple[int | None, int, int, int]]:
-    rows = [(index.ids[n], int(at[a]), int(at[b - 1]) + 1, edits) for n, (edits, a, b) in best.items()]
-    return sorted(rows, key=_order)
+def _note(index: Index, best: dict[int, Spot], classes: np.ndarray, budget: int, edits: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
+    """Enter the windows within the budget into ``best``, by passage."""
+    window = np.flatnonzero(edits <= budget)
+    passage = index.passage_of[classes[window]]
+    order = np.lexsort((start[window], edits[window], passage))
+    passage, window = passage[order], window[order]
+    for k in np.flatnonzero(np.diff(passage, prepend=-1)).tolist():
+        p, w = int(passage[k]), window[k]
+        spot = (int(edits[w]), int(start[w]), int(end[w]))
+        best[p] = min(best.get(p, spot), spot)
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int | None, str]]]:
-    """The benchmark in blocks of bounded size, streamed to the driver one partition at a time."""
+    """The benchmark in blocks of bounded size and in the order of its ids and texts, streamed to the driver one partition at a time."""
     block, size = [], 0
-    for row in checkpointed(benchmark.select("item_id", "text").filter("text <> ''").distinct()).toLocalIterator():
+    rows = benchmark.select("item_id", "text").filter("text <> ''").distinct().orderBy(F.asc_nulls_last("item_id"), "text")
+    for row in checkpointed(rows).toLocalIterator():
         block.append((row.item_id, row.text))
         size += len(row.text)
         if size >= block_chars:
@@ -310,6 +382,36 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterato
 
 MATCHES = "array<struct<item_id: long, start: int, end: int, edits: int>>"
 NAMES = ("item_id", "start", "end", "edits")
+PASSAGES = "array<struct<passage: long, item_id: long, start: int, end: int, edits: int>>"
+
+
+def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[Index]]:
+    """The indexes of each block; passages are numbered through, alike in every run over the same benchmark."""
+    base = 0
+    for block in item_blocks(benchmark, block_chars):
+        index = build_index(block, base)
+        yield index
+        base = index[-1].base + index[-1].passages
+
+
+def _by_blocks(docs: DataFrame, benchmark: DataFrame, names: dict[str, str], job: Callable, block_chars: int) -> DataFrame:
+    """``docs`` with columns ``names`` (name and type), which ``job(indexes, texts, *old)`` extends block by block. Each
+    further block is one more job over the written result of the last, so that executors hold one index at a time."""
+    spark, keep = docs.sparkSession, docs.columns
+    before = {name: unused_name(docs) + name for name in names}
+    out, shared = docs.withColumns({name: F.expr(f"cast({'array()' if kind.startswith('array') else 0} as {kind})") for name, kind in names.items()}), None
+    for index in indexes(benchmark, block_chars):
+        if shared is not None:
+            out = checkpointed(out)
+            shared.destroy()
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(texts: list[str | None], *old: list, shared=shared) -> tuple:
+            texts = [t or "" for t in texts]
+            return job(shared.value, texts, *old)
+
+        out = add_columns(out.withColumnsRenamed(before), ["text", *before.values()], run, ", ".join(f"`{name}` {kind}" for name, kind in names.items()), keep=keep)
+    return out
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -320,35 +422,74 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, column: str = "leaks", blo
     without an id too. Null and empty texts, and an empty benchmark, give empty arrays; of several occurrences of
     one item the one with the fewest edits is reported, of equally good ones the first. Repeated rows and null
     document ids are searched like any other. A column already of that name is replaced, as by ``withColumn``.
-    The benchmark is broadcast as an index of at most ``block_chars`` characters (and one item); each further
-    block is one more job over the written result of the last, so that executors hold one index at a time.
+    The benchmark is broadcast as an index of at most ``block_chars`` characters (and one item), one block at a time.
+    Every item is listed, so where many items hold one passage ``find_passages`` is the form for large tables.
     """
-    docs, spark = docs.drop(column), docs.sparkSession
-    before = unused_name(docs) + column
-    out, shared = docs.withColumn(column, F.expr(f"cast(array() as {MATCHES})")), None
-    for block in item_blocks(benchmark, block_chars):
-        if shared is not None:
-            out = checkpointed(out)
-            shared.destroy()
-        shared = spark.sparkContext.broadcast(build_index(block))
+    def run(index: list[Index], texts: list[str], old: list[list[dict]]) -> tuple[list]:
+        found = [x for a, b in chunks(texts) for x in search(index, texts[a:b])]
+        return ([before + [dict(zip(NAMES, x)) for x in new] for before, new in zip(old, found)],)
 
-        def run(texts: list[str | None], old: list[list[dict]], shared=shared) -> tuple[list]:
-            texts = [t or "" for t in texts]
-            found = [x for a, b in chunks(texts) for x in search(shared.value, texts[a:b])]
-            return ([before + [dict(zip(NAMES, x)) for x in new] for before, new in zip(old, found)],)
+    return _by_blocks(docs.drop(column), benchmark, {column: MATCHES}, run, block_chars)
+
+
+def find_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages", count: str = "n_items", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """All columns of ``docs``, the passages of the benchmark in each text, and the number of items that hold one of them.
+
+    Leaks as in ``find_leaks``, but told by passage: ``(passage, item_id, start, end, edits)``, where windows that the
+    same items hold are one passage and ``item_id`` is the first item of it. Passages are told with the fewest edits
+    first, as long as they add an item. ``passage_members`` lists the items of every passage, so documents and items meet
+    through passages and never as pairs. Columns of those names are replaced.
+    A passage that items of several blocks hold is one passage a block.
+    """
+    names = ("passage", *NAMES)
+
+    def run(index: list[Index], texts: list[str], old: list[list[dict]], n: list[int]) -> tuple[list, list]:
+        found = [x for a, b in chunks(texts) for x in search_passages(index, texts[a:b])]
+        return [before + [dict(zip(names, x)) for x in new] for before, (new, _) in zip(old, found)], [k + more for k, (_, more) in zip(n, found)]
+
+    return _by_blocks(docs.drop(column, count), benchmark, {column: PASSAGES, count: "long"}, run, block_chars)
+
+
+def passage_members(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """``passage, item_id``: the items of every passage, numbered as by ``find_passages`` with the same ``block_chars``.
+
+    Items without text have none; an item whose text stands twice under one id is listed once. An empty benchmark gives
+    no rows. The rows are made in tasks from the broadcast index of a block and written before the next block."""
+    spark, schema = benchmark.sparkSession, "passage long, item_id long"
+    out = spark.createDataFrame([], schema)
+    for index in indexes(benchmark, block_chars):
+        shared = spark.sparkContext.broadcast(index)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for passage in batch.column(0).to_pylist():
+                    own = next(x for x in reversed(shared.value) if x.base <= passage)
+                    ids = [own.ids[n] for n in own.items_of(passage - own.base).tolist()]
+                    yield pa.RecordBatch.from_arrays([pa.array([passage] * len(ids), pa.int64()), pa.array(ids, pa.int64())], ["passage", "item_id"])
 
-        out = add_columns(out.withColumnRenamed(column, before), ["text", before], run, f"`{column}` {MATCHES}", keep=docs.columns)
+        rows = spark.range(index[0].base, index[-1].base + index[-1].passages).mapInArrow(run, schema)
+        out = out.unionByName(checkpointed(rows))
+        shared.destroy()
     return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, all columns kept whatever their names, without the rows that hold a passage of the benchmark."""
-    leaks = unused_name(docs)
-    return find_leaks(docs, benchmark, leaks).filter(F.size(leaks) == 0).drop(leaks)
+    found = unused_name(docs)
+    count = found + "n"
+    return find_passages(docs, benchmark, found, count).filter(F.col(count) == 0).drop(found, count)
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = find_leaks(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size("leaks").alias("n_items"),
-                        F.array_join(F.transform("leaks", lambda x: x["item_id"].cast("string")), ",").alias("item_ids"),
-                        F.array_min(F.transform("leaks", lambda x: x["edits"])).alias("edits"))
+    """One row per document: ``passages`` are its passage classes, ``item_ids`` the first item of each, ``n_items`` counts
+    all items that hold one of them, ``edits`` is the least number of edits."""
+    found = find_passages(documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    joined = lambda field: F.array_join(F.transform("passages", lambda x: x[field].cast("string")), ",")
+    return found.select("doc_id", (F.col("n_items") > 0).alias("contaminated"), "n_items", joined("passage").alias("passage_ids"),
+                        F.array_join(F.array_distinct(F.transform("passages", lambda x: x["item_id"].cast("string"))), ",").alias("item_ids"),
+                        F.array_min(F.transform("passages", lambda x: x["edits"])).alias("edits"))
+
+
+def benchmark_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of the passages that ``op9_decontamination`` names."""
+    return passage_members(table(spark, sf_dir, "benchmark"))

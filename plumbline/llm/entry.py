@@ -18,6 +18,7 @@ QUERIES = {
     "op11_importance_resampling": importance.op11_importance_resampling,
     "op12_fill_in_middle": fim.op12_fill_in_middle,
     "op13_quality_rules": quality.op13_quality_rules,
+    "benchmark_passages": decontaminate.benchmark_passages,  # the members of the classes in op9's result
 }
 ORACLE_SQL = {
     "op3_pii": pii.ORACLE, "op6_exact_dedup": exact_dedup.ORACLE, "op8_sharding": sharding.ORACLE,

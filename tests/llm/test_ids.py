@@ -165,6 +165,43 @@ def test_shared_passages_are_searched_once():
     assert {r[0] for r in found[0]} == {k for k, _ in items} and 7 in {r[0] for r in found[1]}
 
 
+def test_passages_and_members_hold_every_link(spark, docs):
+    """Passages of a document, expanded by their members, are its items; one passage in many items stays one entry a document."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    shared, other = say(40), say(30)
+    items = [(k, f"{say(12)} {shared} {say(12)}") for k in range(40)] + [(k, f"{other} {say(20)} {shared[:90]}") for k in range(40, 60)]
+    items += [(70, "tiny thing"), (71, "tiny thing"), (None, shared), (72, None), (73, ""), (74, "abcdefghijklmnopqrstu"), (76, other), (75, say(3))]
+    texts = [f"{say(20)} {shared} {say(20)}", f"{say(9)} {other}", f"{shared} and {other}", "a Tiny  thing", "see abcdefghijXlmnopqrstu here", items[3][1], items[41][1][40:], "nothing", "", None] * 2
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    table = docs(*texts, extra=["passages", "n_items"])
+    want = {r.doc_id: sorted({x.item_id for x in r.leaks}, key=lambda i: (i is None, i)) for r in decontaminate.find_leaks(table, bench).collect()}
+    least = {r.doc_id: min((x.edits for x in r.leaks), default=None) for r in decontaminate.find_leaks(table, bench).collect()}
+    for block in (decontaminate.BLOCK_CHARS, 2_000):
+        members = {}
+        for r in decontaminate.passage_members(bench, block).collect():
+            members.setdefault(r.passage, []).append(r.item_id)
+        assert sorted(members) == list(range(len(members)))
+        found = decontaminate.find_passages(table, bench, block_chars=block).collect()
+        for r in found:
+            linked = {i for p in r.passages for i in members[p.passage]}
+            assert sorted(linked, key=lambda i: (i is None, i)) == want[r.doc_id], r.doc_id
+            assert all(p.item_id == members[p.passage][0] for p in r.passages)
+            assert min((p.edits for p in r.passages), default=None) == least[r.doc_id]
+            assert r.n_items == len(linked)
+    whole = {r.doc_id: r for r in decontaminate.find_passages(table, bench).collect()}
+    assert len(want[0]) > 55 and len(whole[0].passages) < 10
+
+
+def test_passages_of_empty_tables(spark, docs):
+    none = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.passage_members(none).count() == 0
+    assert [(r.passages, r.n_items) for r in decontaminate.find_passages(docs("a", None), none).collect()] == [([], 0)] * 2
+    blank = spark.createDataFrame([(1, None), (2, " ")], "item_id long, text string")
+    assert decontaminate.passage_members(blank).count() == 0
+
+
 def test_many_postings_in_groups(monkeypatch):
     rng = random.Random(8)
     words = ["alpha", "beta", "gamma", "delta"]
