@@ -25,6 +25,31 @@ USAGE_BOXES = (
     ("South America", -60, 15, -80, -30), ("Africa/ME", -10, 35, -20, 55),
 )
 
+# Place names by scheme (name, south, north, west, east), first match wins. South is exclusive, north inclusive
+# (none is no bound), west and east are exclusive, but for the west of INCLUSIVE_WEST. Beyond them a place is named by its degrees.
+PLACE_BOXES = {
+    "coverage": (
+        ("Northern Europe", 55, None, -10, 30), ("Central Europe", 45, 55, -10, 20), ("Southern Europe", 35, 45, -10, 20),
+        ("North America", 25, 50, -130, -60), ("Australia", -45, -10, 110, 180), ("Asia", 20, 50, 60, 140),
+    ),
+    "zone": (
+        ("Northern Europe", 55, None, -10, 30), ("Central Europe", 45, 55, -10, 20), ("Southern Europe", 35, 45, -10, 20),
+        ("Eastern Europe", 35, 55, 20, 45), ("North America", 25, 50, -130, -60), ("Central America", -10, 25, -120, -60),
+        ("South America", -60, -10, -80, -30), ("Australia", -45, -10, 110, 180), ("Asia", 20, 50, 60, 140),
+        ("Southeast Asia", -10, 20, 90, 140), ("Africa", -40, 35, -20, 55),
+    ),
+    "overlay": (
+        ("N-EU", 55, None, -10, 30), ("C-EU", 45, 55, -10, 20), ("S-EU", 35, 45, -10, 20),
+        ("N-AM", 25, 55, -130, -60), ("AU", -45, -10, 110, 180), ("Asia", 20, 50, 60, 140),
+    ),
+    "gap_fill": (
+        ("N-Europe", 55, None, -10, 30), ("C-Europe", 45, 55, -10, 20), ("S-Europe", 35, 45, -10, 20),
+        ("N-America", 25, 50, -130, -60), ("Australia", -45, -10, 110, 180), ("Asia", 20, 50, 60, 140),
+    ),
+}
+PLACE_ELSE = {"coverage": "%s°N %s°E", "zone": "Region %sN %sE", "overlay": "%sN%sE", "gap_fill": "%sN-%sE"}
+INCLUSIVE_WEST = ("Eastern Europe",)
+
 
 def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Great-circle distance in kilometres."""
@@ -47,6 +72,16 @@ def region_by_box(lat: Column, lon: Column, boxes=USAGE_BOXES, other: str = "Oth
     return out
 
 
+def place_name(lat: Column, lon: Column, scheme: str = "coverage") -> Column:
+    """The name of the first box of the scheme that holds the point, else its whole degrees in the scheme's wording."""
+    whole = lambda x: F.floor(x + 0.5).cast("string")
+    out = F.format_string(PLACE_ELSE[scheme], whole(lat), whole(lon))
+    for name, south, north, west, east in reversed(PLACE_BOXES[scheme]):
+        inside = (lat > south) & (lon >= west if name in INCLUSIVE_WEST else lon > west) & (lon < east)
+        out = F.when(inside if north is None else inside & (lat <= north), F.lit(name)).otherwise(out)
+    return F.when(lat.isNotNull() & lon.isNotNull(), out)
+
+
 def half_degree_cell(col: str) -> Column:
     """Centre of the half-degree cell of a coordinate, rounding halves up."""
     return F.floor(F.col(col) * 2 + 0.5).cast("double") / 2.0

@@ -92,6 +92,37 @@ def station_qc_grade(constellations: Column, frequencies: Column, snr_l1: Column
     return F.when(points >= 11, "A").when(points >= 8, "B").when(points >= 5, "C").when(points >= 3, "D").otherwise("F")
 
 
+# Systems and bands by the letters and digits of observation codes.
+SYSTEMS = {"G": "GPS", "R": "GLONASS", "E": "Galileo", "C": "BeiDou", "J": "QZSS"}
+BAND_CODES = "^[CLS][125]"
+
+
+def observation_headers(files: DataFrame, text: str = "value") -> DataFrame:
+    """The columns of ``files`` but its ``text`` of an observation file, with what the header tells of the receiver: ``receiver_type,
+    firmware_version, antenna_type`` (``unknown`` where not told), ``x, y, z`` and the position on a simplified ellipsoid
+    (``latitude, longitude, height``; null without three numbers), and arrays ``constellations`` and ``frequencies`` in the
+    order of their first mention. Lines after the end of the header are not read; of repeated lines the last counts.
+    """
+    c = F.col
+    lines = F.split(F.substring_index(c(text), "END OF HEADER", 1), "\r?\n")
+    of = lambda label: F.filter("_lines", lambda x: x.contains(label))
+    last = lambda label: F.try_element_at(of(label), F.lit(-1))
+    field = lambda line, begin: F.coalesce(F.nullif(F.trim(F.substring(line, begin, 20)), F.lit("")), F.lit("unknown"))
+    words = lambda line, begin, n: F.split(F.trim(F.substring(line, begin, n)), "\\s+")
+    names = F.create_map(*[F.lit(x) for pair in SYSTEMS.items() for x in pair])
+    types = of("SYS / # / OBS TYPES")
+    systems = F.array_distinct(F.array_compact(F.transform(types, lambda x: names[F.substring(x, 1, 1)])))
+    bands = F.flatten(F.transform(types, lambda x: F.transform(F.filter(words(x, 8, 53), lambda w: w.rlike(BAND_CODES)), lambda w: F.concat(F.lit("L"), F.substring(w, 2, 1)))))
+    receiver, antenna, xyz = last("REC # / TYPE / VERS"), last("ANT # / TYPE"), words(last("APPROX POSITION XYZ"), 1, 60)
+    number = lambda k: F.when(F.size(xyz) >= 3, F.get(xyz, F.lit(k))).try_cast("double")
+    plane = F.sqrt(c("x") * c("x") + c("y") * c("y"))
+    lat = F.atan2("z", plane * (1 - 0.00669437999))
+    return files.withColumn("_lines", lines).withColumns({
+        "receiver_type": field(receiver, 21), "firmware_version": field(receiver, 41), "antenna_type": field(antenna, 21), "x": number(0), "y": number(1), "z": number(2),
+        "constellations": F.coalesce(systems, F.array().cast("array<string>")), "frequencies": F.coalesce(F.array_distinct(bands), F.array().cast("array<string>"))}).withColumns({
+            "latitude": half_up(F.degrees(lat), 6), "longitude": half_up(F.degrees(F.atan2("y", "x")), 6), "height": half_up(plane / F.cos(lat) - 6378137.0, 1)}).drop("_lines", text)
+
+
 def measured_position(headers: DataFrame) -> DataFrame:
     """Latitude, longitude and height of ``x, y, z`` on a simplified ellipsoid."""
     a, e2 = 6378137.0, 0.00669437999014

@@ -279,9 +279,12 @@ def kriging_surface(points: DataFrame, model: DataFrame, step: float = 2.0, neig
              .select((F.col("i") * step).alias("g_lat"), (F.col("j") * step).alias("g_lon")).filter("abs(g_lat) <= 90 and abs(g_lon) <= 180"))
     near = distance_join(nodes, points.select(F.col("id").alias("p_id"), "lat", "lon", "value"), max_km, "g_lat", "g_lon", "lat", "lon").crossJoin(one).filter(F.col("distance_km") <= F.col("range") * 2)
     node = W.partitionBy("g_lat", "g_lon")
-    top = near.withColumns({"k": F.row_number().over(node.orderBy("distance_km", "p_id")), "of": F.count("*").over(node)}).filter((F.col("k") <= neighbours) & (F.col("of") >= least))
+    # A rank alone lets each task keep its own nearest ``neighbours`` of a node before the shuffle.
+    top = near.withColumn("k", F.row_number().over(node.orderBy("distance_km", "p_id"))).filter(F.col("k") <= neighbours)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < min(least, neighbours):
+            return pd.DataFrame()
         pdf = pdf.sort_values("k")
         r = pdf.iloc[0]
         p, v, sure = solve_kriging(*(pdf[x].to_numpy(float) for x in ("lat", "lon", "value", "distance_km")), r.model, r.nugget, r.sill, r["range"])

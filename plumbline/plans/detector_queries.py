@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from plumbline.operators import detectors as d
@@ -152,6 +153,22 @@ V1 = f"""SELECT station, {rnd("low", 3)} AS low, {rnd("high", 3)} AS high, {rnd(
       ELSE f.high END AS hi, s.fix * 2e-1 + f.ewma * 8e-1 AS ew, CASE WHEN s.age > 0 THEN s.age * 2e-1 + f.ea * 8e-1 ELSE f.ea END AS en) x)
  SELECT *, max(i) OVER (PARTITION BY station) AS last FROM f) WHERE i = last"""
 
+REGIONAL = f"""SELECT 'regional_degradation' AS type, CASE WHEN fix < 40 THEN 'critical'
+           ELSE 'warning' END AS severity, region, affected_users, {rnd("fix", 1)} AS current_value, {rnd("b_fix", 1)} AS baseline_value,
+         {rnd("(fix - b_fix) / b_fix * 1e2", 1)} AS deviation_pct
+            FROM (SELECT {circle("latitude", "longitude")} AS region, count(*) AS n, avg(fix_rate) AS fix, count(DISTINCT username) AS affected_users
+          FROM fx_sessions WHERE {SEEN} AND login_time >= {H6} AND {NONZERO} GROUP BY 1)
+             JOIN (SELECT {circle("latitude", "longitude")} AS region, count(*) AS b_n, avg(fix_rate) AS b_fix
+          FROM fx_sessions WHERE login_time >= {H24} AND login_time < {H6} AND {POSITION} AND {STATION} GROUP BY 1) USING (region) WHERE n >= 10
+             AND b_n >= 20 AND b_fix > 60 AND fix < b_fix * 7e-1"""
+EVENT = f"""SELECT * REPLACE (CASE WHEN login_time >= {H6} AND longitude < 14 THEN fix_rate * 7e-1 ELSE 7e1 + fix_rate * 3e-1 END AS fix_rate) FROM fx_sessions"""
+
+
+def failing_west() -> Column:
+    late = (F.col("login_time") >= AS_OF - 6 * 3_600_000) & (F.col("longitude") < 14)
+    return F.when(late, F.col("fix_rate") * 0.7).otherwise(F.col("fix_rate") * 0.3 + 70)
+
+
 DETECTORS = {
     "cusum_counters_v1": (lambda t: d.cusum_counters_v1(t.fx_sessions, AS_OF), oracle(V1, ser=V1_SERIES)),
     "fix_rate_drop": (
@@ -177,14 +194,10 @@ DETECTORS = {
     "mass_disconnect_5m": (lambda t: d.mass_disconnect(t.fx_sessions, AS_OF, 360, 25, 3, 8), disconnect_sql(25, 3, 8)),
     "regional_degradation": (
         lambda t: d.regional_degradation(t.fx_sessions, AS_OF),
-        oracle(f"""SELECT 'regional_degradation' AS type, CASE WHEN fix < 40 THEN 'critical'
-           ELSE 'warning' END AS severity, region, affected_users, {rnd("fix", 1)} AS current_value, {rnd("b_fix", 1)} AS baseline_value,
-         {rnd("(fix - b_fix) / b_fix * 1e2", 1)} AS deviation_pct
-            FROM (SELECT {circle("latitude", "longitude")} AS region, count(*) AS n, avg(fix_rate) AS fix, count(DISTINCT username) AS affected_users
-          FROM fx_sessions WHERE {SEEN} AND login_time >= {H6} AND {NONZERO} GROUP BY 1)
-             JOIN (SELECT {circle("latitude", "longitude")} AS region, count(*) AS b_n, avg(fix_rate) AS b_fix
-          FROM fx_sessions WHERE login_time >= {H24} AND login_time < {H6} AND {POSITION} AND {STATION} GROUP BY 1) USING (region) WHERE n >= 10
-             AND b_n >= 20 AND b_fix > 60 AND fix < b_fix * 7e-1""")),
+        oracle(REGIONAL)),
+    # No region of the fixtures fails as a whole; here sessions are good everywhere until the west fails in the last six hours.
+    "regional_degradation_event": (
+        lambda t: d.regional_degradation(t.fx_sessions.withColumn("fix_rate", failing_west()), AS_OF), oracle(REGIONAL.replace("fx_sessions", "ev"), ev=EVENT)),
     "cusum_counters_v2": (lambda t: d.cusum_counters(t.fx_sessions, AS_OF), oracle(CUSUM, ser=CUSUM_SERIES)),
     "interference_clusters": (lambda t: d.interference_clusters(t.fx_sessions, AS_OF), oracle(CLUSTERS, pts=CLUSTER_POINTS, edg=cluster_edges(10), comp=COMP)),
     # The smallest tables hold no cluster of ten minutes; an hour finds some.

@@ -70,6 +70,24 @@ def f15(t: Tables) -> DataFrame:
     return ml.features_15(trained_rows(t), t.fx_trust)
 
 
+def header_texts(t: Tables) -> DataFrame:
+    """``name, value``: the head of an observation file of each station, and a line after it that is no header."""
+    line = lambda text, label: F.concat(F.rpad(text, 60, " "), F.lit(label))
+    codes = lambda text: line(F.lit(text), "SYS / # / OBS TYPES")
+    has = lambda name, text: F.when(F.col("nav_system").contains(name), codes(text))
+    three = F.concat_ws("", *(F.lpad(x.cast("decimal(12,3)").cast("string"), 14, " ") for x in (F.col("latitude") * 1e5, F.col("longitude") * 2e4, F.col("height") + 4e6)))
+    gps = F.when(F.col("height") % 40 == 0, codes("G    2 C1C L1C")).otherwise(codes("G    6 C1C L1C S1C C2W L2W S2W"))
+    head = (line(F.concat(F.rpad(F.lit("17"), 20, " "), F.rpad("receiver_type", 20, " "), F.concat(F.lit("V"), "country")), "REC # / TYPE / VERS"),
+            line(F.lit("9"), "ANT # / TYPE"), line(three, "APPROX POSITION XYZ"), gps, has("GLO", "R    3 C1C L1C S1C"), has("GAL", "E    4 C1X L1X C5X L5X"), has("BDS", "C    2 C2I L2I"),
+            line(F.lit(""), "END OF HEADER"), codes("J    2 C5Q L5Q"))
+    return t.fx_stations.select("name", F.concat_ws("\n", *head).alias("value"))
+
+
+def header_fields(t: Tables) -> DataFrame:
+    joined = {name: F.array_join(name, ",") for name in ("constellations", "frequencies")}
+    return observations.observation_headers(header_texts(t)).withColumns(joined).drop("x", "y", "z")
+
+
 def forest(t: Tables) -> DataFrame:
     """Importances and the errors on the training rows."""
     rows = f15(t)
@@ -194,6 +212,15 @@ SIGNALS = {
            {rnd("p / cos(la) - 6378137e0 / sqrt(1 - 669437999014e-14 * sin(la) * sin(la))", 2)} AS height FROM (SELECT *, sqrt(x * x + y * y) AS p,
          atan2(z, sqrt(x * x + y * y) * (1 - 669437999014e-14)) AS la FROM (SELECT name, latitude * 1e5 AS x, longitude * 2e4 AS y, height + 4e6 AS z
             FROM fx_stations))""")),
+    "observation_headers": (header_fields, oracle(f"""SELECT name, CASE WHEN receiver_type = '' THEN 'unknown' ELSE substr(receiver_type, 1, 20) END AS receiver_type,
+           'V' || country AS firmware_version, 'unknown' AS antenna_type,
+           concat_ws(',', 'GPS', CASE WHEN nav_system LIKE '%GLO%' THEN 'GLONASS' END, CASE WHEN nav_system LIKE '%GAL%' THEN 'Galileo' END,
+             CASE WHEN nav_system LIKE '%BDS%' THEN 'BeiDou' END) AS constellations,
+           concat_ws(',', 'L1', CASE WHEN height % 40 <> 0 THEN 'L2' END, CASE WHEN nav_system LIKE '%GAL%' THEN 'L5' END,
+             CASE WHEN height % 40 = 0 AND nav_system LIKE '%BDS%' THEN 'L2' END) AS frequencies,
+           {rnd("degrees(la)", 6)} AS latitude, {rnd("degrees(atan2(y, x))", 6)} AS longitude, {rnd("p / cos(la) - 6378137e0", 1)} AS height
+         FROM (SELECT *, sqrt(x * x + y * y) AS p, atan2(z, sqrt(x * x + y * y) * (1 - 669437999e-11)) AS la
+            FROM (SELECT * EXCLUDE (latitude, longitude), round(latitude * 1e5, 3) AS x, round(longitude * 2e4, 3) AS y, height + 4e6 AS z FROM fx_stations))""")),
     "features_15": (lambda t: rounded(f15(t), session_count_log=6, baseline_km=4, hour_sin=6, hour_cos=6, latitude_abs=6), oracle(F15, tr=TRAIN)),
     "features_18": (lambda t: rounded(ml.features_18(trained_rows(t)), session_count_log=6, baseline_km=4, hour_sin=6, hour_cos=6, latitude_abs=6, month_sin=6, month_cos=6), oracle(F18, tr=TRAIN)),
     "train_forest": (forest, None),

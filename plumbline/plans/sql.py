@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.functions.geo import REGION_CIRCLES, USAGE_BOXES
+from plumbline.functions.geo import INCLUSIVE_WEST, PLACE_BOXES, PLACE_ELSE, REGION_CIRCLES, USAGE_BOXES
 
 from .fixtures import AS_OF
 
@@ -31,3 +31,9 @@ def circle(lat: str, lon: str) -> str:
 def box(lat: str, lon: str, boxes=USAGE_BOXES, other: str = "Other") -> str:
     cases = " ".join(f"WHEN {lat} > {s} AND {lat} < {n} AND {lon} > {w} AND {lon} < {e} THEN '{name}'" for name, s, n, w, e in boxes)
     return f"CASE {cases} ELSE '{other}' END"
+
+
+def place(lat: str, lon: str, scheme: str) -> str:
+    cases = " ".join(f"WHEN {lat} > {s} AND {lat} <= {90 if n is None else n} AND {lon} {'>=' if name in INCLUSIVE_WEST else '>'} {w} AND {lon} < {e} THEN '{name}'"
+                     for name, s, n, w, e in PLACE_BOXES[scheme])
+    return f"CASE {cases} ELSE printf('{PLACE_ELSE[scheme]}', CAST(CAST(floor({lat} + 5e-1) AS bigint) AS varchar), CAST(CAST(floor({lon} + 5e-1) AS bigint) AS varchar)) END"

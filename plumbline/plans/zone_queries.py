@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import classify
-from plumbline.functions.geo import distance_join, half_degree_cell, nearest_join, region_by_box, region_by_circle
+from plumbline.functions.geo import distance_join, half_degree_cell, PLACE_BOXES, nearest_join, place_name, region_by_box, region_by_circle
 from plumbline.functions.rules import half_up, severity_rank
 from plumbline.operators import detectors, reports, scores, trust, zones
 
 from .detector_queries import ALERT_ROWS, ALERT_STATS
 from .fixtures import AS_OF, Tables, oracle
 from .report_queries import ANOMALIES, SEEN, anomalies
-from .sql import D7, D14, H6, H24, NOISE, POSITION, STATION, box, circle, km, rnd
+from .sql import D7, D14, H6, H24, NOISE, POSITION, STATION, box, circle, km, place, rnd
 
 H4 = AS_OF - 4 * 3_600_000
 DECAYED = AS_OF - 12 * 3_600_000
@@ -196,6 +196,12 @@ def pairs_within(t: Tables, reach: float) -> DataFrame:
     return distance_join(t.fx_stations, right, reach).filter("name < other").select("name", "other", half_up("distance_km", 3).alias("km"))
 
 
+def named_places(t: Tables) -> DataFrame:
+    """The cells' places spread over the globe, so that every box of a scheme has some, under the names of each scheme."""
+    lat, lon = (F.col("latitude") - 43.5) * 20 - 60, (F.col("longitude") - 1.5) * 33 - 178
+    return t.fx_cells.select("cell_id", *(place_name(lat, lon, scheme).alias(f"{scheme}_name") for scheme in PLACE_BOXES))
+
+
 ZONE_TABLE = {
     "trust_scores": (
         lambda t: trust.trust_scores(t.fx_sessions, state(t), t.fx_stations, t.fx_station_scores, counts(t), AS_OF).fillna(0, ["excluded_at"]), oracle(TRUST, ano=ANOMALIES, stt=STATE, ev=EVIDENCE, con=CONSISTENCY)),
@@ -318,6 +324,8 @@ ZONE_TABLE = {
     "region_by_box": (
         lambda t: t.fx_cells.select("cell_id", region_by_box(F.col("latitude") - 20, F.col("longitude") - 80).alias("region")),
         oracle(f"SELECT cell_id, {box('(latitude - 20)', '(longitude - 80)')} AS region FROM fx_cells")),
+    "place_names": (named_places, oracle(f"""SELECT cell_id, {", ".join(f"{place('la', 'lo', scheme)} AS {scheme}_name" for scheme in PLACE_BOXES)}
+           FROM (SELECT cell_id, (latitude - 435e-1) * 20 - 60 AS la, (longitude - 15e-1) * 33 - 178 AS lo FROM fx_cells)""")),
     "storm_impact_kp": (
         lambda t: t.fx_env_history.select("hour_ts", classify.storm_impact_kp(F.col("kp")).alias("s")).select(F.unix_millis(F.col("hour_ts").cast("timestamp")).alias("ms"), "s.level", "s.impact_pct"),
         oracle("""SELECT epoch_ms(hour_ts) AS ms, CASE WHEN kp < 4 THEN 'none' WHEN kp = 4 THEN 'minor' WHEN kp = 5 THEN 'moderate'
