@@ -200,7 +200,10 @@ def hour_align(sessions: DataFrame, env: DataFrame, as_of: int, days: int = 7) -
 def kp_fix_correlation(aligned: DataFrame) -> DataFrame:
     """Pearson correlation of Kp and fix rate over hours that have both; 0 under five hours or without variance."""
     pair = aligned.filter(F.col("kp").isNotNull() & (F.col("fix_rate") > 0))
-    r = F.when((F.count("*") >= 5) & (F.var_pop("kp") > 1e-12) & (F.var_pop("fix_rate") > 1e-12), half_up(F.corr("kp", "fix_rate"), 3)).otherwise(F.lit(0.0))
+    # F.corr divides before any condition is seen, which is an error where one side has no variance.
+    both = F.var_pop("kp") * F.var_pop("fix_rate")
+    known = (F.count("*") >= 5) & (F.var_pop("kp") > 1e-12) & (F.var_pop("fix_rate") > 1e-12)
+    r = F.when(known, half_up(F.covar_pop("kp", "fix_rate") / F.sqrt(F.nullif(both, F.lit(0.0))), 3)).otherwise(F.lit(0.0))
     return pair.agg(r.alias("correlation_kp_fix"), n("data_points"))
 
 
