@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions.rules import HOUR, between, clean_sessions, half_up, has_station, positive
+from plumbline.functions.rules import HOUR, between, clean_sessions, half_up, has_station, positive, settled
 
 from .detectors import MINUTE, adaptive_thresholds, deviation, fix
 
@@ -46,7 +46,7 @@ def alarm(when: Column, kind: str, level: Column, x: Column, current: Column, ba
 
 
 def level(current: Column) -> Column:
-    return F.when(current < 30, "critical").when(current < 60, "warning").otherwise("info")
+    return F.when(settled(current) < 30, "critical").when(settled(current) < 60, "warning").otherwise("info")
 
 
 def _rows(ended: DataFrame, as_of: int, cycle_min: int, hours: int, *more: str) -> DataFrame:
@@ -82,11 +82,11 @@ def cusum_ewma_v2(sessions: DataFrame, as_of: int, kp: float = 0.0, cycle_min: i
     def step(acc: Column, x: Column) -> Column:
         count = acc["count"] + 1
         low = F.greatest(F.lit(0.0), acc["low"] - (x["fix"] - c("frozen")) / F.greatest(F.lit(5.0), x["base"] * 0.15) - c("lim.cusum_k"))
-        hit = (low > c("lim.cusum_h")) & (count >= 3)
+        hit = (settled(low) > c("lim.cusum_h")) & (count >= 3)
         ewma = x["fix"] * 0.2 + acc["ewma"] * 0.8
-        drop = (c("method") == "5m") & (count >= 5) & (x["base"] > 50) & (x["base"] - ewma > c("lim.ewma_fix"))
+        drop = (c("method") == "5m") & (count >= 5) & (settled(x["base"]) > 50) & (settled(x["base"] - ewma) > c("lim.ewma_fix"))
         new = F.concat(acc["alarms"], alarm(hit, "cusum_fix_drift", level(x["fix"]), x, x["fix"], c("frozen")),
-                       alarm(drop, "ewma_fix_drop", F.when(ewma < 30, "critical").otherwise("warning"), x, ewma, x["base"]))
+                       alarm(drop, "ewma_fix_drop", F.when(settled(ewma) < 30, "critical").otherwise("warning"), x, ewma, x["base"]))
         return F.struct(F.when(hit, 0.0).otherwise(low).alias("low"), ewma.alias("ewma"), count.alias("count"), new.alias("alarms"))
 
     return _rows(series.withColumn("end", F.aggregate("series", zero, step)), as_of, cycle_min, hours, "method")
@@ -114,13 +114,13 @@ def cusum_ewma_v1(sessions: DataFrame, as_of: int, cycle_min: int = 5, hours: in
         frozen_age = F.when(seen & (acc["ages"] == 0), x["age_base"]).otherwise(acc["frozen_age"])
         low = F.greatest(F.lit(0.0), acc["low"] - (x["fix"] - c("frozen")) / F.greatest(F.lit(5.0), x["base"] * 0.15) - 0.5)
         high = F.when(seen, F.greatest(F.lit(0.0), acc["high"] + (x["age"] - x["age_base"]) / F.greatest(F.lit(0.5), x["age_base"] * 0.2) - 0.5)).otherwise(acc["high"])
-        hit, old = (low > 5) & (count >= 3), seen & (high > 5) & (ages >= 3)
+        hit, old = (settled(low) > 5) & (count >= 3), seen & (settled(high) > 5) & (ages >= 3)
         ewma, ewma_age = x["fix"] * 0.2 + acc["ewma"] * 0.8, F.when(x["age"] > 0, x["age"] * 0.2 + acc["ewma_age"] * 0.8).otherwise(acc["ewma_age"])
-        drop = (count >= 5) & (x["base"] > 50) & (x["base"] - ewma > 15)
-        spike = (count >= 5) & (x["age_base"] > 0) & (ewma_age > x["age_base"] * 3)
+        drop = (count >= 5) & (settled(x["base"]) > 50) & (settled(x["base"] - ewma) > 15)
+        spike = (count >= 5) & (x["age_base"] > 0) & (settled(ewma_age - x["age_base"] * 3) > 0)
         new = F.concat(acc["alarms"], alarm(hit, "cusum_fix_drift", level(x["fix"]), x, x["fix"], c("frozen")),
-                       alarm(old, "cusum_age_drift", F.when(x["age"] > x["age_base"] * 5, "critical").otherwise("warning"), x, x["age"], frozen_age),
-                       alarm(drop, "ewma_fix_drop", F.when(ewma < 30, "critical").otherwise("warning"), x, ewma, x["base"]),
+                       alarm(old, "cusum_age_drift", F.when(settled(x["age"] - x["age_base"] * 5) > 0, "critical").otherwise("warning"), x, x["age"], frozen_age),
+                       alarm(drop, "ewma_fix_drop", F.when(settled(ewma) < 30, "critical").otherwise("warning"), x, ewma, x["base"]),
                        alarm(spike, "ewma_age_spike", F.lit("warning"), x, ewma_age, x["age_base"]))
         values = (F.when(hit, 0.0).otherwise(low), F.when(old, 0.0).otherwise(high), frozen_age, ewma, ewma_age, count, ages, new)
         return F.struct(*[v.alias(n) for n, v in zip(names, values)])
