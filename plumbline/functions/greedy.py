@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import checkpointed
+from .graph import measured
 
 
 def keep_best(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -16,14 +16,14 @@ def keep_best(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     which gives the same set as the sequential pass.
     """
     both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    both = checkpointed(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
-    status = checkpointed(nodes.select("node", "rank", F.lit(0).alias("state")))
+    both, _ = measured(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct())
+    status, _ = measured(nodes.select("node", "rank", F.lit(0).alias("state")))
     while True:
         open_ = status.filter("state = 0").select("node", "rank")
-        rivals = (both.join(open_.select(F.col("node").alias("b"), F.col("rank").alias("r_rank")), "b").groupBy("a").agg(F.min("r_rank").alias("best")))
-        kept = open_.join(rivals, open_["node"] == rivals["a"], "left").filter(F.col("best").isNull() | (F.col("rank") < F.col("best"))).select("node", F.lit(True).alias("k"))
-        hit = both.join(kept.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node"), F.lit(True).alias("d")).distinct()
+        rivals = (both.hint("merge").join(open_.select(F.col("node").alias("b"), F.col("rank").alias("r_rank")), "b").groupBy("a").agg(F.min("r_rank").alias("best")))
+        kept = open_.hint("merge").join(rivals, open_["node"] == rivals["a"], "left").filter(F.col("best").isNull() | (F.col("rank") < F.col("best"))).select("node", F.lit(True).alias("k"))
+        hit = both.hint("merge").join(kept.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node"), F.lit(True).alias("d")).distinct()
         state = F.when(F.col("state") != 0, F.col("state")).when(F.col("k"), 1).when(F.col("d"), 2).otherwise(0)
-        status = checkpointed(status.join(kept, "node", "left").join(hit, "node", "left").select("node", "rank", state.alias("state")))
-        if status.filter("state = 0").isEmpty():
+        status, waiting = measured(status.hint("merge").join(kept, "node", "left").hint("merge").join(hit, "node", "left").select("node", "rank", state.alias("state")), "state = 0")
+        if not waiting:
             return status.filter("state = 1").select("node")
