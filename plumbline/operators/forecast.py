@@ -37,12 +37,16 @@ def constellation_quality(health: DataFrame, latitude: float = 50.0) -> tuple[Da
 
 
 def current_quality(points: DataFrame, surface: DataFrame, scores: DataFrame, km: float = 200.0) -> DataFrame:
-    """``current`` per point (``point_id, lat, lon``): the nearest surface value under ``km``, else the mean of all stations (70 without any)."""
-    right = surface.select(F.col("lat").alias("r_latitude"), F.col("lon").alias("r_longitude"), "predicted")
-    near = (distance_join(points, right, km, "lat", "lon").filter(F.col("distance_km") < km).groupBy("point_id")
+    """``current`` per point (``point_id, lat, lon``): the nearest surface value under ``km``, else the mean of all stations (70 without any).
+
+    Places are sought, not rows: points of one place share a value, and of a place of the surface only the smallest counts.
+    """
+    at = ["lat", "lon"]
+    right = surface.groupBy(F.col("lat").alias("r_latitude"), F.col("lon").alias("r_longitude")).agg(F.min("predicted").alias("predicted"))
+    near = (distance_join(points.select(*at).dropna().distinct(), right, km, *at).filter(F.col("distance_km") < km).groupBy(*at)
             .agg(F.min(F.struct("distance_km", "r_latitude", "r_longitude", "predicted"))["predicted"].alias("near")))
     mean = scores.agg(F.coalesce(F.nullif(F.avg("avg_fix_rate"), F.lit(0.0)), F.lit(70.0)).alias("mean"))
-    return points.join(near, "point_id", "left").crossJoin(F.broadcast(mean)).withColumn("current", F.coalesce("near", "mean")).drop("near", "mean")
+    return points.join(near, at, "left").select(*points.columns, "near").crossJoin(F.broadcast(mean)).withColumn("current", F.coalesce("near", "mean")).drop("near", "mean")
 
 
 def forecast(points: DataFrame, horizons: tuple[int, ...], as_of: int, arrivals: DataFrame, kp: float = 0.0, kp_3h: float = 0.0, tropo_risk: str = "low", alerts: int = 0) -> DataFrame:

@@ -39,3 +39,24 @@ def test_means_at_a_limit(spark):
     assert thirty < 30 and sixty < 60
     row = spark.range(1).select(*(sequential.level(F.lit(x)) for x in (thirty, sixty, 29.9, 59.9, 60.1))).first()
     assert list(row) == ["warning", "info", "critical", "warning", "info"]
+
+
+def test_visited_cells_do_not_pass_through_the_driver(spark):
+    from plumbline.functions.geo import distance_join
+
+    left = spark.createDataFrame([(1, 50.0, 8.0), (2, 50.0, 8.0)], "id int, latitude double, longitude double")
+    right = spark.createDataFrame([(7, 50.1, 8.0)], "r_id int, r_latitude double, r_longitude double")
+    pairs = distance_join(left, right, 20.0)
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.r_id) for r in pairs.collect()) == [(1, 7), (2, 7)]
+
+
+def test_current_quality_seeks_places(spark):
+    from plumbline.operators.forecast import current_quality
+
+    points = spark.createDataFrame([("a", 50.0, 8.0), ("b", 50.0, 8.0), ("c", -50.0, 8.0), ("d", None, None)], "point_id string, lat double, lon double")
+    surface = spark.createDataFrame([(50.1, 8.0, 60.0), (50.1, 8.0, 40.0), (50.9, 8.0, 10.0)], "lat double, lon double, predicted double")
+    found = current_quality(points, surface, spark.createDataFrame([(80.0,)], "avg_fix_rate double"))
+    assert found.columns == ["point_id", "lat", "lon", "current"]
+    assert {r.point_id: r.current for r in found.collect()} == {"a": 40.0, "b": 40.0, "c": 80.0, "d": 80.0}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 4  # the surface's places, the points' places, the nearest, the mean
