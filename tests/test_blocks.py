@@ -128,3 +128,21 @@ def test_nearest_join_meets_places_not_rows(spark, monkeypatch):
     right = spark.range(200).selectExpr("id AS s", "48e0 AS r_latitude", "9e0 AS r_longitude")
     assert geo.nearest_join(points, right, "id", "s").filter("s = 0").count() == 200
     assert [m.count() for m in met] == [1]
+
+
+def test_box_means_are_sought_by_place_and_shuffled(spark, monkeypatch):
+    from plumbline.operators import ml as module
+
+    seen, sought = [], module.box_means
+    monkeypatch.setattr(module, "box_means", lambda points, rows, half: seen.append(points.count()) or sought(points, rows, half))
+    at = 1706659200000
+    points = spark.createDataFrame([("a", 50.0, 8.0), ("b", 50.0, 8.0), ("c", 10.0, 8.0), ("d", None, 8.0)], "point_id string, lat double, lon double")
+    stations = spark.createDataFrame([("S", 50.1, 8.0, "ONLINE")], "name string, latitude double, longitude double, status string")
+    scores = spark.createDataFrame([("S", 0.9, 0.9, 55.0)], "station_name string, uq_score double, uptime_7d double, avg_fix_rate double")
+    trust = spark.createDataFrame([("S", 0.9)], "station string, composite_score double")
+    rows = [(f"i{k}", "u", "S", at - 1000 * k - 1000, 60.0 + k, 1.0, 600, 50.0, 8.0 + k / 10) for k in range(10)]
+    sessions = spark.createDataFrame(rows, "id string, username string, station string, login_time long, fix_rate double, avg_age double, duration long, latitude double, longitude double")
+    found = {r.point_id: r for r in module.protection_levels(points, stations, scores, trust, sessions, at).collect()}
+    assert seen == [2]
+    assert [found[k].expected_fix_rate for k in "abcd"] == [62.5, 62.5, 0.0, 0.0]
+    assert [found[k].station_count for k in "abcd"] == [1, 1, 0, 0] and found["a"].hpl_m == found["b"].hpl_m
