@@ -60,3 +60,11 @@ def test_current_quality_seeks_places(spark):
     assert found.columns == ["point_id", "lat", "lon", "current"]
     assert {r.point_id: r.current for r in found.collect()} == {"a": 40.0, "b": 40.0, "c": 80.0, "d": 80.0}
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") >= 4  # the surface's places, the points' places, the nearest, the mean
+
+
+def test_stations_that_come_back_from_zero(spark):
+    from plumbline.operators.detectors import predictive_alerts
+
+    rows = [("Z", AS_OF - 1000 * k, 90.0, 1.0) for k in range(1, 5)] + [("Z", AS_OF - 3 * 3_600_000 - k, 0.0, 1.0) for k in range(4)]
+    found = predictive_alerts(spark.createDataFrame(rows, "station string, login_time long, fix_rate double, avg_age double"), AS_OF).collect()
+    assert [(r.indicator, r.change_pct) for r in found] == [("fix_rate_improving", float("inf"))]
