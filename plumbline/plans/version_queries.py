@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.graph import checkpointed
 from plumbline.operators import versions
 
 from .fixtures import AS_OF, Tables, oracle
@@ -14,16 +15,26 @@ AT = [AS_OF - (CYCLES - 1 - k) * STEP_MS for k in range(CYCLES)]
 LIMITS = {"share": 0.2, "least": 5}
 
 
+def proposals(t: Tables, times: list[int]) -> list[tuple[int, DataFrame]]:
+    """For each cycle one zone per station with sessions on the day before; its grade is the mean fix rate in steps of ten.
+
+    The days of cycles overlap: sessions are read once and counted for each cycle whose day they fall on."""
+    c = F.col
+    day = lambda at: (c("login_time") >= at - 86_400_000) & (c("login_time") < at)
+    cycles = F.filter(F.array(*[F.lit(at).cast("long") for at in times]), day)
+    seen = t.fx_sessions.filter((c("login_time") >= min(times) - 86_400_000) & (c("login_time") < max(times)) & F.expr("station IS NOT NULL AND station <> ''"))
+    every = checkpointed(seen.select(c("station").alias("zone_id"), "fix_rate", F.explode(cycles).alias("at")).groupBy("at", "zone_id").agg(
+        F.concat(F.lit("grade "), F.floor(F.avg("fix_rate") / 10).cast("string")).alias("body"), (F.count(F.lit(1)) % 4).cast("int").alias("priority")))
+    return [(at, every.filter(c("at") == at).drop("at")) for at in times]
+
+
 def proposal(t: Tables, as_of: int) -> DataFrame:
-    """One zone per station with sessions on the day before; its grade is the mean fix rate in steps of ten."""
-    day = t.fx_sessions.filter((F.col("login_time") >= as_of - 86_400_000) & (F.col("login_time") < as_of) & F.expr("station IS NOT NULL AND station <> ''"))
-    return day.groupBy(F.col("station").alias("zone_id")).agg(
-        F.concat(F.lit("grade "), F.floor(F.avg("fix_rate") / 10).cast("string")).alias("body"), (F.count(F.lit(1)) % 4).cast("int").alias("priority"))
+    return proposals(t, [as_of])[0][1]
 
 
 def chain(t: Tables) -> tuple[DataFrame, DataFrame]:
     empty = t.spark.createDataFrame([], versions.STATE)
-    return versions.version_chain([(at, proposal(t, at)) for at in AT], empty, **LIMITS)
+    return versions.version_chain(proposals(t, AT), empty, **LIMITS)
 
 
 def _proposal_sql(at: int) -> str:
