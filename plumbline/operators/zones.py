@@ -127,13 +127,38 @@ def stations_outside_regions(stations: DataFrame, circles: DataFrame) -> DataFra
 
 
 def uncovered_sessions(sessions: DataFrame, stations: DataFrame, as_of: int, days: int = 14, km: float = 40.0, least: int = 2) -> DataFrame:
-    """One-degree cells of sessions without a station within ``km``; each cell shows its latest session's position."""
+    """One-degree cells of sessions without a station within ``km``; each cell shows its latest session's position.
+
+    The stations' places tell for fine cells whether one of them is near from everywhere in the cell (then all of its sessions are
+    covered), or which of them may be near from a part of it; a session of such a cell is compared with these places alone, and
+    sessions of all other cells are far from every station. Sessions are read once and meet at most one row of a cell.
+    """
+    c = F.col
     rows = sessions.filter(between(as_of - days * DAY) & has_position())
-    base = stations.filter(has_position()).select(F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"))
-    # The equirectangular distance is never far below the great-circle one; a wider join finds every candidate.
-    near = distance_join(rows.select("id", "latitude", "longitude"), base, km * 1.05)
-    flat = F.sqrt(F.pow((F.col("latitude") - F.col("r_latitude")) * 111.0, F.lit(2.0)) + F.pow((F.col("longitude") - F.col("r_longitude")) * 111.0 * F.cos(F.radians("latitude")), F.lit(2.0)))
-    far = rows.join(near.filter(flat <= km).select("id").distinct(), "id", "left_anti")
+    flat = lambda lat, lon, p_lat, p_lon: F.sqrt(F.pow((lat - p_lat) * 111.0, F.lit(2.0)) + F.pow((lon - p_lon) * 111.0 * F.cos(F.radians(lat)), F.lit(2.0)))
+    side = km / 111.0 / 8
+    places = stations.filter(has_position() & c("longitude").isNotNull()).select(c("latitude").alias("p_lat"), c("longitude").alias("p_lon")).distinct()
+    span = lambda x, by: F.sequence(F.floor((x - by) / side) - 1, F.floor((x + by) / side) + 1)
+    narrow = F.cos(F.radians(F.least(F.lit(90.0), F.abs("p_lat") + km / 111.0 + 2 * side)))
+    # Near a pole a session is near every longitude: columns are bounded by those of the globe.
+    wide = F.least(F.lit(360.0), km / 111.0 / F.greatest(narrow, F.lit(1e-9)))
+    reached = (places.withColumn("i", F.explode(span(c("p_lat"), F.lit(km / 111.0)))).withColumn("j", F.explode(span(c("p_lon"), wide))))
+    # Everywhere in a cell the squared distance is convex in latitude and longitude apart, up to the shrinking of degrees,
+    # which is taken at its least and its most.
+    south, west = c("i") * side, c("j") * side
+    low, high = F.least(F.abs(south), F.abs(south + side)), F.least(F.lit(90.0), F.greatest(F.abs(south), F.abs(south + side)))
+    cos_most, cos_least = F.when(south * (south + side) <= 0, 1.0).otherwise(F.cos(F.radians(low))), F.cos(F.radians(high))
+    most = lambda x, a: F.greatest(F.abs(x - a), F.abs(x - a - side))
+    least_ = lambda x, a: F.greatest(a - x, x - a - side, F.lit(0.0))
+    away = lambda f, cos: F.sqrt(F.pow(f(c("p_lat"), south) * 111.0, F.lit(2.0)) + F.pow(f(c("p_lon"), west) * 111.0 * cos, F.lit(2.0)))
+    touched = reached.withColumns({"most": away(most, cos_most), "least": away(least_, cos_least)}).filter(c("least") <= km + 1e-6)
+    whole = F.max(c("most") <= km - 1e-6)
+    inner = touched.groupBy("i", "j").agg(whole.alias("whole"))
+    partly = touched.join(inner.filter("not whole").select("i", "j"), ["i", "j"]).groupBy("i", "j").agg(F.collect_list(F.struct("p_lat", "p_lon")).alias("near"))
+    cells = checkpointed(inner.join(partly, ["i", "j"], "left"))
+    placed = rows.select("id", "login_time", "latitude", "longitude", F.floor(c("latitude") / side).alias("i"), F.floor(c("longitude") / side).alias("j"))
+    covered = c("whole") | F.exists("near", lambda p: flat(c("latitude"), c("longitude"), p["p_lat"], p["p_lon"]) <= km)
+    far = placed.join(cells, ["i", "j"], "left").filter(~F.coalesce(covered, F.lit(False)))
     latest = F.max(F.struct("login_time", "id", "latitude", "longitude"))
     return (far.groupBy(F.floor("latitude").alias("row"), F.floor("longitude").alias("column")).agg(F.count("*").alias("sessions"), latest.alias("x"))
             .filter(F.col("sessions") >= least).select("row", "column", "sessions", half_up("x.latitude", 4).alias("lat"), half_up("x.longitude", 4).alias("lon")))
