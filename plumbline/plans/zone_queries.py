@@ -193,7 +193,7 @@ def weather(t: Tables) -> DataFrame:
 
 def pairs_within(t: Tables, reach: float) -> DataFrame:
     right = t.fx_stations.select(F.col("name").alias("other"), F.col("latitude").alias("r_latitude"), F.col("longitude").alias("r_longitude"))
-    return distance_join(t.fx_stations, right, reach).filter("name < other").select("name", "other", half_up("distance_km", 3).alias("km"))
+    return distance_join(t.fx_stations.select("name", "latitude", "longitude"), right, reach, spread=True).filter("name < other").select("name", "other", half_up("distance_km", 3).alias("km"))
 
 
 def named_places(t: Tables) -> DataFrame:
