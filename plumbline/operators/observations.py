@@ -79,9 +79,15 @@ def multipath(obs: DataFrame, least_epochs: int = 10, least_values: int = 5) ->
 
 
 def observation_summary(obs: DataFrame) -> DataFrame:
-    seen = [F.when(F.max(_have(c).cast("int")) == 1, F.lit(c.upper())) for c in ("c1", "c2", "l1", "l2", "s1")]
-    return obs.groupBy("file_id").agg(
-        (F.max("epoch_s") - F.min("epoch_s")).alias("duration_s"), F.count_distinct("epoch_s").alias("epochs"), F.count_distinct("prn").alias("satellites"), F.count("*").alias("n"),
+    """Span, epochs, satellites and bands per file. Epochs and satellites are counted apart, each from groups of one row, so rows
+    are not repeated for either."""
+    bands = ("c1", "c2", "l1", "l2", "s1")
+    epochs = obs.groupBy("file_id", "epoch_s").agg(F.count("*").alias("n"), *[F.max(_have(c)).alias(c) for c in bands]).groupBy("file_id").agg(
+        (F.max("epoch_s") - F.min("epoch_s")).alias("duration_s"), F.count("epoch_s").alias("epochs"), F.sum("n").alias("n"), *[F.max(c).alias(c) for c in bands])
+    satellites = obs.groupBy("file_id", "prn").agg(F.lit(1)).groupBy("file_id").agg(F.count("prn").alias("satellites"))
+    seen = [F.when(F.max(c), F.lit(c.upper())) for c in bands]
+    return epochs.unionByName(satellites, allowMissingColumns=True).groupBy("file_id").agg(
+        F.max("duration_s").alias("duration_s"), F.max("epochs").alias("epochs"), F.max("satellites").alias("satellites"), F.max("n").alias("n"),
         F.array_join(F.array_sort(F.array_compact(F.array(*seen))), ",").alias("bands")).withColumn("mean_satellites", half_up(F.col("n") / F.col("epochs"), 1)).drop("n")
 
 
