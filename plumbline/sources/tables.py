@@ -3,11 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, batched
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from plumbline.functions.graph import checkpointed
 from plumbline.functions.geodesic import DEFAULT_RESOLUTION, cell_outline
@@ -88,6 +93,11 @@ def parse_failover_log(lines: DataFrame) -> DataFrame:
     return lines.select(F.explode(both).alias("e")).select("e.*")
 
 
+@lru_cache(4096)
+def _minute(*at: int) -> float:
+    return pd.Timestamp(*at).timestamp()
+
+
 def _parse_file(text: str, max_epochs: int | None) -> Iterator[tuple[float, str, dict[str, float]]]:
     """Epoch seconds, satellite and its non-zero values of one observation file in the fixed-column text format."""
     lines, types, i, epochs = text.split("\n"), {}, 0, 0
@@ -106,7 +116,7 @@ def _parse_file(text: str, max_epochs: int | None) -> Iterator[tuple[float, str,
         if len(part) < 6:
             continue
         try:
-            at = pd.Timestamp(*map(int, part[:5])).timestamp() + float(part[5])
+            at = _minute(*map(int, part[:5])) + float(part[5])
             flag, count = int(part[6]) if len(part) > 6 else 0, int(part[7]) if len(part) > 7 else 0
         except ValueError:
             continue
@@ -127,17 +137,31 @@ def _parse_file(text: str, max_epochs: int | None) -> Iterator[tuple[float, str,
         epochs += found
 
 
+#: Rows of observations that leave a task at once.
+ROWS_AT_ONCE = 20_000
+
+
 def parse_observations(spark: SparkSession, path: str, max_epochs: int | None = None) -> DataFrame:
     """``file_id, epoch_s, prn, constellation, obs`` of observation files, one file per row of work, parsed in tasks."""
     files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_id"), "value")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for file_id, text in zip(pdf["file_id"], pdf["value"]):
-                rows = [(file_id, at, prn, prn[:1], values) for at, prn, values in _parse_file(text, max_epochs)]
-                yield pd.DataFrame(rows, columns=["file_id", "epoch_s", "prn", "constellation", "obs"])
-
-    return files.mapInPandas(run, "file_id string, epoch_s double, prn string, constellation string, obs map<string, double>")
+    schema = StructType.fromDDL("file_id string, epoch_s double, prn string, constellation string, obs map<string, double>")
+    types = [to_arrow_type(f.dataType) for f in schema]
+
+    def table(file_id: str, rows: tuple) -> pa.RecordBatch:
+        at, prn, values = zip(*rows)
+        ends = pa.array([0, *accumulate(map(len, values))], pa.int32())
+        codes, numbers = pa.array([c for v in values for c in v], types[4].key_type), pa.array([x for v in values for x in v.values()], types[4].item_type)
+        columns = [pa.array([file_id] * len(rows), types[0]), pa.array(at, types[1]), pa.array(prn, types[2]), pa.array([x[:1] for x in prn], types[3]),
+                   pa.MapArray.from_arrays(ends, codes, numbers, type=types[4])]
+        return pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for rows in batched(_parse_file(text, max_epochs), ROWS_AT_ONCE):
+                    yield table(file_id, rows)
+
+    return files.mapInArrow(run, schema)
 
 
 def _parse_maps(text: str) -> Iterator[tuple[str, float, float, float]]:
