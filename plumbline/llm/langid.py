@@ -105,13 +105,14 @@ def sample_by_hash(rows: DataFrame, group: str, bound: int) -> DataFrame:
             .filter(F.col("drawn") < F.col("below")).drop("below", "drawn"))
 
 
-def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float = 0.5) -> Model:
+def train(labelled: DataFrame, max_docs: int | None = MAX_TRAIN_DOCS, smoothing: float = 0.5) -> Model:
     """Fit on ``doc_id, text, lang`` rows; rows without text or language are ignored.
 
-    Spark draws the bounded sample, counts n-grams in ``COUNT_TASKS`` tasks and adds the counts per language.
+    Spark draws the bounded sample, counts n-grams in ``COUNT_TASKS`` tasks and adds the counts per language. Without a bound
+    all rows are counted where they are read, and the tasks' counts are added in ``COUNT_TASKS`` parts first.
     """
     rows = labelled.select("doc_id", "text", "lang").dropna(subset=["lang"])
-    sample = sample_by_hash(rows, "lang", max_docs).dropna(subset=["text"]).repartition(COUNT_TASKS)
+    sample = rows.dropna(subset=["text"]) if max_docs is None else sample_by_hash(rows, "lang", max_docs).dropna(subset=["text"]).repartition(COUNT_TASKS)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         totals: dict[str, np.ndarray] = {}
@@ -126,7 +127,7 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
         if totals:
             yield pd.DataFrame({"lang": list(totals), "docs": [docs[k] for k in totals], "counts": [v.tobytes() for v in totals.values()]})
 
-    def add(key: tuple[str], pdf: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
         return pd.DataFrame({"lang": [key[0]], "docs": [int(pdf["docs"].sum())], "counts": [total.tobytes()]})
 
@@ -134,7 +135,10 @@ def train(labelled: DataFrame, max_docs: int = MAX_TRAIN_DOCS, smoothing: float
     if names << BUCKET_BITS > MAX_CELLS:  # before any count reaches the driver
         raise ValueError("there are more languages than the broadcast model holds")
     schema = "lang string, docs long, counts binary"
-    summed = sample.mapInPandas(count, schema).groupBy("lang").applyInPandas(add, schema).orderBy("lang").collect()
+    counted = sample.mapInPandas(count, schema)
+    if max_docs is None:
+        counted = counted.groupBy("lang", (F.spark_partition_id() % COUNT_TASKS).alias("part")).applyInPandas(add, schema)
+    summed = counted.groupBy("lang").applyInPandas(add, schema).orderBy("lang").collect()
     if not summed:
         return Model([], np.zeros((1 << BUCKET_BITS, 0), np.float32), np.zeros(0))
     counts = np.stack([np.frombuffer(r.counts, np.int64) for r in summed], axis=1) + smoothing

@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
+from collections.abc import Callable, Iterator
+from copy import deepcopy
 from dataclasses import dataclass, field
 from itertools import count
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import langid
-from .common import add_columns, documents, held_out, table
+from .common import add_columns, checkpointed, documents, held_out, shared_folder, table
 
 #: The evaluation fold of the registered query: crc32 of the id modulo 5 is 0.
 FOLD = (5, 0)
-#: Bound of the training sample, in labelled documents per class (expected; chosen by a hash of the id).
-MAX_TRAIN_DOCS = 3000
-#: Longer texts are not learned from (but scored whole), so the sample that the driver trains on is bounded in characters too.
-MAX_TRAIN_CHARS = 100_000
+#: Labelled documents and characters of a shard, about: a task trains on a shard, and the shards' networks are averaged.
+SHARD_DOCS, SHARD_CHARS = 6000, 40_000_000
+#: Logits are told apart at so many steps of one when thresholds are sought.
+STEPS = 1 << 12
+#: Numbers of a network that are added up in one group.
+BLOCK = 1 << 16
 FEATURE_BITS, DIM, FILTERS, WIDTHS = 18, 8, 8, (1, 2, 3)
 PREFIXES = (3, 4, 5)
 EPOCHS, BATCH, RATE = 2, 64, 0.05
@@ -179,93 +185,211 @@ class Classifier:
         return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def _threshold(logit: np.ndarray, label: np.ndarray) -> float:
-    """The cut with the best F-measure, in the middle of its gap; recall weighs ``RECALL_WEIGHT`` times precision."""
-    order = np.argsort(-logit, kind="stable")
-    z, y = logit[order], label[order]
-    hits = np.cumsum(y)
-    measure = hits / (np.arange(1, len(y) + 1) + RECALL_WEIGHT * y.sum())
-    k = int(measure.argmax())
+def _threshold(z: np.ndarray, hits: np.ndarray, n: np.ndarray) -> float:
+    """The cut with the best F-measure, in the middle of its gap; recall weighs ``RECALL_WEIGHT`` times precision. ``z`` are
+    different logits, ``n`` the texts that have them, ``hits`` those of label 1."""
+    order = np.argsort(-z, kind="stable")
+    z, found, seen = z[order], np.cumsum(hits[order]), np.cumsum(n[order])
+    k = int((found / (seen + RECALL_WEIGHT * hits.sum())).argmax())
     return float((z[k] + z[k + 1]) / 2) if k + 1 < len(z) else float(z[k]) - 0.5
 
 
-def _learn(every: Batch, size: list[int], labels: np.ndarray, train: np.ndarray) -> Network:
-    """A network trained on the texts ``train``, both classes of equal total weight."""
-    network = Network.start()
-    # The first embedding dimension starts from the log odds of each feature, and one filter reads it.
-    share = labels[train].mean()
-    seen = np.repeat(PRIOR_STRENGTH * np.array([[1 - share], [share]]), 1 << FEATURE_BITS, axis=1)
-    ends = [*every.starts[1:], len(every.at)]
-    for k in train.tolist():
-        words = np.unique(every.at[every.starts[k]:ends[k]])[1:]  # without the padding
-        seen[int(labels[k]), np.unique(every.words[words])] += 1
-    network.embedding[:, 0] = np.log(seen[1] / seen[0]) - np.log(share / (1 - share))
-    network.filters[1][0][:, 0] = np.eye(DIM, dtype=np.float32)[0]
-    network.output[0], network.bias[1][0] = 1.0, -1.0
-    weight = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share))
-    rng = np.random.default_rng(3)
-    for _ in range(EPOCHS):
-        mixed = rng.permutation(train)
+@dataclass
+class Shard:
+    """Labelled texts of one task: network 0 learns from all of them, network f from those outside fold f."""
+
+    every: Batch
+    size: list[int]
+    labels: np.ndarray
+    fold: np.ndarray
+
+    @classmethod
+    def of(cls, texts: list[str], labels: np.ndarray) -> Shard:
+        # Folds by place within each class, so every fold has its share of both.
+        fold = np.zeros(len(texts), np.int64)
+        for y in (0, 1):
+            own = np.random.default_rng(5).permutation(np.flatnonzero(labels == y))
+            fold[own] = np.arange(len(own)) % FOLDS + 1
+        return cls(Batch(texts), [len(t) for t in texts], labels, fold)
+
+    def counts(self) -> np.ndarray:
+        """Texts by fold and class, in column 0, and those that have each feature."""
+        out = np.zeros((FOLDS, 2, 1 + (1 << FEATURE_BITS)), np.float32)
+        ends = [*self.every.starts[1:], len(self.every.at)]
+        for k, (f, y) in enumerate(zip(self.fold.tolist(), self.labels.tolist())):
+            words = np.unique(self.every.at[self.every.starts[k]:ends[k]])[1:]  # without the padding
+            out[f - 1, y, 0] += 1
+            out[f - 1, y, 1 + np.unique(self.every.words[words])] += 1
+        return out
+
+    def learn(self, network: Network, number: int, share: float, epoch: int) -> Network:
+        """One more epoch, both classes of equal total weight."""
+        train = np.flatnonzero(self.fold != number)
+        if not len(train):
+            return network
+        weight = np.where(self.labels == 1, 0.5 / share, 0.5 / (1 - share))
+        rng = np.random.default_rng(3)
+        mixed = [rng.permutation(train) for _ in range(epoch + 1)][-1]
         for a in range(0, len(mixed), BATCH):
             part = mixed[a:a + BATCH]
-            for lo, hi in langid.ranges([size[k] for k in part], 4 * CHUNK_CHARS):
+            for lo, hi in langid.ranges([self.size[k] for k in part], 4 * CHUNK_CHARS):
                 rows = part[lo:hi]
-                network.learn(every.part(rows), labels[rows], weight[rows])
-    network.memory = {}
-    return network
+                network.learn(self.every.part(rows), self.labels[rows], weight[rows])
+        return network
 
+    def unseen(self, network: Network, number: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of the fold that the network has not seen, and their logits."""
+        rows = np.flatnonzero(self.fold == number)
+        parts = [network.logits(self.every.part(rows[a:b])) for a, b in langid.ranges([self.size[k] for k in rows], CHUNK_CHARS)]
+        return rows, np.concatenate(parts) if parts else np.zeros(0)
 
-def _logits(network: Network, every: Batch, size: list[int], rows: np.ndarray) -> np.ndarray:
-    parts = [network.logits(every.part(rows[a:b])) for a, b in langid.ranges([size[k] for k in rows], CHUNK_CHARS)]
-    return np.concatenate(parts) if parts else np.zeros(0)
 
+def _begin(counts: np.ndarray, number: int) -> tuple[Network, float] | None:
+    """Network ``number`` before its first epoch and the share of label 1 in what it learns from; None if that is one class.
 
-def fit(texts: list[str], labels: np.ndarray, languages: langid.Model) -> Classifier:
-    """Train on the given texts. Without examples of both classes every score is 0.
-
-    Thresholds are calibrated out of fold: every text is scored by a network that has not seen it, the best cut is
-    sought over all texts and over those of each language, and a language's own cut counts against the common one
-    by its number of texts of the rarer class.
+    The first embedding dimension starts from the log odds of each feature in all labelled texts, and one filter reads it.
     """
-    if len(set(labels.tolist())) < 2:
-        return Classifier(None, languages, {})
-    every, size, rows = Batch(texts), [len(t) for t in texts], np.arange(len(texts))
-    network = _learn(every, size, labels, rows)
-    # Folds by place within each class, so every fold has its share of both.
-    fold = np.zeros(len(texts), np.int64)
-    for y in (0, 1):
-        own = np.random.default_rng(5).permutation(np.flatnonzero(labels == y))
-        fold[own] = np.arange(len(own)) % FOLDS
-    logit = np.zeros(len(texts))
-    for f in range(FOLDS):
-        rest, held = rows[fold != f], rows[fold == f]
-        seen = network if len(set(labels[rest].tolist())) < 2 else _learn(every, size, labels, rest)
-        logit[held] = _logits(seen, every, size, held)
-    best, _ = langid.classify(languages, texts)
-    common, thresholds = _threshold(logit, labels), {}
-    for k in np.unique(best):
-        own = best == k
-        n = min(labels[own].sum(), (1 - labels[own]).sum())
+    seen = counts[np.arange(1, FOLDS + 1) != number].sum(0, dtype=np.float64)
+    if not seen[:, 0].all():
+        return None
+    share = float(seen[1, 0] / seen[:, 0].sum())
+    odds = seen[:, 1:] + PRIOR_STRENGTH * np.array([[1 - share], [share]])
+    network = Network.start()
+    network.embedding[:, 0] = np.log(odds[1] / odds[0]) - np.log(share / (1 - share))
+    network.filters[1][0][:, 0] = np.eye(DIM, dtype=np.float32)[0]
+    network.output[0], network.bias[1][0] = 1.0, -1.0
+    return network, share
+
+
+def _calibrated(network: Network, languages: langid.Model, cells: pd.DataFrame) -> Classifier:
+    """Thresholds from ``lang, step, hits, n``: the best cut over all texts and over those of each language, whose own cut
+    counts against the common one by its number of texts of the rarer class."""
+    def best(part: pd.DataFrame) -> float:
+        part = part.groupby("step", as_index=False)[["hits", "n"]].sum()
+        return _threshold(part["step"].to_numpy(float) / STEPS, part["hits"].to_numpy(float), part["n"].to_numpy(float))
+
+    common, thresholds = best(cells), {}
+    for k, own in cells.groupby("lang"):
+        n = min(own["hits"].sum(), (own["n"] - own["hits"]).sum())
         if n:
-            thresholds[int(k)] = float((n * _threshold(logit[own], labels[own]) + SHRINK * common) / (n + SHRINK))
+            thresholds[int(k)] = float((n * best(own) + SHRINK * common) / (n + SHRINK))
     return Classifier(network, languages, thresholds, common)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_TRAIN_DOCS) -> Classifier:
-    """Train on the labelled rows of ``docs`` (null ids, texts and labels left out, equal texts once,
-    of an id on several rows the first text in order). Without labelled rows every score is 0.
+def _cells(shard: Shard, networks: list[Network], best: np.ndarray) -> pd.DataFrame:
+    """Texts and those of label 1 by language and step of the logit that a network which has not seen them gives."""
+    logit = np.zeros(len(shard.size))
+    for f in range(1, FOLDS + 1):
+        rows, logit[shard.fold == f] = shard.unseen(networks[f], f)
+    step = np.floor(logit * STEPS + 0.5).astype(np.int64)
+    return pd.DataFrame({"lang": best.astype(np.int64), "step": step, "hits": shard.labels, "n": 1}).groupby(["lang", "step"], as_index=False).sum()
 
-    The sample is bounded per class, its texts by ``MAX_TRAIN_CHARS``, and it is all that reaches the driver, where numpy
-    trains on it; the language
-    model behind the calibrated thresholds is fitted on the same documents that labels may be learned from.
+
+def fit(texts: list[str], labels: np.ndarray, languages: langid.Model) -> Classifier:
+    """As :func:`train`, on texts of one shard that are at hand. Without examples of both classes every score is 0."""
+    if len(set(labels.tolist())) < 2:
+        return Classifier(None, languages, {})
+    shard = Shard.of(texts, labels)
+    counts = shard.counts()
+    states = [_begin(counts, f) or _begin(counts, 0) for f in range(FOLDS + 1)]
+    for f, (network, share) in enumerate(states):
+        for epoch in range(EPOCHS):
+            shard.learn(network, f, share, epoch)
+        network.memory = {}
+    return _calibrated(states[0][0], languages, _cells(shard, [n for n, _ in states], langid.classify(languages, texts)[0]))
+
+
+def _added(shards: DataFrame, run: Callable[[Shard], Iterator[tuple[str, np.ndarray]]]) -> DataFrame:
+    """Arrays by name, each the sum over all shards: blocks of them are added up in groups of their own and written."""
+    def blocks(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = [(name, k // BLOCK, values[k:k + BLOCK].tobytes()) for name, values in run(_shard(pdf)) for k in range(0, len(values), BLOCK)]
+        return pd.DataFrame(rows, columns=["name", "block", "bytes"])
+
+    def add(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        total = sum(np.frombuffer(b, np.float32).astype(np.float64) for b in pdf["bytes"])
+        return pd.DataFrame({"name": [key[0]], "block": [key[1]], "bytes": [total.astype(np.float32).tobytes()]})
+
+    schema, spark = "name string, block int, bytes binary", shards.sparkSession
+    path = shared_folder(spark, f"toxicity-{uuid.uuid4().hex}")
+    shards.groupBy("shard").applyInPandas(blocks, schema).groupBy("name", "block").applyInPandas(add, schema).write.parquet(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+def _arrays(added: DataFrame, prefix: str) -> dict[str, np.ndarray]:
+    """The arrays whose names begin so, a network's at most, on the driver."""
+    out: defaultdict[str, list] = defaultdict(list)
+    for r in added.filter(F.col("name").startswith(prefix)).orderBy("name", "block").collect():
+        out[r.name].append(np.frombuffer(r.bytes, np.float32))
+    return {name: np.concatenate(parts) for name, parts in out.items()}
+
+
+def _shard(pdf: pd.DataFrame) -> Shard:
+    pdf = pdf.sort_values(["doc_id", "toxic"], kind="stable")
+    return Shard.of(pdf["text"].tolist(), pdf["toxic"].to_numpy(np.int64))
+
+
+def _numbers(network: Network) -> dict[str, np.ndarray]:
+    out = {"embedding": network.embedding, "output": network.output, "offset": np.array([network.offset], np.float32)}
+    return out | {f"{kind}{w}": values[w] for kind, values in (("filter", network.filters), ("bias", network.bias)) for w in WIDTHS}
+
+
+def _changes(before: Network, after: Network, number: int) -> Iterator[tuple[str, np.ndarray]]:
+    old, memory = _numbers(before), after.memory.get("embedding")
+    for name, values in _numbers(after).items():
+        yield f"{number} {name}", (values - old[name]).ravel().astype(np.float32)
+    yield f"{number} touched", np.zeros(len(after.embedding), np.float32) if memory is None else (memory > 1e-6).any(1).astype(np.float32)
+    yield f"{number} shards", np.ones(1, np.float32)
+
+
+def _averaged(network: Network, sums: dict[str, np.ndarray], number: int) -> Network:
+    """The network with the mean change of all shards; a row of the embedding with that of the shards that have it."""
+    rows, shards = np.maximum(sums[f"{number} touched"], 1)[:, None], sums[f"{number} shards"]
+    new = {name: (values + sums[f"{number} {name}"].reshape(values.shape) / (rows if name == "embedding" else shards)).astype(np.float32) for name, values in _numbers(network).items()}
+    return Network(new["embedding"], {w: new[f"filter{w}"] for w in WIDTHS}, {w: new[f"bias{w}"] for w in WIDTHS}, new["output"], float(new["offset"][0]))
+
+
+def train(docs: DataFrame, labels: DataFrame) -> Classifier:
+    """Train on all labelled rows of ``docs`` (null ids, texts and labels left out, equal texts once,
+    of an id on several rows the first text in order). Without rows of both classes every score is 0.
+
+    Tasks train on shards of the rows, a hash of the id tells which, all from feature counts of all rows, and Spark averages what
+    they changed; one shard is trained on as :func:`fit` does. Thresholds are calibrated out of fold: every text is scored by a network that has not
+    seen it. The driver gets sums of networks, feature counts and counts of logits, whose size does not depend on the number of rows; the
+    language model behind the thresholds counts all documents that labels may be learned from.
     """
+    spark = docs.sparkSession
+    languages = langid.train(docs, None)
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").distinct()
-    chosen = langid.sample_by_hash(marked, "toxic", max_docs)
-    short = F.length("text") <= MAX_TRAIN_CHARS
-    rows = (docs.select("doc_id", "text").dropna().filter(short).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
-            .orderBy("doc_id", "toxic").select("text", "toxic").toPandas())
-    rows = rows.drop_duplicates("text")
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(np.int64), langid.train(docs))
+    texts = docs.select("doc_id", "text").dropna().join(marked, "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    rows = checkpointed(texts.groupBy("text").agg(F.min(F.struct("doc_id", "toxic")).alias("first")).select("first.*", "text"))
+    n, chars = rows.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    tasks = max(1, -(-n // SHARD_DOCS), -(-chars // SHARD_CHARS))
+    shards = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(tasks)))
+    counts = _arrays(_added(shards, lambda shard: iter([("counts", shard.counts().ravel())])), "counts").get("counts", np.zeros(0)).reshape(-1, 2, 1 + (1 << FEATURE_BITS))
+    if not len(counts) or not _begin(counts, 0):
+        return Classifier(None, languages, {})
+    begun = lambda seen, f: _begin(seen, f) or _begin(seen, 0)
+    first = spark.sparkContext.broadcast(counts)
+
+    def learn(shard: Shard) -> Iterator[tuple[str, np.ndarray]]:
+        for f in range(FOLDS + 1):
+            network, share = begun(first.value, f)
+            own = deepcopy(network)
+            for epoch in range(EPOCHS):
+                shard.learn(own, f, share, epoch)
+            yield from _changes(network, own, f)
+
+    sums = _added(shards, learn)
+    networks = [_averaged(begun(counts, f)[0], _arrays(sums, f"{f} "), f) for f in range(FOLDS + 1)]
+    shared = spark.sparkContext.broadcast((networks, languages))
+
+    def cells(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "toxic"], kind="stable")
+        trained, known = shared.value
+        return _cells(_shard(pdf), trained, langid.classify(known, pdf["text"].tolist())[0])
+
+    found = shards.groupBy("shard").applyInPandas(cells, "lang long, step long, hits long, n long").groupBy("lang", "step").agg(F.sum("hits").alias("hits"), F.sum("n").alias("n"))
+    return _calibrated(networks[0], languages, found.orderBy("lang", "step").toPandas())
 
 
 def score(docs: DataFrame, classifier: Classifier) -> DataFrame:
