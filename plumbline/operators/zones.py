@@ -261,7 +261,9 @@ def coverage_report(cells: DataFrame, stations: DataFrame, km: float = 50.0, lea
     return out if limit is None else out.orderBy("priority", F.desc("cells"), "row", "column").limit(limit)
 
 
-def diversity_cap(zones: DataFrame, limit: int = 500, step: int = 10) -> DataFrame:
-    """At most ``limit`` zones, taken round-robin over grid cells; within a cell by priority, confidence, id."""
+def diversity_cap(zones: DataFrame, limit: int | None = None, step: int = 10) -> DataFrame:
+    """Zones with their ``turn``, round-robin over grid cells; within a cell by priority, confidence, id. Without a ``limit`` all
+    zones, with one so many of them in the order of turns, then cells."""
     cell = W.partitionBy(F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)).orderBy("priority", F.desc("confidence"), "zone_id")
-    return (zones.withColumn("turn", F.row_number().over(cell)).orderBy("turn", F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)).limit(limit))
+    turns = zones.withColumn("turn", F.row_number().over(cell))
+    return turns if limit is None else turns.orderBy("turn", F.floor(F.col("lat") / step), F.floor(F.col("lon") / step)).limit(limit)
